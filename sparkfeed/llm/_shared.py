@@ -89,3 +89,34 @@ def utf8(column: pa.Array) -> list[bytes]:
 def strings(column: pa.Array) -> list[str]:
     """Each string; null counts as empty."""
     return [x or "" for x in column.to_pylist()]
+
+
+#: Bits of a membership filter: 4 MB when full, however many keys there are.
+FILTER_BITS = 1 << 25
+_BUCKET_BITS = 32768  # of Spark's bitmap functions
+
+
+def _filter_place(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
+
+
+def key_filter(keys: DataFrame, key: Column, name: str) -> DataFrame:
+    """``(bucket, bits)``: a bit for each hashed ``key``, as at most 1,024 rows of 4 kB.
+
+    Its size has that bound at any scale, so it may always be broadcast. It lets rows that surely
+    have no partner stay where they are; those it lets through are still to be joined.
+    """
+    place = _filter_place(key)
+    marked = keys.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+    return written(marked.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")), name)
+
+
+def maybe_in(df: DataFrame, key: Column, bits: DataFrame, flag: str) -> DataFrame:
+    """``df`` with a boolean ``flag``: false where ``key`` is surely none of the filter's keys."""
+    bucket, position, there = fresh(df, "sf_bucket", "sf_position", "sf_bits")
+    place = _filter_place(key)
+    placed = df.withColumns({bucket: F.bitmap_bucket_number(place), position: F.bitmap_bit_position(place).cast("int")})
+    joined = placed.join(F.broadcast(bits.select(F.col("bucket").alias(bucket), F.col("bits").alias(there))), bucket, "left")
+    byte = F.conv(F.hex(F.substring(col(there), (F.floor(col(position) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.getbit(byte, F.pmod(col(position), F.lit(8)))
+    return joined.select(*map(col, df.columns), F.coalesce(bit == 1, F.lit(False)).alias(flag))

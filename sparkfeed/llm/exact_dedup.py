@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import col, fresh, written
+from ._shared import col, fresh, key_filter, maybe_in, written
 
 #: What two texts may differ in and still be equal.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -30,15 +30,16 @@ def refined_keys(docs: DataFrame, id_col: str, text_col: str, prefix: int = PREF
     key = docs.select(col(id_col).alias("id"), normalised(col(text_col)).alias("norm"), F.length(F.coalesce(col(text_col), F.lit(""))).alias("cp"))
     narrow = written(key.select(F.length("norm").alias("len"), F.xxhash64(F.substring("norm", 1, prefix)).alias("head")).groupBy("len", "head").agg(F.count("*").alias("n")), "dedup-heads")
     lengths = narrow.groupBy("len").agg(F.sum("n").alias("n")).where("n > 1").select("len")
-    shared = written(narrow.where("n > 1").join(lengths, "len", "left_semi").select("len", "head", F.lit(True).alias("hot")), "dedup-shared")
+    shared = narrow.where("n > 1").join(lengths, "len", "left_semi")
+    bits = key_filter(shared, F.struct("len", "head"), "dedup-shared")
 
     norm, length, cp, head, full, hot = fresh(docs, "sf_norm", "sf_len", "sf_cp", "sf_head", "sf_full", "sf_hot")
     rows = docs.withColumn(norm, normalised(col(text_col))).withColumns(
         {length: F.length(col(norm)), cp: F.length(F.coalesce(col(text_col), F.lit(""))), head: F.xxhash64(F.substring(col(norm), 1, prefix))}
     )
-    shared = shared.select(F.col("len").alias(length), F.col("head").alias(head), F.col("hot").alias(hot))
-    keyed = rows.join(shared, [length, head], "left").withColumn(full, F.when(col(hot), F.sha2(col(norm), 256)))
-    return keyed.drop(norm, hot), [length, cp, head, full]
+    # a row that the filter lets through by chance gets a hash that no other row has
+    keyed = maybe_in(rows, F.struct(col(length).alias("len"), col(head).alias("head")), bits, hot)
+    return keyed.withColumn(full, F.when(col(hot), F.sha2(col(norm), 256))).drop(norm, hot), [length, cp, head, full]
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, carry: list[str] | None = None) -> DataFrame:
@@ -75,18 +76,19 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of ``docs`` that stay, with their own columns; the rules are those of ``exact_duplicates``."""
     keyed, (length, cp, head, full) = refined_keys(docs, id_col, text_col, prefix)
     ids = written(keyed.select(col(id_col).alias("id"), cp, length, head, full).groupBy("id", cp, length, head, full).agg(F.count("*").alias("times")), "dedup-keys")
-    keep, ties, key = fresh(keyed, "sf_keep", "sf_ties", "sf_key")
-    groups = written(_winners(ids, length, cp, head, full).select(col(full).alias(key), F.col("keep").alias(keep), F.col("ties").alias(ties)), "dedup-groups")
-    # the rows are read anyway here, so one join by the full hash tells all of them
-    rows = docs.withColumns({cp: F.length(F.coalesce(col(text_col), F.lit(""))), full: F.sha2(normalised(col(text_col)), 256)})
-    found = rows.join(groups, col(full) == col(key), "left")
+    keep, ties, key, hot = fresh(keyed, "sf_keep", "sf_ties", "sf_key", "sf_hot")
+    winners = written(_winners(ids, length, cp, head, full).where("group_size > 1").select(col(full).alias(key), F.col("keep").alias(keep), F.col("ties").alias(ties)), "dedup-groups")
     own = list(map(col, docs.columns))
+    rows = docs.withColumns({cp: F.length(F.coalesce(col(text_col), F.lit(""))), full: F.sha2(normalised(col(text_col)), 256)})
+    # only rows of groups of two or more are shuffled
+    rows = maybe_in(rows, col(full), key_filter(winners, col(key), "dedup-again"), hot)
+    found = rows.where(col(hot)).join(winners, col(full) == col(key), "left")
     best = col(key).isNull() | (col(id_col).eqNullSafe(col(keep)["id"]) & (-col(cp) == col(keep)["cp"]))
     found = found.where(best)
     single = found.where(col(key).isNull() | (col(ties) == 1)).select(*own)
     # repeated rows that are alike in all that decides: one of each group
     tied = found.where(col(key).isNotNull() & (col(ties) > 1)).dropDuplicates([key]).select(*own)
-    return single.unionByName(tied)
+    return rows.where(~col(hot)).select(*own).unionByName(single).unionByName(tied)
 
 
 def with_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX) -> DataFrame:

@@ -15,14 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import col, field_type, fresh, slices, utf8, written
+from ._shared import col, field_type, fresh, key_filter, maybe_in, slices, utf8, written
 from .byte_pairs import Remembered
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: With 32 bands of 6 registers, a pair of similarity 0.8 is missed with probability 6e-5.
 BANDS, ROWS = 32, 6
-#: The share of equal registers below which a pair is not verified: 0.8 less five standard errors.
-LEAST_AGREEMENT = 0.65
+#: The share of equal registers below which a pair is not verified: 0.8 less four standard errors.
+LEAST_AGREEMENT = 0.685
 #: Texts whose shingles are made at a time.
 TEXTS = 512
 
@@ -152,16 +152,6 @@ def _agree(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, schema)
 
 
-def _sets(norms: DataFrame, width: int) -> DataFrame:
-    schema = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
-
-    def run(batches):
-        for batch in slices(batches, TEXTS):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, width)[0].tobytes() for t in utf8(batch.column(1))], pa.binary())], names=schema.names)
-
-    return norms.select("key", "norm").mapInArrow(run, schema)
-
-
 def _similar(pairs: DataFrame, threshold: float) -> DataFrame:
     """``(a, b)`` of those pairs whose shingle sets have a Jaccard similarity of ``threshold`` or more."""
 
@@ -187,20 +177,38 @@ class _Near:
         # a text's copies are one node from here on
         self.nodes = written(self.found.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-nodes")
         banded = self.found.select("key", F.explode("bands").alias("band"))
-        buckets = banded.groupBy("band").agg(F.min("key").alias("head"), F.max("key").alias("last")).where("head <> last")
-        self.members = written(banded.join(buckets.select("band", "head"), "band").distinct(), "near-members")
+        # each bucket's head is drawn by a hash, so that a text in many buckets meets many heads
+        draw = F.struct(F.xxhash64("key", "band").alias("draw"), F.col("key"))
+        buckets = banded.groupBy("band").agg(F.min(draw).alias("head"), F.max(draw).alias("last")).where("head <> last")
+        self.members = written(banded.join(buckets.select("band", F.col("head.key").alias("head")), "band").distinct(), "near-members")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Of ``pairs (a, b)`` of keys, those that are near; written."""
+    def _likely(self, pairs: DataFrame) -> DataFrame:
+        """Of ``pairs (a, b)`` of keys, those that size and sketch leave possible; written."""
         node = lambda s: self.nodes.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
         sized = pairs.join(node("a"), "a").join(node("b"), "b").where((F.least("n_a", "n_b") >= self.threshold * F.greatest("n_a", "n_b") - 1e-9))
-        likely = written(_agree(sized, self.least), "near-likely")
-        keys = likely.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        wanted = written(keys.join(self.nodes.select("key", "id"), "key"), "near-wanted")
-        # the text of one copy of each key that a likely pair has
-        texts = self.docs.select("id", folded(F.col("text")).alias("norm")).select(text_key(F.col("norm")).alias("key"), "id", "norm")
-        one = texts.join(wanted.select(F.col("key").alias("k"), F.col("id").alias("i")), (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left_semi")
-        sets = written(_sets(one, self.width).dropDuplicates(["key"]), "near-sets")
+        return written(_agree(sized, self.least), "near-likely")
+
+    def _shingle_sets(self, keys: DataFrame) -> DataFrame:
+        """``(key, shingles)`` of the given keys, from the text of one copy of each; written.
+
+        A filter of bounded size leaves the other texts unread where they are; only the sets of
+        those that pass are joined with the keys.
+        """
+        wanted = written(keys.distinct().join(self.nodes.select("key", "id"), "key"), "near-wanted")
+        texts = maybe_in(self.docs, F.col("id"), key_filter(wanted, F.col("id"), "near-filter"), "wanted").where("wanted")
+        norms = texts.select("id", folded(F.col("text")).alias("norm")).select(text_key(F.col("norm")).alias("key"), "id", "norm")
+        schema = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("id", field_type(self.docs, "id")), T.StructField("shingles", T.BinaryType())])
+        width = self.width
+
+        def run(batches):
+            for batch in slices(batches, TEXTS):
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shingles(t, width)[0].tobytes() for t in utf8(batch.column(2))], pa.binary())], names=schema.names)
+
+        made = norms.select("key", "id", "norm").mapInArrow(run, schema)
+        exact = made.join(wanted.select(F.col("key").alias("k"), F.col("id").alias("i")), (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left_semi")
+        return written(exact.select("key", "shingles").dropDuplicates(["key"]), "near-sets")
+
+    def _verified(self, likely: DataFrame, sets: DataFrame) -> DataFrame:
         side = lambda s: sets.select(F.col("key").alias(s), F.col("shingles").alias(f"set_{s}"))
         return written(_similar(likely.join(side("a"), "a").join(side("b"), "b"), self.threshold), "near-links")
 
@@ -209,20 +217,33 @@ class _Near:
 
         First each member of a bucket is held against the bucket's head. A bucket whose members are
         then in one component needs no more. In the others, members of different components are
-        held against each other, all of them, so nothing that shares a bucket is left out.
+        held against each other, but for pairs that can't reach the threshold: what two texts have
+        in common is at most what each has in common with any text of those buckets.
         """
-        stars = self.members.where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
-        links = self.verified(stars)
+        stars = self.members.where("key <> head").select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct()
+        likely = self._likely(stars)
+        links = self._verified(likely, self._shingle_sets(likely.select(F.explode(F.array("a", "b")).alias("key"))))
         roots = components(links)
         placed = self.members.join(roots, self.members["key"] == roots["node"], "left").select("band", "key", F.coalesce("root", "key").alias("root"))
         mixed = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
-        open_ = placed.join(mixed, "band").join(self.nodes.select("key", "n"), "key")
-        open_ = written(open_, "near-open")
-        a, b = open_.select("band", F.col("key").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na")), open_.select("band", F.col("key").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-        fits = F.least("na", "nb") >= self.threshold * F.greatest("na", "nb") - 1e-9
-        across = a.join(b, "band").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits).select("a", "b").distinct()
-        done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        return links.unionByName(self.verified(across.join(done, ["a", "b"], "left_anti")))
+        open_ = written(placed.join(mixed, "band"), "near-open")
+        sets = self._shingle_sets(open_.select("key"))
+        # a shingle that only one text has is common to no pair
+        each = sets.select("key", F.explode(_longs(F.col("shingles"))).alias("shingle"))
+        alone = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1").groupBy("key").agg(F.count("*").alias("alone"))
+        sizes = sets.select("key", F.expr("octet_length(shingles) div 8").alias("n")).join(alone, "key", "left").select("key", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s"))
+        sizes = sizes.where(F.col("s") >= self.threshold * F.col("n") - 1e-9)
+        rows = written(open_.join(sizes, "key"), "near-rows")
+        side = lambda s: rows.select("band", F.col("key").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("root", "n", "s")))
+        enough = F.least("s_a", "s_b") >= self.threshold / (1 + self.threshold) * (F.col("n_a") + F.col("n_b")) - 1e-9
+        across = side("a").join(side("b"), "band").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & enough).select("a", "b").distinct()
+        more = self._verified(self._likely(across.join(stars, ["a", "b"], "left_anti")), sets)
+        return links.unionByName(more)
+
+
+def _longs(data: Column) -> Column:
+    """The 8-byte pieces of a binary, as they are."""
+    return F.transform(F.sequence(F.lit(0), F.expr("octet_length(shingles) div 8") - 1), lambda i: F.substring(data, i * 8 + 1, F.lit(8)))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -271,15 +292,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, least: float = LEAST_AGREEMENT) -> DataFrame:
     """One row of each class, with its own columns: that with the smallest id."""
     near, placed = _run(docs, id_col, text_col, width, threshold, bands, rows, least)
-    stay = written(placed.where(F.col("first_id").eqNullSafe(F.col("class_id"))).select("key", F.col("first_id").alias("id")), "near-stay")
-    # keys of a class that share its smallest id: one of them is enough
-    stay = stay.groupBy("id").agg(F.min("key").alias("key"))
-    key, want, same = fresh(docs, "sf_key", "sf_want", "sf_id")
-    keyed = docs.withColumn(key, text_key(folded(col(text_col))))
-    kept = keyed.join(stay.select(F.col("key").alias(want), F.col("id").alias(same)), (col(key) == col(want)) & col(id_col).eqNullSafe(col(same)))
-    repeated = near.found.groupBy("id", "key").agg(F.count("*").alias("times")).where("times > 1").select(F.col("key").alias("rk"), F.col("id").alias("ri"))
-    repeated = written(repeated, "near-repeated")
-    again = (col(key) == F.col("rk")) & col(id_col).eqNullSafe(F.col("ri"))
+    # of keys of a class that share its smallest id, one stays
+    best = placed.where(F.col("first_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("key").alias("best"))
+    counts = near.found.groupBy("id", "key").agg(F.count("*").alias("times"))
+    told = counts.join(placed.select("key", "class_id"), "key").join(best, "class_id", "left")
+    return _keep_rows(docs, id_col, text_col, told)
+
+
+def _keep_rows(docs: DataFrame, id_col: str, text_col: str, told: DataFrame) -> DataFrame:
+    """The rows that stay: all but those that are told to go, and one of repeated ones.
+
+    Only rows that a filter of bounded size takes for such rows are shuffled.
+    """
+    stays = F.col("id").eqNullSafe(F.col("class_id")) & F.coalesce(F.col("best") == F.col("key"), F.lit(True))
+    odd = written(told.select("id", "key", "times", stays.alias("stays")).where("NOT stays OR times > 1"), "near-odd")
+    key, flag = fresh(docs, "sf_key", "sf_flag")
+    rows = docs.withColumn(key, text_key(folded(col(text_col))))
+    pair = lambda i, k: F.struct(i.alias("i"), k.alias("k"))
+    rows = maybe_in(rows, pair(col(id_col), col(key)), key_filter(odd, pair(F.col("id"), F.col("key")), "near-again"), flag)
     own = list(map(col, docs.columns))
-    once = kept.join(repeated, again, "left_anti").select(*own)
-    return once.unionByName(kept.join(repeated, again, "left_semi").dropDuplicates([key]).select(*own))
+    marks = odd.select(F.col("id").alias("sf_odd_id"), F.col("key").alias("sf_odd_key"), F.col("stays").alias("sf_odd_stays"))
+    names = dict(zip(marks.columns, fresh(rows, *marks.columns), strict=True))
+    marks = marks.select(*(F.col(a).alias(b) for a, b in names.items()))
+    mid, mkey, mstays = (col(b) for b in names.values())
+    maybe = rows.where(col(flag)).join(marks, (col(key) == mkey) & col(id_col).eqNullSafe(mid), "left")
+    plain = maybe.where(mkey.isNull()).select(*own)
+    repeated = maybe.where(mstays).dropDuplicates([key]).select(*own)
+    return rows.where(~col(flag)).select(*own).unionByName(plain).unionByName(repeated)

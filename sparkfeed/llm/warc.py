@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import col, scratch_path, slices
+from ._shared import col, key_filter, maybe_in, scratch_path, slices, written
 
 #: Fields of a header line by ARC version, as its version block names them (fixed values).
 ARC_FIELDS = {
@@ -221,10 +221,15 @@ def mark_revisits(records: DataFrame, heads: DataFrame, min_bytes: int = 0) -> D
     order = F.struct(F.col("source_id").isNull().alias("none"), F.expr("try_cast(source_id AS bigint)").alias("number"), F.col("source_id").alias("id"), F.col("record_id").alias("record"))
     firsts = heads.where("warc_type = 'response'").groupBy("payload_digest").agg(F.min(order).alias("first"), F.count("*").alias("n"))
     # most payloads are met once; only the others need a partner
-    firsts = firsts.where("n > 1").select("payload_digest", F.col("first.id").alias("first_id"), F.col("first.record").alias("first_record"))
+    firsts = written(firsts.where("n > 1").select("payload_digest", F.col("first.id").alias("first_id"), F.col("first.record").alias("first_record")), "warc-firsts")
+    bits = key_filter(firsts, F.col("payload_digest"), "warc-again")
     again = (F.col("payload_bytes") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("source_id").eqNullSafe(F.col("first_id"))
-    joined = records.where("error IS NULL AND warc_type <> 'warcinfo'").join(firsts, "payload_digest", "left")
-    return joined.select(*records.columns, F.when(again, F.col("first_id")).alias("refers_id"), F.when(again, F.col("first_record")).alias("refers_record"))
+    rows = maybe_in(records.where("error IS NULL AND warc_type <> 'warcinfo'"), F.col("payload_digest"), bits, "again")
+    joined = rows.where("again").join(firsts, "payload_digest", "left")
+    linked = joined.select(*records.columns, F.when(again, F.col("first_id")).alias("refers_id"), F.when(again, F.col("first_record")).alias("refers_record"))
+    # payloads met once are written where they are
+    none = F.lit(None).cast("string")
+    return linked.unionByName(rows.where("NOT again").select(*records.columns, none.alias("refers_id"), none.alias("refers_record")))
 
 
 def warc_record(row: dict) -> bytes:
