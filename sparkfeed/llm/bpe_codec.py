@@ -12,21 +12,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._shared import col, field_type, slices, strings
-from .byte_pairs import PrefixEncoder, Remembered, Splitter, read_ranks
+from .byte_pairs import PrefixEncoder, Splitter, read_ranks, unknown
 
 
 @cache
 def _codec(path: str):
-    encoder = PrefixEncoder(read_ranks(path))
-    pieces = Remembered(lambda piece: encoder.ids(piece.encode("utf-8")))
-    return encoder, Splitter(public_tokenizers.PATTERN), pieces
+    return PrefixEncoder(read_ranks(path)), Splitter(public_tokenizers.PATTERN), {}
 
 
-def _ids_of(text: str, split, pieces) -> list[int]:
-    ids: list[int] = []
-    for found in map(pieces.__getitem__, split(text)):
-        ids += found
-    return ids
+def ids_of(texts: list[str], encoder: PrefixEncoder, split: Splitter, known: dict[str, list[int]]) -> list[list[int]]:
+    """The ids of each text; pieces not ``known`` are encoded in sorted order, by exact appends."""
+    parts = [split(t) for t in texts]
+    new = unknown(known, parts)
+    known.update(zip(new, encoder.ids_of_sorted(new), strict=True))
+    out = []
+    for pieces in parts:
+        ids: list[int] = []
+        for found in map(known.__getitem__, pieces):
+            ids += found
+        out.append(ids)
+    return out
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None) -> DataFrame:
@@ -39,9 +44,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     schema = T.StructType([T.StructField("id", field_type(docs, id_col)), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
-        _, split, pieces = _codec(path)
+        codec = _codec(path)
         for batch in slices(batches):
-            ids = [_ids_of(t, split, pieces) for t in strings(batch.column(1))]
+            ids = ids_of(strings(batch.column(1)), *codec)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
 
     return docs.select(col(id_col).alias("id"), col(text_col).alias("text")).mapInArrow(run, schema).select(F.col("id").alias(id_col), "ids")

@@ -24,7 +24,7 @@ _PLAIN_PATTERN = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+"
 )
 #: Pieces that a worker remembers; about 200 bytes each.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 500_000
 
 
 def is_plain(text: str) -> bool:
@@ -49,6 +49,16 @@ class Splitter:
         return _PLAIN_PATTERN.findall(text) if is_plain(text) else self.pattern.findall(text)
 
 
+def unknown(known: dict, parts: list[list[str]], most: int = CACHE_PIECES) -> list[str]:
+    """The pieces of several texts that ``known`` lacks, sorted; it is emptied first if they would
+    make it too large."""
+    new = set().union(*parts) - known.keys()
+    if new and len(known) + len(new) > most:
+        known.clear()
+        new = set().union(*parts)
+    return sorted(new)
+
+
 class Remembered(dict):
     """piece -> ``compute(piece)``; starts anew when full, so that memory stays bounded."""
 
@@ -152,6 +162,8 @@ class PrefixEncoder:
         self.suffixes = {t[i:]: -1 for t in ranks for i in range(1, len(t))} | ranks
         #: token -> the two tokens that merge into it, by BPE over lower ranks; None for a byte.
         self.halves: dict[int, tuple[int, int] | None] = {}
+        #: token -> whether BPE makes it of its own bytes.
+        self.valid: dict[int, bool] = {}
         #: pairs of ids -> whether BPE leaves their bytes as these two.
         self.follows: dict[tuple[int, int], bool] = {}
 
@@ -223,25 +235,42 @@ class PrefixEncoder:
         ``stored`` are the answers for a prefix of ``data`` that is known already; they are kept.
         """
         last = list(stored or ())
-        suffix, known = self.suffixes.get, self.follows.get
+        suffix, known, valid = self.suffixes.get, self.follows.get, self.valid.get
         for end in range(len(last) + 1, len(data) + 1):
             for start in range(end - 1, -1, -1):
                 t = suffix(data[start:end])
                 if t is None:
                     break  # no token ends in these bytes
-                if t < 0 or end - start > 1 and not self.whole(t):
+                if t < 0:
+                    continue
+                whole = valid(t)
+                if not (self.whole(t) if whole is None else whole):
                     continue
                 if start:
-                    u = last[start - 1]
-                    follows = known((u, t))
-                    if not (self.may_follow(u, t) if follows is None else follows):
+                    pair = last[start - 1], t
+                    follows = known(pair)
+                    if not (self.may_follow(*pair) if follows is None else follows):
                         continue
                 last.append(t)
                 break
         return last
 
+    def ids_of_sorted(self, pieces: list[str]) -> Iterator[list[int]]:
+        """The ids of each of many sorted pieces; what a piece shares with the one before is kept."""
+        before, last = b"", []
+        for piece in pieces:
+            data = piece.encode("utf-8")
+            k, most = 0, min(len(before), len(data))
+            while k < most and data[k] == before[k]:
+                k += 1
+            del last[k:]
+            before, last = data, self.last_tokens(data, last)
+            yield self.ids(data, last)
+
     def whole(self, token: int) -> bool:
-        return len(self.tokens[token]) == 1 or self.split(token) is not None
+        """Whether BPE makes one token of a token's own bytes."""
+        found = self.valid[token] = len(self.tokens[token]) == 1 or self.split(token) is not None
+        return found
 
     def ids(self, data: bytes, last: list[int] | None = None) -> list[int]:
         """The encoding of one piece, read off the stored last tokens from the end."""

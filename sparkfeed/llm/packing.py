@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._shared import col, field_type, slices, strings, written
-from .byte_pairs import Remembered, is_plain
+from .byte_pairs import is_plain, unknown
 
 CAPACITY = 2048
 _PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
@@ -41,14 +41,12 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.closing = frozenset(i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>"))
-        self.pieces: dict[str, bytes] = Remembered(None)
+        self.pieces: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.pieces) + len(pieces) > self.pieces.most:
-            self.pieces.clear()
         for at in range(0, len(pieces), _TOGETHER):
             some = pieces[at : at + _TOGETHER]
             ids = self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids
@@ -63,21 +61,9 @@ class _Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [_PLAIN_PIECES.findall(t.lower()) if "<|" not in t and is_plain(t) else None for t in texts]
-        out = []
-        for text, pieces in zip(texts, split, strict=True):
-            if pieces is None:
-                out.append(self._whole(text))
-                continue
-            new = list({p for p in pieces if p not in self.pieces})
-            if len(new) > self.pieces.most:
-                out.append(self._whole(text))
-                continue
-            if new:
-                self._learn(new)
-                if len(self.pieces) <= len(new):  # it was cleared
-                    self._learn(list({p for p in pieces if p not in self.pieces}))
-            out.append(b"".join(map(self.pieces.__getitem__, pieces)))
-        return out
+        self._learn(unknown(self.pieces, [p for p in split if p is not None]))
+        look = self.pieces.__getitem__
+        return [self._whole(t) if p is None else b"".join(map(look, p)) for t, p in zip(texts, split, strict=True)]
 
 
 @cache
