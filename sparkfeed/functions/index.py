@@ -20,8 +20,8 @@ def dense_index(df: DataFrame, order: list[Column | str], name: str = "idx", par
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     low = F.monotonically_increasing_id()
-    placed = written(placed.select("*", F.spark_partition_id().alias("_part"), low.bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")), "index")
-    totals = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = totals.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
-    return placed.join(F.broadcast(starts), "_part").select(*df.columns, (F.col("_ahead") + F.col("_at")).alias(name))
+    placed = written(placed.select("*", F.spark_partition_id().alias("sf_index_part"), low.bitwiseAND(F.lit((1 << 33) - 1)).alias("sf_index_at")), "index")
+    totals = placed.groupBy("sf_index_part").agg(F.count("*").alias("sf_index_n"))
+    before = W.orderBy("sf_index_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.select("sf_index_part", F.coalesce(F.sum("sf_index_n").over(before), F.lit(0)).alias("sf_index_ahead"))
+    return placed.join(F.broadcast(starts), "sf_index_part").select(*df.columns, (F.col("sf_index_ahead") + F.col("sf_index_at")).alias(name))

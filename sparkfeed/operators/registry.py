@@ -39,7 +39,7 @@ def version_history(df: DataFrame) -> DataFrame:
 
 
 def package_list(df: DataFrame) -> DataFrame:
-    return df.groupBy("name").agg(F.min(F.struct((-F.unix_micros("commit_time")).alias("t"), "commit_id", "message", "commit_time")).alias("s")).select("name", "s.commit_id", "s.message", "s.commit_time").orderBy("name")
+    return df.groupBy("name").agg(F.min(F.struct((-F.unix_micros(F.col("commit_time").cast("timestamp"))).alias("t"), "commit_id", "message", "commit_time")).alias("s")).select("name", "s.commit_id", "s.message", "s.commit_time").orderBy("name")
 
 
 def thin_events(df: DataFrame, by: str, order: str, ts: str, interval: int, time_interval: float) -> DataFrame:

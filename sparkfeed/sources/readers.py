@@ -42,7 +42,7 @@ def scan_files(spark: SparkSession, folders: dict[str, list[str]]) -> DataFrame:
 def parse_list_line(value: Column, base: str = "") -> list[Column]:
     """``path label``, split at the first space; the label may hold more."""
     parts = F.split(value, " ", 2)
-    return [F.concat(F.lit(base), F.get(parts, 0)).alias("path"), F.trim(F.get(parts, 1)).alias("label")]
+    return [F.concat(F.lit(base), F.get(parts, 0)).alias("path"), F.btrim(F.get(parts, 1), F.lit(" \t\r\n")).alias("label")]
 
 
 def parse_list_json(value: Column) -> Column:
