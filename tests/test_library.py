@@ -189,7 +189,7 @@ def test_scalars(spark):
 
 def test_readers(spark, tmp_path):
     np.save(f"{tmp_path}/x.npy", np.arange(6, dtype=">i2").reshape(3, 2, order="F"))
-    assert [r.features for r in readers.read_npy(spark, str(tmp_path)).orderBy("row").collect()] == [[0, 1], [2, 3], [4, 5]]
+    assert [r.features for r in readers.read_npy(spark, str(tmp_path)).orderBy("row").collect()] == [[0, 3], [1, 4], [2, 5]]
     (tmp_path / "t").mkdir()
     (tmp_path / "t/a.txt").write_text("\n".join(map(str, range(25))))
     assert [len(r.lines) for r in readers.read_text_chunks(spark, str(tmp_path / "t"), 10).orderBy("chunk").collect()] == [10, 10, 5]
