@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Rows that a Python loop over a batch holds as Python objects at a time.
 SLICE_ROWS = 256
 
+#: Rows of an Arrow batch at most: Spark's default of 10,000 whole texts is too much for small executors.
+BATCH_ROWS = 1000
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -81,6 +84,15 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches have at most ``BATCH_ROWS`` rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each string; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

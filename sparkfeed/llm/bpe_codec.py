@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import col, field_type, slices, strings
+from ._shared import bounded, col, field_type, slices, strings
 from .byte_pairs import PrefixEncoder, Splitter, read_ranks, unknown
 
 
@@ -49,7 +49,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
             ids = ids_of(strings(batch.column(1)), *codec)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
 
-    return docs.select(col(id_col).alias("id"), col(text_col).alias("text")).mapInArrow(run, schema).select(F.col("id").alias(id_col), "ids")
+    return bounded(docs.select(col(id_col).alias("id"), col(text_col).alias("text"))).mapInArrow(run, schema).select(F.col("id").alias(id_col), "ids")
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", ranks: str | None = None) -> DataFrame:
@@ -65,7 +65,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", ran
             data = [encoder.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], names=["id", "ids", "data"])
 
-    return encoded.select(col(id_col).alias("id"), col(ids_col).alias("ids")).mapInArrow(run, schema).select(F.col("id").alias(id_col), "ids", "data")
+    return bounded(encoded.select(col(id_col).alias("id"), col(ids_col).alias("ids"))).mapInArrow(run, schema).select(F.col("id").alias(id_col), "ids", "data")
 
 
 def ids_digest(ids: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import col, field_type, slices, strings
+from ._shared import bounded, col, field_type, slices, strings
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is text up to their own end tag.
@@ -334,4 +334,4 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([page_text(x) for x in strings(batch.column(1))], pa.string())], names=["id", "text"])
 
-    return pages.select(col(id_col).alias("id"), col(html_col).alias("html")).mapInArrow(run, schema).select(F.col("id").alias(id_col), "text")
+    return bounded(pages.select(col(id_col).alias("id"), col(html_col).alias("html"))).mapInArrow(run, schema).select(F.col("id").alias(id_col), "text")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import col, field_type, slices, utf8
+from ._shared import bounded, col, field_type, slices, utf8
 from .license_rules import BASE_PHRASES, SIGNATURES, base_rules, compile_rules
 
 #: Bytes that are no part of a word become a space; A-Z become lower case.
@@ -103,7 +103,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = [scan(t, *parts) for t in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([d for _, d in found], arrow)], names=["id", "n_words", "detections"])
 
-    return docs.select(col(id_col).alias("id"), col(text_col).alias("text")).mapInArrow(run, schema).select(F.col("id").alias(id_col), "n_words", "detections")
+    return bounded(docs.select(col(id_col).alias("id"), col(text_col).alias("text"))).mapInArrow(run, schema).select(F.col("id").alias(id_col), "n_words", "detections")
 
 
 def summary(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:

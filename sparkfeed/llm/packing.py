@@ -18,11 +18,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import col, field_type, slices, strings, written
+from ._shared import bounded, col, field_type, slices, strings, written
 from .byte_pairs import is_plain, unknown
 
 CAPACITY = 2048
 _PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+#: Pieces that a worker remembers.
+CACHE_PIECES = 300_000
 #: Pieces that go to the tokenizer in one call.
 _TOGETHER = 256
 
@@ -61,7 +63,7 @@ class _Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [_PLAIN_PIECES.findall(t.lower()) if "<|" not in t and is_plain(t) else None for t in texts]
-        self._learn(unknown(self.pieces, [p for p in split if p is not None]))
+        self._learn(unknown(self.pieces, [p for p in split if p is not None], CACHE_PIECES))
         look = self.pieces.__getitem__
         return [self._whole(t) if p is None else b"".join(map(look, p)) for t, p in zip(texts, split, strict=True)]
 
@@ -105,7 +107,7 @@ def tokenised_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=schema.names)
 
-    return written(docs.select(col(id_col).alias("id"), col(text_col).alias("text")).mapInArrow(run, schema), "pieces")
+    return written(bounded(docs.select(col(id_col).alias("id"), col(text_col).alias("text"))).mapInArrow(run, schema), "pieces")
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import col, field_type, fresh, key_filter, maybe_in, slices, utf8, written
+from ._shared import bounded, col, field_type, fresh, key_filter, maybe_in, slices, utf8, written
 from .byte_pairs import Remembered
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -45,7 +45,7 @@ def text_key(norm: Column) -> Column:
     return F.unhex(F.md5(norm))
 
 
-_word_hash = Remembered(xxhash.xxh3_64_intdigest)
+_word_hash = Remembered(xxhash.xxh3_64_intdigest, 150_000)
 
 
 def shingles(norm: bytes, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +172,7 @@ class _Near:
     """One run over ``docs (id, text)``."""
 
     def __init__(self, docs: DataFrame, width: int, threshold: float, bands: int, rows: int, least: float):
-        self.docs, self.width, self.threshold, self.least = docs, width, threshold, least
+        self.docs, self.width, self.threshold, self.least = bounded(docs), width, threshold, least
         self.found = features(docs, width, bands, rows)
         # a text's copies are one node from here on
         self.nodes = written(self.found.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-nodes")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import col, field_type, slices, strings
+from ._shared import bounded, col, field_type, slices, strings
 
 PASSAGE_WORDS = 64
 BUCKETS = 96
@@ -33,7 +33,7 @@ SIZE = BUCKETS + _DENSE
 class _Words:
     """word -> row of a table of its measures; begins anew when full."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 100_000):
         self.most = most
         self.clear()
 
@@ -203,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             bags = [x[owner == k].tobytes() for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.binary())], names=schema.names)
 
-    rows = source.join(F.broadcast(picked), "id").select("id", "y", "text").mapInArrow(run, schema).collect()
+    rows = bounded(source.join(F.broadcast(picked), "id").select("id", "y", "text")).mapInArrow(run, schema).collect()
     rows.sort(key=lambda r: (r["id"], bytes(r["bag"])))
     bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, SIZE) for r in rows]
     x = np.concatenate(bags) if bags else np.empty((0, SIZE), np.float32)
@@ -226,7 +226,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             y = model.scores(x, owner, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(y.astype(np.float64))], names=schema.names)
 
-    scored = docs.select(*(col(c).alias(f"c{k}") for k, c in enumerate(names)), col(text_col).alias("text")).mapInArrow(run, schema)
+    scored = bounded(docs.select(*(col(c).alias(f"c{k}") for k, c in enumerate(names)), col(text_col).alias("text"))).mapInArrow(run, schema)
     taken, name = {c.lower() for c in names}, "score"
     while name in taken:
         name += "_"

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import col, field_type, slices, strings
+from ._shared import bounded, col, field_type, slices, strings
 from .byte_pairs import MergeCounter, Remembered, Splitter, read_merges, split_specials
 
 
@@ -50,5 +50,5 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 names=["id", "n_bytes", "n_tokens"],
             )
 
-    found = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).mapInArrow(run, schema)
+    found = bounded(docs.select(col(id_col).alias("id"), col(text_col).alias("text"))).mapInArrow(run, schema)
     return found.select(F.col("id").alias(id_col), "n_bytes", "n_tokens")

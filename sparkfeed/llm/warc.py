@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import col, key_filter, maybe_in, scratch_path, slices, written
+from ._shared import bounded, col, key_filter, maybe_in, scratch_path, slices, written
 
 #: Fields of a header line by ARC version, as its version block names them (fixed values).
 ARC_FIELDS = {
@@ -95,7 +95,7 @@ def pack_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
                 files += 1
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([bytes(out)], pa.binary())], names=["path", "content"])
 
-    return pages.select(col(id_col).alias("id"), col(url_col).alias("url"), col(html_col).alias("html")).mapInArrow(run, schema)
+    return bounded(pages.select(col(id_col).alias("id"), col(url_col).alias("url"), col(html_col).alias("html"))).mapInArrow(run, schema)
 
 
 def iso_date(digits: str) -> str:
@@ -207,7 +207,7 @@ def convert_arc(files: DataFrame, payload: bool = True) -> DataFrame:
 
         yield from _arrow_rows(rows(), schema)
 
-    return files.select("path", "content").mapInArrow(run, schema)
+    return bounded(files.select("path", "content")).mapInArrow(run, schema)
 
 
 def mark_revisits(records: DataFrame, heads: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -276,7 +276,7 @@ def write_warc(records: DataFrame, path: str, per_file: int = WARC_RECORDS) -> N
                 n += 1
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    lines = records.mapInArrow(run, T.StructType([T.StructField("value", T.BinaryType())])).select(F.col("value").cast("string"))
+    lines = bounded(records).mapInArrow(run, T.StructType([T.StructField("value", T.BinaryType())])).select(F.col("value").cast("string"))
     lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
@@ -337,7 +337,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
         yield from _arrow_rows(rows(), schema)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("content").mapInArrow(run, schema)
+    return bounded(files.select("content")).mapInArrow(run, schema)
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, path: str | None = None) -> DataFrame:
