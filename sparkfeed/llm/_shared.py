@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,6 +93,17 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold_only(name: str, clear: Callable[[], None]) -> None:
+    """Says that a Python worker now works for one operator: what it remembers for others goes."""
+    for other, forget in _held.items():
+        if other != name:
+            forget()
+    _held[name] = clear
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each string; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

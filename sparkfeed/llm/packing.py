@@ -18,13 +18,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import bounded, col, field_type, slices, strings, written
+from ._shared import bounded, col, field_type, hold_only, slices, strings, written
 from .byte_pairs import is_plain, unknown
 
 CAPACITY = 2048
 _PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 #: Pieces that a worker remembers.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 250_000
 #: Pieces that go to the tokenizer in one call.
 _TOGETHER = 256
 
@@ -90,6 +90,7 @@ def tokenised_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def run(batches):
         from pyspark import TaskContext
 
+        hold_only("pack", _encoder.cache_clear)
         encode, part, turns = _encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64).tolist()
         for batch in slices(batches):
             rows: list[tuple] = []

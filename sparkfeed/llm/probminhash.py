@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import bounded, col, field_type, fresh, key_filter, maybe_in, slices, utf8, written
+from ._shared import bounded, col, field_type, fresh, hold_only, key_filter, maybe_in, slices, utf8, written
 from .byte_pairs import Remembered
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -23,6 +23,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
 #: The share of equal registers below which a pair is not verified: 0.8 less four standard errors.
 LEAST_AGREEMENT = 0.685
+#: Times that members of buckets not yet in one component meet another head, before all of them meet.
+HEAD_ROUNDS = 2
 #: Texts whose shingles are made at a time.
 TEXTS = 512
 
@@ -106,6 +108,7 @@ def features(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     registers = bands * rows
 
     def run(batches):
+        hold_only("near", _word_hash.clear)
         numbers = np.arange(bands, dtype=np.uint64) * _STEP
         for batch in slices(batches, TEXTS):
             keys = batch.column(1).to_pylist()
@@ -234,13 +237,27 @@ class _Near:
         sizes = sets.select("key", F.expr("octet_length(shingles) div 8").alias("n")).join(alone, "key", "left").select("key", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s"))
         sizes = sizes.where(F.col("s") >= self.threshold * F.col("n") - 1e-9)
         rows = written(open_.join(sizes, "key"), "near-rows")
+        # other heads join most of what belongs together, before all that is still apart is compared
+        for turn in range(HEAD_ROUNDS):
+            heads = rows.groupBy("band").agg(F.min(F.struct(F.xxhash64("key", "band", F.lit(turn)).alias("draw"), "key", "root", "n", "s")).alias("h"))
+            met = rows.join(heads, "band").where(F.col("root") != F.col("h.root")).where(_enough(self.threshold, F.col("n"), F.col("s"), F.col("h.n"), F.col("h.s")))
+            again = met.select(F.least("key", "h.key").alias("a"), F.greatest("key", "h.key").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+            stars = written(stars.unionByName(again), "near-stars")
+            links = written(links.unionByName(self._verified(self._likely(again), sets)), "near-links")
+            roots = components(links)
+            rows = written(rows.drop("root").join(roots, F.col("key") == F.col("node"), "left").select("band", "key", "n", "s", F.coalesce("root", "key").alias("root")), "near-rows")
         side = lambda s: rows.select("band", F.col("key").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("root", "n", "s")))
-        enough = F.least("s_a", "s_b") >= self.threshold / (1 + self.threshold) * (F.col("n_a") + F.col("n_b")) - 1e-9
+        enough = _enough(self.threshold, F.col("n_a"), F.col("s_a"), F.col("n_b"), F.col("s_b"))
         across = side("a").join(side("b"), "band").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & enough).select("a", "b").distinct()
         more = self._verified(self._likely(across.join(stars, ["a", "b"], "left_anti")), sets)
         return links.unionByName(more)
 
 
+def _enough(threshold: float, n_a: Column, s_a: Column, n_b: Column, s_b: Column) -> Column:
+    """Whether two sets of sizes ``n`` can be near, if all that they may share is ``s`` of each."""
+    return F.least(s_a, s_b) >= threshold / (1 + threshold) * (n_a + n_b) - 1e-9
+
+
 def _longs(data: Column) -> Column:
     """The 8-byte pieces of a binary, as they are."""
     return F.transform(F.sequence(F.lit(0), F.expr("octet_length(shingles) div 8") - 1), lambda i: F.substring(data, i * 8 + 1, F.lit(8)))

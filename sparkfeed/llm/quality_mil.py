@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import bounded, col, field_type, slices, strings
+from ._shared import bounded, col, field_type, hold_only, slices, strings
 
 PASSAGE_WORDS = 64
 BUCKETS = 96
@@ -72,6 +72,7 @@ _words = _Words()
 def encode_passages(texts: list[str], passage_words: int = PASSAGE_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Features of every passage of every text, and each passage's text. A text without words has
     one passage of zeros."""
+    hold_only("mil", _words.clear)
     if len(_words.place) > _words.most:
         _words.clear()
     parts = [_WORD.findall(t) for t in texts]
