@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+from array import array
 from functools import cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,18 +22,14 @@ def _codec(path: str):
     return PrefixEncoder(read_ranks(path)), Splitter(public_tokenizers.PATTERN), {}
 
 
-def ids_of(texts: list[str], encoder: PrefixEncoder, split: Splitter, known: dict[str, list[int]]) -> list[list[int]]:
-    """The ids of each text; pieces not ``known`` are encoded in sorted order, by exact appends."""
+def packed_ids(texts: list[str], encoder: PrefixEncoder, split: Splitter, known: dict[str, bytes]) -> list[bytes]:
+    """The ids of each text as 32-bit integers; pieces not ``known`` are encoded in sorted order, by
+    exact appends."""
     parts = [split(t) for t in texts]
     new = unknown(known, parts)
-    known.update(zip(new, encoder.ids_of_sorted(new), strict=True))
-    out = []
-    for pieces in parts:
-        ids: list[int] = []
-        for found in map(known.__getitem__, pieces):
-            ids += found
-        out.append(ids)
-    return out
+    known.update(zip(new, (array("i", ids).tobytes() for ids in encoder.ids_of_sorted(new)), strict=True))
+    look = known.__getitem__
+    return [b"".join(map(look, pieces)) for pieces in parts]
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None) -> DataFrame:
@@ -46,8 +44,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     def run(batches):
         codec = _codec(path)
         for batch in slices(batches):
-            ids = ids_of(strings(batch.column(1)), *codec)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
+            packed = packed_ids(strings(batch.column(1)), *codec)
+            ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["id", "ids"])
 
     return bounded(docs.select(col(id_col).alias("id"), col(text_col).alias("text"))).mapInArrow(run, schema).select(F.col("id").alias(id_col), "ids")
 
@@ -62,7 +62,9 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", ran
     def run(batches):
         encoder, _, _ = _codec(path)
         for batch in slices(batches):
-            data = [encoder.decode(x or []) for x in batch.column(1).to_pylist()]
+            lists = batch.column(1).fill_null([]) if batch.column(1).null_count else batch.column(1)
+            ends, ids = lists.offsets.to_numpy(), lists.values.to_numpy()
+            data = [encoder.decode(ids[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], names=["id", "ids", "data"])
 
     return bounded(encoded.select(col(id_col).alias("id"), col(ids_col).alias("ids"))).mapInArrow(run, schema).select(F.col("id").alias(id_col), "ids", "data")
