@@ -25,6 +25,8 @@ BANDS, ROWS = 32, 6
 LEAST_AGREEMENT = 0.685
 #: Times that members of buckets not yet in one component meet another head, before all of them meet.
 HEAD_ROUNDS = 2
+#: Groups of shingles by hash, whose sizes bound what two texts have in common. A power of two up to 256.
+GROUPS = 128
 #: Texts whose shingles are made at a time.
 TEXTS = 512
 
@@ -221,7 +223,8 @@ class _Near:
         First each member of a bucket is held against the bucket's head. A bucket whose members are
         then in one component needs no more. In the others, members of different components are
         held against each other, but for pairs that can't reach the threshold: what two texts have
-        in common is at most what each has in common with any text of those buckets.
+        in common is at most what each has in common with any text of those buckets, counted in
+        all or by groups of shingles.
         """
         stars = self.members.where("key <> head").select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct()
         likely = self._likely(stars)
@@ -231,31 +234,52 @@ class _Near:
         mixed = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
         open_ = written(placed.join(mixed, "band"), "near-open")
         sets = self._shingle_sets(open_.select("key"))
-        # a shingle that only one text has is common to no pair
-        each = sets.select("key", F.explode(_longs(F.col("shingles"))).alias("shingle"))
-        alone = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1").groupBy("key").agg(F.count("*").alias("alone"))
-        sizes = sets.select("key", F.expr("octet_length(shingles) div 8").alias("n")).join(alone, "key", "left").select("key", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s"))
-        sizes = sizes.where(F.col("s") >= self.threshold * F.col("n") - 1e-9)
+        sizes = written(_shared_sizes(sets).where(F.col("s") >= self.threshold * F.col("n") - 1e-9), "near-sizes")
         rows = written(open_.join(sizes, "key"), "near-rows")
         # other heads join most of what belongs together, before all that is still apart is compared
         for turn in range(HEAD_ROUNDS):
-            heads = rows.groupBy("band").agg(F.min(F.struct(F.xxhash64("key", "band", F.lit(turn)).alias("draw"), "key", "root", "n", "s")).alias("h"))
-            met = rows.join(heads, "band").where(F.col("root") != F.col("h.root")).where(_enough(self.threshold, F.col("n"), F.col("s"), F.col("h.n"), F.col("h.s")))
+            heads = rows.groupBy("band").agg(F.min(F.struct(F.xxhash64("key", "band", F.lit(turn)).alias("draw"), "key", "root", "n", "s", "groups")).alias("h"))
+            met = rows.join(heads, "band").where(F.col("root") != F.col("h.root")).where(_enough(self.threshold, *map(F.col, ("n", "s", "groups", "h.n", "h.s", "h.groups"))))
             again = met.select(F.least("key", "h.key").alias("a"), F.greatest("key", "h.key").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
             stars = written(stars.unionByName(again), "near-stars")
             links = written(links.unionByName(self._verified(self._likely(again), sets)), "near-links")
             roots = components(links)
-            rows = written(rows.drop("root").join(roots, F.col("key") == F.col("node"), "left").select("band", "key", "n", "s", F.coalesce("root", "key").alias("root")), "near-rows")
-        side = lambda s: rows.select("band", F.col("key").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("root", "n", "s")))
-        enough = _enough(self.threshold, F.col("n_a"), F.col("s_a"), F.col("n_b"), F.col("s_b"))
+            rows = written(rows.drop("root").join(roots, F.col("key") == F.col("node"), "left").select("band", "key", "n", "s", "groups", F.coalesce("root", "key").alias("root")), "near-rows")
+        side = lambda s: rows.select("band", F.col("key").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("root", "n", "s", "groups")))
+        enough = _enough(self.threshold, *map(F.col, ("n_a", "s_a", "groups_a", "n_b", "s_b", "groups_b")))
         across = side("a").join(side("b"), "band").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & enough).select("a", "b").distinct()
         more = self._verified(self._likely(across.join(stars, ["a", "b"], "left_anti")), sets)
         return links.unionByName(more)
 
 
-def _enough(threshold: float, n_a: Column, s_a: Column, n_b: Column, s_b: Column) -> Column:
-    """Whether two sets of sizes ``n`` can be near, if all that they may share is ``s`` of each."""
-    return F.least(s_a, s_b) >= threshold / (1 + threshold) * (n_a + n_b) - 1e-9
+def _enough(threshold: float, n_a: Column, s_a: Column, groups_a: Column, n_b: Column, s_b: Column, groups_b: Column) -> Column:
+    """Whether two sets of sizes ``n`` can be near, if all that they may share is ``s`` of each, and
+    of each group of shingles no more than the smaller of their two counts."""
+    need = threshold / (1 + threshold) * (n_a + n_b) - 1e-9
+    common = F.aggregate(F.zip_with(groups_a, groups_b, lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+    return (F.least(s_a, s_b) >= need) & (common >= need)
+
+
+def _shared_sizes(sets: DataFrame) -> DataFrame:
+    """``(key, n, s, groups)`` of ``sets (key, shingles)``: the number of shingles, that of those
+    which other texts have too, and these counted by group. A shingle that only one text has is
+    common to no pair.
+    """
+    each = sets.select("key", F.explode(_longs(F.col("shingles"))).alias("shingle"))
+    single = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1")
+    alone = single.groupBy("key").agg(F.collect_list(F.substring("shingle", 1, 1)).alias("alone"))
+    schema = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("s", T.IntegerType()), T.StructField("groups", T.ArrayType(T.IntegerType()))])
+
+    def run(batches):
+        count = lambda low: np.bincount(low & (GROUPS - 1), minlength=GROUPS).astype(np.int32)
+        for batch in slices(batches, TEXTS):
+            n, groups = [], []
+            for whole, lone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                n.append(len(whole) // 8)
+                groups.append(count(np.frombuffer(whole, np.uint8)[::8]) - count(np.frombuffer(b"".join(lone or ()), np.uint8)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array([int(g.sum()) for g in groups], pa.int32()), pa.array(groups, pa.list_(pa.int32()))], names=schema.names)
+
+    return sets.join(alone, "key", "left").select("key", "shingles", "alone").mapInArrow(run, schema)
 
 
 def _longs(data: Column) -> Column:
