@@ -333,6 +333,23 @@ def test_components(spark):
     assert out["0005"] == "0000" and out["0019"] == "000B" and out["0028"] == "001A" and out["02"] == "01" and len(out) == 43
 
 
+def test_bound_by_groups_is_never_below_what_texts_share(spark):
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 2**63, 400).astype(np.uint64)
+    sets = {bytes([k]): np.unique(rng.choice(pool, int(rng.integers(1, 390)), replace=False)) for k in range(24)}
+    # with all but a few of the same shingles, and with none that another text has
+    sets[b"y"], sets[b"z"] = np.delete(sets[b"\x01"], 0), np.arange(5, dtype=np.uint64)
+    sizes = probminhash._shared_sizes(spark.createDataFrame([(k, s.tobytes()) for k, s in sets.items()], "key binary, shingles binary")).collect()
+    found = {bytes(r["key"]): r for r in sizes}
+    assert found.keys() == sets.keys()
+    for a, x in sets.items():
+        others = np.concatenate([s for k, s in sets.items() if k != a])
+        assert (found[a]["n"], found[a]["s"]) == (len(x), np.isin(x, others).sum()) and sum(found[a]["groups"]) == found[a]["s"]
+        for b, y in sets.items():
+            if a != b:
+                assert np.minimum(found[a]["groups"], found[b]["groups"]).sum() >= len(np.intersect1d(x, y))
+
+
 # the pipeline
 def test_pipeline(spark, docs, texts):
     rows = docs
