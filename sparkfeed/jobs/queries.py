@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import draws, scalars
+from ..functions import bits, draws, scalars
 from ..functions.index import dense_index
-from ..operators import batching, events, joins, labels, metrics, normalize, registry, search, splits
-from ..sources import readers
+from ..operators import batching, events, joins, labels, metrics, normalize, registry, report, search, splits
+from ..sources import images, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -788,6 +788,80 @@ def f9_annotatable(spark, sf_dir):
     return readers.list_annotatable(_files(spark, sf_dir))
 
 
+# Images, annotations, model results
+@query("SELECT p_partkey AS path, p_size AS height, p_partkey % 3 AS width FROM part WHERE p_size = (SELECT arg_min(p_size, p_partkey) FROM part) AND p_partkey % 3 = (SELECT min(p_partkey) % 3 FROM part)")
+def f3_uniform_shape(spark, sf_dir):
+    return images.filter_uniform_shape(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"), F.col("p_size").alias("height"), (F.col("p_partkey") % 3).alias("width")))
+
+
+@query(f"""WITH b AS (SELECT p_partkey AS id, 100 + p_size AS height, p_size AS ymin, p_size + 20 AS ymax, 10 + p_partkey % 50 AS xmin, 40 + p_partkey % 50 AS xmax FROM part),
+l AS (SELECT *, greatest(ymin - 40, 0) AS ly, greatest(xmin - 30, 0) AS lx, least(height - 39, ymax + 40) AS hy, least(91, xmax + 30) AS hx FROM b),
+c AS (SELECT *, ly + CAST(floor({UNIT.format(seed="0:y")} * (hy - ly)) AS INTEGER) AS cy, lx + CAST(floor({UNIT.format(seed="0:x")} * (hx - lx)) AS INTEGER) AS cx FROM l)
+SELECT id, cy AS crop_ymin, cy + 40 AS crop_ymax, cx AS crop_xmin, cx + 30 AS crop_xmax, round(greatest(least(ymax, cy + 40) - greatest(ymin, cy), 0) * greatest(least(xmax, cx + 30) - greatest(xmin, cx), 0) / 600.0, 6) AS ratio FROM c""")
+def x6_crop_windows(spark, sf_dir):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    boxes = table(spark, sf_dir, "part").select(k.alias("id"), (size + 100).alias("height"), F.lit(120).alias("width"), size.alias("ymin"), (size + 20).alias("ymax"), (k % 50 + 10).alias("xmin"), (k % 50 + 40).alias("xmax"))
+    return images.crop_windows(boxes, (40, 0.25)).select("id", "crop_ymin", "crop_ymax", "crop_xmin", "crop_xmax", F.round("ratio", 6).alias("ratio"))
+
+
+@query("SELECT p_partkey AS image, CAST(k AS INTEGER) AS box, p_size + k AS ymin, p_size + k + 10.5 AS ymax, 3.0 AS xmin, 3.0 + p_size AS xmax, p_brand AS name FROM part, (SELECT unnest(range(2)) AS k) WHERE p_partkey % 4 > 0 AND k < p_partkey % 4")
+def a16_annotations(spark, sf_dir):
+    box = lambda i: F.struct(F.lit(3.0).alias("left"), (F.col("p_size") + i).alias("top"), F.col("p_size").alias("width"), F.lit(10.5).alias("height"), F.col("p_brand").alias("name"))
+    sidecar = F.when(F.col("p_partkey") % 4 == 0, "no list").otherwise(F.to_json(F.slice(F.array(box(0), box(1)), 1, F.least(F.col("p_partkey") % 4, F.lit(2)).cast("int"))))
+    return readers.annotation_rows(table(spark, sf_dir, "part").select("p_partkey", sidecar.alias("json")), "p_partkey", "json")
+
+
+@query("""WITH l AS (SELECT l_suppkey AS s, l_returnflag AS f, l_linenumber AS i, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY ALL)
+SELECT s AS supplier, CAST(dense_rank() OVER (PARTITION BY s ORDER BY f) - 1 AS INTEGER) AS model_pos, f AS model_id, count(*) AS samples, round(sum(q), 2) AS total FROM l GROUP BY s, f""")
+def a9_model_results(spark, sf_dir):
+    """A result document a supplier, its return flags as models, lines as samples."""
+    by = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag", "l_linenumber").agg(F.round(F.sum("l_quantity"), 2).alias("q"))
+    models = by.groupBy("l_suppkey", "l_returnflag").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "q"))), lambda r: F.array(r["q"])).alias("Output"))
+    model = F.struct(F.col("l_returnflag").alias("id"), F.array(F.lit("q")).alias("Labels"), "Output")
+    docs = models.groupBy("l_suppkey").agg(F.sort_array(F.collect_list(model)).alias("models"))
+    text = docs.select("l_suppkey", F.to_json(F.struct("models")).alias("json"))
+    schema = "models array<struct<id:string, Labels:array<string>, Output:array<array<double>>>>"
+    rows = text.select("l_suppkey", F.posexplode(F.from_json("json", schema)["models"]).alias("model_pos", "m"))
+    return rows.select(F.col("l_suppkey").alias("supplier"), "model_pos", F.col("m.id").alias("model_id"), F.size("m.Output").cast("bigint").alias("samples"), F.round(F.aggregate("m.Output", F.lit(0.0), lambda a, x: a + x[0]), 2).alias("total"))
+
+
+# Reports
+@query(f"""WITH {P} SELECT 'samples' AS part, split AS a, NULL AS b, CAST(count(*) AS VARCHAR) AS value FROM p GROUP BY split
+UNION ALL SELECT 'labels', x.label, split, CAST(count(p.label) AS VARCHAR) FROM (SELECT * FROM (SELECT DISTINCT label FROM p), (SELECT unnest(['test', 'validation', 'train']) AS split)) x LEFT JOIN p USING (label, split) GROUP BY x.label, split
+UNION ALL SELECT 'results', event_type, set, CAST(n AS VARCHAR) FROM (SELECT event_type, count(*) AS events, count(DISTINCT user_id) AS users FROM events GROUP BY 1) UNPIVOT (n FOR set IN (events, users))""")
+def a14_report(spark, sf_dir):
+    counts = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("metric")).agg(F.create_map(F.lit("events"), F.count("*"), F.lit("users"), F.count_distinct("user_id")).alias("values"))
+    timings = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("unit"), F.col("o_totalprice").alias("seconds"))
+    made = report.build_report(parts(spark, sf_dir).withColumn("features", F.array(F.lit(1.0))), report.result_rows(counts), timings)
+    row = lambda part, a, b, v: [F.lit(part).alias("part"), a.alias("a"), b.alias("b"), v.cast("string").alias("value")]
+    splits_ = made["samples"].select(row("samples", F.col("split"), F.lit(None).cast("string"), F.col("n")))
+    labels_ = made["labels"].unpivot("label", ["test", "validation", "train"], "split", "n").select(row("labels", F.col("label"), F.col("split"), F.col("n")))
+    return splits_.unionByName(labels_).unionByName(made["results"].select(row("results", F.col("metric"), F.col("set"), F.col("value"))))
+
+
+@query("SELECT event_type AS metric, set, CASE WHEN set = 'users' AND event_type = 'click' THEN 'later' ELSE CAST(n AS VARCHAR) END AS value FROM (SELECT event_type, count(*) AS events, count(DISTINCT user_id) AS users FROM events GROUP BY 1) UNPIVOT (n FOR set IN (events, users))")
+def u4_result_providers(spark, sf_dir):
+    each = lambda name, n: lambda e: e.groupBy(F.col("event_type").alias("metric")).agg(n.alias("value")).withColumn("set", F.lit(name))
+    last = lambda e: e.where("event_type = 'click'").select(F.col("event_type").alias("metric"), F.lit("users").alias("set"), F.lit("later").alias("value")).distinct()
+    return report.provided_results(table(spark, sf_dir, "events"), [each("events", F.count("*")), each("users", F.count_distinct("user_id")), last])
+
+
+@query("""SELECT p_partkey AS id, '{"list":[' || p_size || ',' || p_partkey || '],"number":[' || p_size || ',-1],"text":"' || p_brand || '"}' AS json FROM part""")
+def x16_json_value(spark, sf_dir):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    number = report.complex_value(F.struct(size.alias("re"), F.lit(-1).alias("im")))
+    return table(spark, sf_dir, "part").select(k.alias("id"), report.json_value(list=F.array(size.cast("bigint"), k), number=number, text=report.bytes_value(F.encode("p_brand", "ISO-8859-1"))).alias("json"))
+
+
+@query("""WITH a AS (SELECT o_orderkey AS id, ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 16))::UBIGINT::UHUGEINT AS x, ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 17, 16))::UBIGINT::UHUGEINT AS y FROM orders),
+b AS (SELECT id, y, xor(x, (x << 23) & 18446744073709551615::UHUGEINT) AS t FROM a), c AS (SELECT id, y, xor(xor(t, y), xor(t >> 17, y >> 26)) AS z FROM b)
+SELECT id, CAST(y AS VARCHAR) AS first, CAST(z AS VARCHAR) AS second, CAST((z + y) & 18446744073709551615::UHUGEINT AS VARCHAR) AS value FROM c""")
+def x14_xorshift(spark, sf_dir):
+    digest = F.md5(F.col("o_orderkey").cast("string"))
+    step = bits.xorshift128plus(bits.from_hex(F.substring(digest, 1, 16)), bits.from_hex(F.substring(digest, 17, 16)))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), step.alias("s")).select("id", *(bits.unsigned(F.col(f"s.{c}")).cast("string").alias(c) for c in ("first", "second", "value")))
+
+
 # The way through: labels, split, statistics, normaliser, batches
 @query(f"""WITH {S}, r AS (SELECT *, row_number() OVER (PARTITION BY split = 'test', label ORDER BY md5('0|0|' || sample_id), sample_id) - 1 AS k, count(*) OVER (PARTITION BY split = 'test', label) AS n FROM s),
 u AS (SELECT sample_id, label, features, CASE WHEN split = 'test' THEN split WHEN k < greatest(round_even(0.2 * n, 0), 1) THEN 'validation' ELSE 'train' END AS split FROM r),

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.index import dense_index
 
@@ -71,19 +72,70 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, "path string, row bigint, features array<double>")
 
 
+#: Types of base64 payloads: kind, bits, byte order.
+TENSOR_TYPE = r"^(u?int(?:8|16|32|64)|float(?:16|32|64))([<=>]?)$"
+
+
+def _dtype(kind: str) -> np.dtype:
+    """``float32>`` as a type of arrays; without a mark, the machine's byte order."""
+    name = kind.rstrip("<=>")
+    return np.dtype(name).newbyteorder(kind[len(name) :] or "=")
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _numbers(data: pd.Series, kind: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else np.frombuffer(x, _dtype(k)).astype(np.float64) for x, k in zip(data, kind, strict=True)], dtype=object)
+
+
 def decode_requests(df: DataFrame, payload: str) -> DataFrame:
-    """``df`` with ``input`` (an array) or ``error`` (why there is none) of each JSON request."""
+    """``df`` with ``input`` (an array), its ``shape`` and ``error`` (why there is none) of each JSON request.
+
+    A list has the shape of its length; base64 data is as long as its shape and type say.
+    """
     r = F.from_json(payload, "input string, codec string, shape array<int>, type string")
     values = F.from_json(r["input"], "array<double>")
+    data = F.try_to_binary(r["input"], F.lit("base64"))
+    width = (F.regexp_extract(r["type"], r"(\d+)", 1).try_cast("int") / 8).cast("int")
+    length = F.aggregate(r["shape"], F.lit(1).cast("bigint"), lambda n, x: n * x) * width
+    is_list, packed = r["codec"] == "list", r["codec"] == "base64"
     error = (
         F.when(F.col(payload).isNull() | F.try_parse_json(payload).isNull(), "not JSON")
         .when(r["codec"].isNull(), "no codec")
         .when(~r["codec"].isin("list", "base64"), "unknown codec")
         .when(r["input"].isNull(), "no input")
-        .when((r["codec"] == "list") & values.isNull(), "input is no list")
-        .when((r["codec"] == "base64") & (r["shape"].isNull() | r["type"].isNull()), "base64 needs shape and type")
+        .when(is_list & values.isNull(), "input is no list")
+        .when(packed & (r["shape"].isNull() | r["type"].isNull()), "base64 needs shape and type")
+        .when(packed & ~r["type"].rlike(TENSOR_TYPE), "unknown type")
+        .when(packed & data.isNull(), "bad base64")
+        .when(packed & ~F.coalesce(F.octet_length(data) == length, F.lit(False)), "shape does not fit the data")
     )
-    return df.withColumns({"error": error, "input": F.when(error.isNull() & (r["codec"] == "list"), values)})
+    out = df.withColumn("error", error)
+    fine = F.col("error").isNull()
+    tensor = _numbers(F.when(fine & packed, data), F.when(fine & packed, r["type"]))
+    return out.withColumns({"input": F.when(fine & is_list, values).when(fine & packed, tensor), "shape": F.when(fine & is_list, F.array(F.size(values))).when(fine & packed, r["shape"])})
+
+
+def model_results(doc: DataFrame) -> DataFrame:
+    """``(model_pos, model_id, labels, output)`` of a ``models`` column; models in the order of the file."""
+    return doc.select(F.posexplode("models").alias("model_pos", "m")).select("model_pos", F.col("m.id").alias("model_id"), F.col("m.Labels").alias("labels"), F.col("m.Output").alias("output"))
+
+
+def read_model_results(spark: SparkSession, path: str) -> DataFrame:
+    """What an ensemble's result file holds of each model, ready for ``stack_outputs``."""
+    schema = "models array<struct<id:string, Labels:array<string>, Output:array<array<double>>>>"
+    return model_results(spark.read.schema(schema).option("multiLine", True).json(path))
+
+
+def annotation_rows(df: DataFrame, image: str, value: str) -> DataFrame:
+    """``(image, box, ymin, ymax, xmin, xmax, name)``: a row a rectangle; text that is no list gives none."""
+    rows = df.select(F.col(image).alias("image"), F.posexplode(annotations(F.col(value))).alias("box", "a"))
+    return rows.select("image", "box", F.col("a.top").alias("ymin"), (F.col("a.top") + F.col("a.height")).alias("ymax"), F.col("a.left").alias("xmin"), (F.col("a.left") + F.col("a.width")).alias("xmax"), F.col("a.name").alias("name"))
+
+
+def read_annotations(spark: SparkSession, path: str) -> DataFrame:
+    """Rectangles of the files ``<image>.json``."""
+    files = spark.read.option("wholetext", True).text(path).select(F.regexp_replace(F.input_file_name(), r"\.json$", "").alias("image"), "value")
+    return annotation_rows(files, "image", "value")
 
 
 def annotations(value: Column) -> Column:

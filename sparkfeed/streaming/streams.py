@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import normalize
 from ..operators.events import filter_logs
@@ -45,3 +49,32 @@ def micro_batches(stream: DataFrame, tick: str = "1 second", watermark: str = "1
     """What arrives in each tick; batches of a size are cut from it downstream."""
     slots = stream.withWatermark("ts", watermark).groupBy(F.window("ts", tick).alias("w")).agg(F.count("*").alias("n"))
     return slots.select(F.col("w.start").alias("tick"), "n")
+
+
+def job_timeouts(stream: DataFrame, floor_s: float = 120.0) -> DataFrame:
+    """``(worker, ts, id, duration_s, limit, late)`` of jobs as they end; append mode.
+
+    A worker's state is the number, mean and squared deviations of its jobs so far. Jobs of a
+    micro-batch count in order of time; those of later micro-batches after them. A worker's jobs of
+    a micro-batch are in memory at once.
+    """
+
+    def follow(key, frames, state):
+        n, mean, m2 = state.get if state.exists else (0, 0.0, 0.0)
+        jobs = pd.concat(list(frames)).sort_values(["ts", "id"])
+        limits, late = [], []
+        for d in jobs["duration_s"]:
+            limit = max(mean + 3 * math.sqrt(m2 / n), floor_s) if n >= 3 else None
+            limits.append(limit)
+            late.append(limit is not None and bool(d > limit))
+            if not pd.isna(d):
+                n += 1
+                step = d - mean
+                mean += step / n
+                m2 += step * (d - mean)
+        state.update((n, mean, m2))
+        yield pd.DataFrame({"worker": jobs["worker"], "ts": jobs["ts"], "id": jobs["id"], "duration_s": jobs["duration_s"], "limit": pd.array(limits, "Float64"), "late": late})
+
+    jobs = stream.select(F.col("worker").cast("string").alias("worker"), "ts", F.col("id").cast("bigint").alias("id"), F.col("duration_s").cast("double").alias("duration_s"))
+    schema = "worker string, ts timestamp, id bigint, duration_s double, limit double, late boolean"
+    return jobs.groupBy("worker").applyInPandasWithState(follow, schema, "n bigint, mean double, m2 double", "append", GroupStateTimeout.NoTimeout)
