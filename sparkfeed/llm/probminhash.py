@@ -1,9 +1,11 @@
-"""Near duplicates by ProbMinHash signatures over weighted word shingles, banding and verification.
+"""Near duplicates by ProbMinHash signatures over word shingles, banding and verification.
 
 A shingle of weight ``w`` is a Poisson process of rate ``w`` whose arrivals fall into registers at
 random; a register keeps the shingle that arrived in it first. Two texts agree in a register with
-the probability Jaccard similarity of their weights. A shingle is followed only until its arrivals
-come later than all registers of its text are filled, so most are dropped after one arrival.
+the probability Jaccard similarity of their weights. Links are defined by shingle sets, so each
+shingle weighs 1, however often a text has it: then that is the Jaccard similarity of the sets. A
+shingle is followed only until its arrivals come later than all registers of its text are filled,
+so most are dropped after one arrival.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from .byte_pairs import Remembered
 SHINGLE, THRESHOLD = 5, 0.8
 #: With 32 bands of 6 registers, a pair of similarity 0.8 is missed with probability 6e-5.
 BANDS, ROWS = 32, 6
-#: The share of equal registers below which a pair is not verified: 0.8 less four standard errors.
-LEAST_AGREEMENT = 0.685
+#: Standard errors below the threshold from which on a pair's share of equal registers is too low to verify it.
+GATE_ERRORS = 4
 #: Times that members of buckets not yet in one component meet another head, before all of them meet.
 HEAD_ROUNDS = 2
 #: Groups of shingles by hash, whose sizes bound what two texts have in common. A power of two up to 256.
@@ -96,12 +98,17 @@ def signatures(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, tex
     return who.reshape(texts, registers)
 
 
-def weigh(counts: np.ndarray) -> np.ndarray:
-    """A shingle's weight grows with the logarithm of its count, so one said once weighs 1."""
-    return 1.0 + np.log(counts)
+def least_agreement(threshold: float, registers: int) -> float:
+    """The share of equal registers below which a pair is not verified."""
+    return threshold - GATE_ERRORS * (threshold * (1 - threshold) / registers) ** 0.5
 
 
-def features(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
+def stands_alone(n: int, threshold: float) -> bool:
+    """Whether a set of ``n`` shingles comes near no other set: its nearest has one more."""
+    return n < threshold * (n + 1) - 1e-9
+
+
+def features(docs: DataFrame, width: int, threshold: float, bands: int, rows: int) -> DataFrame:
     """``(id, key, n, sketch, bands)`` for ``docs (id, text)``: key of the folded text, number of
     distinct shingles, one byte a register, and a hash a band, written to the shared folder."""
     schema = T.StructType(
@@ -116,12 +123,12 @@ def features(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             keys = batch.column(1).to_pylist()
             distinct = {k: t for k, t in zip(keys, utf8(batch.column(2)), strict=True)}
             sets = [shingles(t, width) for t in distinct.values()]
-            # sets of up to 3 shingles come near no other set; their one band is the set itself
-            large = [k for k, (s, _) in enumerate(sets) if len(s) > 3]
+            # the one band of a set that comes near no other is the set itself
+            large = [k for k, (s, _) in enumerate(sets) if not stands_alone(len(s), threshold)]
             made: dict[int, tuple[bytes, list[int]]] = {}
             if large:
                 sizes = np.array([len(sets[k][0]) for k in large])
-                sig = signatures(np.concatenate([sets[k][0] for k in large]), weigh(np.concatenate([sets[k][1] for k in large])), np.repeat(np.arange(len(large)), sizes), len(large), registers)
+                sig = signatures(np.concatenate([sets[k][0] for k in large]), np.ones(sizes.sum()), np.repeat(np.arange(len(large)), sizes), len(large), registers)
                 mixed = np.broadcast_to(numbers, (len(large), bands)).copy()
                 by_band = sig.reshape(len(large), bands, rows)
                 for r in range(rows):
@@ -176,9 +183,10 @@ def _similar(pairs: DataFrame, threshold: float) -> DataFrame:
 class _Near:
     """One run over ``docs (id, text)``."""
 
-    def __init__(self, docs: DataFrame, width: int, threshold: float, bands: int, rows: int, least: float):
-        self.docs, self.width, self.threshold, self.least = bounded(docs), width, threshold, least
-        self.found = features(docs, width, bands, rows)
+    def __init__(self, docs: DataFrame, width: int, threshold: float, bands: int, rows: int, least: float | None):
+        self.docs, self.width, self.threshold = bounded(docs), width, threshold
+        self.least = least_agreement(threshold, bands * rows) if least is None else least
+        self.found = features(docs, width, threshold, bands, rows)
         # a text's copies are one node from here on
         self.nodes = written(self.found.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-nodes")
         banded = self.found.select("key", F.explode("bands").alias("band"))
@@ -308,7 +316,7 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def _run(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: float, bands: int, rows: int, least: float) -> tuple[_Near, DataFrame]:
+def _run(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: float, bands: int, rows: int, least: float | None) -> tuple[_Near, DataFrame]:
     near = _Near(docs.select(col(id_col).alias("id"), col(text_col).alias("text")), width, threshold, bands, rows, least)
     roots = components(near.links())
     placed = written(near.nodes.join(roots, near.nodes["key"] == roots["node"], "left").select("key", "id", "copies", F.coalesce("root", "key").alias("root")), "near-placed")
@@ -316,7 +324,7 @@ def _run(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: flo
     return near, placed.join(classes, "root").select("key", F.col("id").alias("first_id"), "class_id", "class_size")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, least: float = LEAST_AGREEMENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, least: float | None = None) -> DataFrame:
     """``(id, class_id, class_size, kept)``, a row for each row of ``docs``.
 
     Texts are linked if the Jaccard similarity of their sets of ``width``-word shingles is at least
@@ -324,13 +332,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``kept``. Texts alike in lower case and white space aside are copies. Null and empty texts are
     copies of each other; texts of fewer words than ``width`` have one shingle. Null ids come last;
     of repeated rows with a class's smallest id all are ``kept``. Other columns are ignored.
+
+    A pair of similarity ``s`` shares no band with probability ``(1 - s ** rows) ** bands``: a lower
+    ``threshold`` needs fewer rows. ``least``, the share of equal registers from which on a pair is
+    verified, follows from ``threshold`` if not given.
     """
     near, placed = _run(docs, id_col, text_col, width, threshold, bands, rows, least)
     rows_ = near.found.select("id", "key").join(placed.select("key", "class_id", "class_size"), "key")
     return rows_.select(F.col("id").alias(id_col), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, least: float = LEAST_AGREEMENT) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, least: float | None = None) -> DataFrame:
     """One row of each class, with its own columns: that with the smallest id."""
     near, placed = _run(docs, id_col, text_col, width, threshold, bands, rows, least)
     # of keys of a class that share its smallest id, one stays

@@ -316,6 +316,31 @@ def test_near_duplicates_odd(odd, empty):
     assert probminhash.near_duplicates(empty).count() == 0 and probminhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_with_lines_repeated_in_one_copy(spark):
+    texts = {}
+    for k in range(24):  # half of the copies also lose words, to lie just above the threshold or just below it
+        words = [f"t{k}w{i}" for i in range(300)]
+        cut = 264 - 2 * k if k % 2 else 300
+        texts[2 * k] = " ".join(words)
+        texts[2 * k + 1] = " ".join(words[:cut]) + ("\n" + " ".join(words[60:160])) * (5, 30, 60, 100)[k // 2 % 4]
+    want = classes(texts)
+    assert 12 < sum(want[2 * k + 1] == 2 * k for k in range(24)) < 24
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in probminhash.near_duplicates(docs).collect()} == want
+    assert {r.doc_id for r in probminhash.drop_near_duplicates(docs).collect()} == set(want.values())
+
+
+def test_near_duplicates_at_a_lower_threshold(spark):
+    texts = {1: "a b c d e f g", 2: "a b c d e f", 3: "h i j k l", 4: "h i j k l m", 5: "n o p q r", 6: "s n o p q r t"}
+    for k in range(8):
+        words = [f"t{k}w{i}" for i in range(200)]
+        texts |= {10 + 2 * k: " ".join(words), 11 + 2 * k: " ".join(words[: 125 - 4 * k])}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = classes(texts, 0.5)
+    assert want[2] == 1 and want[4] == 3 and want[6] == 6 and want[11] == 10 and want[25] == 25
+    assert {r.doc_id: r.class_id for r in probminhash.near_duplicates(docs, threshold=0.5, bands=96, rows=2).collect()} == want
+
+
 def test_signature_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     elements = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
