@@ -321,34 +321,35 @@ def _run(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: flo
     roots = components(near.links())
     placed = written(near.nodes.join(roots, near.nodes["key"] == roots["node"], "left").select("key", "id", "copies", F.coalesce("root", "key").alias("root")), "near-placed")
     classes = placed.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
-    return near, placed.join(classes, "root").select("key", F.col("id").alias("first_id"), "class_id", "class_size")
+    return near, placed.join(classes, "root").select("key", "root", F.col("id").alias("first_id"), "class_id", "class_size")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, least: float | None = None) -> DataFrame:
-    """``(id, class_id, class_size, kept)``, a row for each row of ``docs``.
+    """``(id, class_id, class_size, kept, class_key)``, a row for each row of ``docs``.
 
     Texts are linked if the Jaccard similarity of their sets of ``width``-word shingles is at least
     ``threshold``; classes are the connected components, named by their smallest id, whose row is
     ``kept``. Texts alike in lower case and white space aside are copies. Null and empty texts are
     copies of each other; texts of fewer words than ``width`` have one shingle. Null ids come last;
-    of repeated rows with a class's smallest id all are ``kept``. Other columns are ignored.
+    of repeated rows with a class's smallest id all are ``kept``. Classes of different texts with the
+    same smallest id share their ``class_id``; ``class_key`` tells them apart. Other columns are ignored.
 
     A pair of similarity ``s`` shares no band with probability ``(1 - s ** rows) ** bands``: a lower
     ``threshold`` needs fewer rows. ``least``, the share of equal registers from which on a pair is
     verified, follows from ``threshold`` if not given.
     """
     near, placed = _run(docs, id_col, text_col, width, threshold, bands, rows, least)
-    rows_ = near.found.select("id", "key").join(placed.select("key", "class_id", "class_size"), "key")
-    return rows_.select(F.col("id").alias(id_col), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    rows_ = near.found.select("id", "key").join(placed.select("key", "root", "class_id", "class_size"), "key")
+    return rows_.select(F.col("id").alias(id_col), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), F.lower(F.hex("root")).alias("class_key"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, least: float | None = None) -> DataFrame:
     """One row of each class, with its own columns: that with the smallest id."""
     near, placed = _run(docs, id_col, text_col, width, threshold, bands, rows, least)
-    # of keys of a class that share its smallest id, one stays
-    best = placed.where(F.col("first_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("key").alias("best"))
+    # of keys of a class that share its smallest id, one stays; other classes may have the same smallest id
+    best = placed.where(F.col("first_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min("key").alias("best"))
     counts = near.found.groupBy("id", "key").agg(F.count("*").alias("times"))
-    told = counts.join(placed.select("key", "class_id"), "key").join(best, "class_id", "left")
+    told = counts.join(placed.select("key", "root", "class_id"), "key").join(best, "root")
     return _keep_rows(docs, id_col, text_col, told)
 
 
@@ -357,7 +358,7 @@ def _keep_rows(docs: DataFrame, id_col: str, text_col: str, told: DataFrame) ->
 
     Only rows that a filter of bounded size takes for such rows are shuffled.
     """
-    stays = F.col("id").eqNullSafe(F.col("class_id")) & F.coalesce(F.col("best") == F.col("key"), F.lit(True))
+    stays = F.col("id").eqNullSafe(F.col("class_id")) & (F.col("best") == F.col("key"))
     odd = written(told.select("id", "key", "times", stays.alias("stays")).where("NOT stays OR times > 1"), "near-odd")
     key, flag = fresh(docs, "sf_key", "sf_flag")
     rows = docs.withColumn(key, text_key(folded(col(text_col))))

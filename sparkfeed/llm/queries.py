@@ -57,7 +57,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probminhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return probminhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
 
 
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -316,6 +316,17 @@ def test_near_duplicates_odd(odd, empty):
     assert probminhash.near_duplicates(empty).count() == 0 and probminhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    text = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(5, text("a")), (5, text("b")), (6, text("b", 39)), (5, text("c")), (5, text("c", 39)), (None, text("d")), (None, text("d", 39)), (None, text("d", 38)), (None, text("e")), (7, text("e", 39))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = Counter((r.doc_id, r.text[0]) for r in probminhash.drop_near_duplicates(docs).collect())
+    assert left == Counter([(5, "a"), (5, "b"), (5, "c"), (None, "d"), (7, "e")])
+    out = probminhash.near_duplicates(docs).collect()
+    sizes = {r.class_key: r.class_size for r in out}
+    assert sorted(sizes.values()) == [1, 2, 2, 2, 3] and Counter(r.class_key for r in out) == sizes
+
+
 def test_near_duplicates_with_lines_repeated_in_one_copy(spark):
     texts = {}
     for k in range(24):  # half of the copies also lose words, to lie just above the threshold or just below it
