@@ -2,7 +2,9 @@
 
 Rules match in a text's words, lower-cased and joined by one space, so that case, punctuation and
 line breaks don't matter. A line is ``kind keyword... : pattern``; its label stands above. A rule is
-tried only on texts that hold all its keywords. Kinds, in order of priority:
+tried only on texts that hold all its keywords, of ``this|that`` one of the two. Each spelling that a
+pattern allows holds them, but for those with a ``+``: these must stand elsewhere in the text, as
+other licences have the same passage. Kinds, in order of priority:
 
 * ``text``: a passage of the licence itself; ``grant``: a notice that places a work under it;
 * ``tag``: a short identifier after a tag word; ``title``: the licence's name; ``url``: its address;
@@ -30,7 +32,7 @@ SIGNATURES = r"""
 text permission hereby granted : permission is hereby granted free of charge to any person obtaining a copy of this software
 text substantial portions : the above copyright notice and this permission notice shall be included in all copies or substantial portions
 grant mit : {GRANT}mit licen[sc]e
-grant mit expat : {GRANT}(?:mit expat|expat) licen[sc]e
+grant expat : {GRANT}(?:mit expat|expat) licen[sc]e
 tag mit : {TAG}mit
 title mit : (?:the )?mit licen[sc]e
 title expat : expat licen[sc]e
@@ -41,7 +43,7 @@ grant attribution mit : {GRANT}mit no attribution licen[sc]e
 tag mit 0 : {TAG}mit 0
 title attribution mit : mit no attribution
 = apache-2.0
-text apache compliance : you may not use this file except in compliance with the license
+text +apache compliance : you may not use this file except in compliance with the license
 text perpetual worldwide : each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce
 grant apache : {GRANT}apache (?:software )?licen[sc]e {VERSION}2(?: 0)?
 grant apache : {GRANT}apache 2(?: 0)?(?: licen[sc]e)?
@@ -54,10 +56,10 @@ url apache licenses : apache org licenses license 2 0(?: html| txt)?
 grant apache : {GRANT}apache (?:software )?licen[sc]e {VERSION}1 1
 title apache : apache (?:software )?licen[sc]e {VERSION}1 1
 tag apache : {TAG}apache 1 1
-text apache acknowledgment : this product includes software developed by the apache software foundation
+text apache +acknowledgment|acknowledgement : this product includes software developed by the apache software foundation
 = bsd-2-clause
-grant bsd : {GRANT}(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd) licen[sc]e
-title bsd : (?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd) licen[sc]e
+grant bsd|freebsd : {GRANT}(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd) licen[sc]e
+title bsd|freebsd : (?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd) licen[sc]e
 tag bsd : {TAG}bsd 2 clause
 url opensource bsd : opensource org licenses bsd 2 clause
 = bsd-3-clause
@@ -72,11 +74,12 @@ text redistributions reproduce : redistributions in binary form must reproduce t
 title bsd : bsd licen[sc]e
 hint bsd : bsd style licen[sc]e
 = bsd-4-clause
-text advertising acknowledgement : all advertising materials mentioning features or use of this software must display the following acknowledge?ment
+text advertising acknowledgement|acknowledgment : all advertising materials mentioning features or use of this software must display the following acknowledge?ment
 tag bsd : {TAG}bsd 4 clause
 title bsd : (?:original bsd|bsd 4 clause|4 clause bsd) licen[sc]e
 = isc
-text isc purpose : permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
+text +isc purpose : permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
+text purpose appear : permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies
 grant isc : {GRANT}isc licen[sc]e
 tag isc : {TAG}isc
 title isc : isc licen[sc]e
@@ -87,12 +90,12 @@ title gnu : gnu (?:general public licen[sc]e|gpl) {VERSION}1(?: 0)?
 tag gpl : {TAG}gpl 1 0(?: only| or later)?
 = gpl-2.0
 grant gnu : {GRANT}gnu (?:general public licen[sc]e|gpl) {VERSION}2(?: 0)?(?: or (?:any )?later)?
-grant gpl : {GRANT}gpl ?{VERSION}2(?: 0)?
+grant gpl|gpl2|gplv|gplversion : {GRANT}gpl ?{VERSION}2(?: 0)?
 grant gplv2 : {GRANT}(?:gnu )?gplv2
 title gnu : gnu (?:general public licen[sc]e|gpl) {VERSION}2(?: 0)?
 title gplv2 : (?:gnu )?gplv2
 tag gpl : {TAG}gpl 2 0(?: only| or later)?
-text gnu redistribute : either version 2 of the license or at your option any later version
+text +gnu option later : either version 2 of the license or at your option any later version
 url gnu gpl : gnu org licenses (?:old licenses )?gpl 2 0(?: html| txt)?
 = gpl-3.0
 grant gnu : {GRANT}gnu (?:general public licen[sc]e|gpl) {VERSION}3(?: 0)?(?: or (?:any )?later)?
@@ -101,15 +104,15 @@ grant gplv3 : {GRANT}(?:gnu )?gplv3
 title gnu : gnu (?:general public licen[sc]e|gpl) {VERSION}3(?: 0)?
 title gplv3 : (?:gnu )?gplv3
 tag gpl : {TAG}gpl 3 0(?: only| or later)?
-text gnu redistribute : either version 3 of the license or at your option any later version
-text installation convey : you may convey verbatim copies of the program s source code as you receive it
+text +gnu option later : either version 3 of the license or at your option any later version
+text verbatim convey : you may convey verbatim copies of the program s source code as you receive it
 url gnu gpl : gnu org licenses gpl 3 0(?: html| txt)?
 = gpl
 grant gnu : {GRANT}gnu (?:general public licen[sc]e|gpl)
 title gnu : gnu general public licen[sc]e
 title gpl : (?:the )?gpl licen[sc]e
 text gnu redistribute : you can redistribute it and or modify it under the terms of the gnu general public license
-text gnu warranty : see the gnu general public license for more details
+text gnu details : see the gnu general public license for more details
 url gnu gpl : gnu org (?:licenses|copyleft) gpl(?: html)?
 = lgpl-2.1
 grant gnu lesser : {GRANT}gnu lesser general public licen[sc]e {VERSION}2 1
@@ -130,17 +133,17 @@ url gnu lgpl : gnu org licenses lgpl 3 0
 grant lesser : {GRANT}(?:gnu )?lesser (?:gnu )?general public licen[sc]e
 title lesser : (?:gnu )?lesser (?:gnu )?general public licen[sc]e
 title lgpl : (?:gnu )?lgpl(?: licen[sc]e)?
-url gnu lgpl : gnu org (?:licenses|copyleft) (?:lgpl|lesser)(?: html)?
+url gnu lgpl|lesser : gnu org (?:licenses|copyleft) (?:lgpl|lesser)(?: html)?
 = agpl-3.0
 grant affero : {GRANT}gnu affero general public licen[sc]e(?: {VERSION}3(?: 0)?)?
 title affero : (?:gnu )?affero general public licen[sc]e(?: {VERSION}3(?: 0)?)?
 title agplv3 : agplv3
 tag agpl : {TAG}agpl 3 0(?: only| or later)?
-text affero network : interacting with it remotely through a computer network an opportunity to receive the corresponding source
+text remotely network : interacting with it remotely through a computer network an opportunity to receive the corresponding source
 url gnu agpl : gnu org licenses agpl(?: 3 0)?
 = mpl-2.0
-text mozilla mpl : this source code form is subject to the terms of the mozilla public license v 2 0
-text mozilla mpl obtain : if a copy of the mpl was not distributed with this file you can obtain one at
+text mozilla subject : this source code form is subject to the terms of the mozilla public license v 2 0
+text mpl obtain : if a copy of the mpl was not distributed with this file you can obtain one at
 grant mozilla : {GRANT}mozilla public licen[sc]e {VERSION}2(?: 0)?
 title mozilla : mozilla public licen[sc]e {VERSION}2(?: 0)?
 tag mpl : {TAG}mpl 2 0
@@ -167,7 +170,7 @@ url eclipse epl : eclipse org legal epl (?:v20|2 0)
 title eclipse : eclipse distribution licen[sc]e(?: {VERSION}1(?: 0)?)?
 url eclipse edl : eclipse org org documents edl v10
 = cddl-1.0
-grant cddl : {GRANT}(?:common development and distribution licen[sc]e|cddl)
+grant cddl|development : {GRANT}(?:common development and distribution licen[sc]e|cddl)
 title development distribution : common development and distribution licen[sc]e(?: cddl)?(?: {VERSION}1(?: 0)?)?
 tag cddl : {TAG}cddl 1 0
 = cddl-1.1
@@ -191,7 +194,7 @@ grant perl : (?:under )?the same terms as perl(?: itself)?
 = python-2.0
 title python software : python software foundation licen[sc]e(?: {VERSION}2(?: 0)?)?
 title psf : psf licen[sc]e(?: agreement)?
-tag python : {TAG}(?:python 2 0|psf 2 0)
+tag python|psf : {TAG}(?:python 2 0|psf 2 0)
 url python license : docs python org (?:3 )?license
 = ruby
 grant ruby : {GRANT}(?:same terms as ruby|ruby s licen[sc]e)
@@ -207,7 +210,7 @@ title zlib : zlib(?: libpng)? licen[sc]e
 tag zlib : {TAG}zlib
 url zlib license : zlib net zlib license
 = libpng
-title libpng : (?:png reference library|libpng) licen[sc]e(?: {VERSION}[12])?
+title libpng|png : (?:png reference library|libpng) licen[sc]e(?: {VERSION}[12])?
 tag libpng : {TAG}libpng(?: 2 0)?
 = bsl-1.0
 grant boost : {GRANT}boost software licen[sc]e(?: {VERSION}1(?: 0)?)?
@@ -231,7 +234,7 @@ title cc0 : cc0 1 0(?: universal)?
 title creative zero : creative commons zero
 tag cc0 : {TAG}cc0 1 0
 url creativecommons publicdomain zero : creativecommons org publicdomain zero 1 0
-text waiver affirmer : affirmer hereby overtly fully permanently irrevocably and unconditionally waives
+text waives affirmer : affirmer hereby overtly fully permanently irrevocably and unconditionally waives
 = cc-by-4.0
 grant cc by : {GRANT}(?:creative commons )?cc by 4 0
 title creative attribution : creative commons attribution 4 0(?: international)?
@@ -244,27 +247,27 @@ tag cc by : {TAG}cc by 3 0
 url creativecommons licenses by : creativecommons org licenses by 3 0
 = cc-by-sa-4.0
 grant cc by sa : {GRANT}(?:creative commons )?cc by sa 4 0
-title creative sharealike : creative commons attribution share ?alike 4 0(?: international)?
+title creative sharealike|alike : creative commons attribution share ?alike 4 0(?: international)?
 tag cc by sa : {TAG}cc by sa 4 0
 url creativecommons licenses by sa : creativecommons org licenses by sa 4 0
 = cc-by-sa-3.0
 grant cc by sa : {GRANT}(?:creative commons )?cc by sa 3 0
-title creative sharealike : creative commons attribution share ?alike 3 0(?: unported)?
+title creative sharealike|alike : creative commons attribution share ?alike 3 0(?: unported)?
 tag cc by sa : {TAG}cc by sa 3 0
 url creativecommons licenses by sa : creativecommons org licenses by sa 3 0
 = cc-by-nc-4.0
 grant cc by nc : {GRANT}(?:creative commons )?cc by nc 4 0
-title creative noncommercial : creative commons attribution non ?commercial 4 0(?: international)?
+title creative noncommercial|commercial : creative commons attribution non ?commercial 4 0(?: international)?
 tag cc by nc : {TAG}cc by nc 4 0
 url creativecommons licenses by nc : creativecommons org licenses by nc 4 0
 = cc-by-nc-sa-4.0
 grant cc by nc sa : {GRANT}(?:creative commons )?cc by nc sa 4 0
-title creative noncommercial sharealike : creative commons attribution non ?commercial share ?alike 4 0(?: international)?
+title creative noncommercial|commercial sharealike|alike : creative commons attribution non ?commercial share ?alike 4 0(?: international)?
 tag cc by nc sa : {TAG}cc by nc sa 4 0
 url creativecommons licenses by nc sa : creativecommons org licenses by nc sa 4 0
 = cc-by-nc-nd-4.0
 grant cc by nc nd : {GRANT}(?:creative commons )?cc by nc nd 4 0
-title creative noncommercial noderivatives : creative commons attribution non ?commercial no ?deriv(?:ative)?s(?:atives)? 4 0
+title creative noncommercial|commercial attribution : creative commons attribution non ?commercial no ?deriv(?:ative)?s(?:atives)? 4 0
 tag cc by nc nd : {TAG}cc by nc nd 4 0
 url creativecommons licenses by nc nd : creativecommons org licenses by nc nd 4 0
 = cc-by-nd-4.0
@@ -340,7 +343,7 @@ tag postgresql : {TAG}postgresql
 title openssl : openssl licen[sc]e
 text openssl toolkit : this product includes software developed by the openssl project for use in the openssl toolkit
 = ssleay
-text ssleay eric : this product includes cryptographic software written by eric young
+text cryptographic eric : this product includes cryptographic software written by eric young
 = curl
 title curl : curl licen[sc]e
 tag curl : {TAG}curl
@@ -392,7 +395,7 @@ title commons clause : commons clause(?: licen[sc]e)?(?: condition)?
 = polyform
 title polyform : polyform (?:noncommercial|small business|shield|perimeter) licen[sc]e
 = openrail
-title openrail : (?:creativeml )?(?:bigscience )?open ?rail(?: [ms]| m)? licen[sc]e
+title openrail|rail : (?:creativeml )?(?:bigscience )?open ?rail(?: [ms]| m)? licen[sc]e
 tag openrail : {TAG}openrail
 = llama
 title llama community : llama (?:[23](?: [0-9])? )?community licen[sc]e(?: agreement)?
@@ -403,17 +406,17 @@ hint public domain : in the public domain
 text good evil : the software shall be used for good not evil
 tag json : {TAG}json
 = beerware
-text beer worth : you can buy me a beer in return
-title beer ware : (?:the )?beer ?ware licen[sc]e
+text beer return : you can buy me a beer in return
+title beer|beerware : (?:the )?beer ?ware licen[sc]e
 = proprietary
 grant rights reserved : all rights reserved
 text confidential proprietary : confidential and proprietary(?: information)?
 text prohibited unauthorized : unauthorized (?:copying|reproduction|use|distribution)(?: of this file)?[ a-z]{0,40} is (?:strictly )?prohibited
-hint reproduced permission : may not be reproduced[ a-z]{0,60} without (?:the )?(?:prior )?(?:written )?permission
+hint permission without : may not be reproduced[ a-z]{0,60} without (?:the )?(?:prior )?(?:written )?permission
 = unknown-license
-hint terms license : subject to the terms (?:and conditions )?of (?:the|this) licen[sc]e
-hint license agreement : end user licen[sc]e agreement
-hint licensed under : licen[sc]ed under (?:the|an?) [^ ]+ licen[sc]e
+hint terms subject : subject to the terms (?:and conditions )?of (?:the|this) licen[sc]e
+hint license|licence agreement : end user licen[sc]e agreement
+hint licensed|licenced under : licen[sc]ed under (?:the|an?) [^ ]+ licen[sc]e
 """
 
 
@@ -422,7 +425,9 @@ class Rule(NamedTuple):
     label: str
     priority: int
     confidence: float
-    keywords: frozenset[bytes]
+    #: Of each of these sets of words, a text must have one: those that any spelling has, then others.
+    keywords: tuple[frozenset[bytes], ...]
+    context: tuple[frozenset[bytes], ...]
     pattern: re.Pattern
 
 
@@ -439,13 +444,15 @@ def compile_rules(signatures: str = SIGNATURES) -> list[Rule]:
         for name, part in (("GRANT", GRANT), ("TAG", TAG), ("VERSION", VERSION)):
             pattern = pattern.replace("{" + name + "}", part)
         whole = re.compile(f"(?<= )(?:{pattern})(?= )".encode())
-        rules.append(Rule(f"{label}/{kind}/{len(rules)}", label, priority, confidence, frozenset(k.encode() for k in keywords), whole))
+        words = lambda some: tuple(frozenset(k.lstrip("+").encode().split(b"|")) for k in some)
+        own, other = words(k for k in keywords if k[0] != "+"), words(k for k in keywords if k[0] == "+")
+        rules.append(Rule(f"{label}/{kind}/{len(rules)}", label, priority, confidence, own, other, whole))
     return rules
 
 
 def base_rules(phrases: dict[str, str] = BASE_PHRASES) -> list[Rule]:
     """A rule of highest priority for each phrase, found by its words alone."""
     return [
-        Rule(f"base/{label}", label, 0, 1.0, frozenset(phrase.encode().split()), re.compile(f"(?<= )(?:{re.escape(phrase)})(?= )".encode()))
+        Rule(f"base/{label}", label, 0, 1.0, tuple(frozenset([w]) for w in phrase.encode().split()), (), re.compile(f"(?<= )(?:{re.escape(phrase)})(?= )".encode()))
         for phrase, label in phrases.items()
     ]

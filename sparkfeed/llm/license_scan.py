@@ -32,11 +32,12 @@ DETECTION = T.StructType(
 
 @cache
 def _rules(signatures: str, phrases: tuple):
-    """The rules, and each keyword's rules: a rule is looked at if its rarest-looking keyword is there."""
+    """The rules, and each keyword's rules: a rule is looked at if its rarest-looking keyword, or one of its other forms, is there."""
     rules = base_rules(dict(phrases)) + compile_rules(signatures)
     by_keyword: dict[bytes, list[int]] = {}
     for k, rule in enumerate(rules):
-        by_keyword.setdefault(max(rule.keywords, key=lambda w: (len(w), w)), []).append(k)
+        for word in max(rule.keywords, key=lambda ws: (min(map(len, ws)), sorted(ws))):
+            by_keyword.setdefault(word, []).append(k)
     return rules, by_keyword, frozenset(by_keyword)
 
 
@@ -74,9 +75,9 @@ def scan(text: bytes, rules, by_keyword, keywords) -> tuple[int, list[dict]]:
         return len(words), []
     vocabulary = set(words)
     joined, starts, found = b" " + b" ".join(words) + b" ", None, []
-    for k in sorted(k for w in there for k in by_keyword[w]):
+    for k in sorted({k for w in there for k in by_keyword[w]}):
         rule = rules[k]
-        if not rule.keywords <= vocabulary:
+        if any(map(vocabulary.isdisjoint, rule.keywords)) or any(map(vocabulary.isdisjoint, rule.context)):
             continue
         for m in rule.pattern.finditer(joined):
             if starts is None:

@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import product
 
 import duckdb
 import numpy as np
@@ -104,6 +105,52 @@ def test_license_overlaps():
     assert kept("nothing here of the kind") == []
 
 
+def spellings(pattern):
+    """What a pattern allows: of a class of characters one, of repeats the fewest and one more."""
+    from re import _constants as C
+    from re import _parser as parser
+
+    def one(op, arg):
+        if op is C.LITERAL:
+            return [chr(arg)]
+        if op is C.BRANCH:
+            return [x for part in arg[1] for x in row(part)]
+        if op is C.SUBPATTERN:
+            return row(arg[3])
+        if op in (C.MAX_REPEAT, C.MIN_REPEAT):
+            low, high, part = arg
+            return ["".join(p) for n in range(low, min(high, low + 1) + 1) for p in product(row(part), repeat=n)]
+        if op is C.IN:
+            return ["q"] if (C.RANGE, (97, 122)) in arg else [chr(a if o is C.LITERAL else a[0]) for o, a in arg]
+        return [{C.NOT_LITERAL: "q", C.ASSERT: ""}[op]]
+
+    def row(items):
+        out = [""]
+        for op, arg in items:
+            out = [a + b for a in out for b in one(op, arg)]
+        return out
+
+    return row(parser.parse(pattern))
+
+
+def test_license_gates_let_each_spelling_through():
+    parts = license_scan._rules(license_scan.SIGNATURES, tuple(license_scan.BASE_PHRASES.items()))
+    for rule in parts[0]:
+        for s in spellings(rule.pattern.pattern.decode()):
+            words = set(s.encode().split())
+            assert rule.pattern.search(b" " + s.encode() + b" ") and not any(map(words.isdisjoint, rule.keywords)), (rule.name, s)
+    # words that other licences' passages lack are few, and named
+    assert {rule.label for rule in parts[0] if rule.context} == {"apache-2.0", "apache-1.1", "isc", "gpl-2.0", "gpl-3.0"}
+    kept = lambda s: [d["label"] for d in license_scan.scan(s.encode(), *parts)[1] if d["kept"]]
+    assert kept("Creative Commons Attribution-Share Alike 3.0 Unported") == ["cc-by-sa-3.0"]
+    assert kept("Creative Commons Attribution-Non-Commercial 4.0") == ["cc-by-nc-4.0"]
+    assert kept("licensed under the FreeBSD License") == ["bsd-2-clause"]
+    assert kept("SPDX-License-Identifier: PSF-2.0") == ["python-2.0"]
+    assert kept("the beerware license") == ["beerware"] and kept("Open RAIL-M license") == ["openrail"]
+    # the same passage, in the licences that took it over
+    assert kept("CDDL: You may not use this file except in compliance with the License.") == []
+
+
 # 2: archives
 def test_warc(spark):
     pages = spark.createDataFrame([(3, "http://a b/c", "<p>x</p>"), (1, None, "<p>x</p>"), (2, "u", None), (None, "v", ""), (5, "w", "é\r\n\r\nWARC/1.1\r\n"), (5, "w", "é\r\n\r\nWARC/1.1\r\n"), (7, "z", "y" * 100_000)], "page_id long, url string, html string")
