@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.index import dense_index
+
 SPLITS = ("test", "validation", "train")
 
 
@@ -62,13 +64,21 @@ def unique_labels(df: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def samples_by_label(df: DataFrame, cap: int | None = None) -> DataFrame:
-    """``(label, ids)``; ``cap`` keeps the smallest ids of each label, for labels too large for a row."""
+    """``(label, ids)``, a row a label; ``cap`` keeps the smallest ids of each. For labels too large
+    for a row, ``sample_chunks`` has all ids."""
     rows = df.where("label IS NOT NULL").select("label", "sample_id")
     if cap is not None:
         rows = rows.withColumn("k", F.row_number().over(W.partitionBy("label").orderBy("sample_id"))).where(F.col("k") <= cap)
     return rows.groupBy("label").agg(F.sort_array(F.collect_set("sample_id")).alias("ids"))
 
 
+def sample_chunks(df: DataFrame, size: int = 10_000) -> DataFrame:
+    """``(label, chunk, ids)``: all distinct ids of each label, sorted, at most ``size`` of them a row;
+    the chunks of a label are in the order of their numbers."""
+    rows = dense_index(df.where("label IS NOT NULL").select("label", "sample_id").distinct(), ["label", "sample_id"], "sf_at")
+    return rows.groupBy("label", F.floor(F.col("sf_at") / size).alias("chunk")).agg(F.sort_array(F.collect_list("sample_id")).alias("ids"))
+
+
 def label_distribution(df: DataFrame) -> DataFrame:
     """``(split, label, p)`` with the shares of each split."""
     counts = label_counts(df)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,20 +43,39 @@ def package_list(df: DataFrame) -> DataFrame:
 
 
 def thin_events(df: DataFrame, by: str, order: str, ts: str, interval: int, time_interval: float) -> DataFrame:
-    """Every ``interval``-th row of a series, if ``time_interval`` has passed since the last one kept."""
-
-    def thin(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values([ts, order])
-        kept, last = [], float("-inf")
-        for k, t in enumerate(f[ts]):
-            if (k + 1) % interval == 0 and t - last >= time_interval:
-                kept.append(k)
-                last = t
-        if len(f) % interval:
-            kept.append(len(f) - 1)  # the pending tick at the end
-        return f.iloc[kept]
-
-    return df.groupBy(by).applyInPandas(thin, df.schema)
+    """Every ``interval``-th row of a series, if ``time_interval`` has passed since the last one kept.
+
+    The choice depends on all earlier ones, so a series is walked in one task; that sorts on disk
+    and holds a batch at a time, however long the series is.
+    """
+
+    def walk(batches):
+        series, k, last, carried = None, 0, float("-inf"), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kept = []
+            for i, (s, t) in enumerate(zip(batch.column(by_at).to_pylist(), batch.column(ts_at).to_pylist(), strict=True)):
+                if s != series and (s == s or series == series):
+                    if k % interval:  # the pending tick at the end
+                        if i:
+                            kept.append(i - 1)
+                        else:
+                            yield carried
+                    series, k, last = s, 0, float("-inf")
+                k += 1
+                if k % interval == 0 and t is not None and t - last >= time_interval:
+                    kept.append(i)
+                    last = t
+            # a copy: a slice would hold the whole batch
+            carried = batch.take([batch.num_rows - 1])
+            yield batch.take(pa.array(kept, pa.int64()))
+        if k % interval:
+            yield carried
+
+    by_at, ts_at = df.columns.index(by), df.columns.index(ts)
+    placed = df.repartition(F.col(by)).sortWithinPartitions(F.col(by), F.col(ts).asc_nulls_last(), F.col(order).asc_nulls_last())
+    return placed.mapInArrow(walk, df.schema)
 
 
 def merge_model_results(parts: list[DataFrame]) -> DataFrame:

@@ -153,6 +153,34 @@ def test_thinning(spark):
     assert sorted(r.k for r in registry.thin_events(df, "by", "k", "t", 2, 35.0).collect()) == [1, 5, 9]
 
 
+def test_thinning_holds_no_whole_series(spark):
+    rows = [(by, k, float(k * k % 97)) for by, n in (("a", 100), ("b", 1), ("c", 33), (None, 50), ("d", 14)) for k in range(n)]
+    want = []
+    for by in {r[0] for r in rows}:
+        last, series = float("-inf"), sorted((t, k) for b, k, t in rows if b == by)
+        for n, (t, k) in enumerate(series, 1):
+            if n % 3 == 0 and t - last >= 5.0:
+                want.append((by, k))
+                last = t
+        want += [(by, series[-1][1])] if len(series) % 3 else []
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        out = registry.thin_events(spark.createDataFrame(rows, "by string, k long, t double"), "by", "k", "t", 3, 5.0)
+        assert sorted(((r.by, r.k) for r in out.collect()), key=str) == sorted(want, key=str)
+        assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_samples_in_chunks(spark):
+    rows = [("big", k % 250) for k in range(500)] + [("small", 3), (None, 4)]
+    out = labels.sample_chunks(spark.createDataFrame(rows, "label string, sample_id long"), 40).orderBy("label", "chunk").collect()
+    assert max(len(r.ids) for r in out) <= 40
+    assert [i for r in out if r.label == "big" for i in r.ids] == list(range(250)) and [r.ids for r in out if r.label != "big"] == [[3]]
+
+
 def test_results_and_merging(spark):
     a = spark.createDataFrame([("b", "1"), ("a", "2")], "metric string, value string")
     b = spark.createDataFrame([("b", "3")], "metric string, value string")
