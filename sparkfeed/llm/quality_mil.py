@@ -8,6 +8,7 @@ the driver, from a sample with a fixed bound; texts are encoded and scored where
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -181,20 +182,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """The model, learnt from labelled texts that are not held out.
 
     Labelled texts are taken in the order of a hash of their id, up to both bounds, so the sample is
-    the same at each run and its size the same at each scale. Several labels of an id are averaged,
+    the same at each run and its size the same at each scale. A text that no longer fits is left out,
+    and those after it are still taken. Several labels of an id are averaged,
     null ones ignored; texts of a repeated id all count.
     """
     label = labels.where(col(label_col).isNotNull() & col(id_col).isNotNull() & ~held_out(col(id_col))).groupBy(col(id_col).alias("id")).agg(F.avg(col(label_col)).alias("y"))
     words = F.size(F.split(F.coalesce(col(text_col), F.lit("")), r"[\x20\x09-\x0D]+"))
     source = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), F.ceil(words / PASSAGE_WORDS).alias("passages"))
     order = F.xxhash64(F.lit("mil"), F.col("id"))
-    first = source.select("id", "passages").join(label, "id").groupBy("id", "y").agg(F.sum("passages").alias("passages")).orderBy(order, "id").limit(sample_texts).collect()
+    first = source.select("id", "passages").join(label, "id").groupBy("id", "y").agg(F.sum("passages").alias("passages")).where(F.col("passages") <= sample_passages).orderBy(order, "id").limit(sample_texts).collect()
     chosen, total = [], 0
     for r in first:
+        if total + r["passages"] > sample_passages:
+            continue
         total += r["passages"]
-        if total > sample_passages:
-            break
         chosen.append((r["id"], float(r["y"])))
+    if len({y >= 0.5 for _, y in chosen}) < 2:
+        warnings.warn("no labelled texts of both classes to learn from: all scores will be alike", stacklevel=2)
     picked = docs.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("id", field_type(docs, id_col)), T.StructField("y", T.DoubleType())]))
     schema = T.StructType([T.StructField("id", field_type(docs, id_col)), T.StructField("y", T.DoubleType()), T.StructField("bag", T.BinaryType())])
 

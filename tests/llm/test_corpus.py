@@ -251,6 +251,19 @@ def test_quality_mil(spark, odd, empty):
     assert quality_mil.score(odd, model).count() == len(ODD) and quality_mil.score(empty, model).count() == 0
 
 
+def test_a_text_beyond_the_sample_leaves_the_others(spark):
+    ids = spark.range(1, 81).select(F.col("id").alias("doc_id")).where(~quality_mil.held_out(F.col("doc_id")))
+    first = ids.orderBy(F.xxhash64(F.lit("mil"), F.col("doc_id"))).first().doc_id
+    text = F.when(F.col("doc_id") == first, F.repeat(F.lit("word "), 30_000)).when(F.col("doc_id") % 2 == 0, F.lit("the quiet river of the old town " * 20)).otherwise(F.lit("BUY ### $$$ now!!! 999 " * 20))
+    docs = ids.withColumn("text", text).cache()
+    labels = ids.withColumn("quality", F.when(F.col("doc_id") % 2 == 0, 1).otherwise(0))
+    model = quality_mil.fit(docs, labels, sample_passages=300)
+    scores = {r.doc_id: r.score for r in quality_mil.score(docs.where(F.col("doc_id") != first), model).collect()}
+    assert all((s > 0.5) == (k % 2 == 0) for k, s in scores.items())
+    with pytest.warns(UserWarning, match="both classes"):
+        quality_mil.fit(docs, labels, sample_passages=0)
+
+
 def test_attention_gradient_learns_the_bad_passage():
     rng = np.random.default_rng(0)
     x = rng.normal(0, 1, (600, quality_mil.SIZE)).astype(np.float32)
