@@ -68,6 +68,8 @@ def crossover(pairs: DataFrame, kind: str, seed=0) -> DataFrame:
     if kind == "uniform":
         child = F.transform("a", lambda x, i: F.when(draw(i) < 0.5, x).otherwise(F.get("b", i)))
         return pairs.select("pair", F.lit(0).alias("child"), child.alias("genes"))
+    if kind != "arithmetic":
+        raise ValueError(f"no crossover of kind {kind!r}")
     w = draw(F.lit("w"))
     mix = lambda p: F.zip_with("a", "b", lambda x, y: p * x + (1 - p) * y)
     return pairs.select("pair", F.posexplode(F.array(mix(w), mix(1 - w))).alias("child", "genes"))

@@ -174,6 +174,11 @@ def test_thinning_holds_no_whole_series(spark):
         spark.conf.set(name, before)
 
 
+def test_unknown_crossover(spark):
+    with pytest.raises(ValueError, match="geometric"):
+        search.crossover(spark.createDataFrame([(1, [1.0], [2.0])], "pair long, a array<double>, b array<double>"), "geometric")
+
+
 def test_samples_in_chunks(spark):
     rows = [("big", k % 250) for k in range(500)] + [("small", 3), (None, 4)]
     out = labels.sample_chunks(spark.createDataFrame(rows, "label string, sample_id long"), 40).orderBy("label", "chunk").collect()
