@@ -7,23 +7,49 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a session without it, as in tests, gets a folder of its own."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="sparkfeed-")
-        spark.sparkContext.setCheckpointDir(_own[app])
-    return _own[app]
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as files that outlive executors; read again, so joins know its true size."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """``spark.checkpoint.dir``, else the checkpoint directory that the user gave Spark.
+
+    A local session with neither gets a folder of its own; on a cluster that is an error, as
+    executors would write where nobody else can read.
+    """
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="sparkfeed-")
+        sc.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder; the caller's application owns it."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """``df`` written once as files that outlive executors, and read again.
+
+    This cuts the lineage, and gives Catalyst the true size of the table, by which it decides
+    whether a join may broadcast it.
+    """
+    path = path or scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """The tables of one run below one path, removed together when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.tables = spark, scratch_path(spark, name), 0
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables += 1
+        return written(df, name, f"{self.path}/{name}-{self.tables}")
+
+    def drop(self) -> None:
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
