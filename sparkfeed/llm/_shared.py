@@ -2,52 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scratch import Scratch, scratch_path, written
+
+__all__ = ["Scratch", "scratch_path", "written"]
+
 #: Rows that a Python loop over a batch holds as Python objects at a time.
 SLICE_ROWS = 256
 
 #: Rows of an Arrow batch at most: Spark's default of 10,000 whole texts is too much for small executors.
 BATCH_ROWS = 1000
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a session without that setting (a local test) gets a folder of its own.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="sparkfeed-")
-        spark.sparkContext.setCheckpointDir(_own_dirs[app])
-    return _own_dirs[app]
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; the caller's application owns it."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read again.
-
-    This cuts the lineage with files that outlive executors, and gives Catalyst the true size of
-    the table, by which it decides whether a join may broadcast it.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows of one key beyond which a join deals them over tasks, if they are a thousandth of all rows too.
+HOT_ROWS = 200
 
 
 def fresh(df: DataFrame, *bases: str) -> list[str]:
@@ -114,32 +86,57 @@ def strings(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-#: Bits of a membership filter: 4 MB when full, however many keys there are.
-FILTER_BITS = 1 << 25
+#: Bits of a membership filter, least and most: 16 a key between them, so 32 MB at most.
+FILTER_BITS = 1 << 20, 1 << 28
 _BUCKET_BITS = 32768  # of Spark's bitmap functions
 
 
-def _filter_place(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
-
+class KeyFilter:
+    """A bit for each hashed key, as rows ``(bucket, bits)`` of 4 kB, 8,192 of them at most.
 
-def key_filter(keys: DataFrame, key: Column, name: str) -> DataFrame:
-    """``(bucket, bits)``: a bit for each hashed ``key``, as at most 1,024 rows of 4 kB.
+    It grows with the number of keys up to a fixed size, so it may always be broadcast. It lets
+    rows that surely have no partner stay where they are; those it lets through are still to be
+    joined. Beyond 16 million keys it gets fuller and lets more rows through.
+    """
 
-    Its size has that bound at any scale, so it may always be broadcast. It lets rows that surely
-    have no partner stay where they are; those it lets through are still to be joined.
+    def __init__(self, keys: DataFrame, key: Column, save: Callable[[DataFrame, str], DataFrame] = written, name: str = "filter"):
+        wanted, (least, most) = 16 * keys.count(), FILTER_BITS
+        self.size = min(most, max(least, 1 << max(0, wanted - 1).bit_length()))
+        place = self.place(key)
+        marked = keys.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+        self.bits = save(marked.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")), name)
+
+    def place(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.size)) + 1
+
+    def maybe(self, df: DataFrame, key: Column, flag: str) -> DataFrame:
+        """``df`` with a boolean ``flag``: false where ``key`` is surely none of the filter's keys."""
+        bucket, position, there = fresh(df, "sf_bucket", "sf_position", "sf_bits")
+        place = self.place(key)
+        placed = df.withColumns({bucket: F.bitmap_bucket_number(place), position: F.bitmap_bit_position(place).cast("int")})
+        joined = placed.join(F.broadcast(self.bits.select(F.col("bucket").alias(bucket), F.col("bits").alias(there))), bucket, "left")
+        byte = F.conv(F.hex(F.substring(col(there), (F.floor(col(position) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        bit = F.getbit(byte, F.pmod(col(position), F.lit(8)))
+        return joined.select(*map(col, df.columns), F.coalesce(bit == 1, F.lit(False)).alias(flag))
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: Column, how: str = "inner", like: DataFrame | None = None) -> DataFrame:
+    """``left`` joined with ``right``, in which ``key`` is unique, with hot keys dealt over tasks.
+
+    A key with more than a thousandth of the rows of ``left`` (``HOT_ROWS`` at least) is hot: its rows
+    are dealt by a hash of ``by`` into slices of about that many, and its one row of ``right`` is
+    copied to each. There are 1,000 hot keys at most, whatever the size of ``left``, so their table is
+    broadcast. Keys are counted in ``like``, a written table with the keys of ``left`` or ``left`` itself.
     """
-    place = _filter_place(key)
-    marked = keys.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
-    return written(marked.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")), name)
-
-
-def maybe_in(df: DataFrame, key: Column, bits: DataFrame, flag: str) -> DataFrame:
-    """``df`` with a boolean ``flag``: false where ``key`` is surely none of the filter's keys."""
-    bucket, position, there = fresh(df, "sf_bucket", "sf_position", "sf_bits")
-    place = _filter_place(key)
-    placed = df.withColumns({bucket: F.bitmap_bucket_number(place), position: F.bitmap_bit_position(place).cast("int")})
-    joined = placed.join(F.broadcast(bits.select(F.col("bucket").alias(bucket), F.col("bits").alias(there))), bucket, "left")
-    byte = F.conv(F.hex(F.substring(col(there), (F.floor(col(position) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    bit = F.getbit(byte, F.pmod(col(position), F.lit(8)))
-    return joined.select(*map(col, df.columns), F.coalesce(bit == 1, F.lit(False)).alias(flag))
+    like = left if like is None else like
+    rows = like.count()
+    if rows <= 10 * HOT_ROWS:  # no key can have more than a task easily holds
+        return left.join(right, key, how)
+    most = max(HOT_ROWS, rows // 1000)
+    hot_key, n, at, at_right, key_right = fresh(left.crossJoin(right.drop(key)), "sf_hot", "sf_n", "sf_slice", "sf_slice_right", "sf_key_right")
+    hot = like.groupBy(col(key).alias(hot_key)).agg(F.count("*").alias(n)).where((col(n) > most) & col(hot_key).isNotNull()).select(hot_key, F.ceil(col(n) / most).cast("int").alias(n))
+    count = F.coalesce(col(n), F.lit(1))
+    marked = lambda df: df.join(F.broadcast(hot), col(key) == col(hot_key), "left").drop(hot_key)
+    dealt = marked(left).withColumn(at, F.pmod(F.xxhash64(by), count).cast("int")).drop(n)
+    copied = marked(right).withColumn(at_right, F.explode(F.sequence(F.lit(0), count - 1))).drop(n).withColumnRenamed(key, key_right)
+    return dealt.join(copied, (col(key) == col(key_right)) & (col(at) == col(at_right)), how).drop(key_right, at, at_right)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import col, fresh, key_filter, maybe_in, written
+from ._shared import KeyFilter, col, fresh, spread_join, written
 
 #: What two texts may differ in and still be equal.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -31,14 +31,14 @@ def refined_keys(docs: DataFrame, id_col: str, text_col: str, prefix: int = PREF
     narrow = written(key.select(F.length("norm").alias("len"), F.xxhash64(F.substring("norm", 1, prefix)).alias("head")).groupBy("len", "head").agg(F.count("*").alias("n")), "dedup-heads")
     lengths = narrow.groupBy("len").agg(F.sum("n").alias("n")).where("n > 1").select("len")
     shared = narrow.where("n > 1").join(lengths, "len", "left_semi")
-    bits = key_filter(shared, F.struct("len", "head"), "dedup-shared")
+    bits = KeyFilter(shared, F.struct("len", "head"))
 
     norm, length, cp, head, full, hot = fresh(docs, "sf_norm", "sf_len", "sf_cp", "sf_head", "sf_full", "sf_hot")
     rows = docs.withColumn(norm, normalised(col(text_col))).withColumns(
         {length: F.length(col(norm)), cp: F.length(F.coalesce(col(text_col), F.lit(""))), head: F.xxhash64(F.substring(col(norm), 1, prefix))}
     )
     # a row that the filter lets through by chance gets a hash that no other row has
-    keyed = maybe_in(rows, F.struct(col(length).alias("len"), col(head).alias("head")), bits, hot)
+    keyed = bits.maybe(rows, F.struct(col(length).alias("len"), col(head).alias("head")), hot)
     return keyed.withColumn(full, F.when(col(hot), F.sha2(col(norm), 256))).drop(norm, hot), [length, cp, head, full]
 
 
@@ -58,7 +58,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ids = written(keyed.groupBy("id", cp, length, head, full, *carry).agg(F.count("*").alias("times")), "dedup-keys")
     groups = _winners(ids, length, cp, head, full)
     alone = ids.where(col(full).isNull()).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("best"), "times", F.lit(None).cast("string").alias("hash"), *carry)
-    joined = ids.where(col(full).isNotNull()).join(groups, full)
+    joined = spread_join(ids.where(col(full).isNotNull()), groups, full, F.col("id"))
     grouped = joined.select("id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("id").eqNullSafe(F.col("keep.id")) & (-col(cp) == F.col("keep.cp"))).alias("best"), "times", col(full).alias("hash"), *carry)
     both = alone.unionByName(grouped).withColumn("turn", F.explode(F.sequence(F.lit(1).cast("bigint"), "times")))
     return both.select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("best") & (F.col("turn") == 1)).alias("kept"), F.col("hash").alias("content_hash"), *carry)
@@ -81,8 +81,9 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     own = list(map(col, docs.columns))
     rows = docs.withColumns({cp: F.length(F.coalesce(col(text_col), F.lit(""))), full: F.sha2(normalised(col(text_col)), 256)})
     # only rows of groups of two or more are shuffled
-    rows = maybe_in(rows, col(full), key_filter(winners, col(key), "dedup-again"), hot)
-    found = rows.where(col(hot)).join(winners, col(full) == col(key), "left")
+    rows = KeyFilter(winners, col(key)).maybe(rows, col(full), hot)
+    marks = winners.withColumns({full: col(key)})
+    found = spread_join(rows.where(col(hot)), marks, full, col(id_col), "left", like=ids.where(col(full).isNotNull()))
     best = col(key).isNull() | (col(id_col).eqNullSafe(col(keep)["id"]) & (-col(cp) == col(keep)["cp"]))
     found = found.where(best)
     single = found.where(col(key).isNull() | (col(ties) == 1)).select(*own)

@@ -10,6 +10,8 @@ so most are dropped after one arrival.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import bounded, col, field_type, fresh, hold_only, key_filter, maybe_in, slices, utf8, written
+from ._shared import KeyFilter, Scratch, bounded, col, field_type, fresh, hold_only, slices, spread_join, utf8, written
 from .byte_pairs import Remembered
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -25,8 +27,11 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
 #: Standard errors below the threshold from which on a pair's share of equal registers is too low to verify it.
 GATE_ERRORS = 4
-#: Times that members of buckets not yet in one component meet another head, before all of them meet.
-HEAD_ROUNDS = 2
+#: Texts that a text may be held against, on average, before buckets not yet in one component draw
+#: another head for their members instead; and times that they do so at most.
+MEETS, HEAD_ROUNDS = 1000, 4
+#: Rows of a bucket that a task holds against as many others.
+BLOCK = 256
 #: Groups of shingles by hash, whose sizes bound what two texts have in common. A power of two up to 256.
 GROUPS = 128
 #: Texts whose shingles are made at a time.
@@ -108,7 +113,7 @@ def stands_alone(n: int, threshold: float) -> bool:
     return n < threshold * (n + 1) - 1e-9
 
 
-def features(docs: DataFrame, width: int, threshold: float, bands: int, rows: int) -> DataFrame:
+def features(docs: DataFrame, width: int, threshold: float, bands: int, rows: int, save: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
     """``(id, key, n, sketch, bands)`` for ``docs (id, text)``: key of the folded text, number of
     distinct shingles, one byte a register, and a hash a band, written to the shared folder."""
     schema = T.StructType(
@@ -147,7 +152,7 @@ def features(docs: DataFrame, width: int, threshold: float, bands: int, rows: in
 
     norm = folded(F.col("text"))
     keyed = docs.select("id", norm.alias("norm")).select("id", text_key(F.col("norm")).alias("key"), "norm")
-    return written(keyed.mapInArrow(run, schema), "near-features")
+    return save(keyed.mapInArrow(run, schema), "features")
 
 
 def _agree(pairs: DataFrame, least: float) -> DataFrame:
@@ -181,25 +186,29 @@ def _similar(pairs: DataFrame, threshold: float) -> DataFrame:
 
 
 class _Near:
-    """One run over ``docs (id, text)``."""
+    """One run over ``docs (id, text)``; its tables are removed together by ``scratch.drop``."""
 
     def __init__(self, docs: DataFrame, width: int, threshold: float, bands: int, rows: int, least: float | None):
         self.docs, self.width, self.threshold = bounded(docs), width, threshold
         self.least = least_agreement(threshold, bands * rows) if least is None else least
-        self.found = features(docs, width, threshold, bands, rows)
+        self.scratch = Scratch(docs.sparkSession, "near")
+        self.save = self.scratch.written
+        self.found = features(docs, width, threshold, bands, rows, self.save)
         # a text's copies are one node from here on
-        self.nodes = written(self.found.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "near-nodes")
-        banded = self.found.select("key", F.explode("bands").alias("band"))
+        first = lambda c: F.first(c).alias(c)
+        self.nodes = self.save(self.found.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), first("n"), first("sketch"), first("bands")), "nodes")
+        banded = self.nodes.select("key", F.explode("bands").alias("band"))
         # each bucket's head is drawn by a hash, so that a text in many buckets meets many heads
         draw = F.struct(F.xxhash64("key", "band").alias("draw"), F.col("key"))
-        buckets = banded.groupBy("band").agg(F.min(draw).alias("head"), F.max(draw).alias("last")).where("head <> last")
-        self.members = written(banded.join(buckets.select("band", F.col("head.key").alias("head")), "band").distinct(), "near-members")
+        heads = banded.groupBy("band").agg(F.min(draw).alias("head"), F.max(draw).alias("last")).where("head <> last").select("band", F.col("head.key").alias("head"))
+        self.members = self.save(spread_join(banded, heads, "band", F.col("key")), "members")
 
     def _likely(self, pairs: DataFrame) -> DataFrame:
-        """Of ``pairs (a, b)`` of keys, those that size and sketch leave possible; written."""
+        """Of a written table ``pairs (a, b)`` of keys, those that size and sketch leave possible; written."""
         node = lambda s: self.nodes.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
-        sized = pairs.join(node("a"), "a").join(node("b"), "b").where((F.least("n_a", "n_b") >= self.threshold * F.greatest("n_a", "n_b") - 1e-9))
-        return written(_agree(sized, self.least), "near-likely")
+        near = F.least("n_a", "n_b") >= self.threshold * F.greatest("n_a", "n_b") - 1e-9
+        sized = spread_join(spread_join(pairs, node("a"), "a", F.col("b")), node("b"), "b", F.col("a"), like=pairs).where(near)
+        return self.save(_agree(sized, self.least), "likely")
 
     def _shingle_sets(self, keys: DataFrame) -> DataFrame:
         """``(key, shingles)`` of the given keys, from the text of one copy of each; written.
@@ -207,8 +216,8 @@ class _Near:
         A filter of bounded size leaves the other texts unread where they are; only the sets of
         those that pass are joined with the keys.
         """
-        wanted = written(keys.distinct().join(self.nodes.select("key", "id"), "key"), "near-wanted")
-        texts = maybe_in(self.docs, F.col("id"), key_filter(wanted, F.col("id"), "near-filter"), "wanted").where("wanted")
+        wanted = self.save(keys.distinct().join(self.nodes.select("key", "id"), "key"), "wanted")
+        texts = KeyFilter(wanted, F.col("id"), self.save).maybe(self.docs, F.col("id"), "wanted").where("wanted")
         norms = texts.select("id", folded(F.col("text")).alias("norm")).select(text_key(F.col("norm")).alias("key"), "id", "norm")
         schema = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("id", field_type(self.docs, "id")), T.StructField("shingles", T.BinaryType())])
         width = self.width
@@ -219,11 +228,12 @@ class _Near:
 
         made = norms.select("key", "id", "norm").mapInArrow(run, schema)
         exact = made.join(wanted.select(F.col("key").alias("k"), F.col("id").alias("i")), (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left_semi")
-        return written(exact.select("key", "shingles").dropDuplicates(["key"]), "near-sets")
+        return self.save(exact.select("key", "shingles").dropDuplicates(["key"]), "sets")
 
     def _verified(self, likely: DataFrame, sets: DataFrame) -> DataFrame:
         side = lambda s: sets.select(F.col("key").alias(s), F.col("shingles").alias(f"set_{s}"))
-        return written(_similar(likely.join(side("a"), "a").join(side("b"), "b"), self.threshold), "near-links")
+        both = spread_join(spread_join(likely, side("a"), "a", F.col("b")), side("b"), "b", F.col("a"), like=likely)
+        return self.save(_similar(both, self.threshold), "links")
 
     def links(self) -> DataFrame:
         """Verified pairs that connect all that are near.
@@ -234,30 +244,63 @@ class _Near:
         in common is at most what each has in common with any text of those buckets, counted in
         all or by groups of shingles.
         """
-        stars = self.members.where("key <> head").select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct()
+        stars = self.save(self.members.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct(), "stars")
         likely = self._likely(stars)
         links = self._verified(likely, self._shingle_sets(likely.select(F.explode(F.array("a", "b")).alias("key"))))
-        roots = components(links)
+        roots = components(links, self.save)
         placed = self.members.join(roots, self.members["key"] == roots["node"], "left").select("band", "key", F.coalesce("root", "key").alias("root"))
+        placed = self.save(placed, "placed")
         mixed = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
-        open_ = written(placed.join(mixed, "band"), "near-open")
+        open_ = self.save(spread_join(placed, mixed, "band", F.col("key")), "open")
         sets = self._shingle_sets(open_.select("key"))
-        sizes = written(_shared_sizes(sets).where(F.col("s") >= self.threshold * F.col("n") - 1e-9), "near-sizes")
-        rows = written(open_.join(sizes, "key"), "near-rows")
-        # other heads join most of what belongs together, before all that is still apart is compared
+        sizes = self.save(_shared_sizes(sets).where(F.col("s") >= self.threshold * F.col("n") - 1e-9), "sizes")
+        rows = self.save(open_.join(sizes, "key"), "rows")
         for turn in range(HEAD_ROUNDS):
+            split = self.save(_split(rows), "split")
+            met = split.agg(F.sum(F.col("few").cast("double") * F.col("all"))).first()[0] or 0
+            if met <= MEETS * rows.count():
+                break
+            # other heads join most of what belongs together, before all that is still apart is compared
             heads = rows.groupBy("band").agg(F.min(F.struct(F.xxhash64("key", "band", F.lit(turn)).alias("draw"), "key", "root", "n", "s", "groups")).alias("h"))
-            met = rows.join(heads, "band").where(F.col("root") != F.col("h.root")).where(_enough(self.threshold, *map(F.col, ("n", "s", "groups", "h.n", "h.s", "h.groups"))))
-            again = met.select(F.least("key", "h.key").alias("a"), F.greatest("key", "h.key").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-            stars = written(stars.unionByName(again), "near-stars")
-            links = written(links.unionByName(self._verified(self._likely(again), sets)), "near-links")
-            roots = components(links)
-            rows = written(rows.drop("root").join(roots, F.col("key") == F.col("node"), "left").select("band", "key", "n", "s", "groups", F.coalesce("root", "key").alias("root")), "near-rows")
-        side = lambda s: rows.select("band", F.col("key").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("root", "n", "s", "groups")))
-        enough = _enough(self.threshold, *map(F.col, ("n_a", "s_a", "groups_a", "n_b", "s_b", "groups_b")))
-        across = side("a").join(side("b"), "band").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & enough).select("a", "b").distinct()
-        more = self._verified(self._likely(across.join(stars, ["a", "b"], "left_anti")), sets)
-        return links.unionByName(more)
+            apart = (F.col("root") != F.col("h.root")) & _enough(self.threshold, *map(F.col, ("n", "s", "groups", "h.n", "h.s", "h.groups")))
+            found = spread_join(rows, heads, "band", F.col("key")).where(apart).select(F.col("h.key").alias("a"), F.col("key").alias("b")).distinct()
+            again = self.save(found.join(stars, ["a", "b"], "left_anti"), "again")
+            stars = self.save(stars.unionByName(again), "stars")
+            links = self.save(links.unionByName(self._verified(self._likely(again), sets)), "links")
+            roots = components(links, self.save)
+            rows = self.save(rows.drop("root").join(roots, F.col("key") == F.col("node"), "left").select("band", "key", "n", "s", "groups", F.coalesce("root", "key").alias("root")), "rows")
+            split = self.save(_split(rows), "split")
+        across = self.save(_across(rows, split, self.threshold), "across")
+        held = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more = self._verified(self._likely(self.save(across.join(held, ["a", "b"], "left_anti"), "apart")), sets)
+        return self.save(links.unionByName(more), "links")
+
+
+def _split(rows: DataFrame) -> DataFrame:
+    """``(band, top, few, all)`` of buckets with several components: the root of the largest, the
+    number of texts outside it, and of all texts."""
+    counts = rows.groupBy("band", "root").agg(F.count("*").alias("c")).groupBy("band").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("all"))
+    return counts.where("top.c < all").select("band", F.col("top.root").alias("top"), (F.col("all") - F.col("top.c")).alias("few"), "all")
+
+
+def _across(rows: DataFrame, split: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b)``: pairs of a bucket, in different components, that may reach the threshold.
+
+    Of two such texts one at least is outside the bucket's largest component; only these texts are
+    held against the others. Both sides of a bucket are dealt into blocks of about ``BLOCK`` rows, and
+    each pair of blocks is a key of its own, so that a large bucket is work for many tasks.
+    """
+    split = split.select("band", "top", *(F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("few", "all")))
+    dealt = spread_join(rows, split, "band", F.col("key"))
+    block = lambda salt, n: F.pmod(F.xxhash64("key", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("key", "root", "n", "s", "groups")]
+    few = dealt.where("root <> top").select("band", block(1, "few").alias("i"), every("all").alias("j"), *side("a"))
+    others = dealt.select("band", block(2, "all").alias("j"), every("few").alias("i"), (F.col("root") == F.col("top")).alias("in_top"), *side("b"))
+    once = F.col("in_top") | (F.col("key_a") < F.col("key_b"))
+    enough = _enough(threshold, *(F.col(f"{c}_{s}") for s in "ab" for c in ("n", "s", "groups")))
+    met = few.join(others, ["band", "i", "j"]).where((F.col("root_a") != F.col("root_b")) & once & enough)
+    return met.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
 
 
 def _enough(threshold: float, n_a: Column, s_a: Column, groups_a: Column, n_b: Column, s_b: Column, groups_b: Column) -> Column:
@@ -295,21 +338,22 @@ def _longs(data: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.expr("octet_length(shingles) div 8") - 1), lambda i: F.substring(data, i * 8 + 1, F.lit(8)))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, save: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
     """``(node, root)``: of each node in ``links (a, b)``, the smallest node of its component.
 
     Large-star and small-star steps in turn: each links the neighbours of a node to the smallest of
-    them, until nothing changes. Each round's edges are written, so lost executors cost one round.
+    them, until nothing changes. Each round's edges are written, so lost executors cost one round;
+    nodes with very many neighbours are dealt over tasks.
     """
-    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges")
+    edges = save(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = save(spread_join(both, low, "u", F.col("v")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = written(small, "cc-edges")
+        small = spread_join(large, low, "u", F.col("v")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        edges = save(small.where("u <> v").distinct(), "edges")
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -317,11 +361,16 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _run(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: float, bands: int, rows: int, least: float | None) -> tuple[_Near, DataFrame]:
+    """The run, and ``(key, root, class_id, class_size, best)`` of each text: ``best`` if the row that
+    stays is one of its copies."""
     near = _Near(docs.select(col(id_col).alias("id"), col(text_col).alias("text")), width, threshold, bands, rows, least)
-    roots = components(near.links())
-    placed = written(near.nodes.join(roots, near.nodes["key"] == roots["node"], "left").select("key", "id", "copies", F.coalesce("root", "key").alias("root")), "near-placed")
-    classes = placed.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
-    return near, placed.join(classes, "root").select("key", "root", F.col("id").alias("first_id"), "class_id", "class_size")
+    roots = components(near.links(), near.save)
+    placed = near.save(near.nodes.join(roots, near.nodes["key"] == roots["node"], "left").select("key", "id", "copies", F.coalesce("root", "key").alias("root")), "placed")
+    # the smallest id, nulls last, and of texts that share it the smallest key
+    first = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key"))
+    classes = placed.groupBy("root").agg(F.min(first).alias("first"), F.sum("copies").alias("class_size"))
+    joined = spread_join(placed, classes, "root", F.col("key"))
+    return near, joined.select("key", "root", F.col("first.id").alias("class_id"), "class_size", (F.col("key") == F.col("first.key")).alias("best"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, least: float | None = None) -> DataFrame:
@@ -339,31 +388,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     verified, follows from ``threshold`` if not given.
     """
     near, placed = _run(docs, id_col, text_col, width, threshold, bands, rows, least)
-    rows_ = near.found.select("id", "key").join(placed.select("key", "root", "class_id", "class_size"), "key")
-    return rows_.select(F.col("id").alias(id_col), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), F.lower(F.hex("root")).alias("class_key"))
+    told = spread_join(near.found.select("id", "key"), placed, "key", F.col("id"))
+    out = written(told.select(F.col("id").alias(id_col), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), F.lower(F.hex("root")).alias("class_key")), "near-classes")
+    near.scratch.drop()
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, least: float | None = None) -> DataFrame:
     """One row of each class, with its own columns: that with the smallest id."""
     near, placed = _run(docs, id_col, text_col, width, threshold, bands, rows, least)
-    # of keys of a class that share its smallest id, one stays; other classes may have the same smallest id
-    best = placed.where(F.col("first_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min("key").alias("best"))
-    counts = near.found.groupBy("id", "key").agg(F.count("*").alias("times"))
-    told = counts.join(placed.select("key", "root", "class_id"), "key").join(best, "root")
-    return _keep_rows(docs, id_col, text_col, told)
+    counts = near.save(near.found.groupBy("id", "key").agg(F.count("*").alias("times")), "counts")
+    told = spread_join(counts, placed, "key", F.col("id"))
+    stays = F.col("best") & F.col("id").eqNullSafe(F.col("class_id"))
+    odd = written(told.select("id", "key", "times", stays.alias("stays")).where("NOT stays OR times > 1"), "near-odd")
+    near.scratch.drop()
+    return _keep_rows(docs, id_col, text_col, odd)
 
 
-def _keep_rows(docs: DataFrame, id_col: str, text_col: str, told: DataFrame) -> DataFrame:
-    """The rows that stay: all but those that are told to go, and one of repeated ones.
+def _keep_rows(docs: DataFrame, id_col: str, text_col: str, odd: DataFrame) -> DataFrame:
+    """The rows that stay: all but those of ``odd`` that are told to go, and one of repeated ones.
 
     Only rows that a filter of bounded size takes for such rows are shuffled.
     """
-    stays = F.col("id").eqNullSafe(F.col("class_id")) & (F.col("best") == F.col("key"))
-    odd = written(told.select("id", "key", "times", stays.alias("stays")).where("NOT stays OR times > 1"), "near-odd")
     key, flag = fresh(docs, "sf_key", "sf_flag")
     rows = docs.withColumn(key, text_key(folded(col(text_col))))
     pair = lambda i, k: F.struct(i.alias("i"), k.alias("k"))
-    rows = maybe_in(rows, pair(col(id_col), col(key)), key_filter(odd, pair(F.col("id"), F.col("key")), "near-again"), flag)
+    rows = KeyFilter(odd, pair(F.col("id"), F.col("key"))).maybe(rows, pair(col(id_col), col(key)), flag)
     own = list(map(col, docs.columns))
     marks = odd.select(F.col("id").alias("sf_odd_id"), F.col("key").alias("sf_odd_key"), F.col("stays").alias("sf_odd_stays"))
     names = dict(zip(marks.columns, fresh(rows, *marks.columns), strict=True))

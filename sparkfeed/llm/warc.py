@@ -20,15 +20,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import bounded, col, key_filter, maybe_in, scratch_path, slices, written
+from ._shared import KeyFilter, Scratch, bounded, col, scratch_path, slices, spread_join
 
 #: Fields of a header line by ARC version, as its version block names them (fixed values).
 ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
-#: Bytes of payload after which a new ARC file is begun, and WARC records in a file at most.
-ARC_BYTES, WARC_RECORDS = 4 << 20, 4000
+#: Bytes after which a new ARC file is begun, and those of compressed records after which a WARC file is.
+ARC_BYTES, WARC_BYTES = 4 << 20, 32 << 20
+#: An empty gzip member, as the text that ends a line of Spark's text sink in the charset of bytes.
+_NO_MEMBER = gzip.compress(b"", mtime=0).decode("latin-1")
 #: The HTTP header by which a record carries the id of the row that it was made of.
 ID_HEADER = b"X-Source-Id"
 
@@ -75,6 +77,7 @@ def pack_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
 
     The columns are those of Spark's ``binaryFile`` source, so ``convert_arc`` reads either. Null
     html is an empty payload, a null url is ``about:blank``; a null id leaves out the id header.
+    Repeated rows are records of their own, other columns are ignored; an empty table gives no file.
     """
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("content", T.BinaryType())])
 
@@ -210,26 +213,36 @@ def convert_arc(files: DataFrame, payload: bool = True) -> DataFrame:
     return bounded(files.select("path", "content")).mapInArrow(run, schema)
 
 
-def mark_revisits(records: DataFrame, heads: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``records`` with ``refers_id`` and ``refers_record``: of equal payloads of at least
-    ``min_bytes``, the record with the smallest source id is the one that others revisit.
+def mark_revisits(records: DataFrame, min_bytes: int = 0, scratch: Scratch | None = None) -> DataFrame:
+    """``records``, a written table of ``convert_arc``, with ``refers_id`` and ``refers_record``: of equal
+    payloads of at least ``min_bytes``, the record with the smallest source id is the one that others
+    revisit. Revisits come without payload. Version blocks and errors are left out.
 
-    ``heads`` are the same records without payload: what is grouped, summed up before the shuffle.
     Ids compare as numbers where they are such; null ids come last, and where all are null nothing
-    is a revisit. Repeated rows of the smallest id are all responses.
+    is a revisit. Repeated rows of the smallest id are all responses. Columns that are not those of
+    ``convert_arc`` are left out; an empty table gives no rows.
+
+    What is a revisit is found without payloads. Payloads stay where they are, but for the few that
+    two filters of bounded size can't tell from those of revisits.
     """
+    save = (scratch or Scratch(records.sparkSession, "revisits")).written
+    rows = records.select(*RECORD.names).where("error IS NULL AND warc_type <> 'warcinfo'")
     order = F.struct(F.col("source_id").isNull().alias("none"), F.expr("try_cast(source_id AS bigint)").alias("number"), F.col("source_id").alias("id"), F.col("record_id").alias("record"))
-    firsts = heads.where("warc_type = 'response'").groupBy("payload_digest").agg(F.min(order).alias("first"), F.count("*").alias("n"))
-    # most payloads are met once; only the others need a partner
-    firsts = written(firsts.where("n > 1").select("payload_digest", F.col("first.id").alias("first_id"), F.col("first.record").alias("first_record")), "warc-firsts")
-    bits = key_filter(firsts, F.col("payload_digest"), "warc-again")
-    again = (F.col("payload_bytes") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("source_id").eqNullSafe(F.col("first_id"))
-    rows = maybe_in(records.where("error IS NULL AND warc_type <> 'warcinfo'"), F.col("payload_digest"), bits, "again")
-    joined = rows.where("again").join(firsts, "payload_digest", "left")
-    linked = joined.select(*records.columns, F.when(again, F.col("first_id")).alias("refers_id"), F.when(again, F.col("first_record")).alias("refers_record"))
-    # payloads met once are written where they are
+    long_enough = rows.where((F.col("warc_type") == "response") & (F.col("payload_bytes") >= min_bytes))
+    firsts = long_enough.groupBy("payload_digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1 AND first.id IS NOT NULL")
+    firsts = save(firsts.select("payload_digest", F.col("first.id").alias("refers_id"), F.col("first.record").alias("refers_record")), "firsts")
+    heads = KeyFilter(firsts, F.col("payload_digest"), save).maybe(rows.drop("payload").where(F.col("payload_bytes") >= min_bytes), F.col("payload_digest"), "shared")
+    heads = save(heads.where("shared").drop("shared"), "heads")
+    revisits = spread_join(heads, firsts, "payload_digest", F.col("record_id")).where(~F.col("source_id").eqNullSafe(F.col("refers_id")))
+    revisits = save(revisits.withColumn("payload", F.lit(None).cast("binary")).select(*RECORD.names, "refers_id", "refers_record"), "revisits")
+    maybe = KeyFilter(revisits, F.col("record_id"), save)
+    # records that the first filter takes for revisits, but are none
+    others = save(maybe.maybe(rows.select("record_id"), F.col("record_id"), "taken").where("taken").join(revisits.select("record_id"), "record_id", "left_anti").select("record_id"), "others")
+    told = KeyFilter(others, F.col("record_id"), save).maybe(maybe.maybe(rows, F.col("record_id"), "taken"), F.col("record_id"), "other")
+    back = told.where("taken AND other").join(others.distinct(), "record_id", "left_semi")
     none = F.lit(None).cast("string")
-    return linked.unionByName(rows.where("NOT again").select(*records.columns, none.alias("refers_id"), none.alias("refers_record")))
+    kept = told.where("NOT taken").select(*RECORD.names).unionByName(back.select(*RECORD.names))
+    return kept.select(*RECORD.names, none.alias("refers_id"), none.alias("refers_record")).unionByName(revisits)
 
 
 def warc_record(row: dict) -> bytes:
@@ -257,27 +270,36 @@ def warcinfo_record() -> bytes:
     return head.encode() + body
 
 
-def write_warc(records: DataFrame, path: str, per_file: int = WARC_RECORDS) -> None:
-    """Writes the rows of ``mark_revisits`` as gzipped WARC files, each with a warcinfo record first.
+def write_warc(records: DataFrame, path: str, file_bytes: int = WARC_BYTES) -> None:
+    """Writes the rows of ``mark_revisits`` as WARC files, each with a warcinfo record first and each
+    record a gzip member of its own, so that readers may seek to one.
 
-    Spark's text sink writes the bytes as they are, with two line ends after each record; its commit
-    protocol sees to it that a lost task leaves no half file.
+    A file is closed once its records have ``file_bytes``, so only one longer record makes it longer
+    by more than that. Spark's text sink writes the bytes as they are, a line a file, and an empty gzip
+    member after it; its commit protocol sees to it that a lost task leaves no half file. Repeated
+    rows are written as often as they are there; other columns are ignored; an empty table gives an
+    empty folder.
     """
 
     def run(batches):
-        n = 0
+        def member(record: bytes) -> bytes:
+            return gzip.compress(record + b"\r\n\r\n", 6, mtime=0)
+
+        def file(out: bytearray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([bytes(out)], pa.binary())], names=["value"])
+
+        out = bytearray()
         for batch in slices(batches, 64):
-            out = []
             for row in batch.to_pylist():
-                if n % per_file == 0:
-                    out.append(warcinfo_record())
-                    n += 1
-                out.append(warc_record(row))
-                n += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                out += (b"" if out else member(warcinfo_record())) + member(warc_record(row))
+                if len(out) >= file_bytes:
+                    yield file(out)
+                    out = bytearray()
+        if out:
+            yield file(out)
 
-    lines = bounded(records).mapInArrow(run, T.StructType([T.StructField("value", T.BinaryType())])).select(F.col("value").cast("string"))
-    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    made = bounded(records.select(*RECORD.names, "refers_id", "refers_record")).mapInArrow(run, T.StructType([T.StructField("value", T.BinaryType())]))
+    made.select(F.col("value").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", _NO_MEMBER).option("maxRecordsPerFile", 1).text(path)
 
 
 READ = T.StructType(
@@ -340,10 +362,16 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     return bounded(files.select("content")).mapInArrow(run, schema)
 
 
-def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, path: str | None = None) -> DataFrame:
+def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, path: str | None = None, file_bytes: int = WARC_BYTES) -> DataFrame:
     """Pages through ARC files into WARC files at ``path`` (by default in the shared folder), and the
-    records as read back from there."""
-    path = path or scratch_path(pages.sparkSession, "warc")
-    arc = pack_arc(pages, id_col, url_col, html_col)
-    write_warc(mark_revisits(convert_arc(arc), convert_arc(arc, payload=False), min_bytes), path)
-    return read_warc(pages.sparkSession, path, payload=False)
+    records as read back from there.
+
+    Each row gives a record, repeated ones and those with null id, url or html too; other columns
+    are ignored, whatever their names; an empty table gives no records.
+    """
+    spark = pages.sparkSession
+    path, scratch = path or scratch_path(spark, "warc"), Scratch(spark, "arc")
+    records = scratch.written(convert_arc(pack_arc(pages, id_col, url_col, html_col)), "records")
+    write_warc(mark_revisits(records, min_bytes, scratch), path, file_bytes)
+    scratch.drop()
+    return read_warc(spark, path, payload=False)
