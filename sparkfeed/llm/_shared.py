@@ -125,8 +125,9 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, by: Column, how: st
 
     A key with more than a thousandth of the rows of ``left`` (``HOT_ROWS`` at least) is hot: its rows
     are dealt by a hash of ``by`` into slices of about that many, and its one row of ``right`` is
-    copied to each. There are 1,000 hot keys at most, whatever the size of ``left``, so their table is
-    broadcast. Keys are counted in ``like``, a written table with the keys of ``left`` or ``left`` itself.
+    copied to each. There are 1,000 hot keys at most, whatever the size of ``left``, so they may come
+    to the driver and be broadcast; without any it is a plain join. Keys are counted in ``like``, a
+    written table with the keys of ``left``, or ``left`` itself.
     """
     like = left if like is None else like
     rows = like.count()
@@ -134,7 +135,12 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, by: Column, how: st
         return left.join(right, key, how)
     most = max(HOT_ROWS, rows // 1000)
     hot_key, n, at, at_right, key_right = fresh(left.crossJoin(right.drop(key)), "sf_hot", "sf_n", "sf_slice", "sf_slice_right", "sf_key_right")
-    hot = like.groupBy(col(key).alias(hot_key)).agg(F.count("*").alias(n)).where((col(n) > most) & col(hot_key).isNotNull()).select(hot_key, F.ceil(col(n) / most).cast("int").alias(n))
+    counts = like.groupBy(col(key).alias(hot_key)).agg(F.count("*").alias(n)).where((col(n) > most) & col(hot_key).isNotNull())
+    hot = counts.select(hot_key, F.ceil(col(n) / most).cast("int").alias(n))
+    found = hot.collect()
+    if not found:
+        return left.join(right, key, how)
+    hot = left.sparkSession.createDataFrame(found, hot.schema)
     count = F.coalesce(col(n), F.lit(1))
     marked = lambda df: df.join(F.broadcast(hot), col(key) == col(hot_key), "left").drop(hot_key)
     dealt = marked(left).withColumn(at, F.pmod(F.xxhash64(by), count).cast("int")).drop(n)

@@ -198,8 +198,8 @@ class _Near:
         first = lambda c: F.first(c).alias(c)
         self.nodes = self.save(self.found.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), first("n"), first("sketch"), first("bands")), "nodes")
         banded = self.nodes.select("key", F.explode("bands").alias("band"))
-        # each bucket's head is drawn by a hash, so that a text in many buckets meets many heads
-        draw = F.struct(F.xxhash64("key", "band").alias("draw"), F.col("key"))
+        # heads are drawn by a hash in one of two ways, so that a text in many buckets meets few heads, but not always the same one
+        draw = F.struct(F.xxhash64("key", F.col("band").bitwiseAND(F.lit(1))).alias("draw"), F.col("key"))
         heads = banded.groupBy("band").agg(F.min(draw).alias("head"), F.max(draw).alias("last")).where("head <> last").select("band", F.col("head.key").alias("head"))
         self.members = self.save(spread_join(banded, heads, "band", F.col("key")), "members")
 
