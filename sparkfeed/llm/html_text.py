@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from itertools import accumulate, count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,18 +41,18 @@ _HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 #: What an end tag may not close beyond.
 _END_SCOPE = {"li": LISTS | _SCOPE, "td": frozenset(["table"]), "th": frozenset(["table"]), "tr": frozenset(["table"])}
 
-_TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
-    r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
+_COMMENT = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)", re.S)
+_END_TAG = re.compile(r"</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)")
+_NAME = re.compile(r"<([a-zA-Z][^\s/>]*)")
+_QUOTED = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 #: Widest cell that others of its column are aligned to.
 WIDEST = 40
-#: Open elements; deeper start tags stay on this level.
-DEEPEST = 512
+#: Deepest indent of a line, and place in it up to which cells are aligned, so that a page's text
+#: stays in proportion to the page.
+INDENT, ALIGNED = 80, 400
 
 
 class Node:
@@ -61,60 +62,115 @@ class Node:
         self.tag, self.attrs, self.kids = tag, attrs, []
 
 
+class _Open:
+    """The open elements, and for each tag the places of those that have it."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+
+    @property
+    def top(self) -> Node:
+        return self.nodes[-1]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def pop(self) -> None:
+        self.places[self.nodes.pop().tag].pop()
+
+    def _last(self, tags: frozenset[str]) -> int:
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def close(self, tags: frozenset[str], stop: frozenset[str]) -> None:
+        """Ends the innermost element of ``tags`` and all in it, unless one of ``stop`` is further in."""
+        at = self._last(tags)
+        if at and at >= self._last(stop):
+            while len(self.nodes) > at:
+                self.pop()
+
+
+class _Tags:
+    """Markup of a page, from its start on; looking at all of it takes time in proportion to its length.
+
+    A start tag ends at the first ``>`` outside quotes. One whose quotes or tag don't end before the
+    page does is taken to end at its first ``>``, as are those after it up to the quote that has no
+    partner; so the page is read to its end for that no more than once a kind of quote.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.last, self.plain_to = html, html.rfind(">"), 0
+
+    def at(self, place: int) -> tuple[str, str, str, int] | None:
+        """``(kind, name, attributes, end)`` of the markup at a ``<``, or None if it is text."""
+        html = self.html
+        kind = html[place + 1 : place + 2]
+        if kind in ("!", "?"):
+            return "", "", "", _COMMENT.match(html, place).end()
+        if kind == "/":
+            m = _END_TAG.match(html, place)
+            return ("/", m[1], "", m.end()) if m else None
+        if place > self.last or not (m := _NAME.match(html, place)):
+            return None
+        start = m.end()
+        if start >= self.plain_to:
+            end = _QUOTED.match(html, start).end()
+            if html[end : end + 1] == ">":
+                return "<", m[1], html[start:end], end + 1
+            self.plain_to = end
+        end = html.find(">", start)
+        return ("<", m[1], html[start:end], end + 1) if end >= 0 else None
+
+
 def parse(html: str) -> Node:
     """The tree of a page; every input gives one, as browsers do."""
     root = Node("html", {})
-    open_: list[Node] = [root]
+    open_, tags = _Open(root), _Tags(html)
     at, n = 0, len(html)
 
     def text(s: str) -> None:
         if s:
-            open_[-1].kids.append(unescape(s) if "&" in s else s)
-
-    def close(tags: frozenset[str], stop: frozenset[str]) -> None:
-        for k in range(len(open_) - 1, 0, -1):
-            if open_[k].tag in tags:
-                del open_[k:]
-                return
-            if open_[k].tag in stop:
-                return
+            open_.top.kids.append(unescape(s) if "&" in s else s)
 
     while at < n:
-        m = _TOKEN.search(html, at)
-        if m is None:
+        place, found = at, None
+        while (place := html.find("<", place)) >= 0 and (found := tags.at(place)) is None:
+            place += 1
+        if found is None:
             text(html[at:])
             break
-        text(html[at : m.start()])
-        at = m.end()
-        if m[1]:
-            tag = m[1].lower()
+        text(html[at:place])
+        kind, tag, attributes, at = found
+        if not kind:
+            continue  # a comment or declaration
+        tag = tag.lower()
+        if kind == "/":
             if tag == "br":
-                open_[-1].kids.append(Node("br", {}))
+                open_.top.kids.append(Node("br", {}))
             elif tag in _HEADINGS:
-                close(_HEADINGS, _SCOPE)
+                open_.close(_HEADINGS, _SCOPE)
             elif tag not in ("html", "body"):
-                close(frozenset([tag]), _END_SCOPE.get(tag, _SCOPE - {tag}) if tag not in ("table", "tbody", "thead", "tfoot") else frozenset())
+                open_.close(frozenset([tag]), _END_SCOPE.get(tag, _SCOPE - {tag}) if tag not in ("table", "tbody", "thead", "tfoot") else frozenset())
             continue
-        tag = m[2] or m[4]
-        if not tag:
-            continue  # a comment or declaration
-        tag = tag.lower()
-        found = m[3] if m[2] else m[5]
-        attrs = {a[1].lower(): unescape(a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(found)} if found and not found.isspace() else {}
+        attrs: dict[str, str] = {}
+        if attributes and not attributes.isspace():
+            for a in _ATTRIBUTE.finditer(attributes):
+                attrs.setdefault(a[1].lower(), unescape(a[2] or a[3] or a[4] or ""))
         if tag == "html":
             root.attrs = attrs | root.attrs
             continue
         if tag in IMPLIES_END:
-            close(*IMPLIES_END[tag])
-        elif tag not in UNSEEN and tag not in VOID and open_[-1].tag == "head":
+            open_.close(*IMPLIES_END[tag])
+        elif tag not in UNSEEN and tag not in VOID and open_.top.tag == "head":
             open_.pop()  # visible content ends the head
         if tag in _CLOSES_P:
-            close(frozenset(["p"]), _SCOPE)
-        if tag in ("td", "th") and open_[-1].tag in ("table", "thead", "tbody", "tfoot"):
-            open_[-1].kids.append(row := Node("tr", {}))
-            open_.append(row)
+            open_.close(frozenset(["p"]), _SCOPE)
+        if tag in ("td", "th") and open_.top.tag in ("table", "thead", "tbody", "tfoot"):
+            row = Node("tr", {})
+            open_.top.kids.append(row)
+            open_.push(row)
         node = Node(tag, attrs)
-        open_[-1].kids.append(node)
+        open_.top.kids.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             body = html[at : end.start()] if end else html[at:]
@@ -123,8 +179,8 @@ def parse(html: str) -> Node:
                 body = unescape(body)
             if body:
                 node.kids.append(body)
-        elif tag not in VOID and len(open_) < DEEPEST:
-            open_.append(node)
+        elif tag not in VOID:
+            open_.push(node)
     return root
 
 
@@ -169,9 +225,10 @@ class _Lines:
         if self.gap and self.lines:
             self.lines.extend([""] * self.gap)
         self.gap = 0
-        pad = " " * self.indent
+        indent = min(self.indent, INDENT)
+        pad = " " * indent
         if self.mark is not None:
-            pad, self.mark = " " * max(0, self.indent - len(self.mark)) + self.mark, None
+            pad, self.mark = " " * max(0, indent - len(self.mark)) + self.mark, None
         self.lines.append(pad + text if text else pad.rstrip())
 
     def block(self, spaced: bool) -> None:
@@ -198,26 +255,34 @@ class _Lines:
 
 
 def _laid_out(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Rows of cells ``(text, span)`` as lines, columns aligned; cells of several lines go below each other."""
+    """Rows of cells ``(text, span)`` as lines, columns aligned; cells of several lines go below each other.
+
+    A column is a place where some cell starts; cells are aligned up to the place ``ALIGNED`` of a line.
+    """
     widths: dict[int, int] = {}
+    placed = []
     for row in rows:
-        at = 0
-        for cell, span in row:
-            if span == 1:
-                widths[at] = max(widths.get(at, 0), min(WIDEST, max(map(len, cell.split("\n")))))
+        at, cells = 0, []
+        for text, span in row:
+            lines = text.split("\n")
+            widths[at] = max(widths.get(at, 0), min(WIDEST, max(map(len, lines))) if span == 1 else 0)
+            cells.append((at, lines))
             at += span
+        placed.append(cells)
+    starts = dict(zip(sorted(widths), accumulate((widths[c] + 2 for c in sorted(widths)), initial=0)))
     out = []
-    for row in rows:
-        cells = [(cell.split("\n"), span) for cell, span in row]
-        for k in range(max((len(c) for c, _ in cells), default=0)):
-            line, at, due = "", 0, 0
-            for lines, span in cells:
-                part = lines[k] if k < len(lines) else ""
-                if part:
-                    line += " " * max(0 if not line else 2, due - len(line)) + part if line or due else part
-                at += span
-                due = sum(widths.get(c, 0) + 2 for c in range(at))
-            out.append(line.rstrip())
+    for cells in placed:
+        for k in count():
+            cells = [c for c in cells if k < len(c[1])]
+            if not cells:
+                break
+            line, length = [], 0
+            for at, lines in cells:
+                if lines[k]:
+                    pad = max(2 if line else 0, min(starts[at], ALIGNED) - length)
+                    line.append(" " * pad + lines[k])
+                    length += pad + len(lines[k])
+            out.append("".join(line).rstrip())
     return out
 
 
@@ -326,7 +391,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     """``(id, text)``: the visible text of each page.
 
     Null and empty pages give an empty text; null or repeated ids give a row each; other columns are
-    ignored. Any input gives a text: unclosed tags, comments and quotes end with the page. No shuffle.
+    ignored. Any input gives a text: unclosed tags, comments and quotes end with the page. A page takes
+    time and memory in proportion to its length, however deep its elements are. No shuffle.
     """
     schema = T.StructType([T.StructField("id", field_type(pages, id_col)), T.StructField("text", T.StringType())])
 
