@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._shared import bounded, col, field_type, slices, utf8
-from .license_rules import BASE_PHRASES, SIGNATURES, base_rules, compile_rules
+from .license_rules import BASE_PHRASES, KINDS, SIGNATURES, base_rules, compile_rules
 
+#: Priority of rules that merely point to a licence.
+HINT = KINDS["hint"][0]
 #: Bytes that are no part of a word become a space; A-Z become lower case.
 _FOLD = bytes(32 if b < 0x30 or 0x3A <= b < 0x41 or 0x5B <= b < 0x61 or 0x7B <= b < 0x80 else b + 32 if 0x41 <= b < 0x5B else b for b in range(256))
 
@@ -44,26 +46,39 @@ def _rules(signatures: str, phrases: tuple):
 def resolve(found: list[tuple]) -> list[dict]:
     """Detections ``(first, end, order, rule)``, with those marked that overlaps leave standing.
 
-    In order of priority, then length, then place, then the table's order, a detection stands
-    unless its interval lies within that of one standing, or overlaps one of a better priority.
+    A detection whose interval lies within that of another gives way to it, but no licence to a mere
+    hint; of equal intervals the better priority stands, then the table's order. What is left stands,
+    in order of priority, then length, then place, unless it overlaps one of a better priority.
     """
-    out, standing = [], []
-    for first, end, _, rule in sorted(found, key=lambda d: (d[3].priority, d[0] - d[1], d[0], d[2])):
+    within = sorted(range(len(found)), key=lambda k: (found[k][0], -found[k][1], found[k][3].priority, found[k][2]))
+    reach = {True: -1, False: -1}  # how far earlier detections go: hints too, and licences alone
+    outer = []
+    for k in within:
+        _, end, _, rule = found[k]
+        hint = rule.priority == HINT
+        if end > reach[hint]:
+            outer.append(k)
+        reach[True] = max(reach[True], end)
+        if not hint:
+            reach[False] = max(reach[False], end)
+    # a hint is no longer than what it gives way to, unless it was met first
+    standing, stands = [], set()
+    for k in sorted(outer, key=lambda k: (found[k][3].priority, found[k][0] - found[k][1], found[k][0], found[k][2])):
+        first, end, _, rule = found[k]
         at = bisect_left(standing, (first,))
-        # those that stand don't contain each other, so their ends are in the order of their starts
-        near = standing[max(0, at - 1) : at + 1]
-        k = at - 1
-        while k > 0 and standing[k - 1][1] > first:
-            k -= 1
-            near.append(standing[k])
-        k = at + 1
-        while k < len(standing) and standing[k][0] < end:
-            near.append(standing[k])
-            k += 1
-        kept = not any(a <= first and end <= b or a < end and first < b and p < rule.priority for a, b, p in near)
-        if kept:
+        near = []
+        i = at - 1
+        while i >= 0 and standing[i][1] > first:
+            near.append(standing[i])
+            i -= 1
+        i = at
+        while i < len(standing) and standing[i][0] < end:
+            near.append(standing[i])
+            i += 1
+        if not any(p < rule.priority for _, _, p in near):
             standing.insert(at, (first, end, rule.priority))
-        out.append({"label": rule.label, "rule": rule.name, "first_word": first, "end_word": end, "priority": rule.priority, "confidence": rule.confidence, "kept": kept})
+            stands.add(k)
+    out = [{"label": r.label, "rule": r.name, "first_word": a, "end_word": b, "priority": r.priority, "confidence": r.confidence, "kept": k in stands} for k, (a, b, _, r) in enumerate(found)]
     return sorted(out, key=lambda d: (d["first_word"], d["end_word"], d["rule"]))
 
 
@@ -83,14 +98,17 @@ def scan(text: bytes, rules, by_keyword, keywords) -> tuple[int, list[dict]]:
             if starts is None:
                 starts = list(accumulate((len(w) + 1 for w in words), initial=1))
             found.append((bisect_left(starts, m.start()), bisect_left(starts, m.end() + 1), k, rule))
-    return len(words), resolve(found)
+    base = [d for d in found if d[3].priority == 0]
+    plain = [{"label": r.label, "rule": r.name, "first_word": a, "end_word": b, "priority": 0, "confidence": r.confidence, "kept": True} for a, b, _, r in base]
+    return len(words), plain + resolve([d for d in found if d[3].priority > 0])
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", signatures: str = SIGNATURES, phrases: dict[str, str] = BASE_PHRASES) -> DataFrame:
     """``(id, n_words, detections)``: what the rules find in each whole text, in word positions.
 
     ``detections`` is an array of structs; those with ``kept`` false gave way to others. ``phrases``
-    are rules of their own, named ``base/...``; all their places are among the detections. Null and
+    are rules of their own, named ``base/...``; all their places are among the detections, and they
+    neither give way nor make others do so. Null and
     empty texts have no words and no detections; null or repeated ids give a row each; other
     columns are ignored. No shuffle.
     """
