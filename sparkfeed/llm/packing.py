@@ -111,13 +111,15 @@ def tokenised_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return written(bounded(docs.select(col(id_col).alias("id"), col(text_col).alias("text"))).mapInArrow(run, schema), "pieces")
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Best-fit over counts: rows ``(length, first_rank, end_rank, first_sequence, offset)``.
-
-    Lengths go from the longest down. As many pieces of one length as there are go each into a
-    sequence with the least room that holds it; sequences with equal room are kept as ranges of
-    numbers, so a step handles a whole range at once. Pieces for which no room is left open new
-    sequences. Work and rows grow with the number of lengths and ranges, not of documents.
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
+    """Best-fit over counts: rows ``(length, first_rank, end_rank, first_sequence, offset, each)``.
+
+    Lengths go from the longest down, and each piece into a sequence with the least room that holds
+    it. A sequence that took a piece has less room than those it was like, so it takes the next ones
+    too while it can: ``each`` pieces of a row's range go into one sequence, side by side from
+    ``offset`` on. Sequences with equal room are kept as ranges of numbers, so a step handles a whole
+    range at once; pieces for which no room is left open new sequences. Work and rows grow with the
+    number of lengths and ranges, not of documents.
     """
     room: dict[int, list[tuple[int, int]]] = {}  # room left -> ranges [first, end) of sequences
     rows, opened = [], 0
@@ -126,19 +128,25 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
         while left:
             best = min((r for r in room if r >= length), default=None)
             if best is None:
-                first, end, best = opened, opened + max(1, -(-left // max(1, capacity // length))), capacity
+                best = capacity
+                first, end = opened, opened + -(-left // (capacity // length))
                 opened = end
             else:
                 first, end = room[best].pop()
                 if not room[best]:
                     del room[best]
-            take = min(left, end - first)
-            rows.append((length, rank, rank + take, first, capacity - best))
-            rank, left = rank + take, left - take
-            if take < end - first:
-                room.setdefault(best, []).append((first + take, end))
-            if best > length:
-                room.setdefault(best - length, []).append((first, first + take))
+            each = best // length
+            full = min(end - first, left // each)
+            # whole sequences, and one that the last pieces don't fill
+            for sequences, pieces in ((full, each), (1, left - full * each)) if full < end - first and left > full * each else ((full, each),):
+                if sequences and pieces:
+                    rows.append((length, rank, rank + sequences * pieces, first, capacity - best, pieces))
+                    rank, left = rank + sequences * pieces, left - sequences * pieces
+                    if best > pieces * length:
+                        room.setdefault(best - pieces * length, []).append((first, first + sequences))
+                    first += sequences
+            if first < end:
+                room.setdefault(best, []).append((first, end))
     return rows
 
 
@@ -157,7 +165,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     # pieces of one length in earlier partitions come first
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select(F.col("length").alias("of_length"), F.col("part").alias("of_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    slots = spark.createDataFrame(plan(histogram, capacity), "slot_length long, first_rank long, end_rank long, first_sequence long, offset long")
+    slots = spark.createDataFrame(plan(histogram, capacity), "slot_length long, first_rank long, end_rank long, first_sequence long, first_offset long, each long")
     ranked = pieces.join(starts, (F.col("length") == F.col("of_length")) & (F.col("part") == F.col("of_part"))).withColumn("rank", F.col("ahead") + F.col("turn"))
     placed = ranked.join(F.broadcast(slots), (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank")))
-    return placed.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), "offset")
+    at = F.col("rank") - F.col("first_rank")
+    sequence, offset = F.col("first_sequence") + F.floor(at / F.col("each")), F.col("first_offset") + at % F.col("each") * F.col("length")
+    return placed.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), offset.alias("offset"))
