@@ -181,16 +181,21 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_texts: int = SAMPLE_TEXTS, sample_passages: int = SAMPLE_PASSAGES) -> Model:
     """The model, learnt from labelled texts that are not held out.
 
-    Labelled texts are taken in the order of a hash of their id, up to both bounds, so the sample is
-    the same at each run and its size the same at each scale. A text that no longer fits is left out,
-    and those after it are still taken. Several labels of an id are averaged,
-    null ones ignored; texts of a repeated id all count.
+    The first ``sample_texts`` labelled ids are taken in the order of a hash, and of them those whose
+    passages fit, so the sample is the same at each run and its size the same at each scale. A text
+    that no longer fits is left out, and those after it are still taken. Several labels of an id are
+    averaged, null ones ignored; texts of a repeated id all count. Only ids are read to choose from,
+    and only texts of chosen ids are split into words.
     """
     label = labels.where(col(label_col).isNotNull() & col(id_col).isNotNull() & ~held_out(col(id_col))).groupBy(col(id_col).alias("id")).agg(F.avg(col(label_col)).alias("y"))
-    words = F.size(F.split(F.coalesce(col(text_col), F.lit("")), r"[\x20\x09-\x0D]+"))
-    source = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), F.ceil(words / PASSAGE_WORDS).alias("passages"))
+    words = F.size(F.split(F.coalesce(col("text"), F.lit("")), r"[\x20\x09-\x0D]+"))
+    source = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
     order = F.xxhash64(F.lit("mil"), F.col("id"))
-    first = source.select("id", "passages").join(label, "id").groupBy("id", "y").agg(F.sum("passages").alias("passages")).where(F.col("passages") <= sample_passages).orderBy(order, "id").limit(sample_texts).collect()
+    pair = T.StructType([T.StructField("id", field_type(docs, id_col)), T.StructField("y", T.DoubleType())])
+    known = source.select("id").join(label, "id").groupBy("id", "y").agg(F.count("*").alias("n")).orderBy(order, "id").limit(sample_texts).select("id", "y").collect()
+    some = docs.sparkSession.createDataFrame([(r["id"], float(r["y"])) for r in known], pair)
+    counted = source.join(F.broadcast(some), "id").select("id", "y", F.ceil(words / PASSAGE_WORDS).alias("passages"))
+    first = counted.groupBy("id", "y").agg(F.sum("passages").alias("passages")).orderBy(order, "id").collect()
     chosen, total = [], 0
     for r in first:
         if total + r["passages"] > sample_passages:
@@ -199,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         chosen.append((r["id"], float(r["y"])))
     if len({y >= 0.5 for _, y in chosen}) < 2:
         warnings.warn("no labelled texts of both classes to learn from: all scores will be alike", stacklevel=2)
-    picked = docs.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("id", field_type(docs, id_col)), T.StructField("y", T.DoubleType())]))
+    picked = docs.sparkSession.createDataFrame(chosen, pair)
     schema = T.StructType([T.StructField("id", field_type(docs, id_col)), T.StructField("y", T.DoubleType()), T.StructField("bag", T.BinaryType())])
 
     def run(batches):
@@ -239,6 +244,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with their own columns, whose score reaches ``threshold``."""
+    """The rows of ``docs``, with their own columns, whose score reaches ``threshold``; equal to it stays.
+
+    Null and empty texts are judged by their score like others; of repeated texts all stay or all go.
+    Columns named ``score`` or like those of ``labels`` pass through; an empty table gives no rows.
+    Without labels of both classes all scores are alike, and all rows stay or all go.
+    """
     scored = score(docs, fit(docs, labels, id_col, text_col), id_col, text_col, docs.columns)
     return scored.where(col(scored.columns[-1]) >= threshold).select(*map(col, docs.columns))
