@@ -15,13 +15,28 @@ SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 #: Words in a window, for the words in windows that a text has more than once.
 WINDOW = 8
-#: Frequent words of the languages that the corpus is meant to hold: English, French, German, Spanish.
+#: Frequent words of languages written in Latin letters: English, French, German, Spanish, Italian,
+#: Portuguese, Dutch, the Scandinavian ones, Polish, Czech, Turkish, Romanian, Hungarian, Finnish, Indonesian, Vietnamese.
 STOP_WORDS = (
     "the of and to a in is it that for on with as are be this by at from or an not have was "
     "le la les de des du un une et est que qui dans pour en sur au par pas ce il elle avec ne plus "
     "der die das und ist von zu den mit ein eine auf für im dem nicht als auch sich es an "
-    "el los las del y una por con para no se lo al como más pero su"
+    "el los las del y una por con para no se lo al como más pero su "
+    "di che è per sono della non gli anche nel dei "
+    "os um uma não dos da em mais foi ao ele "
+    "het een van dat niet zijn voor met ook aan "
+    "och att som är inte til av og er ikke den det på "
+    "nie jest się na do że jak przez "
+    "je že se na ve pro jsou "
+    "bir ve bu için ile çok daha olarak "
+    "și este din care pentru nu "
+    "az és hogy nem egy van "
+    "ja on ei että oli mutta "
+    "yang dan ini itu dengan untuk tidak "
+    "và của là không được các"
 ).split()
+#: Characters of other scripts, in which these words don't occur and words may not be parted by spaces.
+OTHER_SCRIPTS = r"[\x{0370}-\x{1DFF}\x{1F00}-\x{1FFF}\x{2C00}-\x{D7FF}\x{F900}-\x{FAFF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFF}\x{10000}-\x{1BFFF}\x{20000}-\x{3FFFF}]"
 
 #: (name, measure, least, most): a text is kept if each measure lies within its bounds.
 #: ``base`` rules are fixed by contract; the others are this method's own verdict.
@@ -38,6 +53,8 @@ RULES = [
     ("bullet_line_ratio", "n_bullet_lines / n_lines", None, 0.95),
     ("upper_word_ratio", "n_upper_words / n_words", None, 0.40),
 ]
+#: Rules that are not asked of texts whose characters are for more than this share of other scripts.
+LATIN_ONLY, OTHER_SHARE = ("word_length", "stop_ratio"), 0.5
 
 
 def words_of(text: Column) -> Column:
@@ -94,6 +111,8 @@ def measures(text: Column) -> Column:
             count(words, lambda w: (F.length(w) > 1) & (F.upper(w) == w) & (F.lower(w) != w)).alias("n_upper_words"),
             count(lines, lambda x: x.endswith("...") | x.endswith("…")).alias("n_ellipsis_lines"),
             count(lines, lambda x: F.ltrim(x).rlike(r"^[-*•]")).alias("n_bullet_lines"),
+            # texts of ASCII characters alone have none
+            F.when(F.octet_length(text) > F.length(text), F.regexp_count(text, F.lit(OTHER_SCRIPTS))).otherwise(0).cast("bigint").alias("n_other_chars"),
         ))
 
     return let(words_of(text), of_words)
@@ -107,8 +126,9 @@ def violations(m: Column, rules: list) -> Column:
         factor, _, field = top.rpartition(" * ")
         value, scale = m[field].cast("double") * float(factor or 1), m[bottom].cast("double") if bottom else F.lit(1.0)
         tests = ([value < F.lit(float(least)) * scale] if least is not None else []) + ([value > F.lit(float(most)) * scale] if most is not None else [])
+        asked = (scale > 0) & (m["n_other_chars"] <= OTHER_SHARE * m["word_chars"]) if name in LATIN_ONLY else scale > 0
         for test in tests:
-            broken.append(F.when(test & (scale > 0), F.lit(name)))
+            broken.append(F.when(test & asked, F.lit(name)))
     return F.array_compact(F.array(*broken))
 
 
@@ -126,7 +146,12 @@ def quality_measures(docs: DataFrame, text_col: str = "text", rules: list = RULE
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: list = RULES, base_rules: list = BASE_RULES) -> DataFrame:
-    """The rows of ``docs``, with their own columns, that break no rule."""
+    """The rows of ``docs``, with their own columns, that break no rule.
+
+    Null and empty texts are too short and go; of repeated rows all stay or all go, as each is judged
+    by its text alone. Columns with the names of measures pass through like others; an empty table
+    gives no rows.
+    """
     found = quality_measures(docs, text_col, rules, base_rules)
     base, broken = found.columns[-2:]
     return found.where((F.size(col(base)) == 0) & (F.size(col(broken)) == 0)).select(*map(col, docs.columns))

@@ -103,10 +103,11 @@ m AS (SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) A
     len(list_filter(words, lambda w: lower(w) IN ({_STOP}))) AS n_stop_words,
     len(list_filter(words, lambda w: length(w) > 1 AND upper(w) = w AND lower(w) <> w)) AS n_upper_words,
     len(list_filter(lines, lambda l: l LIKE '%...' OR l LIKE '%…')) AS n_ellipsis_lines,
-    len(list_filter(lines, lambda l: regexp_matches(ltrim(l, ' '), '^[-*•]'))) AS n_bullet_lines FROM t LEFT JOIN r USING (doc_id)),
+    len(list_filter(lines, lambda l: regexp_matches(ltrim(l, ' '), '^[-*•]'))) AS n_bullet_lines,
+    len(regexp_extract_all(text, '{quality_rules.OTHER_SCRIPTS}')) AS n_other_chars FROM t LEFT JOIN r USING (doc_id)),
 v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT base_failed AND NOT (word_chars < 2.0 * n_words OR word_chars > 14.0 * n_words OR n_symbols > 0.30 * n_words OR n_stop_words < 0.03 * n_words
+  NOT base_failed AND NOT ((word_chars < 2.0 * n_words OR word_chars > 14.0 * n_words OR n_stop_words < 0.03 * n_words) AND n_other_chars <= {quality_rules.OTHER_SHARE} * word_chars OR n_symbols > 0.30 * n_words
     OR n_dup_lines > 0.50 * n_lines OR n_ellipsis_lines > 0.50 * n_lines OR n_bullet_lines > 0.95 * n_lines OR n_upper_words > 0.40 * n_words) AS kept
 FROM v""",
     "op5_exact_dedup": """
