@@ -7,6 +7,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import product
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sparkfeed.llm import bpe_codec, byte_pairs, exact_dedup, html_text, license_scan, packing, probminhash, quality_mil, quality_rules, queries, token_counts, warc
+from sparkfeed.llm import _shared, bpe_codec, byte_pairs, exact_dedup, html_text, license_scan, packing, probminhash, quality_mil, quality_rules, queries, token_counts, warc
 
 SF = "/root/testdata/sf0.01"
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), *(T.StructField(n, T.StringType()) for n in ("lang", "kept", "id", "n", "score", "measures"))])
@@ -95,14 +96,59 @@ def test_license_scan(spark, odd, empty, texts):
     assert license_scan.license_scan(empty).count() == 0
 
 
-def test_license_overlaps():
-    parts = license_scan._rules(license_scan.SIGNATURES, ())
-    assert 250 <= len(parts[0]) < 1000
-    kept = lambda s: [d["label"] for d in license_scan.scan(s.encode(), *parts)[1] if d["kept"]]
-    assert kept("This is licensed under the GNU Lesser General Public License, version 2.1") == ["lgpl-2.1"]
-    assert kept("SPDX-License-Identifier: GPL-2.0-or-later") == ["gpl-2.0"]
-    assert kept("see http://www.apache.org/licenses/LICENSE-2.0") == ["apache-2.0"]
-    assert kept("nothing here of the kind") == []
+def kept_labels(text):
+    return [d["label"] for d in license_scan.scan(text.encode(), *license_scan._rules(license_scan.SIGNATURES, ()))[1] if d["kept"]]
+
+
+def test_license_overlaps(spark):
+    assert 300 <= len(license_scan._rules(license_scan.SIGNATURES, ())[0]) < 1000
+    assert kept_labels("This is licensed under the GNU Lesser General Public License, version 2.1") == ["lgpl-2.1"]
+    assert kept_labels("SPDX-License-Identifier: GPL-2.0-or-later") == ["gpl-2.0"]
+    assert kept_labels("see http://www.apache.org/licenses/LICENSE-2.0") == ["apache-2.0"]
+    assert kept_labels("licensed under the GPL license") == ["gpl"] and kept_labels("licensed under the Frob license") == ["unknown-license"]
+    assert kept_labels("nothing here of the kind") == []
+    # the fuller rules stand beside the base phrases
+    texts = ["license: cc-by-nc-sa-4.0", "Licensed under the Apache License, Version 2.0", "Released under the MIT License"]
+    out = license_scan.summary(license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    assert {r.doc_id: (r.base_labels, r.labels) for r in out} == {0: ("cc-by-nc", "cc-by-nc,cc-by-nc-sa-4.0"), 1: ("apache-2", "apache-2,apache-2.0"), 2: ("mit", "mit")}
+
+
+def test_license_identifiers():
+    assert kept_labels("Apache-2.0") == ["apache-2.0"] and kept_labels("Dual licensed under MIT or Apache-2.0") == ["mit", "apache-2.0"]
+    assert kept_labels("GPL-3.0-or-later WITH Classpath-exception-2.0") == ["gpl-3.0", "classpath-exception-2.0"]
+    assert kept_labels("(Apache-2.0 OR MIT)") == ["apache-2.0", "mit"] and kept_labels("license = 'BSD-3-Clause AND Zlib'") == ["bsd-3-clause", "zlib"]
+    assert kept_labels("mit der Bahn, Python 2.0 and Unicode 3.0; isc or vim") == []
+
+
+def test_license_texts():
+    for text, label in (
+        ("IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY", "mit"),
+        ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "zlib"),
+        ("The Font Software may be sold as part of a larger software package but no copy of one or more of the Font Software typefaces may be sold by itself.", "bitstream-vera"),
+        ("Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.", "wtfpl"),
+        ("modify it under the terms of version 2 of the GNU General Public License as published by the Free Software Foundation", "gpl-2.0"),
+    ):
+        assert label in kept_labels(text), text
+
+
+def test_license_overlaps_against_brute_force(texts):
+    rules = license_scan.compile_rules()
+    rng = random.Random(4)
+    joined = [f" {' '.join(words_of(t))} ".encode() for t in texts.values()]
+    found = [[(m.start(), m.end(), k, r) for k, r in enumerate(rules) for m in r.pattern.finditer(t)] for t in joined if b"licen" in t or b"permission" in t]
+    found += [[(a, a + rng.randint(1, 12), k, rng.choice(rules)) for k, a in enumerate(rng.choices(range(40), k=rng.randint(1, 14)))] for _ in range(3000)]
+    for detections in found:
+        within = lambda d, e: e[0] <= d[0] and d[1] <= e[1]
+        hint = lambda d: d[3].priority == license_scan.HINT
+        better = lambda d, e: (e[3].priority, e[2]) < (d[3].priority, d[2])
+        gone = lambda d, e: within(d, e) and (not hint(e) or hint(d)) and (e[:2] != d[:2] or better(d, e))
+        left = [d for d in detections if not any(gone(d, e) for e in detections)]
+        standing = []
+        for d in sorted(left, key=lambda d: (d[3].priority, d[0] - d[1], d[0], d[2])):
+            if not any(e[0] < d[1] and d[0] < e[1] and e[3].priority < d[3].priority for e in standing):
+                standing.append(d)
+        got = Counter((d["first_word"], d["end_word"], d["rule"]) for d in license_scan.resolve(detections) if d["kept"])
+        assert got == Counter((a, b, r.name) for a, b, _, r in standing)
 
 
 def spellings(pattern):
@@ -122,7 +168,9 @@ def spellings(pattern):
             return ["".join(p) for n in range(low, min(high, low + 1) + 1) for p in product(row(part), repeat=n)]
         if op is C.IN:
             return ["q"] if (C.RANGE, (97, 122)) in arg else [chr(a if o is C.LITERAL else a[0]) for o, a in arg]
-        return [{C.NOT_LITERAL: "q", C.ASSERT: ""}[op]]
+        if op is C.ASSERT:  # what must stand beside it is spelt out
+            return row(arg[1])
+        return [{C.NOT_LITERAL: "q"}[op]]
 
     def row(items):
         out = [""]
@@ -165,6 +213,29 @@ def test_warc(spark):
     assert small == 0
 
 
+def test_warc_files_are_cut_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(_shared, "FILTER_BITS", (8, 8))  # filters that tell next to nothing
+    monkeypatch.setattr(_shared, "HOT_ROWS", 2)
+    rng = random.Random(1)
+    html = {k: "same" if k % 3 == 0 else rng.randbytes(3000).hex() for k in range(60)}
+    rows = [(k, f"http://x/{k}", html[k], "q", 1, "q", "q") for k in html]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload string, refers_id int, warc_type string, error string").repartition(3)
+    back = warc.archive_pages(pages, path=f"{tmp_path}/w", file_bytes=20_000).where("warc_type <> 'warcinfo'").collect()
+    assert {int(r.source_id): (r.warc_type, r.refers_id, r.payload_bytes) for r in back} == {k: ("revisit", "0", 4) if k % 3 == 0 and k else ("response", None, len(t)) for k, t in html.items()}
+    assert len(back) == 60
+    whole = warc.read_warc(spark, f"{tmp_path}/w").where("warc_type = 'response'").collect()
+    assert {int(r.source_id): r.payload.decode() for r in whole} == {k: t for k, t in html.items() if k % 3 or not k}
+    files = glob.glob(f"{tmp_path}/w/part-*")
+    assert len(files) > 6 and all(os.path.getsize(f) < 30_000 for f in files)
+    data = open(max(files, key=os.path.getsize), "rb").read()
+    members, rest = [], data
+    while rest:  # each member is one record
+        d = zlib.decompressobj(31)
+        members.append(d.decompress(rest))
+        rest = d.unused_data
+    assert members[-1] == b"" and b"warcinfo" in members[0] and all(m.startswith(b"WARC/1.1\r\n") and m.count(b"WARC-Record-ID") == 1 and m.endswith(b"\r\n\r\n") for m in members[:-1])
+
+
 def test_arc_formats():
     for version in (1, 2):
         body = warc.http_response(9, b"hello")
@@ -186,6 +257,32 @@ def test_quality_rules(odd, empty):
     assert quality_rules.keep_good(empty).count() == 0 and quality_rules.keep_good(odd).columns == odd.columns
 
 
+def good(text):
+    """The quality rules one text at a time, in plain Python."""
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n, windows = len(words), Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    repeated = {i + k for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for k in range(8)}
+    if n < 20 or 100 * len(repeated) > 30 * n:
+        return False
+    chars, stop = sum(map(len, words)), {w.lower() for w in quality_rules.STOP_WORDS}
+    latin = len(re.findall(re.sub(r"\\x\{(\w+)\}", lambda m: f"\\U{int(m[1], 16):08x}", quality_rules.OTHER_SCRIPTS), text)) <= 0.5 * chars
+    return not (
+        latin and not 2 * n <= chars <= 14 * n or latin and sum(w.lower() in stop for w in words) < 0.03 * n or len(re.findall(r"[#*$%&|<>]", text)) > 0.3 * n
+        or len(lines) - len(set(lines)) > 0.5 * len(lines) or sum(x.endswith(("...", "…")) for x in lines) > 0.5 * len(lines)
+        or sum(x.lstrip(" ")[:1] in ("-", "*", "•") for x in lines) > 0.95 * len(lines) or sum(len(w) > 1 and w.upper() == w != w.lower() for w in words) > 0.4 * n
+    )
+
+
+def test_quality_rules_against_plain_python(spark, odd, texts):
+    more = {-1: "быстрая лиса прыгает через ленивую собаку у тихой реки " * 1 + " ".join(f"слово{k}ами" for k in range(30)), -2: "。".join(f"これは文{k}です 長い長い長い長い長い長い文です" for k in range(40)), -3: " ".join(f"xq{k}z" for k in range(60))}
+    docs = spark.createDataFrame([*texts.items(), *more.items()], "doc_id long, text string")
+    assert {r.doc_id for r in quality_rules.keep_good(docs).collect()} == {k for k, t in (texts | more).items() if good(t)}
+    assert good(more[-1]) and good(more[-2]) and not good(more[-3])
+    assert Counter(r.doc_id for r in quality_rules.keep_good(odd).collect()) == Counter(k for k, t in ODD if good(t))
+
+
 # 4: packing
 def test_packing(spark, odd, empty, texts):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
@@ -211,17 +308,33 @@ def test_packing(spark, odd, empty, texts):
     assert packing.pack(empty).count() == 0
 
 
-def test_plan_fills_every_rank():
+def best_fit(lengths, capacity):
+    """Plain best-fit, longest first, one piece at a time: the room left in each sequence."""
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fits = [r for r in rooms if r >= n]
+        if fits:
+            rooms.remove(min(fits))
+        rooms.append((min(fits) if fits else capacity) - n)
+    return sorted(rooms)
+
+
+def test_plan_is_best_fit():
     rng = random.Random(3)
-    for _ in range(30):
-        histogram = {rng.randint(1, 64): rng.randint(1, 500) for _ in range(rng.randint(1, 40))}
-        by = defaultdict(list)
-        for length, first, end, seq, offset in packing.plan(histogram, 64):
+    for _ in range(150):
+        histogram = {rng.randint(1, 64): rng.randint(1, 60) for _ in range(rng.randint(1, 40))}
+        by, ranks = defaultdict(list), defaultdict(list)
+        for length, first, end, seq, offset, each in packing.plan(histogram, 64):
             for k in range(end - first):
-                by[seq + k].append((offset, length))
-        assert sum(len(x) for x in by.values()) == sum(histogram.values())
-        assert all(sum(n for _, n in x) <= 64 for x in by.values())
-        assert len(by) >= sum(a * b for a, b in histogram.items()) / 64
+                by[seq + k // each].append((offset + k % each * length, length))
+                ranks[length].append(first + k)
+        assert {n: sorted(x) for n, x in ranks.items()} == {n: list(range(c)) for n, c in histogram.items()}
+        for pieces in by.values():
+            ends = 0
+            for offset, length in sorted(pieces):
+                assert offset == ends
+                ends += length
+        assert sorted(64 - sum(n for _, n in x) for x in by.values()) == best_fit([n for n, c in histogram.items() for _ in range(c)], 64)
 
 
 # 5: exact duplicates
@@ -251,6 +364,33 @@ def test_quality_mil(spark, odd, empty):
     assert quality_mil.score(odd, model).count() == len(ODD) and quality_mil.score(empty, model).count() == 0
 
 
+def plain_score(model, text):
+    """One text's score from its passages, step by step."""
+    x, _ = quality_mil.encode_passages([text or ""])
+    p, hidden, weight = model.p, [], []
+    for row in (x - model.mean) / model.scale:
+        h = np.tanh(row @ p["w"] + p["b"])
+        hidden.append(h)
+        weight.append(np.exp(np.clip((np.tanh(h @ p["v"]) / (1 + np.exp(-(h @ p["u"])))) @ p["a"], -30, 30)))
+    z = sum(w * h for w, h in zip(weight, hidden, strict=True)) / sum(weight)
+    return float(1 / (1 + np.exp(-np.clip(z @ p["c"] + p["d"], -30, 30)))[0])
+
+
+def test_scores_against_a_plain_forward_pass(spark, docs, texts, odd, empty):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality_mil.fit(docs, labels)
+    got = {r.doc_id: r.score for r in quality_mil.score(docs, model).collect()}
+    assert got.keys() == texts.keys()
+    for k, t in texts.items():
+        assert abs(got[k] - plain_score(model, t)) < 1e-4, k
+    kept = quality_mil.keep_quality(odd.withColumn("quality", F.lit(0)), labels)
+    assert kept.columns == [*odd.columns, "quality"] and kept.count() <= len(ODD)
+    model = quality_mil.fit(odd, labels)
+    want = Counter(k for k, t in ODD if plain_score(model, t) >= quality_mil.THRESHOLD)
+    assert Counter(r.doc_id for r in quality_mil.keep_quality(odd, labels).collect()) == want
+    assert quality_mil.keep_quality(empty, labels).count() == 0 and quality_mil.keep_quality(odd, labels.limit(0)).count() == 0
+
+
 def test_a_text_beyond_the_sample_leaves_the_others(spark):
     ids = spark.range(1, 81).select(F.col("id").alias("doc_id")).where(~quality_mil.held_out(F.col("doc_id")))
     first = ids.orderBy(F.xxhash64(F.lit("mil"), F.col("doc_id"))).first().doc_id
@@ -296,6 +436,33 @@ def test_html_text(spark):
         assert re.sub(r"\s|- ", "", r.text) == re.sub(r"\s|- ", "", h.unescape(plain))
 
 
+def test_html_text_takes_time_in_proportion_to_the_page():
+    page = html_text.page_text
+    many = [
+        "<a b='x' " * 110_000, "<a " * 330_000, "<a b='x>y' " * 90_000, "<a '>" + "<a ' \" '>" * 80_000, "<!--" * 250_000, "</a" * 300_000,
+        "<div>" * 100_000 + "</p>" * 100_000, "<blockquote>x" * 70_000, "<table><tr>" + "<td colspan=1000>a" * 50_000, "<tr><td colspan=9999><td>x" * 40_000, "<td>a<br>" * 100_000,
+    ]
+    for html in many:
+        began = time.process_time()
+        text = page(html)
+        assert time.process_time() - began < 10 and len(text) < 10 * len(html), html[:20]
+
+
+def test_html_text_hides_at_any_depth():
+    page = html_text.page_text
+    for tag in ("div hidden", "div style='display:none'", "noscript", "template", "svg", "select"):
+        for depth in (0, 600, 5000):
+            out = page("<div>" * depth + f"a<{tag}>SECRET</{tag.split()[0]}>b" + "</div>" * depth + "c")
+            assert out.split() == (["ab", "c"] if depth else ["abc"])
+    assert page("<section>" * 700 + "<ul><li>x<li>y</ul>" + "<table><tr><td>a<td>b<tr><td>long<td>c</table>") == "- x\n- y\n\na     b\nlong  c"
+    assert page("a <a x='1>2' y>b</a>c") == "a bc" and page("a <a x='1>2 y>b</a> c='") == "a 2 y>b c='" and page("a <b c='>d</b> e") == "a d e"
+
+
+def test_html_text_on_clashing_columns_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, "<p>x", "q", "q"), (2, "", "q", "q")], "page_id long, html string, id string, text string")
+    assert rows_of(html_text.extract_text(df).orderBy("page_id")) == [(1, "x"), (2, "")] and html_text.extract_text(df.limit(0)).count() == 0
+
+
 # 8 and 10: byte pairs
 def test_token_counts(spark, odd, empty, texts):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -412,6 +579,49 @@ def test_near_duplicates_at_a_lower_threshold(spark):
     assert {r.doc_id: r.class_id for r in probminhash.near_duplicates(docs, threshold=0.5, bands=96, rows=2).collect()} == want
 
 
+def test_hot_buckets_and_groups_are_dealt_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(_shared, "HOT_ROWS", 3)
+    monkeypatch.setattr(probminhash, "BLOCK", 4)
+    rng, base = random.Random(11), [f"w{i}" for i in range(120)]
+    texts = {}
+    for k in range(90):  # one large group on both sides of the threshold, and copies of some of it
+        words = list(base)
+        for at in rng.sample(range(120), rng.randint(0, 5)):
+            words[at] = f"e{k}x{at}" if k % 3 else f"e{k % 9}x{at}"
+        texts[k] = " ".join(words)
+    texts |= {100 + k: texts[k % 4] for k in range(40)} | {200 + k: " ".join(f"z{k}y{i}" for i in range(9)) for k in range(20)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = classes(texts)
+    assert {r.doc_id: r.class_id for r in probminhash.near_duplicates(docs).collect()} == want
+    groups = defaultdict(list)
+    for k, t in texts.items():
+        groups[t.replace(" ", "")].append(k)
+    out = exact_dedup.exact_duplicates(docs).collect()
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in out} == {k: (min(g), len(g)) for g in groups.values() for k in g} and sum(r.kept for r in out) == len(groups)
+    assert sorted(r.doc_id for r in exact_dedup.drop_exact_duplicates(docs).collect()) == sorted(min(g) for g in groups.values())
+
+
+def test_blocks_make_each_pair_of_components_once(spark, monkeypatch):
+    monkeypatch.setattr(_shared, "HOT_ROWS", 2)
+    monkeypatch.setattr(probminhash, "BLOCK", 3)
+    rng = random.Random(2)
+    rows = [(band, bytes([k]), bytes([rng.choice([0, 0, 0, 1, 2, k])]), 10, 10, [5, 5]) for band in range(6) for k in rng.sample(range(60), 4 + 9 * band)]
+    df = spark.createDataFrame(rows, "band long, key binary, root binary, n int, s int, groups array<int>")
+    want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] != b[2]}
+    df = _shared.written(df, "rows")
+    got = [(bytes(r.a), bytes(r.b)) for r in probminhash._across(df, probminhash._split(df), 0.8).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_spread_join_is_a_join(spark, monkeypatch):
+    monkeypatch.setattr(_shared, "HOT_ROWS", 2)
+    left = _shared.written(spark.createDataFrame([(k % 3 if k % 4 else None, k) for k in range(60)], "k int, v int"), "left")
+    right = spark.createDataFrame([(0, "a"), (1, "b"), (7, "c")], "k int, w string")
+    for how in ("inner", "left"):
+        plain, spread = left.join(right, "k", how), _shared.spread_join(left, right, "k", F.col("v"), how)
+        assert Counter(rows_of(plain.select("k", "v", "w"))) == Counter(rows_of(spread.select("k", "v", "w")))
+
+
 def test_signature_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     elements = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
