@@ -33,6 +33,17 @@ def gray_decode(g: Column, bits: int = 32) -> Column:
     return g
 
 
+def encode_gene(x: Column, accuracy: float, bits: int) -> Column:
+    """A number as a sign, 1 above zero, and the Gray code of its whole steps of ``accuracy``."""
+    steps = F.floor(F.abs(x) / accuracy).cast("bigint")
+    return F.concat(F.when(x > 0, "1").otherwise("0"), F.lpad(F.bin(gray_encode(steps)), bits, "0"))
+
+
+def decode_gene(code: Column, accuracy: float) -> Column:
+    steps = gray_decode(F.conv(F.substr(code, F.lit(2)), 2, 10).cast("bigint"), 64)
+    return steps * F.lit(accuracy) * F.when(F.substring(code, 1, 1) == "0", -1).otherwise(1)
+
+
 def sine_root_fitness(genes: Column) -> Column:
     """``1 / (418.9829 n - sum x sin sqrt |x|)``; 0 for no genes."""
     total = F.aggregate(genes, F.lit(0.0), lambda a, x: a + x * F.sin(F.sqrt(F.abs(x))))

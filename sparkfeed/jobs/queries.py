@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits, draws, scalars
 from ..functions.index import dense_index
-from ..operators import batching, events, joins, labels, metrics, normalize, registry, report, search, splits
+from ..operators import batching, events, joins, labels, metrics, normalize, pixels, registry, report, search, splits
 from ..sources import images, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,9 +93,9 @@ def j3_label_counts(spark, sf_dir):
 
 
 @query(f"""WITH {P}, c AS (SELECT split, label, count(*) AS n FROM p GROUP BY ALL)
-SELECT split, min_by(label, (n, label)) AS min_label, min(n) AS min_n, min_by(label, (-n, label)) AS max_label, max(n) AS max_n, round(avg(n), 6) AS mean_n, round(stddev_pop(n), 6) AS sigma FROM c GROUP BY split""")
+SELECT split, min_by(label, (n, label)) AS min_label, min(n) AS min_n, min_by(label, (-n, label)) AS max_label, max(n) AS max_n, round(avg(n), 6) AS mean_n, round(stddev_pop(n), 6) AS sigma, round(100 * stddev_pop(n) / avg(n), 6) AS sigma_pct FROM c GROUP BY split""")
 def d3_label_summary(spark, sf_dir):
-    return labels.label_stats(parts(spark, sf_dir))[0].withColumns({"mean_n": F.round("mean_n", 6), "sigma": F.round("sigma", 6)})
+    return labels.label_stats(parts(spark, sf_dir))[0].withColumns({"mean_n": F.round("mean_n", 6), "sigma": F.round("sigma", 6), "sigma_pct": F.round("sigma_pct", 6)})
 
 
 @query(f"WITH {P}, c AS (SELECT split, label, count(*) AS n FROM p GROUP BY ALL) SELECT split, label, n, round(100.0 * n / sum(n) OVER w, 6) AS share, n * 25 // max(n) OVER w AS bar FROM c WINDOW w AS (PARTITION BY split)")
@@ -108,9 +108,9 @@ def d4_unique_labels(spark, sf_dir):
     return labels.unique_labels(parts(spark, sf_dir))
 
 
-@query(f"WITH {P} SELECT label, array_to_string(list_sort(list(DISTINCT sample_id)), ',') AS ids FROM p GROUP BY label")
+@query(f"WITH {P}, r AS (SELECT label, sample_id, row_number() OVER (ORDER BY label, sample_id) - 1 AS k FROM (SELECT DISTINCT label, sample_id FROM p)) SELECT label, k // 100 AS chunk, array_to_string(list(sample_id ORDER BY sample_id), ',') AS ids FROM r GROUP BY ALL")
 def d5_samples_by_label(spark, sf_dir):
-    return labels.samples_by_label(parts(spark, sf_dir)).select("label", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+    return labels.sample_chunks(parts(spark, sf_dir), 100).select("label", "chunk", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
 @query(f"WITH {P}, c AS (SELECT split, label, count(*) AS n FROM p GROUP BY ALL) SELECT split, label, round(n / sum(n) OVER (PARTITION BY split), 9) AS p FROM c")
@@ -121,7 +121,7 @@ def d6_label_distribution(spark, sf_dir):
 @query(f"""WITH {P}, c AS (SELECT split, label, count(*) AS n FROM p GROUP BY ALL), d AS (SELECT split, label, n / sum(n) OVER (PARTITION BY split) AS q FROM c)
 SELECT d.split, round(sum((d.q - t.q) ** 2 / t.q), 8) AS statistic, count(*) - 1 AS degrees FROM d JOIN d t ON d.label = t.label AND t.split = 'train' WHERE d.split <> 'train' GROUP BY d.split""")
 def d7_compare_distributions(spark, sf_dir):
-    return labels.compare_label_distributions(parts(spark, sf_dir)).withColumn("statistic", F.round("statistic", 8))
+    return labels.compare_label_distributions(parts(spark, sf_dir)).select("split", F.round("statistic", 8).alias("statistic"), "degrees")
 
 
 @query(f"WITH {P} SELECT split, label, count(*) AS n FROM p GROUP BY CUBE (split, label)")
@@ -329,11 +329,11 @@ def j4_targets_by_label(spark, sf_dir):
     return joins.attach_targets(c, n).select("sample_id", "target")
 
 
-@query("WITH a AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS k FROM customer), b AS (SELECT o_totalprice, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders) SELECT c_custkey AS sample_id, o_totalprice AS target FROM a JOIN b USING (k)")
+@query("WITH a AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders), b AS (SELECT o_totalprice, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS k FROM orders) SELECT o_orderkey AS sample_id, o_totalprice AS target FROM a JOIN b USING (k)")
 def j5_targets_by_place(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sample_id"))
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("target_id"), F.col("o_totalprice").alias("target"))
-    return joins.attach_targets(c, o, on=None)
+    o = table(spark, sf_dir, "orders")
+    targets = o.select(F.struct("o_custkey", "o_orderkey").alias("target_id"), F.col("o_totalprice").alias("target"))
+    return joins.attach_targets(o.select(F.col("o_orderkey").alias("sample_id")), targets, on=None)
 
 
 @query("""WITH l AS (SELECT l_orderkey AS k, count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY 1)
@@ -347,6 +347,18 @@ def j6_feature_blocks(spark, sf_dir):
     return out.select("sample_id", F.array_join(F.transform("features", lambda x: x.cast("string")), "|").alias("features"))
 
 
+@query("""WITH l AS (SELECT l_orderkey AS k, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS sample_id, array_to_string([o_totalprice, n, q], '|') AS features FROM orders JOIN l ON o_orderkey = k""")
+def j6_ragged_blocks(spark, sf_dir):
+    """Every third order has one value more in the first block, every second in the last."""
+    k = F.col("o_orderkey")
+    more = lambda every, first, extra: F.when(k % every == 0, F.concat(first, F.array(extra.cast("double")))).otherwise(first)
+    o = table(spark, sf_dir, "orders").select(k.alias("sample_id"), more(3, F.array("o_totalprice"), F.col("o_custkey")).alias("features"))
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").cast("double").alias("n"), F.sum(F.col("l_quantity").cast("bigint")).cast("double").alias("q"))
+    out, _ = joins.join_features([o, items.select(k.alias("sample_id"), more(2, F.array("n", "q"), k).alias("features"))])
+    return out.select("sample_id", F.array_join(F.transform("features", lambda x: x.cast("string")), "|").alias("features"))
+
+
 @query("""WITH m AS (SELECT l_returnflag AS f, l_suppkey AS s, round(sum(l_quantity), 2) AS a, round(sum(l_tax), 2) AS b FROM lineitem GROUP BY ALL)
 SELECT s AS sample_pos, string_agg(a || '|' || b, '|' ORDER BY f) AS features FROM m GROUP BY s""")
 def j7_stack_outputs(spark, sf_dir):
@@ -378,6 +390,12 @@ def j13_distortions(spark, sf_dir):
     return joins.expand_distortions(samples(spark, sf_dir).select("sample_id"), True, [0.0, 0.5], 3)
 
 
+@query(f"""WITH d AS (SELECT vec_id, CAST(d AS INTEGER) AS distortion FROM embeddings, (SELECT unnest(range(6)) AS d))
+SELECT vec_id AS sample_id, distortion, ('0x' || substr(md5('5|0|' || vec_id || '|' || distortion), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < 0.5 AS mirrored, CASE distortion // 3 WHEN 0 THEN 0.0 ELSE 0.5 END::DOUBLE AS rotation, distortion % 3 AS crop FROM d""")
+def j13_random_mirror(spark, sf_dir):
+    return joins.expand_distortions(samples(spark, sf_dir).select("sample_id"), "random", [0.0, 0.5], 3, seed=5)
+
+
 @query("""WITH v AS (SELECT l_returnflag AS unit, l_linestatus AS attr, l_linenumber AS i, round(sum(l_quantity), 2) AS a, round(sum(l_extendedprice), 2) AS b FROM lineitem GROUP BY ALL)
 SELECT unit, attr, true AS comparable, round(avg(abs(a - b)), 4) AS avg_abs_diff, round(max(abs(a - b)), 4) AS max_abs_diff, round(coalesce(avg(CASE WHEN a + b <> 0 THEN abs(2 * (a - b) / (a + b)) END), CASE WHEN max(abs(a - b)) > 0 THEN 1.0 ELSE 0.0 END), 6) AS avg_rel_diff FROM v GROUP BY ALL""")
 def j14_compare_tensors(spark, sf_dir):
@@ -504,11 +522,11 @@ def f5_filter_logs(spark, sf_dir):
 
 
 @query(f"""WITH {E}, g AS (SELECT *, time - min(time) OVER (PARTITION BY session) AS t FROM e)
-SELECT event_id, round(t, 3) AS t, k, CASE WHEN type = 'single' THEN CASE k WHEN 1 THEN h ELSE 0 END WHEN type = 'begin' THEN CASE k WHEN 1 THEN h ELSE 0 END ELSE CASE k WHEN 0 THEN h ELSE 0 END END AS height
+SELECT event_id, round(t, 3) AS t, to_json({{'event_id': event_id, 'props': props}}) AS meta, k, CASE WHEN type = 'single' THEN CASE k WHEN 1 THEN h ELSE 0 END WHEN type = 'begin' THEN CASE k WHEN 1 THEN h ELSE 0 END ELSE CASE k WHEN 0 THEN h ELSE 0 END END AS height
 FROM (SELECT *, coalesce(height, 1.0) AS h, CAST(unnest(range(CASE WHEN type = 'single' THEN 3 ELSE 2 END)) AS INTEGER) AS k FROM g)""")
 def f7_event_series(spark, sf_dir):
     e = run_events(spark, sf_dir).withColumn("name", F.col("event_id"))
-    return events.events_to_series(e).select(F.col("name").alias("event_id"), F.round("t", 3).alias("t"), "k", "height")
+    return events.events_to_series(e, ["event_id", "props"]).select(F.col("name").alias("event_id"), F.round("t", 3).alias("t"), "meta", "k", "height")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, 0 AS clashes FROM events")
@@ -574,8 +592,8 @@ def d16_unit_times(spark, sf_dir):
 
 
 @query("""WITH w AS (SELECT s_suppkey AS worker, CASE s_suppkey % 4 WHEN 0 THEN 'Offline' WHEN 1 THEN 'Idle' ELSE 'Working' END AS state, (SELECT count(*) FROM lineitem WHERE l_suppkey = s_suppkey) * (s_suppkey % 9) AS jobs, s_acctbal AS power FROM supplier),
-o AS (SELECT avg(jobs) AS m, stddev_samp(jobs) AS s, greatest(max(power), 1) AS p FROM w WHERE state <> 'Offline')
-SELECT worker, state, jobs, round(m, 4) AS mean_jobs, round(s, 4) AS sigma, coalesce(state = 'Working' AND jobs < m - 2 * s, false) AS warning, CASE WHEN power / p >= 0.7 THEN 'high' WHEN power / p >= 0.4 THEN 'middle' ELSE 'low' END AS tier FROM w, o""")
+o AS (SELECT avg(jobs) AS m, stddev_samp(jobs) AS s, greatest(max(power), 1) AS p FROM w WHERE state <> 'Offline'), c AS (SELECT count(*) FILTER (state <> 'Offline') AS online, count(*) FILTER (state = 'Offline') AS offline FROM w)
+SELECT worker, state, jobs, round(m, 4) AS mean_jobs, round(s, 4) AS sigma, coalesce(state = 'Working' AND jobs < m - 2 * s, false) AS warning, CASE WHEN power / p >= 0.7 THEN 'high' WHEN power / p >= 0.4 THEN 'middle' ELSE 'low' END AS tier, online, offline FROM w, o, c""")
 def d17_worker_health(spark, sf_dir):
     jobs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n"))
     state = F.when(F.col("s_suppkey") % 4 == 0, "Offline").when(F.col("s_suppkey") % 4 == 1, "Idle").otherwise("Working")
@@ -622,7 +640,10 @@ def e17_package_list(spark, sf_dir):
     return registry.package_list(_packages(spark, sf_dir)).select("name", "commit_id", "commit_time")
 
 
-@query()
+@query(f"""WITH RECURSIVE {E}, n AS (SELECT event_id, instance, time, row_number() OVER (PARTITION BY instance ORDER BY time, event_id) AS k, count(*) OVER (PARTITION BY instance) AS c FROM e),
+w AS (SELECT DISTINCT instance, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS DOUBLE) AS time, CAST(-1e300 AS DOUBLE) AS last, false AS kept FROM n
+  UNION ALL SELECT n.instance, w.r + 1, n.event_id, n.time, CASE WHEN n.time - w.last >= 3600 THEN n.time ELSE w.last END, n.time - w.last >= 3600 FROM w JOIN n ON n.instance = w.instance AND n.k = 3 * (w.r + 1))
+SELECT event_id, instance, time FROM w WHERE kept UNION ALL SELECT event_id, instance, time FROM n WHERE k = c AND c % 3 <> 0""")
 def e18_thin_events(spark, sf_dir):
     return registry.thin_events(run_events(spark, sf_dir).select("event_id", "instance", "time"), "instance", "event_id", "time", 3, 3600.0)
 
@@ -677,7 +698,45 @@ def x11_uniform_crossover(spark, sf_dir):
     return search.crossover(pairs, "uniform", 3).withColumn("genes", F.array_join(F.transform("genes", lambda x: F.round(x, 4).cast("string")), "|"))
 
 
+@query("""WITH d AS (SELECT p_partkey AS k, [CAST(p_size AS DOUBLE), p_retailprice % 100, 3.0] AS a, [1.0, 2.0, CAST(p_size AS DOUBLE)] AS b FROM part),
+u AS (SELECT *, list_transform([0, 1, 2], lambda i: ('0x' || substr(md5('4|' || k || '|' || i), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE) AS u FROM d)
+SELECT k AS pair, CAST(c AS INTEGER) AS child, round(list_sum(list_transform([1, 2, 3], lambda i: i * (u[i] * (CASE c WHEN 0 THEN a ELSE b END)[i] + (1 - u[i]) * (CASE c WHEN 0 THEN b ELSE a END)[i]))), 5) AS genes FROM u, (SELECT unnest(range(2)) AS c)
+UNION ALL SELECT k, 2, round(list_sum(list_transform([1, 2, 3], lambda i: i * (pow(a[i] + 5, u[i]) * pow(b[i] + 5, 1 - u[i]) - 5))), 5) FROM u""")
+def x11_crossovers(spark, sf_dir):
+    """Both children of the arithmetic crossover, and that of the geometric one, as weighted sums of their genes."""
+    pairs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pair"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice") % 100, F.lit(3.0)).alias("a"), F.array(F.lit(1.0), F.lit(2.0), F.col("p_size").cast("double")).alias("b"))
+    both = search.crossover(pairs, "arithmetic", 4).unionByName(search.crossover(pairs, "geometric", 4, -5.0, 100.0).withColumn("child", F.lit(2)))
+    return both.withColumn("genes", F.round(F.get("genes", 0) + 2 * F.get("genes", 1) + 3 * F.get("genes", 2), 5))
+
+
+_DRAW = "('0x' || substr(md5('{s}{w}|' || k || '|' || {i}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+
+
+@query(f"""WITH g AS (SELECT p_partkey AS k, [CAST(p_size AS DOUBLE), CAST(p_size % 7 AS DOUBLE), 25.0] AS g FROM part),
+o AS (SELECT *, list_transform(list_sort(list_transform([0, 1, 2], lambda i: {{'o': {_DRAW.format(s=6, w="o", i="i")}, 'i': i}})), lambda s: s.i)[1:2] AS places, ('0x' || substr(md5('6r|' || k), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < 0.8 AS taken FROM g),
+n AS (SELECT *, list_transform([0, 1, 2], lambda i: (25 + sqrt(50 / 6.0) * sqrt(-2 * ln(1 - {_DRAW.format(s=6, w="u", i="i")})) * cos(2 * pi() * {_DRAW.format(s=6, w="v", i="i")})) * CASE WHEN {_DRAW.format(s=6, w="s", i="i")} < 0.5 THEN -1 ELSE 1 END) AS z,
+  list_transform([0, 1, 2], lambda i: taken AND list_contains(places, i) AND {_DRAW.format(s=6, w="p", i="i")} < 0.6) AS hit FROM o),
+m AS (SELECT k, list_transform([1, 2, 3], lambda i: CASE WHEN hit[i] THEN CASE WHEN g[i] + z[i] < 0 THEN g[i] + z[i] + ceil(-(g[i] + z[i]) / 50) * 50 WHEN g[i] + z[i] > 50 THEN g[i] + z[i] - ceil((g[i] + z[i] - 50) / 50) * 50 ELSE g[i] + z[i] END ELSE g[i] END) AS v FROM n)
+SELECT k AS cand_id, round(v[1] + 2 * v[2] + 3 * v[3], 5) AS genes FROM m""")
+def x12_gaussian_mutation(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cand_id"), F.array(F.col("p_size").cast("double"), (F.col("p_size") % 7).cast("double"), F.lit(25.0)).alias("genes"))
+    out = search.mutate(p, "gaussian", 0.0, 50.0, 0.6, seed=6, share=0.8, points=2)
+    return out.select("cand_id", F.round(F.get("genes", 0) + 2 * F.get("genes", 1) + 3 * F.get("genes", 2), 5).alias("genes"))
+
+
+@query("SELECT p_partkey AS cand_id, p_retailprice - 0.5 * p_size AS fitness FROM part")
+def x15_fitness(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cand_id"), F.col("p_retailprice").alias("validation"), F.col("p_size").alias("train"))
+    return search.fitness(p, F.col("validation") - 0.5 * F.col("train")).select("cand_id", "fitness")
+
+
 # Scalars
+@query("SELECT p_partkey, CASE WHEN x > 0 THEN '1' ELSE '0' END || lpad(bin(xor(s, s >> 1)), 12, '0') AS code, round(s * 0.5 * CASE WHEN x > 0 THEN 1 ELSE -1 END, 6) + 0.0 AS back FROM (SELECT p_partkey, p_retailprice - 1200 AS x, CAST(floor(abs(p_retailprice - 1200) / 0.5) AS BIGINT) AS s FROM part)")
+def x8_gene_code(spark, sf_dir):
+    code = scalars.encode_gene(F.col("p_retailprice") - 1200, 0.5, 12)
+    return table(spark, sf_dir, "part").select("p_partkey", code.alias("code"), (F.round(scalars.decode_gene(code, 0.5), 6) + 0.0).alias("back"))
+
+
 @query("SELECT p_partkey, xor(p_partkey, p_partkey >> 1) AS gray, p_partkey AS back FROM part")
 def x8_gray_code(spark, sf_dir):
     g = scalars.gray_encode(F.col("p_partkey"))
@@ -727,6 +786,17 @@ def x13_draws(spark, sf_dir):
     return table(spark, sf_dir, "part").select(k.alias("key"), F.round(draws.uniform(6, k, 2.0, 5.0), 9).alias("u"), draws.integer(8, k, 100).alias("i"))
 
 
+@query("""SELECT p_partkey AS key, substr(md5('1|b0|' || p_partkey) || md5('1|b1|' || p_partkey), 1, 40) AS bytes,
+  CASE WHEN u < 0.5 THEN 'a' WHEN u < 0.75 THEN 'b' ELSE 'c' END AS choice,
+  array_to_string(list_transform(list_sort(list_transform([0, 1, 2, 3, 4], lambda i: {'h': md5('3|p|' || p_partkey || '|' || i), 'i': i})), lambda s: s.i), ',') AS places
+FROM (SELECT p_partkey, ('0x' || substr(md5('2|0|' || p_partkey), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM part)""")
+def x13_more_draws(spark, sf_dir):
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        k.alias("key"), F.lower(F.hex(draws.random_bytes(1, k, 20))).alias("bytes"), draws.choice(2, k, ["a", "b", "c"], [2.0, 1.0, 1.0]).alias("choice"), F.array_join(draws.permutation(3, k, 5).cast("array<string>"), ",").alias("places")
+    )
+
+
 @query("SELECT event_id, row_number() OVER (ORDER BY md5('0|0|' || event_id), event_id) - 1 AS idx FROM events")
 def h1_dense_index(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id").withColumn("_h", draws.h(0, F.col("event_id")))
@@ -819,24 +889,47 @@ def a9_model_results(spark, sf_dir):
     models = by.groupBy("l_suppkey", "l_returnflag").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "q"))), lambda r: F.array(r["q"])).alias("Output"))
     model = F.struct(F.col("l_returnflag").alias("id"), F.array(F.lit("q")).alias("Labels"), "Output")
     docs = models.groupBy("l_suppkey").agg(F.sort_array(F.collect_list(model)).alias("models"))
-    text = docs.select("l_suppkey", F.to_json(F.struct("models")).alias("json"))
-    schema = "models array<struct<id:string, Labels:array<string>, Output:array<array<double>>>>"
-    rows = text.select("l_suppkey", F.posexplode(F.from_json("json", schema)["models"]).alias("model_pos", "m"))
-    return rows.select(F.col("l_suppkey").alias("supplier"), "model_pos", F.col("m.id").alias("model_id"), F.size("m.Output").cast("bigint").alias("samples"), F.round(F.aggregate("m.Output", F.lit(0.0), lambda a, x: a + x[0]), 2).alias("total"))
+    text = docs.select(F.col("l_suppkey").alias("supplier"), F.to_json(F.struct("models")).alias("json"))
+    rows = readers.model_results(text.select("supplier", F.from_json("json", readers.RESULTS)["models"].alias("models")), "supplier")
+    return rows.select("supplier", "model_pos", "model_id", F.size("output").cast("bigint").alias("samples"), F.round(F.aggregate("output", F.lit(0.0), lambda a, x: a + x[0]), 2).alias("total"))
+
+
+@query("""WITH x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, unnest(range(64)) AS i FROM embeddings), y AS (SELECT *, i // 8 AS r, i % 8 AS c FROM x),
+z AS (SELECT *, 1 + greatest(r - 1, 0) * 8 AS u, 1 + r * 8 AS m, 1 + least(r + 1, 7) * 8 AS d, greatest(c - 1, 0) AS w, least(c + 1, 7) AS e FROM y)
+SELECT vec_id, CAST(i AS INTEGER) AS i, round(x[m + 7 - c], 4) + 0.0 AS mirrored,
+  round(sqrt((x[u + e] - x[u + w] + 2 * x[m + e] - 2 * x[m + w] + x[d + e] - x[d + w]) ** 2 + (x[d + w] - x[u + w] + 2 * x[d + c] - 2 * x[u + c] + x[d + e] - x[u + e]) ** 2), 3) AS sobel FROM z""")
+def x7_mirror_sobel(spark, sf_dir):
+    e = samples(spark, sf_dir).select(F.col("sample_id").alias("vec_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), "features")
+    mirrored = pixels.transform_images(e, [("mirror",)], "GRAY", "features").select("vec_id", F.posexplode("pixels").alias("i", "mirrored"))
+    edges = pixels.transform_images(e, [("sobel",)], "GRAY", "features").select("vec_id", F.posexplode("pixels").alias("j", "sobel")).where("j % 2 = 1")
+    both = mirrored.join(edges.select("vec_id", (F.col("j") / 2).cast("int").alias("i"), "sobel"), ["vec_id", "i"])
+    return both.select("vec_id", "i", (F.round(F.col("mirrored").cast("double"), 4) + 0.0).alias("mirrored"), F.round(F.col("sobel").cast("double"), 3).alias("sobel"))
+
+
+@query("""WITH x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, unnest(range(16)) AS i FROM embeddings)
+SELECT vec_id, CAST(i AS INTEGER) AS i, round(0.299 * x[3 * i + 3] + 0.587 * x[3 * i + 2] + 0.114 * x[3 * i + 1], 3) + 0.0 AS gray FROM x""")
+def x7_gray(spark, sf_dir):
+    e = samples(spark, sf_dir).select(F.col("sample_id").alias("vec_id"), F.lit(4).alias("height"), F.lit(4).alias("width"), F.lit(3).alias("channels"), F.slice("features", 1, 48).alias("features"))
+    return pixels.transform_images(e, [("color", "GRAY")], "BGR", "features").select("vec_id", F.posexplode("pixels").alias("i", "v")).select("vec_id", "i", (F.round(F.col("v").cast("double"), 3) + 0.0).alias("gray"))
 
 
 # Reports
 @query(f"""WITH {P} SELECT 'samples' AS part, split AS a, NULL AS b, CAST(count(*) AS VARCHAR) AS value FROM p GROUP BY split
 UNION ALL SELECT 'labels', x.label, split, CAST(count(p.label) AS VARCHAR) FROM (SELECT * FROM (SELECT DISTINCT label FROM p), (SELECT unnest(['test', 'validation', 'train']) AS split)) x LEFT JOIN p USING (label, split) GROUP BY x.label, split
-UNION ALL SELECT 'results', event_type, set, CAST(n AS VARCHAR) FROM (SELECT event_type, count(*) AS events, count(DISTINCT user_id) AS users FROM events GROUP BY 1) UNPIVOT (n FOR set IN (events, users))""")
+UNION ALL SELECT 'results', event_type, set, CAST(n AS VARCHAR) FROM (SELECT event_type, count(*) AS events, count(DISTINCT user_id) AS users FROM events GROUP BY 1) UNPIVOT (n FOR set IN (events, users))
+UNION ALL SELECT 'normalization', 'none', '1', NULL
+UNION ALL SELECT 'unit_times', unit, NULL, CAST(s AS VARCHAR) FROM (SELECT CAST(o_orderpriority AS VARCHAR) AS unit, sum(CAST(floor(o_totalprice) AS BIGINT)) AS s FROM orders GROUP BY 1 UNION ALL SELECT 'all', sum(CAST(floor(o_totalprice) AS BIGINT)) FROM orders)""")
 def a14_report(spark, sf_dir):
     counts = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("metric")).agg(F.create_map(F.lit("events"), F.count("*"), F.lit("users"), F.count_distinct("user_id")).alias("values"))
-    timings = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("unit"), F.col("o_totalprice").alias("seconds"))
+    timings = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("unit"), F.floor("o_totalprice").alias("seconds"))
     made = report.build_report(parts(spark, sf_dir).withColumn("features", F.array(F.lit(1.0))), report.result_rows(counts), timings)
     row = lambda part, a, b, v: [F.lit(part).alias("part"), a.alias("a"), b.alias("b"), v.cast("string").alias("value")]
     splits_ = made["samples"].select(row("samples", F.col("split"), F.lit(None).cast("string"), F.col("n")))
     labels_ = made["labels"].unpivot("label", ["test", "validation", "train"], "split", "n").select(row("labels", F.col("label"), F.col("split"), F.col("n")))
-    return splits_.unionByName(labels_).unionByName(made["results"].select(row("results", F.col("metric"), F.col("set"), F.col("value"))))
+    null = F.lit(None).cast("string")
+    size = made["normalization"].select(row("normalization", F.col("name"), F.col("features").cast("string"), null))
+    times = made["unit_times"].select(row("unit_times", F.col("unit"), null, F.col("seconds")))
+    return splits_.unionByName(labels_).unionByName(made["results"].select(row("results", F.col("metric"), F.col("set"), F.col("value")))).unionByName(size).unionByName(times)
 
 
 @query("SELECT event_type AS metric, set, CASE WHEN set = 'users' AND event_type = 'click' THEN 'later' ELSE CAST(n AS VARCHAR) END AS value FROM (SELECT event_type, count(*) AS events, count(DISTINCT user_id) AS users FROM events GROUP BY 1) UNPIVOT (n FOR set IN (events, users))")

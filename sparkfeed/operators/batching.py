@@ -87,14 +87,30 @@ def chunk_address(pos: Column, batch: int, chunk: int) -> tuple[Column, Column]:
     return (F.floor(pos / batch) * per + F.floor(pos % batch / chunk)).cast("bigint"), (pos % batch % chunk).cast("bigint")
 
 
-def write_chunks(indexed: DataFrame, path: str, batch: int, chunk: int | None = None, codec: str = "snappy") -> None:
-    """Minibatches as Parquet by split and chunk, and a header; codecs are Parquet's."""
-    chunk_id, offset = chunk_address(F.col("split_pos"), batch, chunk or batch)
-    rows = indexed.withColumns({"chunk_id": chunk_id, "chunk_offset": offset})
+def write_chunks(indexed: DataFrame, path: str, batch: int, chunks: tuple[int, int, int] = (0, 0, 1), codec: str = "snappy") -> None:
+    """Minibatches as Parquet by split and chunk, a header, and the labels' numbers; codecs are Parquet's.
+
+    ``chunks`` are the samples of a chunk in test, validation and train, 0 for a whole batch; they may
+    not exceed it. The header says sizes, the shape of a sample, and column types. Labels are a table
+    of their own, as there may be many.
+    """
+    if batch < 1 or any(c < 0 or c > batch for c in chunks):
+        raise ValueError(f"chunks {chunks} do not fit a batch of {batch}")
+    sizes_of = dict(zip(ORDER, (c or batch for c in chunks), strict=True))
+    by_split = [chunk_address(F.col("split_pos"), batch, size) for size in sizes_of.values()]
+    pick = lambda k: F.when(F.col("split") == "test", by_split[0][k]).when(F.col("split") == "validation", by_split[1][k]).otherwise(by_split[2][k])
+    rows = indexed.withColumns({"chunk_id": pick(0), "chunk_offset": pick(1)})
     rows.repartitionByRange("split", "chunk_id").sortWithinPartitions("split", "chunk_id", "chunk_offset").write.partitionBy("split").option("compression", codec).parquet(f"{path}/chunks")
-    sizes = class_lengths(indexed).collect()
-    header = json.dumps({"batch": batch, "chunk": chunk or batch, "codec": codec, "class_lengths": {r["split"]: r["end"] - r["start"] for r in sizes}}, sort_keys=True)
-    indexed.sparkSession.createDataFrame([(header,)], "value string").coalesce(1).write.text(f"{path}/header")
+    shape = [F.min(F.size("features")).alias("least"), F.max(F.size("features")).alias("most")] if "features" in indexed.columns else [F.lit(None).alias("least"), F.lit(None).alias("most")]
+    found = indexed.groupBy("split").agg(F.count("*").alias("n"), *shape).collect()  # three rows
+    header = {
+        "batch": batch, "chunks": sizes_of, "codec": codec, "class_lengths": {r["split"]: r["n"] for r in found}, "types": dict(indexed.dtypes),
+        "shape": sorted({n for r in found for n in (r["least"], r["most"]) if n is not None}),
+    }
+    if "label" in indexed.columns:
+        mapping = indexed.where("label IS NOT NULL").select("label", *(["label_id"] if "label_id" in indexed.columns else [])).distinct()
+        mapping.write.parquet(f"{path}/labels")
+    indexed.sparkSession.createDataFrame([(json.dumps(header, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/header")
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:

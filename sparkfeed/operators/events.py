@@ -26,13 +26,15 @@ def slice_events(df: DataFrame, session=None, instance=None, names: list[str] |
     return df.where(F.col("time") < before) if before is not None else df
 
 
-def events_to_series(df: DataFrame) -> DataFrame:
-    """``(session, instance, name, t, height, k)``: steps that stand for the events, t from the session's start."""
+def events_to_series(df: DataFrame, meta: list[str] | None = None) -> DataFrame:
+    """``(session, instance, name, t, height, k, meta)``: steps that stand for the events, t from the
+    session's start; ``meta`` is a JSON object of the given other columns, by default of all."""
     start = df.groupBy("session").agg(F.min("time").alias("_start"))
-    rows = df.join(F.broadcast(start), "session").withColumns({"_t": F.col("time") - F.col("_start"), "_h": F.coalesce("height", F.lit(1.0))})
+    others = [c for c in df.columns if c not in ("session", "instance", "name", "type", "time", "height")] if meta is None else meta
+    rows = df.join(start, "session").withColumns({"_t": F.col("time") - F.col("_start"), "_h": F.coalesce("height", F.lit(1.0)), "_meta": F.to_json(F.struct(*others)) if others else F.lit("{}")})
     zero = F.lit(0.0)
     steps = F.when(F.col("type") == "begin", F.array(zero, F.col("_h"))).when(F.col("type") == "end", F.array(F.col("_h"), zero)).otherwise(F.array(zero, F.col("_h"), zero))
-    return rows.select("session", "instance", "name", F.col("_t").alias("t"), F.posexplode(steps).alias("k", "height"))
+    return rows.select("session", "instance", "name", F.col("_t").alias("t"), F.col("_meta").alias("meta"), F.posexplode(steps).alias("k", "height"))
 
 
 def event_extras(df: DataFrame, props: str, fixed: list[str]) -> DataFrame:
@@ -106,12 +108,13 @@ def efficiency(df: DataFrame, seconds: str, wall: str) -> DataFrame:
 
 
 def worker_health(df: DataFrame) -> DataFrame:
-    """Online workers' mean jobs and sample deviation, a warning for those far below, and power tiers."""
+    """Online workers' mean jobs and sample deviation, a warning for those far below, power tiers, and how many are online and not."""
     online = df.where("state <> 'Offline'").agg(F.avg("jobs").alias("mean_jobs"), F.stddev_samp("jobs").alias("sigma"), F.greatest(F.max("power"), F.lit(1.0)).alias("_top"))
-    rows = df.crossJoin(F.broadcast(online))
+    totals = df.agg(F.count_if(F.col("state") != "Offline").alias("online"), F.count_if(F.col("state") == "Offline").alias("offline"))
+    rows = df.crossJoin(F.broadcast(online)).crossJoin(F.broadcast(totals))
     slow = (F.col("state") == "Working") & (F.col("jobs") < F.col("mean_jobs") - 2 * F.col("sigma"))
     share = F.col("power") / F.col("_top")
-    return rows.select("worker", "state", "jobs", "mean_jobs", "sigma", F.coalesce(slow, F.lit(False)).alias("warning"), F.when(share >= 0.7, "high").when(share >= 0.4, "middle").otherwise("low").alias("tier"))
+    return rows.select("worker", "state", "jobs", "mean_jobs", "sigma", F.coalesce(slow, F.lit(False)).alias("warning"), F.when(share >= 0.7, "high").when(share >= 0.4, "middle").otherwise("low").alias("tier"), "online", "offline")
 
 
 def hung_workers(workers: DataFrame, jobs: DataFrame) -> DataFrame:

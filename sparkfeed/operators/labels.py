@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.index import dense_index
 
@@ -45,13 +49,13 @@ def label_counts(df: DataFrame, fill: bool = True) -> DataFrame:
 
 
 def label_stats(df: DataFrame, bar: int = 25) -> tuple[DataFrame, DataFrame]:
-    """Summary a split (least and most frequent label, mean, deviation) and a row a label with its
+    """Summary a split (least and most frequent label, mean, deviation, also as % of the mean) and a row a label with its
     share and the length of its bar."""
     counts = label_counts(df, fill=False)
     low, high = F.struct("n", "label"), F.struct((-F.col("n")).alias("n"), "label")
     summary = counts.groupBy("split").agg(
         F.min(low)["label"].alias("min_label"), F.min("n").alias("min_n"), F.min(high)["label"].alias("max_label"), F.max("n").alias("max_n"),
-        F.avg("n").alias("mean_n"), F.stddev_pop("n").alias("sigma"),
+        F.avg("n").alias("mean_n"), F.stddev_pop("n").alias("sigma"), (100 * F.stddev_pop("n") / F.avg("n")).alias("sigma_pct"),
     )
     by = W.partitionBy("split")
     rows = counts.select("split", "label", "n", (100.0 * F.col("n") / F.sum("n").over(by)).alias("share"), F.floor(F.col("n") * bar / F.max("n").over(by)).alias("bar"))
@@ -86,14 +90,47 @@ def label_distribution(df: DataFrame) -> DataFrame:
     return counts.select("split", "label", F.when(total > 0, F.col("n") / total).otherwise(0.0).alias("p"))
 
 
+def _upper_gamma(a: float, x: float) -> float:
+    """The regularised upper incomplete gamma function: a series below ``a + 1``, a continued fraction above."""
+    if x <= 0:
+        return 1.0
+    front = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        k = a
+        while abs(term) > 1e-16 * abs(total):
+            k += 1
+            term *= x / k
+            total += term
+        return max(0.0, 1 - front * total)
+    b, c = x + 1 - a, 1e300
+    d = 1 / b
+    out = d
+    for k in range(1, 10_000):
+        step = -k * (k - a)
+        b += 2
+        d, c = 1 / (step * d + b), b + step / c
+        out *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * out
+
+
+@F.pandas_udf(T.DoubleType())
+def chi_square_p(statistic: pd.Series, degrees: pd.Series) -> pd.Series:
+    """The chance of such a statistic or a larger one if both are alike."""
+    return pd.Series([None if pd.isna(s) or k < 1 else _upper_gamma(k / 2, s / 2) for s, k in zip(statistic, degrees, strict=True)], dtype="float64")
+
+
 def compare_label_distributions(df: DataFrame, basis: str = "proportion") -> DataFrame:
-    """``(split, statistic, degrees)`` of chi-square against the train split, by shares or counts."""
+    """``(split, statistic, degrees, p, same)`` of chi-square against the train split, by shares or
+    counts, a row a split that has rows; ``same`` if ``p`` exceeds 0.95."""
     shares = label_distribution(df)
     n = label_counts(df).groupBy("split").agg(F.sum("n").alias("total"))
     train = shares.where("split = 'train'").select("label", F.col("p").alias("e"))
     terms = shares.where("split <> 'train'").join(train, "label").where("e > 0").join(n, "split")
     scale = F.lit(1.0) if basis == "proportion" else F.col("total")
-    return terms.groupBy("split").agg(F.sum(scale * (F.col("p") - F.col("e")) * (F.col("p") - F.col("e")) / F.col("e")).alias("statistic"), (F.count("*") - 1).alias("degrees"))
+    return terms.groupBy("split").agg(F.sum(scale * (F.col("p") - F.col("e")) * (F.col("p") - F.col("e")) / F.col("e")).alias("statistic"), (F.count("*") - 1).alias("degrees")).withColumn("p", chi_square_p("statistic", "degrees")).withColumn("same", F.col("p") > 0.95)
 
 
 def label_set_diff(a: DataFrame, b: DataFrame) -> DataFrame:

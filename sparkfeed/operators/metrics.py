@@ -124,7 +124,7 @@ def poly_trend(tail: DataFrame, by: str, y: str, degree: int = 2, points: int =
 def relative_rating(df: DataFrame, group: str, value: str) -> DataFrame:
     """Least value of the group over a row's own; the least is found before the join back."""
     best = df.groupBy(group).agg(F.min(value).alias("_best"))
-    return df.join(F.broadcast(best), group).withColumn("rating", F.col("_best") / F.col(value)).drop("_best")
+    return df.join(best, group).withColumn("rating", F.col("_best") / F.col(value)).drop("_best")
 
 
 def generation_stats(df: DataFrame) -> DataFrame:

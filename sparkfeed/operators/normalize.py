@@ -13,13 +13,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .labels import apply_label_mapping
+
 _STATS = "n bigint, sum array<double>, min array<double>, max array<double>"
 
 
 def fit_stats(df: DataFrame, features: str = "features", where: str | None = "split = 'train'") -> DataFrame:
     """``(feature_idx, n, sum, min, max)`` of each element, over train rows only.
 
-    Each task sums its rows up in one row of arrays; only these are merged.
+    Each task sums its rows up in one row of arrays; only these are merged. Null features are left
+    out; features of different lengths are an error where a task meets them.
     """
 
     def partial(frames):
@@ -27,6 +30,9 @@ def fit_stats(df: DataFrame, features: str = "features", where: str | None = "sp
         for frame in frames:
             if not len(frame):
                 continue
+            lengths = set(map(len, frame["x"])) | ({len(total)} if total is not None else set())
+            if len(lengths) > 1:
+                raise ValueError(f"features differ in length: {sorted(lengths)}")
             x = np.stack(frame["x"].to_numpy()).astype(np.float64)
             if total is None:
                 total, low, high = np.zeros(x.shape[1]), np.full(x.shape[1], np.inf), np.full(x.shape[1], -np.inf)
@@ -177,3 +183,29 @@ def save_stats(stats: DataFrame, path: str) -> None:
 
 def load_stats(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+class Bundle(NamedTuple):
+    """What a data set leaves to others: its normaliser, statistics and label numbers."""
+
+    name: str
+    stats: DataFrame | None
+    mapping: DataFrame | None
+
+
+def save_bundle(bundle: Bundle, spark, path: str) -> None:
+    spark.createDataFrame([(bundle.name, bundle.stats is not None, bundle.mapping is not None)], "name string, stats boolean, mapping boolean").write.parquet(f"{path}/name")
+    for part, df in (("stats", bundle.stats), ("mapping", bundle.mapping)):
+        if df is not None:
+            df.write.parquet(f"{path}/{part}")
+
+
+def load_bundle(spark, path: str) -> Bundle:
+    head = spark.read.parquet(f"{path}/name").first()
+    return Bundle(head["name"], *(spark.read.parquet(f"{path}/{part}") if head[part] else None for part in ("stats", "mapping")))
+
+
+def derive_from(df: DataFrame, bundle: Bundle, on_missing: str = "null", **options) -> DataFrame:
+    """New data as the data set of ``bundle`` has it: its statistics, not its own, and its label numbers."""
+    out = normalize(df, bundle.name, bundle.stats, **options)
+    return apply_label_mapping(out, bundle.mapping, on_missing) if bundle.mapping is not None else out

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.index import dense_index
+from ..operators.splits import union_splits, validate_samples
 
 #: Extension -> MIME type, for what data sets are made of.
 MIME = {
@@ -46,16 +47,38 @@ def parse_list_line(value: Column, base: str = "") -> list[Column]:
     return [F.concat(F.lit(base), F.get(parts, 0)).alias("path"), F.btrim(F.get(parts, 1), F.lit(" \t\r\n")).alias("label")]
 
 
+def read_file_list(spark: SparkSession, path: str, base_dir: str = "", labelled: bool = True) -> DataFrame:
+    """``(path, label)`` of a list file, ``.json`` or text; a line without a label is an error unless
+    the list is ``labelled=False``, as test sets may be."""
+    base = base_dir.rstrip("/") + "/" if base_dir else ""
+    if path.endswith(".json"):
+        entries = spark.read.option("wholetext", True).text(path).select(F.explode(parse_list_json(F.col("value"))).alias("e"))
+        return entries.select(F.concat(F.lit(base), F.col("e.path")).alias("path"), "e.label")
+    lines = spark.read.text(path).where(F.btrim("value") != "").select(*parse_list_line(F.col("value"), base))
+    missing = F.coalesce(F.col("label"), F.lit("")) == ""
+    return lines.withColumn("label", F.when(missing, F.raise_error(F.concat(F.lit("no label for "), F.col("path"))).cast("string") if labelled else F.lit(None)).otherwise(F.col("label")))
+
+
 def parse_list_json(value: Column) -> Column:
     """Rows ``(path, label)`` of ``{key: {path, label: [...]}}``; entries without a label are left out."""
     entries = F.map_values(F.from_json(value, "map<string,struct<path:string,label:array<string>>>"))
     return F.transform(F.filter(entries, lambda e: F.size(e["label"]) > 0), lambda e: F.struct(e["path"].alias("path"), F.get(e["label"], 0).alias("label")))
 
 
-def read_matrix(spark: SparkSession, path: str, columns: int, sep: str = ",", comment: str = "#", usecols: list[int] | None = None) -> DataFrame:
+def read_matrix(spark: SparkSession, path: str, columns: int, sep: str = ",", comment: str = "#", usecols: list[int] | None = None, skiprows: int = 0) -> DataFrame:
+    """``features`` of each line, but for the first ``skiprows`` lines of each file, comments among them.
+
+    Only lines of a file's first block are counted, so files stay splittable.
+    """
     schema = ", ".join(f"c{k} double" for k in range(columns))
-    rows = spark.read.schema(schema).option("sep", sep).option("comment", comment).csv(path)
-    return rows.select(F.array(*(f"c{k}" for k in (usecols or range(columns)))).alias("features"))
+    chosen = F.array(*(f"c{k}" for k in (usecols or range(columns)))).alias("features")
+    if not skiprows:
+        return spark.read.schema(schema).option("sep", sep).option("comment", comment).csv(path).select(chosen)
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("_file"), (F.input_file_block_start() == 0).alias("_first"), F.monotonically_increasing_id().alias("_at"))
+    starts = lines.where("_first").groupBy("_file").agg(F.min("_at").alias("_start"))
+    kept = lines.join(starts, "_file").where(~F.col("_first") | (F.col("_at") - F.col("_start") >= skiprows))
+    kept = kept.where((F.btrim("value") != "") & ~F.col("value").startswith(comment))
+    return kept.select(F.from_csv("value", schema, {"sep": sep, "mode": "FAILFAST"}).alias("r")).select("r.*").select(chosen)
 
 
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
@@ -72,6 +95,35 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, "path string, row bigint, features array<double>")
 
 
+def read_sample_sets(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Parquet tables ``(sample_id, features, label)`` of splits as one data set.
+
+    Splits must agree in columns and in the shape of their samples, and have labels for all rows or
+    for none; else it is an error. This takes one pass over sizes and labels.
+    """
+    sets = {split: spark.read.parquet(path) for split, path in paths.items()}
+    names = {split: sorted(df.columns) for split, df in sets.items()}
+    if len({tuple(n) for n in names.values()}) > 1:
+        raise ValueError(f"splits differ in columns: {names}")
+    df = union_splits(sets)
+    checked = df if "label" in df.columns else df.withColumn("label", F.lit(None).cast("string"))
+    if broken := validate_samples(checked).where("rule <> 'no train rows'").limit(20).collect():
+        raise ValueError("; ".join(sorted(f"{r['rule']} ({r['split']})" for r in broken)))
+    return df
+
+
+def read_events(spark: SparkSession, path: str, fields: str = "session string, instance string, name string, type string, time double, height double, props string") -> DataFrame:
+    """Events of JSON lines; the fixed fields as columns, and the line itself as ``line``, from which
+    ``event_extras`` has the others."""
+    lines = spark.read.text(path)
+    return lines.select(F.from_json("value", fields).alias("e"), F.col("value").alias("line")).select("e.*", "line")
+
+
+def read_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Log rows of JSON lines, as ``filter_logs`` takes them."""
+    return read_events(spark, path, "session string, node string, levelname string, name string, message string, created double")
+
+
 #: Types of base64 payloads: kind, bits, byte order.
 TENSOR_TYPE = r"^(u?int(?:8|16|32|64)|float(?:16|32|64))([<=>]?)$"
 
@@ -115,15 +167,18 @@ def decode_requests(df: DataFrame, payload: str) -> DataFrame:
     return out.withColumns({"input": F.when(fine & is_list, values).when(fine & packed, tensor), "shape": F.when(fine & is_list, F.array(F.size(values))).when(fine & packed, r["shape"])})
 
 
-def model_results(doc: DataFrame) -> DataFrame:
-    """``(model_pos, model_id, labels, output)`` of a ``models`` column; models in the order of the file."""
-    return doc.select(F.posexplode("models").alias("model_pos", "m")).select("model_pos", F.col("m.id").alias("model_id"), F.col("m.Labels").alias("labels"), F.col("m.Output").alias("output"))
+RESULTS = "models array<struct<id:string, Labels:array<string>, Output:array<array<double>>>>"
+
+
+def model_results(doc: DataFrame, *keep: str) -> DataFrame:
+    """``(model_pos, model_id, labels, output)`` of a ``models`` column, after the columns to ``keep``;
+    models in the order of the file."""
+    return doc.select(*keep, F.posexplode("models").alias("model_pos", "m")).select(*keep, "model_pos", F.col("m.id").alias("model_id"), F.col("m.Labels").alias("labels"), F.col("m.Output").alias("output"))
 
 
 def read_model_results(spark: SparkSession, path: str) -> DataFrame:
     """What an ensemble's result file holds of each model, ready for ``stack_outputs``."""
-    schema = "models array<struct<id:string, Labels:array<string>, Output:array<array<double>>>>"
-    return model_results(spark.read.schema(schema).option("multiLine", True).json(path))
+    return model_results(spark.read.schema(RESULTS).option("multiLine", True).json(path))
 
 
 def annotation_rows(df: DataFrame, image: str, value: str) -> DataFrame:

@@ -51,6 +51,42 @@ def micro_batches(stream: DataFrame, tick: str = "1 second", watermark: str = "1
     return slots.select(F.col("w.start").alias("tick"), "n")
 
 
+def size_or_time_batches(stream: DataFrame, size: int, wait: str = "100 milliseconds", key: str = "loader") -> DataFrame:
+    """``(key, batch, pos, id, payload)``: rows ``(key, id, payload)`` of each loader in batches of
+    ``size``, or of what has come when ``wait`` has passed since the first of them; append mode.
+
+    The state of a loader is the rows of its unfinished batch, so at most ``size`` of them. A timer
+    fires at the next trigger, so batches may wait longer than ``wait`` but never less.
+    """
+    value, _, unit = wait.partition(" ")
+    millis = int(float(value) * {"milliseconds": 1, "seconds": 1000, "minutes": 60_000}[unit])
+
+    def follow(k, frames, state):
+        number, ids, payloads = state.get if state.exists else (0, [], [])
+        ids, payloads = list(ids), list(payloads)
+        full = []
+        if state.hasTimedOut:
+            full, ids, payloads = [(ids, payloads)], [], []
+        else:
+            for frame in frames:
+                for i, p in zip(frame["id"], frame["payload"], strict=True):
+                    ids.append(int(i))
+                    payloads.append(p)
+                    if len(ids) == size:
+                        full.append((ids, payloads))
+                        ids, payloads = [], []
+        for some, data in full:
+            if some:
+                yield pd.DataFrame({"key": k[0], "batch": number, "pos": range(len(some)), "id": some, "payload": data})
+                number += 1
+        state.update((number, ids, payloads))
+        if ids:
+            state.setTimeoutDuration(millis)
+
+    rows = stream.select(F.col(key).cast("string").alias("key"), F.col("id").cast("bigint").alias("id"), F.col("payload").cast("string").alias("payload"))
+    return rows.groupBy("key").applyInPandasWithState(follow, "key string, batch bigint, pos bigint, id bigint, payload string", "number bigint, ids array<bigint>, payloads array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def job_timeouts(stream: DataFrame, floor_s: float = 120.0) -> DataFrame:
     """``(worker, ts, id, duration_s, limit, late)`` of jobs as they end; append mode.
 

@@ -1,6 +1,7 @@
 """The library's operators: against SQL on the test tables, and on hand-made values."""
 
 import glob
+import json
 import os
 
 import duckdb
@@ -9,9 +10,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sparkfeed.functions import index, scalars
+from sparkfeed.functions import draws, index, scalars, scratch
 from sparkfeed.jobs import queries
-from sparkfeed.operators import batching, events, joins, labels, metrics, normalize, registry, search, splits
+from sparkfeed.operators import batching, events, joins, labels, metrics, normalize, pixels, registry, search, splits
 from sparkfeed.sources import readers
 from sparkfeed.streaming import streams
 
@@ -106,7 +107,7 @@ def test_shuffle_limit_keeps_the_last_order(spark):
 
 def test_chunk_store_round_trip(spark, tmp_path):
     df = spark.range(1000).select(F.col("id").alias("sample_id"), F.lit("test").alias("split"), F.array(F.col("id").cast("double")).alias("features"))
-    batching.write_chunks(batching.index_samples(df), f"{tmp_path}/store", 100, 30)
+    batching.write_chunks(batching.index_samples(df), f"{tmp_path}/store", 100, (30, 0, 1))
     store = batching.read_chunks(spark, f"{tmp_path}/store")
     assert [r.features[0] for r in store.orderBy("chunk_id", "chunk_offset").collect()] == [float(k) for k in range(1000)]
     got = batching.fetch_samples(store, spark.createDataFrame([("test", 777)], "split string, split_pos long")).collect()
@@ -120,6 +121,158 @@ def test_feature_blocks(spark):
     assert all(len(x) == 65 for x in features(out))
 
 
+def test_feature_blocks_are_cut_to_the_shortest(spark):
+    a = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, [4.0, 5.0]), (2, [9.0])], "sample_id long, features array<double>")
+    b = spark.createDataFrame([(0, [6.0]), (1, [7.0, 8.0])], "sample_id long, features array<double>")
+    out, layout = joins.join_features([a, b])
+    assert {r.sample_id: r.features for r in out.collect()} == {0: [1, 2, 6], 1: [4, 5, 7]}
+    assert [(r.offset, r.length) for r in layout.orderBy("block").collect()] == [(0, 2), (2, 1)]
+
+
+def test_targets_keep_their_contract(spark):
+    s = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "sample_id long, label string")
+    t = lambda *rows: spark.createDataFrame(rows, "target_id long, label string, target double")
+    assert {r.sample_id: r.target for r in joins.attach_targets(s, t((1, "a", 0.5), (2, "b", 1.5), (3, "c", 9.0))).collect()} == {1: 0.5, 2: 1.5, 3: 0.5}
+    for bad, why in ((t((1, "a", 0.5), (2, "b", 1.5), (3, "b", 2.5)), "several targets for label b"), (t((1, "a", 0.5)), "no target for label b")):
+        with pytest.raises(Exception, match=why):
+            joins.attach_targets(s, bad).collect()
+    broken = joins.target_violations(s, t((1, "a", 0.5), (2, "c", 1.5), (3, "c", 2.5))).collect()
+    assert {(r.rule, r.label) for r in broken} == {("several targets", "c"), ("no target", "b")}
+    assert {r.sample_id: r.target for r in joins.attach_targets(s, t((7, "x", 3.0), (5, "y", 1.0), (6, "z", 2.0)), on=None).collect()} == {1: 1.0, 2: 2.0, 3: 3.0}
+    for n in (2, 4):
+        with pytest.raises(Exception, match="differ in number"):
+            joins.attach_targets(s, t(*((k, "x", 1.0) for k in range(n))), on=None).collect()
+
+
+def test_stacking_keeps_its_contract(spark):
+    made = lambda *rows: joins.stack_outputs(spark.createDataFrame(rows, "model_pos int, labels array<string>, output array<array<double>>"))
+    first = (0, ["a", "b"], [[1.0, 2.0], [3.0, 4.0]])
+    for second, why in (((1, ["a", "c"], [[1.0, 2.0], [3.0, 4.0]]), "labels"), ((1, ["a"], [[1.0], [3.0]]), "labels"), ((1, ["b", "a"], [[1.0, 2.0]]), "shape")):
+        with pytest.raises(Exception, match=f"models differ in (their )?{why}"):
+            made(first, second).collect()
+    stacked = made(first)
+    winners = spark.createDataFrame([(0, "b"), (1, "a")], "sample_pos int, label string")
+    assert {r.sample_pos: r.label for r in joins.attach_winners(stacked, winners).collect()} == {0: "b", 1: "a"}
+    mapping = spark.createDataFrame([("a", 0), ("b", 1)], "label string, label_id int")
+    assert {r.sample_pos: (r.features, r.label_id) for r in joins.attach_winners(stacked, winners, mapping).collect()} == {0: ([1, 2], 1), 1: ([3, 4], 0)}
+
+
+def test_chunks_of_each_split(spark, tmp_path):
+    df = spark.range(300).select(F.col("id").alias("sample_id"), F.when(F.col("id") < 100, "test").when(F.col("id") < 150, "validation").otherwise("train").alias("split"), F.array(F.lit(1.0), F.lit(2.0)).alias("features"), F.concat(F.lit("l"), F.col("id") % 3).alias("label"))
+    indexed = batching.index_samples(labels.apply_label_mapping(df, labels.build_label_mapping(df)))
+    for bad in ((0, 0, 41), (0, -1, 0)):
+        with pytest.raises(ValueError, match="do not fit"):
+            batching.write_chunks(indexed, f"{tmp_path}/no", 40, bad)
+    batching.write_chunks(indexed, f"{tmp_path}/store", 40, (0, 20, 1), "zstd")
+    header = json.loads(spark.read.text(f"{tmp_path}/store/header").first().value)
+    assert header["chunks"] == {"test": 40, "validation": 20, "train": 1} and header["class_lengths"] == {"test": 100, "validation": 50, "train": 150}
+    assert header["shape"] == [2] and header["types"]["features"] == "array<double>" and header["codec"] == "zstd"
+    sizes = {r.split: (r.most, r.n) for r in batching.read_chunks(spark, f"{tmp_path}/store").groupBy("split", "chunk_id").count().groupBy("split").agg(F.max("count").alias("most"), F.count("*").alias("n")).collect()}
+    assert sizes == {"test": (40, 3), "validation": (20, 3), "train": (1, 150)}
+    assert {(r.label, r.label_id) for r in spark.read.parquet(f"{tmp_path}/store/labels").collect()} == {("l0", 0), ("l1", 1), ("l2", 2)}
+
+
+def test_statistics_and_labels_go_on_to_new_data(spark, tmp_path):
+    old = samples(spark, [[0.0, 10.0], [4.0, 30.0]])
+    bundle = normalize.Bundle("pointwise", normalize.fit_stats(old), labels.build_label_mapping(old))
+    normalize.save_bundle(bundle, spark, f"{tmp_path}/bundle")
+    normalize.save_stats(bundle.stats, f"{tmp_path}/stats")
+    assert sorted(normalize.load_stats(spark, f"{tmp_path}/stats").collect()) == sorted(bundle.stats.collect())
+    new = spark.createDataFrame([(9, "train", [2.0, 40.0], old.first().label), (8, "test", [4.0, 10.0], "never seen")], "sample_id long, split string, features array<double>, label string")
+    out = {r.sample_id: (r.features, r.label_id) for r in normalize.derive_from(new, normalize.load_bundle(spark, f"{tmp_path}/bundle")).collect()}
+    assert out[9] == ([0.0, 2.0], 0) and out[8] == ([1.0, -1.0], None)
+    with pytest.raises(Exception, match="differ in length"):
+        normalize.fit_stats(samples(spark, [[1.0], [1.0, 2.0]]).coalesce(1)).collect()
+
+
+def test_chi_square_p(spark):
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.stat import Statistics
+
+    rng = np.random.default_rng(3)
+    for k in (2, 3, 10, 60):
+        seen, want = rng.integers(1, 200, k).astype(float), rng.integers(20, 200, k).astype(float)
+        test = Statistics.chiSqTest(Vectors.dense(seen), Vectors.dense(want / want.sum() * seen.sum()))
+        assert abs(labels._upper_gamma(test.degreesOfFreedom / 2, test.statistic / 2) - test.pValue) < 1e-9
+    df = spark.createDataFrame([("train", x) for x in "aabb" * 25] + [("test", x) for x in "ab" * 50] + [("validation", x) for x in "aaab" * 25], "split string, label string")
+    out = {r.split: (r.p, r.same) for r in labels.compare_label_distributions(df, "count").collect()}
+    assert out["test"] == (1.0, True) and out["validation"][0] < 1e-5 and not out["validation"][1]
+
+
+def test_mutations(spark):
+    df = spark.createDataFrame([(k, [float(j) for j in range(10)]) for k in range(200)], "cand_id long, genes array<double>")
+    made = lambda *a, **k: {r.cand_id: r.genes for r in search.mutate(df, *a, **k).collect()}
+    changed = lambda g: sum(x != j for j, x in enumerate(g))
+    out = made("gaussian", 0.0, 9.0, 1.0, points=3)
+    assert all(len(g) == 10 and changed(g) == 3 and all(0 <= x <= 9 for x in g) for g in out.values())
+    some = made("uniform", 20.0, 30.0, 1.0, share=0.3, points=2)
+    assert 30 < sum(changed(g) == 2 for g in some.values()) < 90 and all(changed(g) in (0, 2) for g in some.values())
+    swapped = made("swap", 0.0, 9.0, 1.0, points=1)
+    assert all(sorted(g) == list(range(10)) and changed(g) in (0, 2) for g in swapped.values()) and any(map(changed, swapped.values()))
+    bits = spark.createDataFrame([(k, [0.0, 1.0] * 4) for k in range(50)], "cand_id long, genes array<double>")
+    flipped = [r.genes for r in search.mutate(bits, "flip", 0, 1, 0.5).collect()]
+    assert all(x in (0.0, 1.0) for g in flipped for x in g) and 100 < sum(x != j % 2 for g in flipped for j, x in enumerate(g)) < 300
+
+
+def test_draws(spark):
+    df = spark.range(4000)
+    z = np.array([r[0] for r in df.select(draws.normal(1, F.col("id"), 3.0, 2.0)).collect()])
+    assert abs(z.mean() - 3) < 0.15 and abs(z.std() - 2) < 0.1 and np.abs(z - 3).max() <= 10
+    counts = dict(df.groupBy(draws.choice(2, F.col("id"), ["a", "b", "c"], [6, 3, 1]).alias("c")).count().collect())
+    assert abs(counts["a"] - 2400) < 150 and abs(counts["c"] - 400) < 90
+    assert all(sorted(r[0]) == list(range(7)) for r in df.limit(50).select(draws.permutation(1, F.col("id"), 7)).collect())
+    assert len(df.select(draws.random_bytes(1, F.col("id"), 33).alias("b")).where("octet_length(b) = 33").distinct().collect()) == 4000
+
+
+def test_scores_in_blocks_of_candidates(spark):
+    cands = spark.range(50).select(F.col("id").alias("cand_id"), F.col("id").cast("double").alias("w"))
+    data = spark.range(100).select(F.col("id").cast("double").alias("x"))
+    want = {r.cand_id: r.fitness for r in search.score_candidates(cands, data, F.sum(F.col("x") * F.col("w"))).collect()}
+    assert {r.cand_id: r.fitness for r in search.score_candidates(cands, data, F.sum(F.col("x") * F.col("w")), most=7).collect()} == want and len(want) == 50
+    assert {r.draw for r in search.weighted_sample(cands, "w", 300, buckets=3).collect()} == set(range(300))
+    assert search.weighted_sample(cands, "w", 300, buckets=3).exceptAll(search.weighted_sample(cands, "w", 300)).count() == 0
+
+
+def test_trend_and_efficiency(spark):
+    tail = spark.createDataFrame([("a", k, float(k * k)) for k in range(11)], "by string, position int, y double")
+    out = metrics.poly_trend(tail, "by", "y", points=5).orderBy("x").collect()
+    assert np.allclose([r.trend for r in out], [0, 6.25, 25, 56.25, 100])
+    runs = spark.createDataFrame([("r", 2.0, 10.0), ("r", 3.0, 10.0)], "run_id string, s double, wall double")
+    assert events.efficiency(runs, "s", "wall").first().efficiency == 0.5
+
+
+def test_snapshots_are_appended(spark, tmp_path):
+    one = spark.createDataFrame([("i", "l", 1, "n1")], "id string, log_id string, timestamp long, name string")
+    for df in (one, one.withColumn("timestamp", F.lit(2))):
+        registry.append_snapshots(df.withColumn("timestamp", F.col("timestamp").cast("long")), f"{tmp_path}/s")
+    assert registry.latest_snapshot(spark.read.parquet(f"{tmp_path}/s")).first().timestamp == 2
+
+
+def test_pixels(spark):
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 256, (5, 6, 3)).astype(float)
+    for space in ("BGR", "YCR_CB", "HSV", "RGB"):
+        assert np.allclose(pixels.convert_color(pixels.convert_color(x, "RGB", space), space, "RGB"), x)
+    assert np.allclose(pixels.convert_color(np.array([[[255.0, 0, 0], [0, 255.0, 0]]]), "RGB", "HSV"), [[[0, 255, 255], [60, 255, 255]]])
+    assert np.allclose(pixels.resize(x, 5, 6), x) and np.allclose(pixels.resize(x, 10, 12).reshape(5, 2, 6, 2, 3).mean(axis=(1, 3))[1:-1, 1:-1].shape, (3, 4, 3))
+    odd = rng.random((7, 7, 2))
+    assert np.allclose(pixels.rotate(odd, 0.0), odd) and np.allclose(pixels.rotate(odd, np.pi / 2), np.rot90(odd))
+    assert np.allclose(pixels.rotate(np.ones((9, 9, 1)), np.pi / 4, 5.0)[0, 0], 5.0)
+    ramp = np.tile(np.arange(5.0), (4, 1))
+    assert np.allclose(pixels.sobel(ramp)[:, 1:-1], 8) and np.allclose(pixels.sobel(ramp * 0), 0)
+    rows = [(k, 4, 6, 3, None if k == 3 else bytearray(rng.integers(0, 256, 72).astype(np.uint8).tobytes()), k % 2 == 0, 0.1 * k) for k in range(40)]
+    df = spark.createDataFrame(rows, "id long, height int, width int, channels int, data binary, flip boolean, angle double")
+    out = pixels.transform_images(df, [("mirror", "flip"), ("rotate", "angle", 7.0), ("color", "GRAY"), ("crop", 1, 3, 0, 6), ("resize", 8, 8), ("sobel",)]).collect()
+    assert all((r.height, r.width, r.channels, len(r.pixels)) == (8, 8, 2, 128) for r in out if r.id != 3) and [r.pixels for r in out if r.id == 3] == [None] and len(out) == 40
+    plain = {r.id: r.pixels for r in pixels.transform_images(df, [("mirror", "flip")]).collect()}
+    for k, *_, data, flip, _ in rows:
+        if data is not None:
+            image = np.frombuffer(bytes(data), np.uint8).reshape(4, 6, 3)
+            assert plain[k] == (image[:, ::-1] if flip else image).ravel().tolist()
+    with pytest.raises(ValueError, match="no step blur"):
+        pixels.transform_images(df, [("blur",)])
+
+
 def test_stacking_puts_labels_in_the_first_models_order(spark):
     results = spark.createDataFrame([(0, ["a", "b"], [[1.0, 2.0], [3.0, 4.0]]), (1, ["b", "a"], [[20.0, 10.0], [40.0, 30.0]])], "model_pos int, labels array<string>, output array<array<double>>")
     assert {r.sample_pos: r.features for r in joins.stack_outputs(results).collect()} == {0: [1, 2, 10, 20], 1: [3, 4, 30, 40]}
@@ -174,9 +327,13 @@ def test_thinning_holds_no_whole_series(spark):
         spark.conf.set(name, before)
 
 
-def test_unknown_crossover(spark):
-    with pytest.raises(ValueError, match="geometric"):
+def test_unknown_kinds(spark):
+    with pytest.raises(ValueError, match="harmonic"):
+        search.crossover(spark.createDataFrame([(1, [1.0], [2.0])], "pair long, a array<double>, b array<double>"), "harmonic")
+    with pytest.raises(ValueError, match="range"):
         search.crossover(spark.createDataFrame([(1, [1.0], [2.0])], "pair long, a array<double>, b array<double>"), "geometric")
+    with pytest.raises(ValueError, match="invert"):
+        search.mutate(spark.createDataFrame([(1, [1.0])], "cand_id long, genes array<double>"), "invert", 0, 1, 1)
 
 
 def test_samples_in_chunks(spark):
@@ -266,3 +423,18 @@ def test_stream_statistics_survive_a_restart(spark, tmp_path):
         assert streams.fit_stats_stream(source, f"{tmp_path}/stats", f"{tmp_path}/c").awaitTermination(120)
     got = {r.feature_idx: (r.n, r["min"], r["max"]) for r in streams.merged_stats(spark, f"{tmp_path}/stats").collect()}
     assert got == {r.feature_idx: (r.n, r["min"], r["max"]) for r in normalize.fit_stats(s, where=None).collect()}
+
+
+def test_scratch_goes_where_spark_keeps_its_checkpoints(spark, tmp_path):
+    sc, conf = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    before = scratch.shared_dir(spark)
+    if conf is None:
+        sc.setCheckpointDir(f"{tmp_path}/user")
+        assert f"{tmp_path}/user" in scratch.shared_dir(spark)
+        sc.setCheckpointDir(before)
+    run = scratch.Scratch(spark, "run")
+    df = run.written(spark.range(5), "five")
+    assert df.count() == 5 and run.path.startswith(scratch.shared_dir(spark))
+    run.drop()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(f"{run.path}/five-1")

@@ -4,6 +4,7 @@ import base64
 import json
 import os
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -161,3 +162,67 @@ def test_live_timeouts_match_the_batch(spark, tmp_path):
     tidy = lambda df: [(r.id, r.worker, None if r.limit is None else round(r.limit, 6), r.late) for r in df.orderBy("id").collect()]
     got = tidy(spark.table("late_jobs"))
     assert got == tidy(events.job_timeouts(jobs, 20.0)) and any(x[3] for x in got)
+
+
+def test_list_files(spark, tmp_path):
+    (tmp_path / "l.txt").write_text("a/b.png two words\n\nc.png x\n")
+    (tmp_path / "t.txt").write_text("a.png\n")
+    (tmp_path / "l.json").write_text('{"k": {"path": "p.png", "label": ["z", "y"]}, "e": {"path": "q.png", "label": []}}')
+    read = lambda name, **k: {(r.path, r.label) for r in readers.read_file_list(spark, str(tmp_path / name), **k).collect()}
+    assert read("l.txt", base_dir="/d") == {("/d/a/b.png", "two words"), ("/d/c.png", "x")} and read("l.json") == {("p.png", "z")}
+    assert read("t.txt", labelled=False) == {("a.png", None)}
+    with pytest.raises(Exception, match="no label for a.png"):
+        read("t.txt")
+
+
+def test_matrix_without_its_first_lines(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"m{k}.csv").write_text("a,b\n# c\n" + "".join(f"{k},{j}\n" for j in range(4)))
+    got = readers.read_matrix(spark, str(tmp_path), 2, skiprows=3).collect()
+    assert sorted(tuple(r.features) for r in got) == [(k, j) for k in range(3) for j in range(1, 4)]
+
+
+def test_sample_sets(spark, tmp_path):
+    part = lambda name, rows, schema="sample_id long, features array<double>, label string": spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name))
+    part("train", [(1, [1.0, 2.0], "a"), (2, [1.0, 2.0], "b")])
+    part("test", [(3, [1.0, 2.0], "a")])
+    part("wide", [(3, [1.0, 2.0, 3.0], "a")])
+    part("some", [(3, [1.0, 2.0], "a"), (4, [1.0, 2.0], None)])
+    part("bare", [(3, [1.0, 2.0])], "sample_id long, features array<double>")
+    read = lambda **paths: readers.read_sample_sets(spark, {k: str(tmp_path / v) for k, v in paths.items()})
+    assert {(r.sample_id, r.split) for r in read(train="train", test="test").collect()} == {(1, "train"), (2, "train"), (3, "test")}
+    assert read(train="bare").count() == 1
+    for test, why in (("wide", "shape across splits"), ("some", "labels for some only"), ("bare", "differ in columns")):
+        with pytest.raises(ValueError, match=why):
+            read(train="train", test=test)
+
+
+def test_event_and_log_files(spark, tmp_path):
+    (tmp_path / "e.json").write_text('{"session":"s","name":"n","type":"begin","time":1.5,"extra":7}\n')
+    (tmp_path / "l.json").write_text('{"session":"s","node":"1","levelname":"ERROR","message":"m"}\n')
+    e = readers.read_events(spark, str(tmp_path / "e.json"))
+    assert (e.first().name, e.first().time) == ("n", 1.5)
+    assert events.event_extras(e, "line", ["session"]).first().extras["extra"] == "7"
+    assert events.filter_logs(readers.read_logs(spark, str(tmp_path / "l.json")), "WARNING").first().message == "m"
+    series = events.events_to_series(e.drop("line", "props")).collect()
+    assert [(r.t, r.height, r.meta) for r in series] == [(0.0, 0.0, "{}"), (0.0, 1.0, "{}")]
+
+
+def test_batches_by_size_or_time(spark, tmp_path):
+    rows = spark.createDataFrame([(k // 4, f"k{k % 2}", k, f"p{k}") for k in range(20)], "part int, loader string, id long, payload string")
+    for part in range(5):
+        rows.where(F.col("part") == part).coalesce(1).drop("part").write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("loader string, id long, payload string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = streams.size_or_time_batches(stream, 3, "200 milliseconds").writeStream.format("memory").queryName("batches").outputMode("append").trigger(processingTime="100 milliseconds").option("checkpointLocation", f"{tmp_path}/c").start()
+    try:
+        until = time.time() + 90
+        while time.time() < until and spark.table("batches").count() < 20:
+            time.sleep(0.5)
+    finally:
+        out.stop()
+    got = spark.table("batches").collect()
+    assert sorted(r.id for r in got) == list(range(20)) and all(r.payload == f"p{r.id}" for r in got)
+    sizes = {}
+    for r in got:
+        sizes.setdefault((r.key, r.batch), []).append(r.pos)
+    assert all(sorted(p) == list(range(len(p))) and len(p) <= 3 for p in sizes.values())
