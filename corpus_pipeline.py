@@ -1,7 +1,9 @@
 """A corpus pipeline: quality rules, quality classifier, exact and near duplicates, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns the rows that stay with the columns of
-``documents``; the last returns the packed pieces. Between stages the rows are written as Parquet.
+``documents``; the last returns the packed pieces. Between stages the rows are written as Parquet,
+to the folder that ``spark.checkpoint.dir`` names. Extra columns, whatever their names, go through
+all stages but the last; an empty table stays one.
 """
 
 from __future__ import annotations
@@ -9,26 +11,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkfeed.llm import exact_dedup, packing, probminhash, quality_mil, quality_rules
-from sparkfeed.llm._shared import written
+from sparkfeed.functions.scratch import written
 
 
 def quality_rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that break no quality rule; null, empty and short texts go."""
     return quality_rules.keep_good(docs)
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose score, learnt from the labels of rows that are not held out, reaches the threshold; repeated rows share their fate."""
     return quality_mil.keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of texts that are equal without white space: the longest original, then the smallest id, null last."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near duplicates: that of the smallest id, null last."""
     return probminhash.drop_near_duplicates(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every text, null as empty, with its sequence and its place there; the columns are those of ``packing.pack``."""
     return packing.pack(docs)
 
 
