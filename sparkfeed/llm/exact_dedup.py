@@ -85,7 +85,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     marks = winners.withColumns({full: col(key)})
     found = spread_join(rows.where(col(hot)), marks, full, col(id_col), "left", like=ids.where(col(full).isNotNull()))
     best = col(key).isNull() | (col(id_col).eqNullSafe(col(keep)["id"]) & (-col(cp) == col(keep)["cp"]))
-    found = found.where(best)
+    # about one row a group, written so that texts are shuffled once
+    found = written(found.where(best).select(*own, key, ties), "dedup-found")
     single = found.where(col(key).isNull() | (col(ties) == 1)).select(*own)
     # repeated rows that are alike in all that decides: one of each group
     tied = found.where(col(key).isNotNull() & (col(ties) > 1)).dropDuplicates([key]).select(*own)
