@@ -156,16 +156,17 @@ def features(docs: DataFrame, width: int, threshold: float, bands: int, rows: in
 
 
 def _agree(pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs whose sketches agree in a share of at least ``least``."""
+    """The pairs whose sketches agree in a share of at least ``least``, and that ``share``."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array((a == b).mean(axis=1) >= least))
+            share = (a == b).mean(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share)], names=["a", "b", "share"]).filter(pa.array(share >= least))
 
-    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("share", T.DoubleType())])
     return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, schema)
 
 
@@ -238,14 +239,16 @@ class _Near:
     def links(self) -> DataFrame:
         """Verified pairs that connect all that are near.
 
-        First each member of a bucket is held against the bucket's head. A bucket whose members are
-        then in one component needs no more. In the others, members of different components are
+        First each text is held against one of the heads of its buckets, by sketches the most like it.
+        A bucket whose members are then in one component needs no more. In the others, members of different components are
         held against each other, but for pairs that can't reach the threshold: what two texts have
         in common is at most what each has in common with any text of those buckets, counted in
         all or by groups of shingles.
         """
         stars = self.save(self.members.where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct(), "stars")
-        likely = self._likely(stars)
+        # of a text's heads the one most like it is enough at first: the others mostly are in its component then
+        best = self._likely(stars).groupBy("b").agg(F.max(F.struct("share", "a")).alias("best"))
+        likely = self.save(best.select(F.col("best.a").alias("a"), "b"), "nearest")
         links = self._verified(likely, self._shingle_sets(likely.select(F.explode(F.array("a", "b")).alias("key"))))
         roots = components(links, self.save)
         placed = self.members.join(roots, self.members["key"] == roots["node"], "left").select("band", "key", F.coalesce("root", "key").alias("root"))
@@ -264,14 +267,14 @@ class _Near:
             heads = rows.groupBy("band").agg(F.min(F.struct(F.xxhash64("key", "band", F.lit(turn)).alias("draw"), "key", "root", "n", "s", "groups")).alias("h"))
             apart = (F.col("root") != F.col("h.root")) & _enough(self.threshold, *map(F.col, ("n", "s", "groups", "h.n", "h.s", "h.groups")))
             found = spread_join(rows, heads, "band", F.col("key")).where(apart).select(F.col("h.key").alias("a"), F.col("key").alias("b")).distinct()
-            again = self.save(found.join(stars, ["a", "b"], "left_anti"), "again")
-            stars = self.save(stars.unionByName(again), "stars")
+            again = self.save(found.join(likely, ["a", "b"], "left_anti"), "again")
+            likely = self.save(likely.unionByName(again), "held")
             links = self.save(links.unionByName(self._verified(self._likely(again), sets)), "links")
             roots = components(links, self.save)
             rows = self.save(rows.drop("root").join(roots, F.col("key") == F.col("node"), "left").select("band", "key", "n", "s", "groups", F.coalesce("root", "key").alias("root")), "rows")
             split = self.save(_split(rows), "split")
         across = self.save(_across(rows, split, self.threshold), "across")
-        held = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        held = likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         more = self._verified(self._likely(self.save(across.join(held, ["a", "b"], "left_anti"), "apart")), sets)
         return self.save(links.unionByName(more), "links")
 
