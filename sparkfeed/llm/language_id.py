@@ -139,10 +139,10 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def _family_weights(x: np.ndarray, y: np.ndarray, kinds: int, decay: float = 1e-5, steps: int = 150, rate: float = 12.0) -> np.ndarray:
     """Multinomial logistic regression by accelerated gradient steps; each class weighs the same."""
-    w = np.zeros((x.shape[1], kinds))
+    w = np.zeros((x.shape[1], kinds), np.float32)
     if kinds == 1:
         return w
-    each = (1 / np.bincount(y, minlength=kinds))[y, None] / kinds
+    each = ((1 / np.bincount(y, minlength=kinds))[y, None] / kinds).astype(np.float32)
     ahead = w.copy()
     for step in range(steps):
         p = _softmax(x @ ahead)
@@ -159,6 +159,7 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 60, see
     ``y`` is 1 or -1; each class weighs the same.
     """
     rng, n = np.random.default_rng(seed), len(y)
+    y = y.astype(np.float32)
     bound = np.where(y > 0, n / (2 * max(1, (y > 0).sum())), n / (2 * max(1, (y < 0).sum()))) * cost
     gram = (x @ x.T) * np.outer(y, y)
     diagonal = 0.5 / bound
