@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scan import neighbours, rank_in_series, running_moments
+
 LEVELS = {"DEBUG": 10, "INFO": 20, "WARNING": 30, "ERROR": 40, "CRITICAL": 50}
 
 
@@ -67,14 +68,15 @@ def expire_sessions(df: DataFrame, ts: str, now: float, threshold: float) -> tup
 
 
 def iteration_deltas(df: DataFrame) -> DataFrame:
-    w = W.partitionBy("worker").orderBy("ts", "id")
-    return df.withColumn("delta", F.col("ts") - F.lag("ts").over(w))
+    """``delta``: time since the worker's row before; null for its first. A worker's rows may be in any number of tasks."""
+    near = neighbours(df, ["worker"], ["ts", "id"], "ts", {"sf_last": -1})
+    return near.withColumn("delta", F.col("ts") - F.col("sf_last")).drop("sf_last")
 
 
 def aligned_timings(df: DataFrame, period: int = 100) -> DataFrame:
     """Each worker's last ``period`` points, from the latest of their first times on; workers whose
     last point is before that are left out."""
-    last = df.withColumn("_k", F.row_number().over(W.partitionBy("worker").orderBy(F.desc("ts"), F.desc("id")))).where(F.col("_k") <= period)
+    last = rank_in_series(df, ["worker"], [F.desc("ts"), F.desc("id")], "_k").where(F.col("_k") < period)
     ends = last.groupBy("worker").agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"))
     start = ends.agg(F.max("_first").alias("_start"))
     kept = ends.crossJoin(F.broadcast(start)).where("_last > _start").select("worker", "_start")
@@ -88,10 +90,13 @@ def latest_status(df: DataFrame, now: float, ttl: float = 60.0) -> DataFrame:
 
 
 def job_timeouts(df: DataFrame, floor_s: float = 120.0) -> DataFrame:
-    """``limit`` from a worker's earlier jobs (mean and three deviations, once there are three), and ``late``."""
-    w = W.partitionBy("worker").orderBy("ts", "id").rowsBetween(W.unboundedPreceding, -1)
-    limit = F.greatest(F.avg("duration_s").over(w) + 3 * F.stddev_pop("duration_s").over(w), F.lit(floor_s))
-    out = df.withColumn("limit", F.when(F.count("*").over(w) >= 3, limit))
+    """``limit`` from a worker's earlier jobs (mean and three deviations, once there are three), and ``late``.
+
+    A job without a duration counts for none of them. A worker's jobs may be in any number of tasks.
+    """
+    seen = running_moments(df, ["worker"], ["ts", "id"], "duration_s", ("sf_n", "sf_mean", "sf_dev"))
+    limit = F.greatest(F.col("sf_mean") + 3 * F.col("sf_dev"), F.lit(floor_s))
+    out = seen.withColumn("limit", F.when(F.col("sf_n") >= 3, limit)).drop("sf_n", "sf_mean", "sf_dev")
     return out.withColumn("late", F.coalesce(F.col("duration_s") > F.col("limit"), F.lit(False)))
 
 
@@ -123,9 +128,8 @@ def hung_workers(workers: DataFrame, jobs: DataFrame) -> DataFrame:
 
 def micro_batches(df: DataFrame, size: int, tick: str) -> DataFrame:
     """``(tick, batch, n)``: what arrives in a tick, cut into batches of ``size`` in order of arrival."""
-    slot = F.window("ts", tick)["start"]
-    k = F.row_number().over(W.partitionBy("tick").orderBy("ts", "event_id")) - 1
-    return df.withColumn("tick", slot).withColumn("batch", F.floor(k / size)).groupBy("tick", "batch").agg(F.count("*").alias("n"))
+    placed = rank_in_series(df.select(F.window("ts", tick)["start"].alias("tick"), "ts", "event_id"), ["tick"], ["ts", "event_id"], "_k")
+    return placed.groupBy("tick", F.floor(F.col("_k") / size).alias("batch")).agg(F.count("*").alias("n"))
 
 
 def liveness(df: DataFrame, key: str, ttl: str) -> DataFrame:

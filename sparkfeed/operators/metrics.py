@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.index import dense_index
+from ..functions.scan import neighbours, rank_in_series
 
 
 def confusion_matrix(df: DataFrame, target: str, predicted: str) -> DataFrame:
@@ -104,10 +105,9 @@ def largest_parts(df: DataFrame, key: str, data: str, threshold: int, n: int = 5
 
 
 def metric_tail(df: DataFrame, by: str, order: str, n: int = 11) -> DataFrame:
-    """The last ``n`` points of each series with their places in it."""
-    count = F.count("*").over(W.partitionBy(by))
-    k = F.row_number().over(W.partitionBy(by).orderBy(F.desc(order)))
-    return df.withColumns({"_k": k, "_n": count}).where(F.col("_k") <= n).withColumn("position", F.col("_n") - F.col("_k")).drop("_k", "_n")
+    """The last ``n`` points of each series with their places in it, from 0."""
+    placed = rank_in_series(df, [by], [order], "position", "_n")
+    return placed.where(F.col("position") >= F.col("_n") - n).drop("_n")
 
 
 def poly_trend(tail: DataFrame, by: str, y: str, degree: int = 2, points: int = 100) -> DataFrame:
@@ -129,9 +129,8 @@ def relative_rating(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def generation_stats(df: DataFrame) -> DataFrame:
     """Sum, mean, best, worst and the element ``n div 2`` from the best, of each generation."""
-    ranked = df.withColumn("_k", F.row_number().over(W.partitionBy("generation").orderBy(F.desc("fitness"), "cand_id")) - 1)
-    n = df.groupBy("generation").agg(F.count("*").alias("_n"))
-    return ranked.join(n, "generation").groupBy("generation").agg(
+    ranked = rank_in_series(df.select("generation", "fitness", "cand_id"), ["generation"], [F.desc("fitness"), "cand_id"], "_k", "_n")
+    return ranked.groupBy("generation").agg(
         F.sum("fitness").alias("sum"), F.avg("fitness").alias("average"), F.max("fitness").alias("best"), F.min("fitness").alias("worst"),
         F.max(F.when(F.col("_k") == F.floor(F.col("_n") / 2), F.col("fitness"))).alias("median"),
     )
@@ -150,6 +149,6 @@ def convergence(stats: DataFrame, most: int) -> DataFrame:
 
 def numeric_derivative(df: DataFrame, by: str, x: str, y: str, h: float) -> DataFrame:
     """Fourth-order central differences on an even grid; null at the two ends of a series."""
-    w = W.partitionBy(by).orderBy(x)
-    at = lambda k: F.lead(y, k).over(w) if k > 0 else F.lag(y, -k).over(w)
-    return df.withColumn("derivative", (-at(2) + 8 * at(1) - 8 * at(-1) + at(-2)) / (12 * h))
+    near = neighbours(df, [by], [x], y, {"sf_b2": -2, "sf_b1": -1, "sf_f1": 1, "sf_f2": 2})
+    b2, b1, f1, f2 = (F.col(c) for c in ("sf_b2", "sf_b1", "sf_f1", "sf_f2"))
+    return near.withColumn("derivative", (-f2 + 8 * f1 - 8 * b1 + b2) / (12 * h)).drop("sf_b2", "sf_b1", "sf_f1", "sf_f2")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scan import rank_in_series
+
 
 def gather_results(parts: list[DataFrame]) -> DataFrame:
     """``(metric, value)`` of all parts; of equal metrics, the later part's."""
@@ -33,9 +34,9 @@ def append_snapshots(df: DataFrame, path: str) -> None:
 
 def version_history(df: DataFrame) -> DataFrame:
     """Versions of each package, newest first; older entries named master show their place."""
-    place = F.row_number().over(W.partitionBy("name").orderBy(F.desc("commit_time"), "commit_id")) - 1
+    placed = rank_in_series(df, ["name"], [F.desc("commit_time"), F.col("commit_id")], "place")
     shown = F.when((F.col("place") > 0) & (F.col("message") == "master"), F.concat(F.lit("HEAD@{"), F.col("place"), F.lit("}"))).otherwise(F.col("message"))
-    return df.withColumn("place", place).withColumn("version", shown)
+    return placed.withColumn("version", shown)
 
 
 def package_list(df: DataFrame) -> DataFrame:
