@@ -34,9 +34,14 @@ def gray_decode(g: Column, bits: int = 32) -> Column:
 
 
 def encode_gene(x: Column, accuracy: float, bits: int) -> Column:
-    """A number as a sign, 1 above zero, and the Gray code of its whole steps of ``accuracy``."""
+    """A number as a sign, 1 above zero, and the Gray code of its whole steps of ``accuracy``.
+
+    A number whose code needs more than ``bits`` is an error, as a cut code would stand for another.
+    """
     steps = F.floor(F.abs(x) / accuracy).cast("bigint")
-    return F.concat(F.when(x > 0, "1").otherwise("0"), F.lpad(F.bin(gray_encode(steps)), bits, "0"))
+    code = F.bin(gray_encode(steps))
+    wide = F.raise_error(F.concat(F.lit(f"more than {bits} bits for gene "), x.cast("string"))).cast("string")
+    return F.when(F.length(code) > bits, wide).otherwise(F.concat(F.when(x > 0, "1").otherwise("0"), F.lpad(code, bits, "0")))
 
 
 def decode_gene(code: Column, accuracy: float) -> Column:

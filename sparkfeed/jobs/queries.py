@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits, draws, scalars
 from ..functions.index import dense_index
+from ..functions.scratch import scratch_path
 from ..operators import batching, events, joins, labels, metrics, normalize, pixels, registry, report, search, splits
 from ..sources import images, readers
 
@@ -251,9 +252,24 @@ def _elements(df: DataFrame, *more: str) -> DataFrame:
     return df.select("sample_id", *more, F.posexplode("features").alias("k", "v")).withColumn("v", F.round("v", 6))
 
 
-@query(f"WITH {S}, {ELEMENTS} SELECT k AS feature_idx, count(*) AS n, round(sum(v), 6) AS sum, min(v) AS min, max(v) AS max FROM x WHERE split = 'train' GROUP BY k")
+def holed(df: DataFrame) -> DataFrame:
+    """Samples some of whose elements are null, NaN or infinite."""
+    hole = lambda v, k: F.when((F.col("sample_id") + k) % 11 == 0, F.lit(None)).when((F.col("sample_id") + k) % 13 == 0, F.lit(float("nan"))).when((F.col("sample_id") + k) % 17 == 0, F.lit(float("inf"))).otherwise(v)
+    return df.withColumn("features", F.transform("features", hole))
+
+
+@query(f"WITH {S}, {ELEMENTS} SELECT k AS feature_idx, count(*) FILTER (ok) AS n, round(coalesce(sum(v) FILTER (ok), 0), 6) AS sum, min(v) FILTER (ok) AS min, max(v) FILTER (ok) AS max FROM (SELECT *, (sample_id + k) % 11 <> 0 AND (sample_id + k) % 13 <> 0 AND (sample_id + k) % 17 <> 0 AS ok FROM x) WHERE split = 'train' GROUP BY k")
 def d1_fit_stats(spark, sf_dir):
-    return normalize.fit_stats(samples(spark, sf_dir)).withColumn("sum", F.round("sum", 6))
+    return normalize.fit_stats(holed(samples(spark, sf_dir))).withColumn("sum", F.round("sum", 6))
+
+
+@query("SELECT c_custkey AS id, c_acctbal AS balance FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer) WHERE k > 3")
+def a7_skip_rows(spark, sf_dir):
+    """Customers as a text file for each nation, read without the first three lines of each."""
+    c = table(spark, sf_dir, "customer").repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+    path = scratch_path(spark, "matrix")
+    c.select("c_nationkey", F.concat_ws(",", "c_custkey", "c_acctbal").alias("value")).write.partitionBy("c_nationkey").text(path)
+    return readers.read_matrix(spark, path, 2, skiprows=3).select(F.get("features", 0).cast("bigint").alias("id"), F.get("features", 1).alias("balance"))
 
 
 @query(f"WITH {S}, {ELEMENTS} SELECT k AS feature_idx, count(*) AS n, round(sum(v), 6) AS sum, min(v) AS min, max(v) AS max FROM x GROUP BY k")

@@ -15,18 +15,20 @@ from pyspark.sql import functions as F
 
 from .labels import apply_label_mapping
 
-_STATS = "n bigint, sum array<double>, min array<double>, max array<double>"
+_PART = "size int, n array<bigint>, sum array<double>, min array<double>, max array<double>"
 
 
 def fit_stats(df: DataFrame, features: str = "features", where: str | None = "split = 'train'") -> DataFrame:
     """``(feature_idx, n, sum, min, max)`` of each element, over train rows only.
 
-    Each task sums its rows up in one row of arrays; only these are merged. Null features are left
-    out; features of different lengths are an error where a task meets them.
+    ``n`` is of each element by itself: null, NaN and infinite elements are left out of all four, so
+    an element without any finite value has n 0, sum 0 and no least or greatest. Null and empty
+    features are left out whole. Features of different lengths are an error, in one task or in
+    several. Each task sums its rows up in one row of arrays; only these are merged.
     """
 
     def partial(frames):
-        n, total, low, high = 0, None, None, None
+        n = total = low = high = None
         for frame in frames:
             if not len(frame):
                 continue
@@ -35,19 +37,26 @@ def fit_stats(df: DataFrame, features: str = "features", where: str | None = "sp
                 raise ValueError(f"features differ in length: {sorted(lengths)}")
             x = np.stack(frame["x"].to_numpy()).astype(np.float64)
             if total is None:
-                total, low, high = np.zeros(x.shape[1]), np.full(x.shape[1], np.inf), np.full(x.shape[1], -np.inf)
-            n, total, low, high = n + len(x), total + x.sum(axis=0), np.minimum(low, x.min(axis=0)), np.maximum(high, x.max(axis=0))
-        if n:
-            yield pd.DataFrame({"n": [n], "sum": [total], "min": [low], "max": [high]})
+                n, total = np.zeros(x.shape[1], np.int64), np.zeros(x.shape[1])
+                low, high = np.full(x.shape[1], np.inf), np.full(x.shape[1], -np.inf)
+            good = np.isfinite(x)
+            n, total = n + good.sum(axis=0), total + np.where(good, x, 0.0).sum(axis=0)
+            low, high = np.minimum(low, np.where(good, x, np.inf).min(axis=0)), np.maximum(high, np.where(good, x, -np.inf).max(axis=0))
+        if total is not None:
+            yield pd.DataFrame({"size": [len(total)], "n": [n], "sum": [total], "min": [low], "max": [high]})
 
     rows = df.where(where) if where else df
-    parts = rows.where(F.col(features).isNotNull()).select(F.col(features).cast("array<double>").alias("x")).mapInPandas(partial, _STATS)
-    each = parts.select("n", F.posexplode(F.arrays_zip("sum", "min", "max")).alias("feature_idx", "s"))
-    return each.groupBy("feature_idx").agg(F.sum("n").alias("n"), F.sum("s.sum").alias("sum"), F.min("s.min").alias("min"), F.max("s.max").alias("max"))
+    parts = rows.where(F.size(features) > 0).select(F.col(features).cast("array<double>").alias("x")).mapInPandas(partial, _PART)
+    each = parts.select("size", F.posexplode(F.arrays_zip("n", "sum", "min", "max")).alias("feature_idx", "s"))
+    some = lambda x: F.when(F.col("s.n") > 0, x)
+    merged = each.groupBy("feature_idx").agg(F.sum("s.n").alias("n"), F.sum("s.sum").alias("sum"), F.min(some(F.col("s.min"))).alias("min"), F.max(some(F.col("s.max"))).alias("max"), F.min("size").alias("_least"), F.max("size").alias("_most"))
+    # a filter, so that no choice of columns can lose it
+    differ = F.raise_error(F.concat(F.lit("features differ in length: "), F.col("_least"), F.lit(" and "), F.col("_most"))).cast("boolean")
+    return merged.where(F.when(F.col("_least") == F.col("_most"), F.lit(True)).otherwise(differ)).drop("_least", "_most")
 
 
 def merge_stats(*stats: DataFrame) -> DataFrame:
-    """Statistics of several parts as those of the whole."""
+    """Statistics of several parts as those of the whole; an element counts where it had values."""
     both = stats[0]
     for s in stats[1:]:
         both = both.unionByName(s)
@@ -58,7 +67,7 @@ def stats_row(stats: DataFrame) -> DataFrame:
     """The statistics as one row of arrays, in the order of the elements."""
     row = F.sort_array(F.collect_list(F.struct("feature_idx", "n", "sum", "min", "max")))
     one = stats.agg(row.alias("s"))
-    return one.select(F.transform("s", lambda x: x["sum"] / x["n"]).alias("mean"), F.col("s.min").alias("low"), F.col("s.max").alias("high"))
+    return one.select(F.transform("s", lambda x: x["sum"] / F.nullif(x["n"], F.lit(0))).alias("mean"), F.col("s.min").alias("low"), F.col("s.max").alias("high"))
 
 
 def data_range(df: DataFrame, features: str = "features") -> DataFrame:
@@ -142,9 +151,36 @@ def _with(df: DataFrame, kind: Normalizer, f: Callable[..., Column], column: str
     return joined.withColumn(column, f(F.col(column), **{c: F.col(f"_{c}") for c in own}, **options)).select(*df.columns)
 
 
+def fit_range(df: DataFrame, batch: str, features: str = "features", where: str | None = "split = 'train'") -> DataFrame:
+    """Statistics as of ``fit_stats``; a batch whose least or greatest value is not that of the first
+    is an error, raised by a filter that no choice of columns can lose."""
+    rows = df.where(where) if where else df
+    wrong = check_range(rows, batch, features).agg(F.count("*").alias("_wrong"), F.min(F.struct(batch, "low", "high")).cast("string").alias("_which"))
+    failed = F.raise_error(F.concat(F.lit("batches differ in range from the first, as "), F.col("_which"))).cast("boolean")
+    return fit_stats(df, features, where).crossJoin(F.broadcast(wrong)).where(F.when(F.col("_wrong") == 0, F.lit(True)).otherwise(failed)).drop("_wrong", "_which")
+
+
+def check_learnt_range(df: DataFrame, stats: DataFrame, column: str = "features") -> DataFrame:
+    """``df``, in which a value beyond the least and greatest of ``stats`` is an error.
+
+    The check is a filter over every row, so no choice of columns can lose it; null and NaN pass.
+    """
+    bounds = stats.agg(F.min("min").alias("_from"), F.max("max").alias("_to"))
+    seen = F.filter(column, lambda v: ~F.isnan(v))
+    outside = (F.array_min(seen) < F.col("_from")) | (F.array_max(seen) > F.col("_to"))
+    wrong = F.raise_error(F.concat(F.lit("values beyond the learnt range: "), F.array_min(seen), F.lit(" to "), F.array_max(seen))).cast("boolean")
+    return df.crossJoin(F.broadcast(bounds)).where(F.when(F.coalesce(outside, F.lit(False)), wrong).otherwise(F.lit(True))).drop("_from", "_to")
+
+
 def normalize(df: DataFrame, name: str, stats: DataFrame | None = None, column: str = "features", **options) -> DataFrame:
-    """``df`` with ``column`` normalised; ``linear`` and ``exp`` add what their inverse needs of each row."""
+    """``df`` with ``column`` normalised; ``linear`` and ``exp`` add what their inverse needs of each row.
+
+    ``range_linear`` is for data all of whose batches have one range: learn it by ``fit_range``, which
+    sees to that. With ``checked=True`` a value beyond the learnt range is an error, with any normaliser.
+    """
     kind = NORMALIZERS[name]
+    if options.pop("checked", False):
+        df = check_learnt_range(df, stats, column)
     if name == "linear":
         df = df.withColumns({"dmin": F.array_min(column), "dmax": F.array_max(column)})
     if name == "exp":

@@ -7,6 +7,7 @@ import io
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,15 +69,18 @@ def parse_list_json(value: Column) -> Column:
 def read_matrix(spark: SparkSession, path: str, columns: int, sep: str = ",", comment: str = "#", usecols: list[int] | None = None, skiprows: int = 0) -> DataFrame:
     """``features`` of each line, but for the first ``skiprows`` lines of each file, comments among them.
 
-    Only lines of a file's first block are counted, so files stay splittable.
+    Files stay splittable: lines are counted by block, and a small table of a file's first blocks,
+    those that begin before the last line to skip, says how many lines are ahead of each.
     """
     schema = ", ".join(f"c{k} double" for k in range(columns))
     chosen = F.array(*(f"c{k}" for k in (usecols or range(columns)))).alias("features")
     if not skiprows:
         return spark.read.schema(schema).option("sep", sep).option("comment", comment).csv(path).select(chosen)
-    lines = spark.read.text(path).select("value", F.input_file_name().alias("_file"), (F.input_file_block_start() == 0).alias("_first"), F.monotonically_increasing_id().alias("_at"))
-    starts = lines.where("_first").groupBy("_file").agg(F.min("_at").alias("_start"))
-    kept = lines.join(starts, "_file").where(~F.col("_first") | (F.col("_at") - F.col("_start") >= skiprows))
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("_file"), F.input_file_block_start().alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    blocks = lines.groupBy("_file", "_block").agg(F.min("_at").alias("_start"), F.count("*").alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    first = blocks.withColumn("_ahead", ahead).where(F.col("_ahead") < skiprows).select("_file", "_block", "_start", "_ahead")
+    kept = lines.join(first, ["_file", "_block"], "left").where(F.col("_ahead").isNull() | (F.col("_ahead") + F.col("_at") - F.col("_start") >= skiprows))
     kept = kept.where((F.btrim("value") != "") & ~F.col("value").startswith(comment))
     return kept.select(F.from_csv("value", schema, {"sep": sep, "mode": "FAILFAST"}).alias("r")).select("r.*").select(chosen)
 
