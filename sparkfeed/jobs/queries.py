@@ -236,6 +236,26 @@ def a11_chunk_address(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("split_pos"), chunk.alias("chunk"), place.alias("place"))
 
 
+@query(f"WITH {P}, {INDEXED} SELECT split, split_pos, sample_id, label FROM j WHERE split_pos % 20 = 7")
+def a11_fetch_samples(spark, sf_dir):
+    """Every twentieth sample of each split, fetched from a store of chunks by its position."""
+    indexed = batching.index_samples(parts(spark, sf_dir), epoch=1, seed=7).select("split", "split_pos", "sample_id", "label")
+    path = scratch_path(spark, "store")
+    batching.write_chunks(indexed, path, 40, (0, 20, 10), folder_rows=200)
+    wanted = batching.read_chunks(spark, path).select("split", "split_pos").where("split_pos % 20 = 7")
+    return batching.fetch_samples(spark, path, wanted).select("split", "split_pos", "sample_id", "label")
+
+
+@query(f"""WITH {P}, {INDEXED}, f AS (SELECT split, CAST(coalesce(sum(ceil(n / 24)) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM (SELECT split, count(*) AS n, min(global_index) AS o FROM j GROUP BY split))
+SELECT sample_id, first + split_pos // 24 AS batch_id, split_pos % 24 AS pos_in_batch FROM j JOIN f USING (split)""")
+def a11_rebatch(spark, sf_dir):
+    """A store written in batches of 40, read in batches of 24."""
+    indexed = batching.index_samples(parts(spark, sf_dir), epoch=1, seed=7).select("split", "split_pos", "sample_id", "label")
+    path = scratch_path(spark, "store")
+    batching.write_chunks(indexed, path, 40, (0, 20, 10), folder_rows=200)
+    return batching.rebatch(spark, path, 24).select("sample_id", "batch_id", "pos_in_batch")
+
+
 @query("SELECT l.event_id AS pos, l.user_id * 5 AS sample_id, coalesce(e.label, -1) AS label_id, CAST(coalesce(e.embedding[1], 0) AS DOUBLE) AS first FROM events l LEFT JOIN embeddings e ON e.vec_id = l.user_id * 5")
 def j18_gather(spark, sf_dir):
     wanted = table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), (F.col("user_id") * 5).alias("sample_id"))

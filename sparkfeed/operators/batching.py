@@ -87,24 +87,38 @@ def chunk_address(pos: Column, batch: int, chunk: int) -> tuple[Column, Column]:
     return (F.floor(pos / batch) * per + F.floor(pos % batch / chunk)).cast("bigint"), (pos % batch % chunk).cast("bigint")
 
 
-def write_chunks(indexed: DataFrame, path: str, batch: int, chunks: tuple[int, int, int] = (0, 0, 1), codec: str = "snappy") -> None:
-    """Minibatches as Parquet by split and chunk, a header, and the labels' numbers; codecs are Parquet's.
+#: Samples of a folder of the store, about; what is fetched is read by folders, and by row groups in them.
+FOLDER_ROWS = 1 << 20
+#: Folders that are asked for by name at most.
+MOST_FOLDERS = 10_000
+
+
+def _address(sizes: dict[str, int], folders: dict[str, int], batch: int) -> dict[str, Column]:
+    """Chunk, place in it, and folder of ``(split, split_pos)``."""
+    each = {split: chunk_address(F.col("split_pos"), batch, size) for split, size in sizes.items()}
+    each = {split: (*found, F.floor(found[0] / folders[split])) for split, found in each.items()}
+    pick = lambda k: F.when(F.col("split") == "test", each["test"][k]).when(F.col("split") == "validation", each["validation"][k]).otherwise(each["train"][k])
+    return {"chunk_id": pick(0), "chunk_offset": pick(1), "folder": pick(2)}
+
+
+def write_chunks(indexed: DataFrame, path: str, batch: int, chunks: tuple[int, int, int] = (0, 0, 1), codec: str = "snappy", folder_rows: int = FOLDER_ROWS) -> None:
+    """Minibatches as Parquet by split, folder and chunk, a header, and the labels' numbers; codecs are Parquet's.
 
     ``chunks`` are the samples of a chunk in test, validation and train, 0 for a whole batch; they may
-    not exceed it. The header says sizes, the shape of a sample, and column types. Labels are a table
-    of their own, as there may be many.
+    not exceed it. Chunks of about ``folder_rows`` samples make a folder, of one file or several, in
+    which rows lie in order. The header says sizes, the shape of a sample, and column types. Labels are a table of their own, as there may be
+    many.
     """
     if batch < 1 or any(c < 0 or c > batch for c in chunks):
         raise ValueError(f"chunks {chunks} do not fit a batch of {batch}")
     sizes_of = dict(zip(ORDER, (c or batch for c in chunks), strict=True))
-    by_split = [chunk_address(F.col("split_pos"), batch, size) for size in sizes_of.values()]
-    pick = lambda k: F.when(F.col("split") == "test", by_split[0][k]).when(F.col("split") == "validation", by_split[1][k]).otherwise(by_split[2][k])
-    rows = indexed.withColumns({"chunk_id": pick(0), "chunk_offset": pick(1)})
-    rows.repartitionByRange("split", "chunk_id").sortWithinPartitions("split", "chunk_id", "chunk_offset").write.partitionBy("split").option("compression", codec).parquet(f"{path}/chunks")
+    folders = {split: max(1, folder_rows // size) for split, size in sizes_of.items()}
+    rows = indexed.withColumns(_address(sizes_of, folders, batch))
+    rows.repartitionByRange("split", "folder", "chunk_id").sortWithinPartitions("split", "folder", "chunk_id", "chunk_offset").write.partitionBy("split", "folder").option("compression", codec).parquet(f"{path}/chunks")
     shape = [F.min(F.size("features")).alias("least"), F.max(F.size("features")).alias("most")] if "features" in indexed.columns else [F.lit(None).alias("least"), F.lit(None).alias("most")]
     found = indexed.groupBy("split").agg(F.count("*").alias("n"), *shape).collect()  # three rows
     header = {
-        "batch": batch, "chunks": sizes_of, "codec": codec, "class_lengths": {r["split"]: r["n"] for r in found}, "types": dict(indexed.dtypes),
+        "batch": batch, "chunks": sizes_of, "folders": folders, "codec": codec, "class_lengths": {r["split"]: r["n"] for r in found}, "types": dict(indexed.dtypes),
         "shape": sorted({n for r in found for n in (r["least"], r["most"]) if n is not None}),
     }
     if "label" in indexed.columns:
@@ -113,10 +127,50 @@ def write_chunks(indexed: DataFrame, path: str, batch: int, chunks: tuple[int, i
     indexed.sparkSession.createDataFrame([(json.dumps(header, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/header")
 
 
+def read_chunk_header(spark: SparkSession, path: str) -> dict:
+    """What ``write_chunks`` said of the store."""
+    return json.loads(spark.read.text(f"{path}/header").first()["value"])
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/chunks")
+    """The whole store; its schema is the header's, so no file is opened to infer it."""
+    types = read_chunk_header(spark, path)["types"]
+    own = ", ".join(f"`{c}` {kind}" for c, kind in types.items() if c != "split")
+    return spark.read.schema(f"{own}, chunk_id bigint, chunk_offset bigint, split string, folder bigint").parquet(f"{path}/chunks").select(*types, "chunk_id", "chunk_offset", "folder")
+
 
+def fetch_samples(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """The rows of a store at ``wanted (split, split_pos)``, each as often as it is wanted.
 
-def fetch_samples(store: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of a store at ``wanted (split, split_pos)``."""
-    return store.join(wanted, ["split", "split_pos"])
+    Addresses follow from the header by arithmetic. Only the folders that hold a wanted chunk are
+    read, if they are no more than ``MOST_FOLDERS``; in them, row groups outside the wanted chunks'
+    range are left out by Parquet's own statistics. If more are wanted, it is a join with the store.
+    """
+    header = read_chunk_header(spark, path)
+    addressed = wanted.select("split", "split_pos").withColumns(_address(header["chunks"], header["folders"], header["batch"])).drop("split_pos")
+    store = read_chunks(spark, path)
+    folders = addressed.groupBy("split", "folder").agg(F.min("chunk_id").alias("low"), F.max("chunk_id").alias("high")).limit(MOST_FOLDERS + 1).collect()
+    if len(folders) <= MOST_FOLDERS:
+        by_split: dict[str, list] = {}
+        for r in folders:
+            by_split.setdefault(r["split"], []).append(r)
+        there = F.lit(False)
+        for split, rows in by_split.items():
+            span = F.col("chunk_id").between(min(r["low"] for r in rows), max(r["high"] for r in rows))
+            there |= (F.col("split") == split) & F.col("folder").isin([r["folder"] for r in rows]) & span
+        store = store.where(there)
+    return store.join(addressed, ["split", "folder", "chunk_id", "chunk_offset"]).select(*header["types"], "chunk_id", "chunk_offset")
+
+
+def rebatch(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """A store's rows in batches of another size: ``batch_id`` and ``pos_in_batch`` by arithmetic.
+
+    Batches are numbered over test, validation and train, as ``assign_batches`` has them; the header
+    knows the splits' sizes, so no row is counted or moved.
+    """
+    lengths, first, ahead = read_chunk_header(spark, path)["class_lengths"], {}, 0
+    for split in ORDER:
+        first[split] = ahead
+        ahead += -(-lengths.get(split, 0) // size)
+    start = F.when(F.col("split") == "test", first["test"]).when(F.col("split") == "validation", first["validation"]).otherwise(first["train"])
+    return read_chunks(spark, path).withColumns({"batch_id": (start + F.floor(F.col("split_pos") / size)).cast("bigint"), "pos_in_batch": (F.col("split_pos") % size).cast("bigint")}).drop("folder")

@@ -86,7 +86,11 @@ def read_matrix(spark: SparkSession, path: str, columns: int, sep: str = ",", co
 
 
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, row, features)`` of array files: the first axis is the sample."""
+    """``(path, row, features)`` of array files: the first axis is the sample.
+
+    Files come whole through Spark's own reader, so any path that Spark opens will do, but a file is
+    one task and 2 GB at most; ``arrays.read_arrays`` has no such bound.
+    """
 
     def run(frames):
         for f in frames:

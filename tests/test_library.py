@@ -110,7 +110,7 @@ def test_chunk_store_round_trip(spark, tmp_path):
     batching.write_chunks(batching.index_samples(df), f"{tmp_path}/store", 100, (30, 0, 1))
     store = batching.read_chunks(spark, f"{tmp_path}/store")
     assert [r.features[0] for r in store.orderBy("chunk_id", "chunk_offset").collect()] == [float(k) for k in range(1000)]
-    got = batching.fetch_samples(store, spark.createDataFrame([("test", 777)], "split string, split_pos long")).collect()
+    got = batching.fetch_samples(spark, f"{tmp_path}/store", spark.createDataFrame([("test", 777)], "split string, split_pos long")).collect()
     assert [r.sample_id for r in got] == [777] and (got[0].chunk_id, got[0].chunk_offset) == (30, 17)
 
 

@@ -1,5 +1,6 @@
 """Series, rectangles, statistics and files that are cut over many tasks, against plain versions."""
 
+import glob
 import math
 import random
 
@@ -8,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkfeed.functions import scalars, scan
-from sparkfeed.operators import events, joins, normalize, registry
-from sparkfeed.sources import readers
+from sparkfeed.operators import batching, events, joins, normalize, registry
+from sparkfeed.sources import arrays, readers
 
 
 def series(n=4000, hot=0.9, seed=1):
@@ -209,3 +210,59 @@ def test_a_gene_that_does_not_fit_fails(spark):
     assert df.select(scalars.decode_gene(scalars.encode_gene(F.col("x"), 1.0, 9), 1.0).alias("y")).first().y == 300
     with pytest.raises(Exception, match="more than 4 bits"):
         df.select(scalars.encode_gene(F.col("x"), 1.0, 4)).collect()
+
+
+def test_array_rows_by_offset(spark, tmp_path):
+    x = np.arange(7 * 3 * 2, dtype=np.float32).reshape(7, 3, 2)
+    for name, a in (("c", x), ("f", np.asfortranarray(x)), ("big", x.astype(">i4")), ("flat", np.arange(5.0)), ("none", np.empty((0, 4)))):
+        np.save(tmp_path / f"{name}.npy", a)
+    for name, want in (("c", x), ("f", x), ("big", x), ("flat", np.arange(5.0)), ("none", np.empty((0, 4)))):
+        for size in (1, 50, 1 << 20):
+            df = arrays.read_arrays(spark, str(tmp_path / f"{name}.npy"), size)
+            rows = df.orderBy("row").collect()
+            assert [r.row for r in rows] == list(range(len(want))) and [r.features for r in rows] == want.reshape(len(want), int(np.prod(want.shape[1:]))).tolist()
+    assert arrays.read_arrays(spark, str(tmp_path / "c.npy"), 24).rdd.getNumPartitions() == 7
+    assert arrays.read_arrays(spark, str(tmp_path)).groupBy("path").count().count() == 4
+
+
+def test_wrong_array_files_fail(spark, tmp_path):
+    (tmp_path / "no.npy").write_bytes(b"no array at all")
+    np.save(tmp_path / "objects.npy", np.array([{}, 1], object), allow_pickle=True)
+    np.save(tmp_path / "scalar.npy", np.float64(1))
+    np.save(tmp_path / "short.npy", np.arange(100.0))
+    cut = (tmp_path / "short.npy").read_bytes()[:-9]
+    (tmp_path / "short.npy").write_bytes(cut)
+    for name, why in (("no", "no array file"), ("objects", "no rows of numbers"), ("scalar", "no rows of numbers"), ("short", "cut short"), ("missing", "missing")):
+        with pytest.raises(Exception, match=why):
+            arrays.read_arrays(spark, str(tmp_path / f"{name}.npy")).collect()
+
+
+def test_a_file_beyond_what_a_row_holds_is_planned_by_its_header(tmp_path):
+    path = tmp_path / "large.npy"
+    with path.open("wb") as f:
+        np.lib.format.write_array_header_1_0(f, {"descr": "<f8", "fortran_order": False, "shape": (400_000, 1000)})
+        start = f.tell()
+        f.seek(start + 399_999 * 8000)
+        f.write(np.arange(1000.0).tobytes())  # the rest is a hole
+    reader = arrays.ArrayReader(str(path), 64 << 20)
+    parts = reader.partitions()
+    assert path.stat().st_size > 2 << 30 and len(parts) == 48 and sum(p.count for p in parts) == 400_000
+    *_, last = reader.read(arrays.Rows(str(path), 399_990, 10, parts[0].header))
+    assert last.column(1)[-1].as_py() == 399_999 and last.column(2)[-1].as_py() == list(range(1000))
+
+
+def test_only_folders_of_wanted_chunks_are_read(spark, tmp_path):
+    path = f"{tmp_path}/store"
+    df = spark.range(2000).select(F.col("id").alias("sample_id"), F.when(F.col("id") < 300, "test").otherwise("train").alias("split"), F.array(F.col("id").cast("double")).alias("features"))
+    batching.write_chunks(batching.index_samples(df, epoch=1, seed=3), path, 50, (0, 0, 10), folder_rows=100)
+    at = {(r.split, r.split_pos): r.sample_id for r in batching.read_chunks(spark, path).collect()}
+    want = [("test", 7), ("test", 7), ("train", 5), ("train", 99), ("train", 1650), ("train", 10_000_000)]
+    wanted = spark.createDataFrame(want, "split string, split_pos long")
+    for folder in glob.glob(f"{path}/chunks/split=*/folder=*"):
+        if not any(folder.endswith(x) for x in ("split=test/folder=0", "split=train/folder=0", "split=train/folder=16")):
+            for file in glob.glob(f"{folder}/*.parquet"):
+                with open(file, "wb") as f:
+                    f.write(b"not to be opened")
+    got = batching.fetch_samples(spark, path, wanted).collect()
+    assert sorted((r.split, r.split_pos, r.sample_id) for r in got) == sorted((*w, at[w]) for w in want if w in at) and len(got) == 5
+    assert batching.fetch_samples(spark, path, wanted.limit(0)).collect() == []
