@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import bits, draws, scalars
 from ..functions.index import dense_index
 from ..functions.scratch import scratch_path
-from ..operators import batching, events, joins, labels, metrics, normalize, pixels, registry, report, search, splits
+from ..operators import batching, events, evolution, joins, labels, metrics, normalize, pixels, registry, report, search, splits
 from ..sources import images, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -760,6 +760,75 @@ def x12_gaussian_mutation(spark, sf_dir):
     return out.select("cand_id", F.round(F.get("genes", 0) + 2 * F.get("genes", 1) + 3 * F.get("genes", 2), 5).alias("genes"))
 
 
+def _evolution_sql(generations: int, size: int, low: float, high: float, seed: int) -> str:
+    """The generations of ``evolution.evolve`` unrolled, for genes of three places."""
+    digest = lambda tag, what, at: f"('0x' || substr(md5('{tag}{what}|' || {at}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+    unit = lambda tag, at: f"('0x' || substr(md5('{tag}|0|' || {at}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+    fitness = "1000 - list_sum(list_transform(genes, lambda x: (x - 12.5) * (x - 12.5)))"
+    many, span, points = int(0.75 * size), high - low, int(0.05 * size)
+    sql = [f"n0 AS (SELECT p_partkey AS cand_id, [CAST(p_size AS DOUBLE), CAST(p_partkey % 50 AS DOUBLE), p_retailprice % 50] AS genes FROM part), e0 AS (SELECT *, {fitness} AS fitness FROM n0 WHERE cand_id % 9 <> 4)"]
+    for g in range(generations):
+        old = f" UNION ALL SELECT cand_id, genes, fitness FROM t{g - 1}" if g else ""
+        sql.append(f"t{g} AS (SELECT *, row_number() OVER (ORDER BY fitness DESC, cand_id) - 1 AS place, {g} AS generation FROM (SELECT cand_id, genes, fitness FROM e{g}{old}) ORDER BY fitness DESC, cand_id LIMIT {size})")
+        if g + 1 == generations:
+            break
+        tag, first = f"{seed}.{g}", f"(SELECT max(p_partkey) + {1 + 4 * size * g} FROM part)"
+        sql.append(f"c{g} AS (SELECT genes, (sum(fitness) OVER (ORDER BY cand_id) - fitness) / sum(fitness) OVER () AS lo, sum(fitness) OVER (ORDER BY cand_id) / sum(fitness) OVER () AS hi FROM t{g})")
+        sql.append(f"p{g} AS (SELECT draw, genes FROM (SELECT id AS draw, {unit(f'{tag}:p', 'id')} AS u FROM (SELECT unnest(range({many})) AS id)) JOIN c{g} ON u > lo AND u <= hi)")
+        parts = []
+        for k, (kind, share) in enumerate((("uniform", 0.15), ("arithmetic", 0.15), ("geometric", 0.2))):
+            at, pick = f"{tag}:{kind}", lambda x: f"CAST(floor({x} * {many}) AS BIGINT)"  # noqa: B023, E731
+            sql.append(f"""q{g}{k} AS (SELECT pair, a.genes AS a, b.genes AS b, list_transform([0, 1, 2], lambda i: {digest(at, '', "pair || '|' || i")}) AS u
+  FROM (SELECT id AS pair, {pick(unit(at + ':a', 'id'))} AS i, {pick(unit(at + ':b', 'id'))} AS j FROM (SELECT unnest(range({int(share * size)})) AS id)) JOIN p{g} a ON a.draw = i JOIN p{g} b ON b.draw = j)""")
+            child = {
+                "uniform": [("0", "CASE WHEN u[i] < 0.5 THEN a[i] ELSE b[i] END")],
+                "arithmetic": [("0", "u[i] * a[i] + (1 - u[i]) * b[i]"), ("1", "u[i] * b[i] + (1 - u[i]) * a[i]")],
+                "geometric": [("0", f"pow(a[i] + {-low}, u[i]) * pow(b[i] + {-low}, 1 - u[i]) - {-low}")],
+            }[kind]
+            parts += [f"SELECT {first} + {k * size} + 2 * pair + {c} AS cand_id, list_transform([1, 2, 3], lambda i: {x}) AS genes FROM q{g}{k}" for c, x in child]
+        for k, kind in enumerate(("gaussian", "uniform")):
+            at = f"{tag}:{kind}"
+            draw = lambda what: digest(at, what, "cand_id || '|' || i")  # noqa: B023, E731
+            z = f"({low + span / 2} + sqrt({span / 6}) * sqrt(-2 * ln(1 - {draw('u')})) * cos(2 * pi() * {draw('v')})) * CASE WHEN {draw('s')} < 0.5 THEN -1 ELSE 1 END"
+            moved = f"genes[i + 1] + {z}" if kind == "gaussian" else f"{low} + {draw('v')} * {span}"
+            sql.append(f"""s{g}{k} AS (SELECT cand_id, genes FROM t{g} ORDER BY md5('{at}|0|' || cand_id), cand_id LIMIT {int(0.35 * size)}),
+m{g}{k} AS (SELECT cand_id, genes, list_transform([0, 1, 2], lambda i: {moved}) AS z, list_transform([0, 1, 2], lambda i: {draw('p')} < 0.7) AS hit,
+  list_transform(list_sort(list_transform([0, 1, 2], lambda i: {{'o': {draw('o')}, 'i': i}})), lambda s: s.i)[1:{points}] AS places FROM s{g}{k})""")
+            wrapped = f"CASE WHEN z[i] < {low} THEN z[i] + ceil(({low} - z[i]) / {span}) * {span} WHEN z[i] > {high} THEN z[i] - ceil((z[i] - {high}) / {span}) * {span} ELSE z[i] END"
+            parts.append(f"SELECT {first} + {3 * size + k * (size // 2)} + row_number() OVER (ORDER BY cand_id) - 1 AS cand_id, list_transform([1, 2, 3], lambda i: CASE WHEN hit[i] AND list_contains(places, i - 1) THEN {wrapped} ELSE genes[i] END) AS genes FROM m{g}{k}")
+        sql.append(f"n{g + 1} AS ({' UNION ALL '.join(parts)}), e{g + 1} AS (SELECT *, {fitness} AS fitness FROM n{g + 1} WHERE cand_id % 9 <> 4)")
+    every = " UNION ALL ".join(f"SELECT * FROM t{g}" for g in range(generations))
+    lost = ", ".join(f"(SELECT count(*) FROM n{g} WHERE cand_id % 9 = 4)" for g in range(generations))
+    return f"""WITH {", ".join(sql)}, every AS ({every}), s AS (SELECT generation, sum(fitness) AS a, avg(fitness) AS b, max(fitness) AS c, min(fitness) AS d, max(CASE WHEN place = {size // 2} THEN fitness END) AS e FROM every GROUP BY 1)
+SELECT CAST(generation AS INTEGER) AS generation, round(a, 4) AS sum, round(c, 6) AS best, round(d, 6) AS worst, round(e, 6) AS median, CAST([{lost}][generation + 1] AS BIGINT) AS failed FROM s"""
+
+
+@query(_evolution_sql(3, 100, -5.0, 50.0, 21))
+def x11_generations(spark, sf_dir):
+    """Three generations of a hundred candidates, bred from all parts; a ninth of the candidates fails."""
+    genes = F.array(F.col("p_size").cast("double"), (F.col("p_partkey") % 50).cast("double"), F.col("p_retailprice") % 50)
+    population = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cand_id"), genes.alias("genes"))
+    value = 1000 - F.aggregate("genes", F.lit(0.0), lambda s, x: s + (x - 12.5) * (x - 12.5))
+    fails = F.col("cand_id") % 9 == 4
+    evaluate = lambda c: c.select("cand_id", F.when(~fails, value).alias("fitness"), F.when(fails, "lost").alias("error"))
+    out = evolution.evolve(population, evaluate, -5.0, 50.0, 100, 3, seed=21).history
+    return out.select("generation", F.round("sum", 4).alias("sum"), F.round("best", 6).alias("best"), F.round("worst", 6).alias("worst"), F.round("median", 6).alias("median"), "failed")
+
+
+@query("""SELECT CAST(c AS BIGINT) AS cand_id, CASE WHEN c <> 3 AND c <> 5 THEN round(sum(l_extendedprice / (c - 3.0)) / count(*), 4) END AS fitness,
+  CASE c WHEN 3 THEN 'ZeroDivisionError: float division by zero' WHEN 5 THEN 'no fitness' END AS error FROM lineitem, (SELECT unnest(range(8)) AS c) GROUP BY c""")
+def j17_evaluate_candidates(spark, sf_dir):
+    """A user's function over all line items for each candidate; one divides by zero, one has no fitness."""
+    cands = spark.range(8).select(F.col("id").alias("cand_id"), (F.col("id") - 3.0).alias("w"))
+
+    def part(c, rows):
+        share = 1.0 / c["w"]
+        return [float(rows["l_extendedprice"].sum() * share), 0.0 if c["cand_id"] == 5 else float(len(rows))]
+
+    out = evolution.evaluate_candidates(cands, table(spark, sf_dir, "lineitem").select("l_extendedprice"), part, lambda s: F.try_divide(s[0], s[1]), attempts=2)
+    return out.select("cand_id", F.round("fitness", 4).alias("fitness"), "error")
+
+
 @query("SELECT p_partkey AS cand_id, p_retailprice - 0.5 * p_size AS fitness FROM part")
 def x15_fitness(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cand_id"), F.col("p_retailprice").alias("validation"), F.col("p_size").alias("train"))
