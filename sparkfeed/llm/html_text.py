@@ -4,8 +4,9 @@ keeps block spacing, lists and aligned table cells."""
 from __future__ import annotations
 
 import re
+from collections import deque
 from html import unescape
-from itertools import accumulate, count
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,9 +18,14 @@ from ._shared import bounded, col, field_type, slices, strings
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is text up to their own end tag.
 RAW = frozenset("script style textarea title xmp noframes iframe noembed".split())
-#: Elements that show nothing.
-UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object svg math canvas audio video datalist select option optgroup area map rp dialog".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul caption xmp".split())
+#: Elements that show nothing; those of drawings and formulas that only define or annotate among them.
+UNSEEN = frozenset(
+    "head script style template noscript title iframe noembed noframes object canvas audio video datalist area map rp dialog "
+    "defs symbol metadata desc clippath mask pattern marker lineargradient radialgradient filter annotation annotation-xml mphantom".split()
+)
+#: Elements of other languages, in which a tag may end itself.
+FOREIGN = ("svg", "math")
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table text ul caption xmp".split())
 #: Blocks with an empty line before and after.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl menu dir pre figure table xmp".split())
 LISTS = frozenset("ul ol menu dir".split())
@@ -35,6 +41,9 @@ IMPLIES_END = {
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     **{t: (frozenset(["thead", "tbody", "tfoot", "caption", "colgroup"]), frozenset(["table"])) for t in ("thead", "tbody", "tfoot")},
     "body": (frozenset(["head"]), frozenset()),
+    "option": (frozenset(["option"]), frozenset(["select", "optgroup", "datalist"])),
+    "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select"])),
+    "select": (frozenset(["select"]), _SCOPE),
 }
 _CLOSES_P = BLOCK - {"html", "body", "caption", "legend", "summary"}
 _HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
@@ -46,7 +55,7 @@ _END_TAG = re.compile(r"</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)")
 _NAME = re.compile(r"<([a-zA-Z][^\s/>]*)")
 _QUOTED = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 #: Widest cell that others of its column are aligned to.
 WIDEST = 40
@@ -179,27 +188,110 @@ def parse(html: str) -> Node:
                 body = unescape(body)
             if body:
                 node.kids.append(body)
-        elif tag not in VOID:
+        elif tag not in VOID and not (attributes.endswith("/") and any(open_.places.get(t) for t in FOREIGN)):
             open_.push(node)
     return root
 
 
-def visible(node: Node) -> bool:
-    if node.tag in UNSEEN and not (node.tag == "dialog" and "open" in node.attrs):
-        return False
+def _styles(node: Node) -> dict[str, str]:
+    """What a node's own style says of being shown; the last word counts."""
+    style = node.attrs.get("style") if node.attrs else None
+    return {m[1].lower(): m[2].lower() for m in _STYLE.finditer(style)} if style else {}
+
+
+def visible(node: Node, styles: dict[str, str]) -> bool:
+    """Whether a node has a place on the page; ``visibility``, which a child may have anew, is another matter."""
     attrs = node.attrs
+    if node.tag in UNSEEN and not (node.tag == "dialog" and "open" in attrs):
+        return False
     if not attrs:
         return True
     if "hidden" in attrs and attrs["hidden"].lower() != "until-found":
         return False
-    return not ("style" in attrs and _HIDING.search(attrs["style"]))
+    return styles.get("display") != "none"
+
+
+def _choose(select: Node) -> None:
+    """Leaves of a closed list its chosen option, or the first; an open one shows all, each in a line."""
+    size = select.attrs.get("size", "")
+    opened = "multiple" in select.attrs or (size.isdigit() and size[:4].lstrip("0") not in ("", "1"))
+    options, steps = [], [select]
+    while steps:
+        node = steps.pop()
+        for kid in node.kids:
+            if isinstance(kid, Node):
+                steps.append(kid)
+        if node.tag == "option":
+            options.append(node)
+            if node.attrs.get("label"):
+                node.kids = [node.attrs["label"]]
+    options.reverse()  # children were taken from the last on
+    chosen = [o for o in options if "selected" in o.attrs][-1:] or [o for o in options if "disabled" not in o.attrs][:1] or options[:1]
+    for o in options:
+        if opened:
+            o.tag = "li\0"
+        elif o is not chosen[0]:
+            o.kids = []
+
+
+class _Block:
+    """Lines under each other: items ``(margin, text, block or cursor)``, how many lines, and how wide."""
+
+    __slots__ = ("count", "items", "width")
+
+    def __init__(self, items: list[tuple[int, object]]):
+        self.items = items
+        self.count = sum(1 if isinstance(x, str) else x.count for _, x in items)
+        self.width = max((m + (len(x) if isinstance(x, str) else x.width) for m, x in items), default=0)
+
+
+class _Cursor:
+    """What is left of a block, whose lines are taken from the front, each once.
+
+    It is a stack of ``[items, place, margin within the one below]``. A cursor within a cursor is not
+    gone through: the shorter stack goes onto, or below, the longer one. So a line that lies in many
+    tables, each in a cell of the next, is touched where it is laid out and where it is printed.
+    """
+
+    __slots__ = ("count", "frames", "margin", "width")
+
+    def __init__(self, block: _Block):
+        self.frames, self.margin, self.count, self.width = deque([[block.items, 0, 0]]), 0, block.count, block.width
+
+    def pull(self) -> tuple[int, str] | None:
+        while self.frames:
+            top = self.frames[-1]
+            if top[1] >= len(top[0]):
+                self.margin -= self.frames.pop()[2]
+                continue
+            margin, x = top[0][top[1]]
+            top[1] += 1
+            if isinstance(x, str):
+                self.count -= 1
+                return self.margin + margin, x
+            if isinstance(x, _Block):
+                self.frames.append([x.items, 0, margin])
+                self.margin += margin
+            elif x.frames:
+                x.frames[0][2] += margin
+                if len(x.frames) < len(self.frames):
+                    self.frames.extend(x.frames)
+                else:
+                    x.frames.extendleft(reversed(self.frames))
+                    self.frames = x.frames
+                self.margin += margin + x.margin
+        return None
+
+
+def _line(margin: int, text: str) -> str:
+    return " " * min(margin, ALIGNED) + text if text else ""
 
 
 class _Lines:
     """Text as it flows: runs of space are one, blocks begin lines, margins of blocks collapse."""
 
     def __init__(self):
-        self.lines: list[str] = []
+        self.lines: list[tuple[int, object]] = []  # items of a block
         self.line: list[str] = []
         self.space = False  # a space is due before the next word
         self.gap = 0  # empty lines due before the next line
@@ -220,16 +312,31 @@ class _Lines:
         text, self.line, self.space = "".join(self.line), [], False
         if not text and self.mark is None:
             if always and self.lines:
-                self.lines.append("")
+                self.lines.append((0, ""))
             return
+        pad = self._begin()
+        self.lines.append((0, pad + text if text else pad.rstrip()))
+
+    def _begin(self) -> str:
+        """Empty lines that are due; then what stands before the next line's text."""
         if self.gap and self.lines:
-            self.lines.extend([""] * self.gap)
+            self.lines.extend([(0, "")] * self.gap)
         self.gap = 0
         indent = min(self.indent, INDENT)
-        pad = " " * indent
-        if self.mark is not None:
-            pad, self.mark = " " * max(0, indent - len(self.mark)) + self.mark, None
-        self.lines.append(pad + text if text else pad.rstrip())
+        if self.mark is None:
+            return " " * indent
+        pad, self.mark = " " * max(0, indent - len(self.mark)) + self.mark, None
+        return pad
+
+    def table(self, block: _Block) -> None:
+        """Lines that are laid out already; a list item's mark stands before the first of them."""
+        if not block.count:
+            return
+        rest, marked = _Cursor(block), self.mark is not None
+        pad = self._begin()
+        if marked:
+            self.lines.append((0, pad + _line(*rest.pull())))
+        self.lines.append((min(self.indent, INDENT), rest))
 
     def block(self, spaced: bool) -> None:
         if self.line:
@@ -248,47 +355,95 @@ class _Lines:
                 else:
                     self.end_line()
 
-    def text(self) -> str:
+    def done(self) -> _Block:
+        """All lines, without empty ones at either end."""
         self.mark = None
         self.end_line()
-        return "\n".join(self.lines).strip("\n")
+        first, last = 0, len(self.lines)
+        while first < last and self.lines[first][1] == "":
+            first += 1
+        while last > first and self.lines[last - 1][1] == "":
+            last -= 1
+        return _Block(self.lines[first:last])
 
+    def text(self) -> str:
+        rest, out = _Cursor(self.done()), []
+        while (line := rest.pull()) is not None:
+            out.append(_line(*line))
+        return "\n".join(out).strip("\n")
 
-def _laid_out(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Rows of cells ``(text, span)`` as lines, columns aligned; cells of several lines go below each other.
 
-    A column is a place where some cell starts; cells are aligned up to the place ``ALIGNED`` of a line.
+class _Cell:
+    __slots__ = ("block", "down", "span")
+
+    def __init__(self, block: _Block, span: int, down: int):
+        self.block, self.span, self.down = block, span, down
+
+
+def _columns(rows: list[list[_Cell]]) -> list[list[tuple[int, _Cell]]]:
+    """The first column of each cell, beside those that reach down from rows above."""
+    busy: dict[int, tuple[int, int]] = {}  # first column -> column behind, last row
+    out = []
+    for r, row in enumerate(rows):
+        at, cells = 0, []
+        for cell in row:
+            start, until = at, len(rows)
+            while (taken := busy.get(at)) and taken[1] >= r:
+                at, until = taken[0], min(until, taken[1])
+            if at > start and busy[start][0] < at:
+                busy[start] = (at, until)  # a longer step, for as long as all of it holds
+            cells.append((at, cell))
+            if cell.down > 1:
+                busy[at] = (at + cell.span, r + cell.down - 1)
+            at += cell.span
+        out.append(cells)
+    return out
+
+
+def _laid_out(rows: list[list[_Cell]]) -> _Block:
+    """Rows of cells as lines, columns aligned; cells of several lines go below each other.
+
+    A column is a place where some cell starts; cells are aligned up to the place ``ALIGNED`` of a
+    line. Where only one cell of a row still has lines, these are not touched but get a margin.
     """
+    placed = _columns(rows)
     widths: dict[int, int] = {}
-    placed = []
-    for row in rows:
-        at, cells = 0, []
-        for text, span in row:
-            lines = text.split("\n")
-            widths[at] = max(widths.get(at, 0), min(WIDEST, max(map(len, lines))) if span == 1 else 0)
-            cells.append((at, lines))
-            at += span
-        placed.append(cells)
+    for cells in placed:
+        for at, cell in cells:
+            widths[at] = max(widths.get(at, 0), min(WIDEST, cell.block.width) if cell.span == 1 else 0)
     starts = dict(zip(sorted(widths), accumulate((widths[c] + 2 for c in sorted(widths)), initial=0)))
-    out = []
+    items: list[tuple[int, object]] = []
     for cells in placed:
-        for k in count():
-            cells = [c for c in cells if k < len(c[1])]
-            if not cells:
-                break
+        open_ = [(min(starts[at], ALIGNED), cell.block, _Cursor(cell.block)) for at, cell in cells if cell.block.count]
+        while len(open_) > 1:
             line, length = [], 0
-            for at, lines in cells:
-                if lines[k]:
-                    pad = max(2 if line else 0, min(starts[at], ALIGNED) - length)
-                    line.append(" " * pad + lines[k])
-                    length += pad + len(lines[k])
-            out.append("".join(line).rstrip())
-    return out
+            for start, _, rest in open_:
+                text = _line(*rest.pull())
+                if text:
+                    pad = max(2 if line else 0, start - length)
+                    line.append(" " * pad + text)
+                    length += pad + len(text)
+            if line:
+                items.append((0, "".join(line).rstrip()))
+            open_ = [x for x in open_ if x[2].count]
+        for start, block, rest in open_:
+            own = rest.frames[0]
+            if own[0] is block.items:  # tables in a cell have no empty lines, only the cell itself
+                left = [x for x in own[0][own[1] :] if x[1] != ""]
+                rest.count -= len(own[0]) - own[1] - len(left)
+                rest.frames[0] = [left, 0, own[2]]
+            if rest.count:
+                items.append((start, rest))
+    return _Block(items)
+
+
+def _whole(value: str, most: int) -> int:
+    return min(int(value[:9]), most) if value.isdigit() else 1
 
 
 class _Table:
     def __init__(self):
-        self.rows: list[list[tuple[str, int]]] = []
+        self.rows: list[list[_Cell]] = []
 
 
 def render(root: Node) -> str:
@@ -296,20 +451,28 @@ def render(root: Node) -> str:
     out, held = _Lines(), []  # held: the outputs around the cell at hand, and its tables
     tables: list[_Table] = []
     lists: list[list] = []  # [tag, next number, indent outside]
-    pre = 0
+    pre, dim = 0, False  # dim: text has a place but is not shown
     steps: list[tuple[object, bool]] = [(root, False)]
     while steps:
         node, leaving = steps.pop()
         if isinstance(node, str):
-            out.verbatim(node) if pre else out.words(node)
+            if not dim:
+                out.verbatim(node) if pre else out.words(node)
+            continue
+        if isinstance(node, bool):
+            dim = node
             continue
         tag = node.tag
         if not leaving:
             if tag == "br":
                 out.end_line(always=True)
                 continue
-            if not visible(node):
+            styles = _styles(node)
+            if not visible(node, styles):
                 continue
+            if "visibility" in styles and (now := styles["visibility"] in ("hidden", "collapse")) != dim:
+                steps.append((dim, False))
+                dim = now
             if tag in VOID:
                 if tag == "hr":
                     out.block(True)
@@ -328,15 +491,15 @@ def render(root: Node) -> str:
                 if not lists:
                     lists.append(["ul", 1, out.indent])
                     node.attrs["\0alone"] = ""
-                mark = "- "
-                if lists[-1][0] == "ol":
+                mark = "" if dim else "- "
+                if lists[-1][0] == "ol" and not dim:
                     value = node.attrs.get("value", "")
                     lists[-1][1] = int(value) if value.isdigit() and len(value) < 10 else lists[-1][1]
                     mark = f"{lists[-1][1]}. "
                     lists[-1][1] += 1
                 if out.mark is not None:
                     out.end_line()
-                out.indent, out.mark = lists[-1][2] + len(mark), mark
+                out.indent, out.mark = lists[-1][2] + len(mark), mark or None
             elif tag in LISTS:
                 out.block(not lists)
                 start = node.attrs.get("start", "")
@@ -345,6 +508,13 @@ def render(root: Node) -> str:
                 out.block(tag in SPACED)
                 if tag in ("dd", "blockquote"):
                     out.indent += 4
+            elif tag == "select":
+                _choose(node)
+            elif tag == "optgroup" and node.kids and any(isinstance(k, Node) and k.tag == "li\0" for k in node.kids) and not dim:
+                out.block(False)
+                out.words(node.attrs.get("label", ""))
+            elif tag == "li\0":
+                out.block(False)
             if tag in ("pre", "xmp"):
                 pre += 1
             steps.append((node, True))
@@ -353,18 +523,20 @@ def render(root: Node) -> str:
         if tag in ("pre", "xmp"):
             pre -= 1
         if tag in ("td", "th") and tables:
-            cell = out.text()
+            block = out.done()
             out, lists, pre = held.pop()
-            span = node.attrs.get("colspan", "")
             if not tables[-1].rows:
                 tables[-1].rows.append([])
-            tables[-1].rows[-1].append((cell, min(int(span), 1000) if span.isdigit() and int(span[:5]) else 1))
+            down = node.attrs.get("rowspan", "")
+            tables[-1].rows[-1].append(_Cell(block, _whole(node.attrs.get("colspan", ""), 1000) or 1, (_whole(down, 65534) or 65534) if down else 1))
         elif tag == "table" and tables:
-            for line in _laid_out(tables.pop().rows):
-                if line:
-                    out.line = [line]
-                    out.end_line()
+            out.table(_laid_out(tables.pop().rows))
             out.block(True)
+        elif tag == "li\0":
+            out.block(False)
+        elif tag == "select":
+            if any(isinstance(k, Node) for k in node.kids):
+                out.space = True
         elif tag == "li":
             out.block(False)
             if out.mark is not None:
@@ -391,8 +563,10 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     """``(id, text)``: the visible text of each page.
 
     Null and empty pages give an empty text; null or repeated ids give a row each; other columns are
-    ignored. Any input gives a text: unclosed tags, comments and quotes end with the page. A page takes
-    time and memory in proportion to its length, however deep its elements are. No shuffle.
+    ignored, so their names can't clash; an empty table gives no rows. Any input gives a text: unclosed
+    tags, comments and quotes end with the page. Elements that define, annotate or stand in for others
+    show nothing, nor does what style or attributes hide, but for children made visible again. A page
+    takes time and memory in proportion to its length, however deep its elements are. No shuffle.
     """
     schema = T.StructType([T.StructField("id", field_type(pages, id_col)), T.StructField("text", T.StringType())])
 
