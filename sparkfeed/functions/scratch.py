@@ -41,15 +41,32 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 
 
 class Scratch:
-    """The tables of one run below one path, removed together when nothing reads them any more."""
+    """The tables of one run below one path, removed together when nothing reads them any more, or
+    one by one before."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self.tables = spark, scratch_path(spark, name), 0
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         self.tables += 1
-        return written(df, name, f"{self.path}/{name}-{self.tables}")
+        path = f"{self.path}/{name}-{self.tables}"
+        table = written(df, name, path)
+        self.paths[id(table)] = table, path
+        return table
+
+    def forget(self, *tables: DataFrame) -> None:
+        """Removes tables that nothing will read again; others than this run's are left alone."""
+        for table in tables:
+            found = self.paths.pop(id(table), None)
+            if found:
+                remove(self.spark, found[1])
 
     def drop(self) -> None:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        remove(self.spark, self.path)
+        self.paths.clear()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
