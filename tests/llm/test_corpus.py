@@ -577,7 +577,7 @@ def test_near_duplicates_at_a_lower_threshold(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     want = classes(texts, 0.5)
     assert want[2] == 1 and want[4] == 3 and want[6] == 6 and want[11] == 10 and want[25] == 25
-    assert {r.doc_id: r.class_id for r in probminhash.near_duplicates(docs, threshold=0.5, bands=96, rows=2).collect()} == want
+    assert {r.doc_id: r.class_id for r in probminhash.near_duplicates(docs, threshold=0.5).collect()} == want
 
 
 def test_hot_buckets_and_groups_are_dealt_without_loss(spark, monkeypatch):
