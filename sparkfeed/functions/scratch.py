@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_below: ContextVar[str | None] = ContextVar("_below", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, else the checkpoint directory that the user gave Spark.
@@ -25,8 +30,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; the caller's application owns it."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path below the folder of the run that is open, else below the shared one, where the
+    caller's application owns it."""
+    return f"{_below.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[str]:
+    """Within, every table that operators write goes below one folder, which is gone at the end.
+
+    Results are lazy and read these tables, so write or collect them before.
+    """
+    path = scratch_path(spark, "run")
+    token = _below.set(path)
+    try:
+        yield path
+    finally:
+        _below.reset(token)
+        remove(spark, path)
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

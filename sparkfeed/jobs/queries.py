@@ -1011,10 +1011,12 @@ def x7_mirror_sobel(spark, sf_dir):
     return both.select("vec_id", "i", (F.round(F.col("mirrored").cast("double"), 4) + 0.0).alias("mirrored"), F.round(F.col("sobel").cast("double"), 3).alias("sobel"))
 
 
-@query("""WITH x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, unnest(range(16)) AS i FROM embeddings)
-SELECT vec_id, CAST(i AS INTEGER) AS i, round(0.299 * x[3 * i + 3] + 0.587 * x[3 * i + 2] + 0.114 * x[3 * i + 1], 3) + 0.0 AS gray FROM x""")
+@query("""WITH x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, unnest(range(64)) AS i FROM embeddings)
+SELECT vec_id, CAST(i AS INTEGER) AS i, round(0.299 * x[(i + 2) % 64 + 1] + 0.587 * x[(i + 1) % 64 + 1] + 0.114 * x[i + 1], 3) + 0.0 AS gray FROM x""")
 def x7_gray(spark, sf_dir):
-    e = samples(spark, sf_dir).select(F.col("sample_id").alias("vec_id"), F.lit(4).alias("height"), F.lit(4).alias("width"), F.lit(3).alias("channels"), F.slice("features", 1, 48).alias("features"))
+    """Vectors as images of 8 x 8, whose channels are the vector and two shifts of it."""
+    shifted = F.flatten(F.transform("features", lambda v, i: F.array(v, *(F.get("features", (i + k) % 64) for k in (1, 2)))))
+    e = samples(spark, sf_dir).select(F.col("sample_id").alias("vec_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("channels"), shifted.alias("features"))
     return pixels.transform_images(e, [("color", "GRAY")], "BGR", "features").select("vec_id", F.posexplode("pixels").alias("i", "v")).select("vec_id", "i", (F.round(F.col("v").cast("double"), 3) + 0.0).alias("gray"))
 
 

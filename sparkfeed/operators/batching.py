@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.draws import h
-from ..functions.index import dense_index
+from ..functions.index import index_by_key
 
 ORDER = {"test": 0, "validation": 1, "train": 2}
 
@@ -27,10 +27,13 @@ def class_lengths(df: DataFrame) -> DataFrame:
 
 def index_samples(df: DataFrame, epoch: int = 0, seed=0, shuffle_limit: int | None = None) -> DataFrame:
     """``df`` with ``global_index`` and ``split_pos``: test and validation in fixed order, train
-    shuffled for each epoch up to ``shuffle_limit`` shuffles, after which the last order stays."""
+    shuffled for each epoch up to ``shuffle_limit`` shuffles, after which the last order stays.
+
+    Sample ids are unique in a split. Only they are sorted; other columns stay where they are until
+    the numbers are joined to them."""
     shuffles = epoch + 1 if shuffle_limit is None else min(epoch + 1, shuffle_limit)
     key = F.when((F.col("split") == "train") & F.lit(shuffles > 0), h(seed, F.col("sample_id"), shuffles)).otherwise("")
-    placed = dense_index(df.withColumns({"_s": split_number(F.col("split")), "_k": key}), ["_s", "_k", "sample_id"], "global_index")
+    placed = index_by_key(df, [split_number(F.col("split")), key, "sample_id"], ["split", "sample_id"], "global_index")
     starts = class_lengths(df).select("split", "start")
     return placed.join(F.broadcast(starts), "split").select(*df.columns, "global_index", (F.col("global_index") - F.col("start")).alias("split_pos"))
 

@@ -18,10 +18,10 @@ SPLITS = ("test", "validation", "train")
 def build_label_mapping(df: DataFrame, split: str = "train") -> DataFrame:
     """``(label, label_id)``: labels of the train split in sorted order, from 0.
 
-    There is a row a label, so the ordered window is over few rows; null labels have no number.
+    Null labels have no number. However many labels there are, no task sorts all of them.
     """
     labels = df.where((F.col("split") == split) & F.col("label").isNotNull()).select("label").distinct()
-    return labels.select("label", (F.row_number().over(W.orderBy("label")) - 1).alias("label_id"))
+    return dense_index(labels, ["label"], "label_id").withColumn("label_id", F.col("label_id").cast("int"))
 
 
 def apply_label_mapping(df: DataFrame, mapping: DataFrame, on_missing: str = "null") -> DataFrame:

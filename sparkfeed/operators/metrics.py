@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.index import dense_index
 from ..functions.scan import neighbours, rank_in_series
 
 
@@ -23,24 +24,57 @@ def confusion_summary(cells: DataFrame) -> DataFrame:
     return cells.agg(F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("right"), F.sum("n").alias("total"), F.max(F.when(~hit, F.col("n"))).alias("worst")).withColumn("accuracy", 100.0 * F.col("right") / F.col("total"))
 
 
+#: Cells of a histogram by which an order statistic is closed in on; so many counts come to the driver at once.
+CELLS = 4096
+
+
+def order_statistics(df: DataFrame, col: str, places: list[int]) -> list[float]:
+    """The values at ``places`` (from 0) of the sorted finite values of ``col``, without sorting them.
+
+    A pass counts the values of each cell of the interval that holds a place, and finds the cell's own
+    least and greatest value, which are the next interval; a few passes leave a single value. Nothing
+    but counts by cell is shuffled. A place beyond the values is an error.
+    """
+    values = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & (F.abs("v") < float("inf")))
+    low, high, n = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    if any(not 0 <= k < n for k in places):
+        raise ValueError(f"places {places} of {n} values")
+    spans = {k: (low, high, 0) for k in places}
+    while open_ := sorted({s for s in spans.values() if s[0] < s[1]}):
+        # halves, as the whole span may be beyond what a double holds
+        cell = lambda s: F.least(F.floor((F.col("v") / 2 - s[0] / 2) / (s[1] / 2 - s[0] / 2) * CELLS), F.lit(CELLS - 1))
+        cells = F.array(*(F.when(F.col("v").between(s[0], s[1]), F.struct(F.lit(i).alias("i"), cell(s).alias("cell"))) for i, s in enumerate(open_)))
+        rows = values.select("v", F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("c")).groupBy("c.i", "c.cell").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+        for k, span in spans.items():
+            if span not in open_:
+                continue
+            before = span[2]
+            for r in sorted((r for r in rows if r["i"] == open_.index(span)), key=lambda r: r["cell"]):
+                if before + r["n"] > k:
+                    spans[k] = (r["low"], r["high"], before)
+                    break
+                before += r["n"]
+    return [spans[k][0] for k in places]
+
+
 def auto_histogram(df: DataFrame, col: str) -> DataFrame:
     """``(bin, low, high, n)`` with bins by the Freedman-Diaconis rule.
 
-    Quartiles are order statistics (the upper one rounded up, the lower down), found by place in a
-    range-partitioned order. There are at least 3 bins, and 3 if the quartiles are equal.
+    Quartiles are order statistics (the upper one rounded up, the lower down), closed in on by counts.
+    There are at least 3 bins, and 3 if the quartiles are equal. Null, NaN and infinite values are
+    left out; without any other there are no bins.
     """
-    values = df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("v"), F.monotonically_increasing_id().alias("_t"))
-    ordered = dense_index(values, ["v", "_t"], "k")
-    size = ordered.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    placed = ordered.crossJoin(F.broadcast(size))
-    quartiles = placed.where((F.col("k") == F.ceil((F.col("n") - 1) * 0.75)) | (F.col("k") == F.floor((F.col("n") - 1) * 0.25))).agg(F.max("n").alias("n"), F.max("lo").alias("lo"), F.max("hi").alias("hi"), (F.max("v") - F.min("v")).alias("iqr"))
-    width = 2 * F.col("iqr") * F.pow(F.col("n"), F.lit(-1 / 3))
-    bins = F.when(F.col("iqr") > 0, F.greatest(F.lit(3), F.bround((F.col("hi") - F.col("lo")) / width))).otherwise(3).cast("int")
-    shape = quartiles.select("lo", "hi", bins.alias("bins"))
-    span = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0)
-    counts = values.crossJoin(F.broadcast(shape)).select(F.least(F.floor((F.col("v") - F.col("lo")) * F.col("bins") / span), F.col("bins") - 1).cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
-    every = shape.select("lo", "hi", "bins", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
-    edge = lambda k: F.col("lo") + (F.col("hi") - F.col("lo")) * k / F.col("bins")
+    values = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & (F.abs("v") < float("inf")))
+    low, high, n = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    if not n:
+        return df.sparkSession.createDataFrame([], "bin int, low double, high double, n bigint")
+    upper, lower = order_statistics(values, "v", [math.ceil((n - 1) * 0.75), math.floor((n - 1) * 0.25)])
+    width = 2 * (upper - lower) * n ** (-1 / 3)
+    bins = max(3, round((high - low) / width)) if upper > lower else 3
+    span = high - low if high > low else 1.0
+    counts = values.select(F.least(F.floor((F.col("v") - low) * bins / span), F.lit(bins - 1)).cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    edge = lambda k: F.lit(low) + F.lit(high - low) * k / bins
     return every.join(counts, "bin", "left").select("bin", edge(F.col("bin")).alias("low"), edge(F.col("bin") + 1).alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
 
 

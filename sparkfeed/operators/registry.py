@@ -26,6 +26,17 @@ def results_json(results: DataFrame) -> DataFrame:
     return results.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", "value"))))).alias("json"))
 
 
+def write_results(results: DataFrame, path: str) -> None:
+    """The results as one JSON object in a file below ``path``, in place of what is there."""
+    results_json(results).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_results(spark, path: str) -> DataFrame:
+    """``(metric, value)`` of what ``write_results`` wrote."""
+    rows = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "map<string,string>")))
+    return rows.select(F.col("key").alias("metric"), "value")
+
+
 def latest_snapshot(df: DataFrame) -> DataFrame:
     """The newest row of each ``(id, log_id)``; of ties, the largest name."""
     return df.groupBy("id", "log_id").agg(F.max(F.struct("timestamp", "name")).alias("s")).select("id", "log_id", "s.timestamp", "s.name")

@@ -48,7 +48,7 @@ def resplit_validation(df: DataFrame, ratio: float | None, seed=0, stratify: str
     ``stratify=None``: exactly ``round(ratio n)`` rows, halves to even; ``"label"``: for each label
     ``max(round(ratio n), 1)`` rows, an error if that is all of them; ``"cover"``: ``int(ratio n)``
     rows with each label in both splits. None keeps all; a ratio of 0 or less merges validation
-    into train.
+    into train. Sample ids are unique.
     """
     if ratio is None:
         return df
@@ -58,7 +58,8 @@ def resplit_validation(df: DataFrame, ratio: float | None, seed=0, stratify: str
     own = [c for c in df.columns if c != "split"]
     if ratio <= 0:
         return rest.unionByName(pool.withColumn("split", F.lit("train")))
-    drawn = pool.withColumn("_h", h(seed, F.col("sample_id")))
+    # only ids and labels are ranked; what a row holds besides is joined to its new split
+    drawn = pool.select("sample_id", *(["label"] if stratify else []), h(seed, F.col("sample_id")).alias("_h"))
     if stratify is None:
         n = pool.count()
         ranked = dense_index(drawn, ["_h", "sample_id"], "_rank")
@@ -79,7 +80,8 @@ def resplit_validation(df: DataFrame, ratio: float | None, seed=0, stratify: str
             free = dense_index(ranked.where("_rank > 1"), ["_h", "sample_id"], "_free").where(F.col("_free") < int(ratio * n) - k).select("sample_id", F.lit(True).alias("_more"))
             ranked = ranked.join(free, "sample_id", "left")
             chosen = (F.col("_rank") == 0) | F.coalesce(F.col("_more"), F.lit(False))
-    out = ranked.select(*own, F.when(chosen, "validation").otherwise("train").alias("split"))
+    taken = ranked.where(chosen).select(F.col("sample_id").alias("_id"), F.lit(True).alias("_taken"))
+    out = pool.join(taken, F.col("sample_id").eqNullSafe(F.col("_id")), "left").select(*own, F.when(F.col("_taken"), "validation").otherwise("train").alias("split"))
     return rest.unionByName(out.select(*df.columns))
 
 

@@ -2,14 +2,15 @@
 
 import glob
 import math
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkfeed.functions import scalars, scan
-from sparkfeed.operators import batching, events, joins, normalize, registry
+from sparkfeed.functions import scalars, scan, scratch
+from sparkfeed.operators import batching, events, evolution, joins, metrics, normalize, registry
 from sparkfeed.sources import arrays, readers
 
 
@@ -266,3 +267,90 @@ def test_only_folders_of_wanted_chunks_are_read(spark, tmp_path):
     got = batching.fetch_samples(spark, path, wanted).collect()
     assert sorted((r.split, r.split_pos, r.sample_id) for r in got) == sorted((*w, at[w]) for w in want if w in at) and len(got) == 5
     assert batching.fetch_samples(spark, path, wanted.limit(0)).collect() == []
+
+
+# quartiles
+@pytest.mark.parametrize("cells", [2, 7, 4096])
+def test_order_statistics_without_a_sort(spark, monkeypatch, cells):
+    monkeypatch.setattr(metrics, "CELLS", cells)
+    rng = random.Random(cells)
+    for values in ([rng.choice([0.0, 1.0, 1.0, 5.5, -3.0]) for _ in range(300)], [rng.gauss(0, 1e-9) + 1e9 for _ in range(200)], [7.0], [-1e308, 1e308, 0.0, 1e-300]):
+        df = spark.createDataFrame([(v,) for v in [*values, None, float("nan"), float("inf")]], "x double")
+        places = sorted({0, len(values) // 4, len(values) // 2, len(values) - 1})
+        assert metrics.order_statistics(df, "x", places) == [sorted(values)[k] for k in places]
+    with pytest.raises(ValueError, match="places"):
+        metrics.order_statistics(spark.createDataFrame([(1.0,)], "x double"), "x", [1])
+    assert metrics.auto_histogram(spark.createDataFrame([(None,)], "x double"), "x").collect() == []
+
+
+# scratch tables
+def test_a_run_leaves_nothing(spark):
+    folder = scratch.shared_dir(spark)
+    before = set(os.listdir(folder.removeprefix("file:"))) if os.path.isdir(folder.removeprefix("file:")) else set()
+    with scratch.scratch_run(spark) as path:
+        df = spark.range(50).select(F.col("id").alias("sample_id"), F.lit("train").alias("split"), F.lit("a").alias("label"))
+        got = batching.index_samples(df, epoch=1).collect()
+        assert len(got) == 50 and os.listdir(path.removeprefix("file:"))
+    assert set(os.listdir(folder.removeprefix("file:"))) == before
+
+
+def test_only_keys_are_written_to_rank_rows(spark):
+    wide = spark.range(2000).select(F.col("id").alias("sample_id"), F.lit("train").alias("split"), F.array_repeat(F.rand(1), 200).alias("features"))
+    with scratch.scratch_run(spark) as path:
+        out = batching.index_samples(wide, epoch=1)
+        size = sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(path.removeprefix("file:")) for f in fs)
+        assert size < 2000 * 120 and sorted(r.global_index for r in out.select("global_index").collect()) == list(range(2000))
+    again = spark.createDataFrame([(1, "train"), (1, "train")], "sample_id long, split string")
+    with pytest.raises(Exception, match="repeated key"):
+        batching.index_samples(again).collect()
+
+
+def test_results_are_written_as_one_object(spark, tmp_path):
+    r = spark.createDataFrame([("b", "2"), ("a", 'x"y')], "metric string, value string")
+    registry.write_results(r, f"{tmp_path}/r")
+    registry.write_results(r, f"{tmp_path}/r")
+    assert sorted(tuple(x) for x in registry.read_results(spark, f"{tmp_path}/r").collect()) == [("a", 'x"y'), ("b", "2")]
+
+
+# candidates
+def test_failures_are_a_candidates_own_and_are_tried_again(spark, tmp_path):
+    cands = spark.createDataFrame([(k, float(k)) for k in range(12)], "cand_id long, w double")
+    data = spark.range(100).select(F.col("id").cast("double").alias("x")).repartition(5)
+    mark = str(tmp_path / "seen")
+
+    def part(c, rows):
+        if c["cand_id"] == 3:
+            raise ValueError("never")
+        if c["cand_id"] == 4 and not os.path.exists(mark):
+            raise OSError("once")
+        return [float((rows["x"] * c["w"]).sum())]
+
+    run = lambda **k: {r.cand_id: (r.fitness, r.error) for r in evolution.evaluate_candidates(cands, data, part, lambda s: s[0], **k).collect()}
+    got = run(most=5)
+    assert got[3] == (None, "ValueError: never") and got[4] == (None, "OSError: once") and all(got[k] == (4950.0 * k, None) for k in range(12) if k not in (3, 4))
+    real = evolution.Scratch.written
+
+    def written(self, df, name):
+        out = real(self, df, name)
+        open(mark, "w").close()  # what was lost is there again for the second attempt
+        return out
+
+    evolution.Scratch.written = written
+    try:
+        got = run(attempts=2)
+    finally:
+        evolution.Scratch.written = real
+    assert len(got) == 12 and got[3] == (None, "ValueError: never") and got[4] == (4950.0 * 4, None)
+    assert {e for _, e in {r.cand_id: (r.fitness, r.error) for r in evolution.evaluate_candidates(cands, data.limit(0), part, lambda s: s[0]).collect()}.values()} == {"no fitness"}
+
+
+def test_generations_improve_and_stop(spark):
+    start = spark.range(60).select(F.col("id").alias("cand_id"), F.array(F.lit(1.0), (F.col("id") % 17).cast("double"), (F.col("id") % 23).cast("double")).alias("genes"))
+    value = lambda c: c.select("cand_id", (500 - F.aggregate("genes", F.lit(0.0), lambda a, x: a + (x - 9) * (x - 9))).alias("fitness"))
+    out = evolution.evolve(start, value, 0.0, 25.0, 40, 4, seed=1)
+    rows = out.history.orderBy("generation").collect()
+    assert len(rows) == 4 and all(b.best >= a.best and b["sum"] > a["sum"] for a, b in zip(rows, rows[1:], strict=False)) and out.population.count() == 40
+    flat = evolution.evolve(start, lambda c: c.select("cand_id", F.lit(1.0).alias("fitness")), 0.0, 25.0, 40, 9)
+    assert [r.stop for r in flat.history.orderBy("generation").collect()] == [False, True]
+    none = evolution.evolve(start.limit(0), value, 0.0, 25.0, 40, 3)
+    assert none.history.count() == 0 and none.population.count() == 0
