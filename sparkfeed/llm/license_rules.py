@@ -191,12 +191,14 @@ text eclipse accompanying : this program and the accompanying materials are made
 grant eclipse : {GRANT}eclipse public licen[sc]e {VERSION}1(?: 0)?
 title eclipse : eclipse public licen[sc]e {VERSION}1(?: 0)?
 tag epl : {TAG}epl 1 0
+id epl : epl (?:v ?)?1 0
 url eclipse epl : eclipse org legal epl v10
 = epl-2.0
 text eclipse accompanying : this program and the accompanying materials are made available under the terms of the eclipse public license {VERSION}2(?: 0)?
 grant eclipse : {GRANT}eclipse public licen[sc]e {VERSION}2(?: 0)?
 title eclipse : eclipse public licen[sc]e {VERSION}2(?: 0)?
 tag epl : {TAG}epl 2 0
+id epl : epl (?:v ?)?2 0
 url eclipse epl : eclipse org legal epl (?:v20|2 0)
 = edl-1.0
 title eclipse : eclipse distribution licen[sc]e(?: {VERSION}1(?: 0)?)?
@@ -274,6 +276,7 @@ text verbatim changed : everyone is permitted to copy and distribute verbatim or
 title fuck want public : do what the fuck you want to public licen[sc]e
 grant wtfpl : {GRANT}wtfpl
 tag wtfpl : {TAG}wtfpl
+id wtfpl : wtfpl
 url wtfpl net : wtfpl net
 = cc0-1.0
 text affirmer contravention : to the greatest extent permitted by but not in contravention of applicable law affirmer hereby

@@ -108,9 +108,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``detections`` is an array of structs; those with ``kept`` false gave way to others. ``phrases``
     are rules of their own, named ``base/...``; all their places are among the detections, and they
-    neither give way nor make others do so. Null and
-    empty texts have no words and no detections; null or repeated ids give a row each; other
-    columns are ignored. No shuffle.
+    neither give way nor make others do so. Null and empty texts have no words and no detections;
+    null or repeated ids give a row each; other columns are ignored, so their names can't clash; an
+    empty table gives no rows. Whole texts are scanned, however long. No shuffle.
     """
     schema = T.StructType([T.StructField("id", field_type(docs, id_col)), T.StructField("n_words", T.LongType()), T.StructField("detections", T.ArrayType(DETECTION))])
     fixed = tuple(phrases.items())
