@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import bounded, col, field_type, slices, strings
+from ._shared import bounded, col, field_type, hold_only, slices, strings
 from .byte_pairs import PrefixEncoder, Splitter, read_ranks, unknown
 
 
@@ -36,12 +36,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     """``(id, ids array<int>)``: the BPE ids of each whole text, piece by piece.
 
     ``ranks`` is a rank file that every executor can read. Null and empty texts give an empty
-    array; null or repeated ids give a row each; other columns are ignored. No shuffle.
+    array; null or repeated ids give a row each; other columns are ignored, so their names can't clash;
+    an empty table gives no rows. Whole texts are encoded, however long. No shuffle.
     """
     path = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     schema = T.StructType([T.StructField("id", field_type(docs, id_col)), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
+        hold_only("codec", _codec.cache_clear)
         codec = _codec(path)
         for batch in slices(batches):
             packed = packed_ids(strings(batch.column(1)), *codec)
@@ -53,13 +55,18 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", ranks: str | None = None) -> DataFrame:
-    """``(id, ids, data binary)``: the bytes that the ids stand for; null ids give empty bytes."""
+    """``(id, ids, data binary)``: the bytes that the ids stand for.
+
+    Null and empty ``ids`` give empty bytes; null or repeated row ids give a row each; other columns
+    are ignored, so their names can't clash; an empty table gives no rows. No shuffle.
+    """
     path = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     schema = T.StructType(
         [T.StructField("id", field_type(encoded, id_col)), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("data", T.BinaryType())]
     )
 
     def run(batches):
+        hold_only("codec", _codec.cache_clear)
         encoder, _, _ = _codec(path)
         for batch in slices(batches):
             lists = batch.column(1).fill_null([]) if batch.column(1).null_count else batch.column(1)

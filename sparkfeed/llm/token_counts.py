@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import bounded, col, field_type, slices, strings
+from ._shared import bounded, col, field_type, hold_only, slices, strings
 from .byte_pairs import MergeCounter, Remembered, Splitter, read_merges, split_specials
 
 
@@ -41,6 +41,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
     def run(batches):
+        hold_only("counts", _counter.cache_clear)
         count = _counter(path)
         for batch in slices(batches):
             texts = strings(batch.column(1))
