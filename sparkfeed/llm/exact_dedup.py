@@ -49,7 +49,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     points, then the smallest id (null last) stays. Rows with equal id and length of a group are
     interchangeable: one of them is ``kept``. Null and empty texts are equal to each other.
     ``content_hash`` is null where length or prefix already tell a text from all others. Other
-    columns of ``docs`` are ignored but for those in ``carry``, functions of the text that come along.
+    columns of ``docs`` are ignored but for those in ``carry``, functions of the text that come along;
+    an empty table gives no rows.
     """
     carry = carry or []
     source = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), *map(col, carry))
@@ -73,7 +74,9 @@ def _winners(ids: DataFrame, length: str, cp: str, head: str, full: str) -> Data
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX) -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns; the rules are those of ``exact_duplicates``."""
+    """The rows of ``docs`` that stay, with their own columns; the rules are those of ``exact_duplicates``.
+
+    Extra columns, whatever their names, go through; an empty table stays one."""
     keyed, (length, cp, head, full) = refined_keys(docs, id_col, text_col, prefix)
     ids = written(keyed.select(col(id_col).alias("id"), cp, length, head, full).groupBy("id", cp, length, head, full).agg(F.count("*").alias("times")), "dedup-keys")
     keep, ties, key, hot = fresh(keyed, "sf_keep", "sf_ties", "sf_key", "sf_hot")

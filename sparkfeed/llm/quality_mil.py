@@ -184,7 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     The first ``sample_texts`` labelled ids are taken in the order of a hash, and of them those whose
     passages fit, so the sample is the same at each run and its size the same at each scale. A text
     that no longer fits is left out, and those after it are still taken. Several labels of an id are
-    averaged, null ones ignored; texts of a repeated id all count. Only ids are read to choose from,
+    averaged, null ones and null ids ignored; texts of a repeated id all count; empty tables give a
+    model whose scores are all alike. Only ids are read to choose from,
     and only texts of chosen ids are split into words.
     """
     label = labels.where(col(label_col).isNotNull() & col(id_col).isNotNull() & ~held_out(col(id_col))).groupBy(col(id_col).alias("id")).agg(F.avg(col(label_col)).alias("y"))
@@ -224,7 +225,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
     """``(id, score)``, or ``columns`` of ``docs`` and ``score``, for each row; no shuffle.
 
-    Null and empty texts have one passage of zeros and get a score like others.
+    Null and empty texts have one passage of zeros and get a score like others; null or repeated ids
+    give a row each; an empty table gives none. Names of extra columns can't clash.
     """
     names = columns or [id_col]
     fields = [T.StructField(f"c{k}", field_type(docs, c)) for k, c in enumerate(names)]

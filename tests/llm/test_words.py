@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkfeed.llm import fill_middle, html_text, language_id, queries, spelling
+from sparkfeed.llm import bpe_codec, fill_middle, html_text, language_id, license_scan, queries, spelling
 
 SF = "/root/testdata/sf0.01"
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), *(T.StructField(n, T.StringType()) for n in ("lang", "id", "n", "h", "some", "word", "run", "form", "key"))])
@@ -214,3 +214,15 @@ def test_tables_in_tables():
         began = time.process_time()
         text = page(html)
         assert time.process_time() - began < 8 and 20_000 <= len(text) < 10 * len(html)
+
+
+# docstrings' promises on names, and what workers keep
+def test_decoding_ignores_other_columns(spark):
+    df = spark.createDataFrame([(1, [72, 105], "x", "y"), (None, None, "x", "y"), (1, [], "x", "y")], "doc_id long, ids array<int>, data string, id string")
+    got = bpe_codec.decode(df)
+    assert got.columns == ["doc_id", "ids", "data"] and sorted(len(r.data) for r in got.collect())[:2] == [0, 0] and bpe_codec.decode(df.limit(0)).count() == 0
+
+
+def test_identifiers_of_licences_by_themselves():
+    label = lambda t: [d["label"] for d in license_scan.scan(t.encode(), *license_scan._rules(license_scan.SIGNATURES, ()))[1] if d["kept"]]
+    assert (label("EPL-2.0"), label("(EPL-1.0)"), label("WTFPL"), label("mit dem Hund")) == (["epl-2.0"], ["epl-1.0"], ["wtfpl"], [])
