@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkfeed.llm import exact_dedup, packing, probminhash, quality_mil, quality_rules
-from sparkfeed.functions.scratch import written
+from sparkfeed.functions.scratch import remove, scratch_path, scratch_run, written
 
 
 def quality_rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The pieces of the last stage. Each stage's own tables go when its rows are written, and these
+    when the next stage's are; those that the result reads stay, below ``spark.checkpoint.dir``."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = scratch_path(spark, f"stage-{name}")
+        with scratch_run(spark):
+            docs = written(stage(spark, docs, sf_dir), name, path)
+        if last:
+            remove(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
