@@ -13,6 +13,7 @@ from ..functions.index import dense_index
 from ..functions.scratch import scratch_path
 from ..operators import batching, events, evolution, joins, labels, metrics, normalize, pixels, registry, report, search, splits
 from ..sources import images, readers
+from ..streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -653,6 +654,21 @@ def w3_liveness(spark, sf_dir):
     return events.liveness(table(spark, sf_dir, "events"), "user_id", "6 hours")
 
 
+@query("""WITH e AS (SELECT DISTINCT user_id, epoch_us(ts) AS t FROM events), n AS (SELECT *, lag(t) OVER w AS p, lead(t) OVER w AS q FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t))
+SELECT CAST(user_id AS VARCHAR) AS key, 'dropped' AS kind, t + 21600000000 AS at FROM n WHERE q IS NULL OR q > t + 21600000000 UNION ALL SELECT CAST(user_id AS VARCHAR), 'revived', t FROM n WHERE t - p > 21600000000""")
+def w6_status_changes(spark, sf_dir):
+    """The batch twin of the stream with state: when users fall silent for six hours, and come back."""
+    return live.status_changes_batch(table(spark, sf_dir, "events"), "user_id", "6 hours").withColumn("at", F.unix_micros("at"))
+
+
+@query("""WITH e AS (SELECT event_id, epoch_us(ts) AS t, event_id * 7919 % 40 AS batch FROM events), m AS (SELECT batch, max(t) AS m FROM e GROUP BY 1), k AS (SELECT batch, max(m) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM m)
+SELECT batch, event_id FROM e JOIN k USING (batch) WHERE t <= mark - 1728000000000""")
+def w7_late_rows(spark, sf_dir):
+    """Events that arrive in forty batches, out of order, and more than twenty days behind."""
+    e = table(spark, sf_dir, "events").withColumn("batch", F.col("event_id") * 7919 % 40)
+    return live.late_rows_batch(e, "batch", "20 days").select("batch", "event_id")
+
+
 # Snapshots and versions
 @query("SELECT o_custkey AS id, o_orderpriority AS log_id, max(o_orderdate) AS timestamp, max_by(CAST(o_orderkey AS VARCHAR), (o_orderdate, CAST(o_orderkey AS VARCHAR))) AS name FROM orders GROUP BY ALL")
 def a13_latest_snapshot(spark, sf_dir):

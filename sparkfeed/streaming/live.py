@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.query import StreamingQuery
@@ -214,6 +215,15 @@ def late_rows(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, f"{path}/late")
 
 
+def late_rows_batch(df: DataFrame, batch: str, delay: str, ts: str = "ts") -> DataFrame:
+    """The rows of a whole table that ``split_late`` would find late, if ``batch`` numbers the batches
+    in which they arrive. Only the greatest time of each batch is put in order."""
+    time = F.unix_micros(F.col(ts).cast("timestamp"))
+    most = df.groupBy(batch).agg(F.max(time).alias("sf_most"))
+    marks = most.select(batch, F.max("sf_most").over(W.orderBy(batch).rowsBetween(W.unboundedPreceding, -1)).alias("sf_mark"))
+    return df.join(marks, batch).where(time <= F.col("sf_mark") - _micros(delay)).select(*df.columns)
+
+
 #: Batches after whose statistics those so far are written as one table.
 COMPACT = 16
 
