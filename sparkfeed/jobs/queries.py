@@ -658,7 +658,7 @@ def w3_liveness(spark, sf_dir):
 SELECT CAST(user_id AS VARCHAR) AS key, 'dropped' AS kind, t + 21600000000 AS at FROM n WHERE q IS NULL OR q > t + 21600000000 UNION ALL SELECT CAST(user_id AS VARCHAR), 'revived', t FROM n WHERE t - p > 21600000000""")
 def w6_status_changes(spark, sf_dir):
     """The batch twin of the stream with state: when users fall silent for six hours, and come back."""
-    return live.status_changes_batch(table(spark, sf_dir, "events"), "user_id", "6 hours").withColumn("at", F.unix_micros("at"))
+    return live.status_changes_batch(table(spark, sf_dir, "events"), "user_id", "6 hours", forget=None).withColumn("at", F.unix_micros("at"))
 
 
 @query("""WITH e AS (SELECT event_id, epoch_us(ts) AS t, event_id * 7919 % 40 AS batch FROM events), m AS (SELECT batch, max(t) AS m FROM e GROUP BY 1), k AS (SELECT batch, max(m) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM m)

@@ -81,6 +81,8 @@ class InOrder(StatefulProcessor):
                 self.waiting.put(later)
         if known is not None:
             self.known.update(known)
+        elif self.known.exists():
+            self.known.clear()
         for at in (later[0][0] // 1000 + 1 if later else None, ask // 1000 + 1 if ask is not None else None):
             if at is not None and at * 1000 > now:
                 self.handle.registerTimer(at)
@@ -103,14 +105,20 @@ class _Changes(InOrder):
 
     KNOWN = "at bigint, told int"
 
-    def __init__(self, ttl: int):
-        self.ttl = ttl
+    def __init__(self, ttl: int, forget: int | None):
+        self.ttl, self.forget = ttl, forget
 
     def rest(self, key, known, now):
-        if known is None or known[1]:
-            return [], known, None
-        end = known[0] + self.ttl
-        return ([("dropped", end)], (known[0], 1), None) if end <= now else ([], known, end)
+        if known is None:
+            return [], None, None
+        at, told = known
+        end = at + self.ttl
+        if end > now:
+            return [], known, end
+        out = [] if told else [("dropped", end)]
+        if self.forget is None:
+            return out, (at, 1), None
+        return (out, None, None) if end + self.forget <= now else (out, (at, 1), end + self.forget)
 
     def step(self, key, row, known):
         return ([("revived", row[0])] if known is not None and known[1] else []), (row[0], 0)
@@ -124,22 +132,26 @@ def _micros(span: str) -> int:
     return int(float(value) * {"millisecond": 1000, "second": 10**6, "minute": 60 * 10**6, "hour": 3600 * 10**6, "day": 86400 * 10**6}[unit.rstrip("s")])
 
 
-def status_changes(stream: DataFrame, key: str, ttl: str = "60 seconds", delay: str = "5 minutes", ts: str = "ts") -> DataFrame:
+def status_changes(stream: DataFrame, key: str, ttl: str = "60 seconds", delay: str = "5 minutes", ts: str = "ts", forget: str | None = "7 days") -> DataFrame:
     """``(key, kind, at)``: ``dropped`` when a run has been silent for ``ttl``, ``revived`` with its next
-    beat. Timers in event time tell a silence that no further beat ends."""
+    beat. Timers in event time tell a silence that no further beat ends. A run that stays away for
+    ``forget`` more leaves the state, so that it doesn't grow with all runs there ever were; a later
+    beat is then a new run's first."""
     rows = _prepared(stream, key, ts, delay, None, None).groupBy("key")
-    out = rows.transformWithStateInPandas(_Changes(_micros(ttl)), "key string, kind string, at bigint", "Append", "EventTime")
+    out = rows.transformWithStateInPandas(_Changes(_micros(ttl), _micros(forget) if forget else None), "key string, kind string, at bigint", "Append", "EventTime")
     return out.select("key", "kind", F.timestamp_micros("at").alias("at"))
 
 
-def status_changes_batch(df: DataFrame, key: str, ttl: str = "60 seconds", until: int | None = None, ts: str = "ts") -> DataFrame:
+def status_changes_batch(df: DataFrame, key: str, ttl: str = "60 seconds", until: int | None = None, ts: str = "ts", forget: str | None = "7 days") -> DataFrame:
     """The same of a whole table, silences that end by ``until`` (microseconds; by default all) among them."""
     beats = df.where(F.col(ts).isNotNull()).select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at")).distinct()
     near = neighbours(beats, ["key"], ["at"], "at", {"last": -1, "next": 1})
     end = F.col("at") + _micros(ttl)
     told = F.lit(True) if until is None else end <= until
     dropped = near.where((F.coalesce(F.col("next") > end, F.lit(True))) & told).select("key", F.lit("dropped").alias("kind"), F.timestamp_micros(end).alias("at"))
-    revived = near.where(F.col("at") - F.col("last") > _micros(ttl)).select("key", F.lit("revived").alias("kind"), F.timestamp_micros("at").alias("at"))
+    away = F.col("at") - F.col("last")
+    back = (away > _micros(ttl)) & (away <= _micros(ttl) + _micros(forget)) if forget else away > _micros(ttl)
+    revived = near.where(back).select("key", F.lit("revived").alias("kind"), F.timestamp_micros("at").alias("at"))
     return dropped.unionByName(revived if until is None else revived.where(F.unix_micros("at") <= until))
 
 

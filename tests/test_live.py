@@ -32,17 +32,18 @@ def store(spark):
     spark.conf.set(name, before)
 
 
-def test_status_changes_equal_the_batch_on_shuffled_arrival(spark, tmp_path):
+@pytest.mark.parametrize("forget", [None, "40 seconds"])
+def test_status_changes_equal_the_batch_on_shuffled_arrival(spark, tmp_path, forget):
     rng = random.Random(3)
     beats = [(f"r{k % 4}", t) for k in range(4) for t in sorted(rng.sample(range(1000, 3000), 40))]
     rng.shuffle(beats)
     rows = [(run, t, min(3, max(0, (t - 1000) // 500 + rng.randrange(-1, 2)))) for run, t in beats] + [("end", 20_000, 4)]
     df = spark.createDataFrame(rows, "run string, t int, part int").select("run", F.timestamp_seconds("t").alias("ts"), "part")
     write_parts(df, f"{tmp_path}/in", "part", 5)
-    into_memory(live.status_changes(stream(spark, f"{tmp_path}/in"), "run", "60 seconds", "2000 seconds"), "changes", f"{tmp_path}/c")
+    into_memory(live.status_changes(stream(spark, f"{tmp_path}/in"), "run", "60 seconds", "2000 seconds", forget=forget), f"changes_{bool(forget)}", f"{tmp_path}/c")
     tidy = lambda d: sorted((r.key, r.kind, r.at) for r in d.collect())
-    got = tidy(spark.table("changes"))
-    assert got == tidy(live.status_changes_batch(df, "run", "60 seconds", 18_000 * 10**6)) and len(got) > 20
+    got = tidy(spark.table(f"changes_{bool(forget)}"))
+    assert got == tidy(live.status_changes_batch(df, "run", "60 seconds", 18_000 * 10**6, forget=forget)) and len(got) > 20
     assert {k for _, k, _ in got} == {"dropped", "revived"}
 
 
