@@ -24,7 +24,7 @@ from .byte_pairs import is_plain, unknown
 CAPACITY = 2048
 _PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 #: Pieces that a worker remembers.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 600_000
 #: Pieces that go to the tokenizer in one call.
 _TOGETHER = 256
 
