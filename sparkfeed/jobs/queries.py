@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import bits, draws, scalars
 from ..functions.index import dense_index
 from ..functions.scratch import scratch_path
-from ..operators import batching, events, evolution, joins, labels, metrics, normalize, pixels, registry, report, search, splits
-from ..sources import images, readers
-from ..streaming import live
+from ..operators import batching, events, evolution, joins, labels, metrics, normalize, pixels, registry, report, scoring, search, splits
+from ..sources import arrays, images, readers
+from ..sources import registry as sources
+from ..streaming import live, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -293,6 +295,41 @@ def a7_skip_rows(spark, sf_dir):
     return readers.read_matrix(spark, path, 2, skiprows=3).select(F.get("features", 0).cast("bigint").alias("id"), F.get("features", 1).alias("balance"))
 
 
+@query("SELECT CASE WHEN c_nationkey < 5 THEN 'test' WHEN c_nationkey < 12 THEN 'validation' ELSE 'train' END AS split, 'nation=' || c_nationkey AS label, CAST(sum(octet_length(encode(c_name)) + 1) AS BIGINT) AS length FROM customer WHERE c_nationkey <> 9 GROUP BY ALL")
+def a2_scan_files(spark, sf_dir):
+    """Customers as a text file for each nation, found below a folder a split and filtered by name."""
+    n = F.col("c_nationkey")
+    c = table(spark, sf_dir, "customer").select(F.when(n < 5, "test").when(n < 12, "validation").otherwise("train").alias("split"), n.alias("nation"), F.col("c_name").alias("value"))
+    path = scratch_path(spark, "folders")
+    c.repartition("split", "nation").write.partitionBy("split", "nation").text(path)
+    files = readers.scan_files(spark, {k: [f"{path}/split={k}"] for k in labels.SPLITS})
+    found = readers.filter_files(files, ignored=[".*/nation=9/.*"], included=[r".*\.txt"], file_type="text", subtypes=["plain"])
+    return found.select("split", readers.path_label(F.col("path")).alias("label"), "length")
+
+
+@query(f"WITH {S}, {ELEMENTS} SELECT sample_id, k, round(v, 6) AS v FROM x")
+def a6_array_rows(spark, sf_dir):
+    """Samples written as array files, their ids ahead of their features, and read again by offset."""
+    path = scratch_path(spark, "arrays")
+    arrays.write_arrays(samples(spark, sf_dir).select(F.concat(F.array(F.col("sample_id").cast("double")), "features").alias("features")), path, part_bytes=1 << 20)
+    rows = arrays.read_arrays(spark, path, part_bytes=1 << 18)
+    return _elements(rows.select(F.get("features", 0).cast("bigint").alias("sample_id"), F.slice("features", 2, F.size("features") - 1).alias("features")))
+
+
+@query(f"WITH {S} SELECT sample_id, split, label, len(features) AS size FROM s")
+def u2_named_source(spark, sf_dir):
+    """Samples that a user's source gives, held to the contract of a data set."""
+    sources.register_source("embeddings", samples)
+    return sources.load_source(spark, "embeddings", sf_dir=sf_dir).select("sample_id", "split", "label", F.size("features").alias("size"))
+
+
+@query(f"WITH {S} SELECT sample_id, round(list_sum(features), 5) AS total, round(list_max(features), 5) AS most FROM s")
+def u6_score(spark, sf_dir):
+    """A user's function of the matrix of features."""
+    scored = scoring.score_features(samples(spark, sf_dir), lambda x: np.stack([x.sum(axis=1), x.max(axis=1)], axis=1))
+    return scored.select("sample_id", F.round(F.get("output", 0), 5).alias("total"), F.round(F.get("output", 1), 5).alias("most"))
+
+
 @query(f"WITH {S}, {ELEMENTS} SELECT k AS feature_idx, count(*) AS n, round(sum(v), 6) AS sum, min(v) AS min, max(v) AS max FROM x GROUP BY k")
 def d2_merge_stats(spark, sf_dir):
     s = samples(spark, sf_dir)
@@ -358,6 +395,15 @@ def n11_targets(spark, sf_dir):
     return normalize.normalize_targets(o, "pointwise").select("sample_id", F.round(F.get("target", 0), 6).alias("v"))
 
 
+@query(f"""WITH {S}, {ELEMENTS}, {STATS}, m AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS label_id FROM (SELECT DISTINCT label FROM s WHERE split = 'train'))
+SELECT sample_id, label_id, k, round(CASE WHEN a = b THEN 0 ELSE (v - a) * 2 / (b - a) - 1 END, 6) AS v FROM x JOIN t USING (k) LEFT JOIN m USING (label) WHERE split <> 'train'""")
+def n10_derive(spark, sf_dir):
+    """New data by the normaliser, statistics and label numbers that the train split left, saved and read again."""
+    s, path = samples(spark, sf_dir), scratch_path(spark, "bundle")
+    normalize.save_bundle(normalize.Bundle("pointwise", normalize.fit_stats(s), labels.build_label_mapping(s)), spark, path)
+    return _elements(normalize.derive_from(s.where("split <> 'train'"), normalize.load_bundle(spark, path)), "label_id")
+
+
 # Joins
 @query("SELECT c_custkey AS sample_id, n_name AS target FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def j4_targets_by_label(spark, sf_dir):
@@ -406,6 +452,23 @@ def j7_stack_outputs(spark, sf_dir):
     return joins.stack_rows(rows).select("sample_pos", F.array_join(F.transform("features", lambda x: x.cast("string")), "|").alias("features"))
 
 
+@query(f"""WITH j AS ({ORACLE_SQL["j7_stack_outputs"]}), m AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS label_id FROM (SELECT DISTINCT 'N' || s_nationkey AS label FROM supplier WHERE s_suppkey % 3 <> 0))
+SELECT sample_pos, features, label_id FROM j JOIN supplier ON sample_pos = s_suppkey LEFT JOIN m ON label = 'N' || s_nationkey""")
+def j8_winners(spark, sf_dir):
+    """Stacked outputs with the numbers of their true labels; a label that no train row has gives none."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sample_pos"), F.concat(F.lit("N"), "s_nationkey").alias("label"), F.when(F.col("s_suppkey") % 3 != 0, "train").otherwise("test").alias("split"))
+    return joins.attach_winners(j7_stack_outputs(spark, sf_dir), s.select("sample_pos", "label"), labels.build_label_mapping(s))
+
+
+@query("""WITH p AS (SELECT o_orderstatus AS s, o_custkey % CASE o_orderstatus WHEN 'F' THEN 5 WHEN 'O' THEN 6 ELSE 7 END AS pos, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus IN ('F', 'O', 'P') GROUP BY ALL),
+a AS (SELECT s, CAST(coalesce(sum(max(pos) + 1) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead FROM p GROUP BY s) SELECT pos + ahead AS model_pos, s AS run, n, total FROM p JOIN a USING (s)""")
+def s3_merge_results(spark, sf_dir):
+    """Models of three runs in one table, numbered on."""
+    o = table(spark, sf_dir, "orders")
+    run = lambda s, width: o.where(F.col("o_orderstatus") == s).groupBy((F.col("o_custkey") % width).alias("model_pos")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")).withColumn("run", F.lit(s))
+    return registry.merge_model_results([run("F", 5), run("O", 6), run("P", 7)])
+
+
 @query("""WITH b AS (SELECT p_partkey AS id, p_size % 5 AS image, p_size AS y, p_size % 7 AS x FROM part) SELECT b.image, b.id AS box, c.s_suppkey AS crop,
   greatest(0, least(y + 10, s_nationkey + 20) - greatest(y, s_nationkey)) * greatest(0, least(x + 6, 8) - greatest(x, 2)) AS area,
   round(greatest(0, least(y + 10, s_nationkey + 20) - greatest(y, s_nationkey)) * greatest(0, least(x + 6, 8) - greatest(x, 2)) / 60, 6) AS ratio
@@ -669,6 +732,79 @@ def w7_late_rows(spark, sf_dir):
     return live.late_rows_batch(e, "batch", "20 days").select("batch", "event_id")
 
 
+# Streams. The table comes as files of a folder, which the stream reads until there are no more.
+def _arriving(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """A stream of the rows that are, or will be, in the folder ``path``, which gets those of ``df``."""
+    df.write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+def _arrived(stream: DataFrame, path: str) -> DataFrame:
+    """The rows that a stream gives in append mode until all that there is has been read."""
+    sink = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint")
+    sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("""WITH w AS (SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start, CAST(user_id AS VARCHAR) AS instance, event_type AS name, epoch_us(ts) AS t FROM events)
+SELECT start, instance, name, count(*) AS n, min(t) AS first, max(t) AS last FROM w WHERE start + 3600000000 <= (SELECT (max(epoch_us(ts)) // 1000 - 86400000) * 1000 FROM events) GROUP BY ALL""")
+def w2_event_profile(spark, sf_dir):
+    """Events by the hour, as a stream gives them: hours that end a day before the last event."""
+    path = scratch_path(spark, "profile")
+    e = _timed(spark, sf_dir).select("ts", F.col("user_id").cast("string").alias("instance"), F.col("event_type").alias("name"))
+    out = _arrived(streams.event_profile(_arriving(spark, e, f"{path}/in"), "1 hour", "1 day"), path)
+    return out.withColumns({c: F.unix_micros(c) for c in ("start", "first", "last")})
+
+
+@query(f"""WITH {S}, {ELEMENTS}, v AS (SELECT *, CASE split WHEN 'validation' THEN 0 WHEN 'test' THEN 1 ELSE 2 END AS version FROM x),
+g AS (SELECT version, k, min(v) AS a, max(v) AS b FROM v GROUP BY ALL), t AS (SELECT version, k, min(a) OVER w AS a, max(b) OVER w AS b FROM g WINDOW w AS (PARTITION BY k ORDER BY version))
+SELECT sample_id, version, k, round(CASE WHEN a = b THEN 0 ELSE (v - a) * 2 / (b - a) - 1 END, 6) AS v FROM v JOIN t USING (version, k)""")
+def w4_normalized_stream(spark, sf_dir):
+    """Splits that arrive one after the other, each normalised by the statistics of those so far; the
+    stream is started anew for each."""
+    path, s = scratch_path(spark, "normalized"), samples(spark, sf_dir).select("sample_id", "split", "features")
+    for split in ("validation", "test", "train"):
+        live.normalize_stream(_arriving(spark, s.where(F.col("split") == split), f"{path}/in"), "pointwise", path, f"{path}/checkpoint").awaitTermination()
+    return _elements(live.normalized_rows(spark, path), "version")
+
+
+@query("SELECT 'c' || event_id AS cid, CASE WHEN event_id % 3 = 0 THEN round(value * 2, 4) END AS total, CASE event_id % 3 WHEN 1 THEN 'not JSON' WHEN 2 THEN 'unknown codec' END AS error FROM events")
+def w5_results_by_id(spark, sf_dir):
+    """Requests that arrive twice, scored by a user's function, each result once under its request's id."""
+    v, k = F.col("value").cast("string"), F.col("event_id") % 3
+    payload = F.when(k == 0, F.concat(F.lit('{"input":['), v, F.lit(","), v, F.lit('],"codec":"list"}'))).when(k == 1, F.lit("{oops")).otherwise(F.lit('{"input":[1],"codec":"zip"}'))
+    requests = table(spark, sf_dir, "events").select(F.concat(F.lit("c"), "event_id").alias("cid"), payload.alias("payload"))
+    path = scratch_path(spark, "requests")
+    for again in (requests.where("substr(cid, -1) < '7'"), requests):
+        scored = scoring.score_requests(_arriving(spark, again, f"{path}/in"), lambda x: x.sum(axis=1))
+        live.send_results(scored, path, f"{path}/checkpoint").awaitTermination()
+    return live.results(spark, path).select("cid", F.round(F.get("output", 0), 4).alias("total"), "error")
+
+
+@query(f"""WITH {E}, l AS (SELECT instance AS worker, event_id AS id, epoch_us(ts) AS us, height AS d, CASE WHEN count(height) OVER w >= 3 THEN greatest(avg(height) OVER w + 3 * stddev_pop(height) OVER w, 20) END AS lim FROM e WINDOW w AS (PARTITION BY instance ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT worker, id, round(lim, 4) AS "limit", coalesce(d > lim, false) AS late FROM l WHERE us <= (SELECT (max(us) // 1000 - 600000) * 1000 FROM l)""")
+def w6_job_timeouts(spark, sf_dir):
+    """Jobs that take too long, as a stream with state tells them: those ten minutes before the last event."""
+    path = scratch_path(spark, "jobs")
+    jobs = _timed(spark, sf_dir).select(F.col("user_id").cast("string").alias("worker"), "ts", F.col("event_id").alias("id"), F.col("value").alias("duration_s"))
+    with live.state_store(spark):
+        out = _arrived(live.job_timeouts(_arriving(spark, jobs, f"{path}/in"), 20.0, "10 minutes"), path)
+    return out.select("worker", "id", F.round("limit", 4).alias("limit"), F.coalesce("late", F.lit(False)).alias("late"))
+
+
+@query(f"SELECT event_id, {LEVEL} AS levelname FROM events WHERE event_id % 5 >= 2")
+def w7_log_tail(spark, sf_dir):
+    """Log rows of a level or worse, some of which are sent twice, each once."""
+    path = scratch_path(spark, "logs")
+    logs = _timed(spark, sf_dir).select("event_id", "ts", F.expr(LEVEL).alias("levelname"), F.lit("s").alias("session"))
+    sent = logs.unionByName(logs.where("event_id % 4 = 1"))
+    return _arrived(streams.log_tail(_arriving(spark, sent, f"{path}/in"), "WARNING", keys=("event_id",)), path).select("event_id", "levelname")
+
+
 # Snapshots and versions
 @query("SELECT o_custkey AS id, o_orderpriority AS log_id, max(o_orderdate) AS timestamp, max_by(CAST(o_orderkey AS VARCHAR), (o_orderdate, CAST(o_orderkey AS VARCHAR))) AS name FROM orders GROUP BY ALL")
 def a13_latest_snapshot(spark, sf_dir):

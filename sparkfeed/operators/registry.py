@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -139,10 +141,15 @@ def thin_events(df: DataFrame, by: str, order: str, ts: str, interval: int, time
 
 
 def merge_model_results(parts: list[DataFrame]) -> DataFrame:
-    """Models of several runs in one table, numbered on; each part's numbers stay in order."""
-    out, ahead = None, 0
-    for p in parts:
-        moved = p.withColumn("model_pos", F.col("model_pos") + ahead)
-        out = moved if out is None else out.unionByName(moved)
-        ahead += (p.agg(F.max("model_pos").alias("m")).first()["m"] if p.take(1) else -1) + 1
-    return out
+    """Models of several runs in one table, numbered on; each part's numbers stay in order.
+
+    How far a part's numbers move follows from the largest number of each part before, a small table;
+    parts without rows move nothing.
+    """
+    tagged = reduce(DataFrame.unionByName, (p.withColumn("sf_part", F.lit(k)) for k, p in enumerate(parts)))
+    most = tagged.groupBy("sf_part").agg((F.max("model_pos") + 1).alias("sf_n"))
+    before = W.orderBy("sf_part").rowsBetween(W.unboundedPreceding, -1)
+    ahead = most.select("sf_part", F.coalesce(F.sum("sf_n").over(before), F.lit(0)).alias("sf_ahead"))
+    kind = parts[0].schema["model_pos"].dataType
+    moved = tagged.join(F.broadcast(ahead), "sf_part").withColumn("model_pos", (F.col("model_pos") + F.col("sf_ahead")).cast(kind))
+    return moved.select(parts[0].columns)

@@ -1,16 +1,19 @@
-"""Array files as a data source that reads rows by their offset, so that one file may be many tasks."""
+"""Array files: a data source that reads rows by their offset, so that one file may be many tasks, and a writer."""
 
 from __future__ import annotations
 
 import io
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "path string, row bigint, features array<double>"
@@ -137,3 +140,58 @@ def read_arrays(spark: SparkSession, path: str, part_bytes: int = PART_BYTES) ->
     """
     spark.dataSource.register(ArrayFiles)
     return spark.read.format("array_files").option("part_bytes", part_bytes).load(path)
+
+
+def _save(system: pafs.FileSystem, path: str, rows: np.ndarray) -> None:
+    """An array file, which has its name only once it is whole."""
+    begun = f"{path}.{uuid.uuid4().hex}"
+    with system.open_output_stream(begun) as f:
+        start = io.BytesIO()
+        np.lib.format.write_array_header_1_0(start, {"descr": "<f8", "fortran_order": False, "shape": rows.shape})
+        f.write(start.getvalue())
+        f.write(np.ascontiguousarray(rows, "<f8"))
+    system.move(begun, path)
+
+
+def write_arrays(df: DataFrame, path: str, features: str = "features", part_bytes: int = PART_BYTES) -> int:
+    """Writes ``features`` as array files of about ``part_bytes`` below a new folder; returns the number of rows.
+
+    Files are named by partition and number, so a task that runs again replaces its own. A task holds
+    the rows of one file. Null features, null elements, and lengths that differ, in one task or in
+    several, are errors; no rows give no files. The path is one that pyarrow opens.
+    """
+    system, at = pafs.FileSystem.from_uri(path)
+    system.create_dir(at, recursive=True)
+
+    def run(batches):
+        system, at = pafs.FileSystem.from_uri(path)
+        task, held, count, number, total, width = TaskContext.get().partitionId(), [], 0, 0, 0, None
+        for batch in batches:
+            x = batch.column(0)
+            if x.null_count or x.flatten().null_count:
+                raise ValueError("null in features")
+            lengths = set(x.value_lengths().to_pylist()) | ({width} if width is not None else set())
+            if len(lengths) > 1:
+                raise ValueError(f"features differ in length: {sorted(lengths)}")
+            if not batch.num_rows:
+                continue
+            width = lengths.pop()
+            each = max(1, part_bytes // max(1, 8 * width))
+            rows = x.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+            while len(rows):
+                take = rows[: each - count]
+                held.append(take)
+                rows, count, total = rows[len(take) :], count + len(take), total + len(take)
+                if count == each:
+                    _save(system, f"{at}/part-{task:06d}-{number:06d}.npy", np.concatenate(held))
+                    held, count, number = [], 0, number + 1
+        if held:
+            _save(system, f"{at}/part-{task:06d}-{number:06d}.npy", np.concatenate(held))
+        if total:
+            yield pa.RecordBatch.from_pydict({"n": [total], "width": [width]}, schema=pa.schema([("n", pa.int64()), ("width", pa.int64())]))
+
+    told = df.select(F.col(features).cast("array<double>").alias("x")).mapInArrow(run, "n bigint, width bigint")
+    n, least, most = told.agg(F.sum("n"), F.min("width"), F.max("width")).first()
+    if least != most:
+        raise ValueError(f"features differ in length: {least} to {most}")
+    return n or 0

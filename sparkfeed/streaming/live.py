@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -22,11 +23,23 @@ from ..functions.scan import neighbours
 from ..functions.scratch import remove
 from ..operators import normalize
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def use_state_store(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    spark.conf.set(_PROVIDER, ROCKS)
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """The same for streams that start within; the session's own store is set again at the end."""
+    before = spark.conf.get(_PROVIDER)
+    use_state_store(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
 
 
 class InOrder(StatefulProcessor):

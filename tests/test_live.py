@@ -32,6 +32,16 @@ def store(spark):
     spark.conf.set(name, before)
 
 
+def test_the_sessions_own_store_is_set_again(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "own")
+    with pytest.raises(KeyError), live.state_store(spark):
+        assert spark.conf.get(name) == live.ROCKS
+        raise KeyError
+    assert spark.conf.get(name) == "own"
+    live.use_state_store(spark)
+
+
 @pytest.mark.parametrize("forget", [None, "40 seconds"])
 def test_status_changes_equal_the_batch_on_shuffled_arrival(spark, tmp_path, forget):
     rng = random.Random(3)

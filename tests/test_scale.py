@@ -226,6 +226,33 @@ def test_array_rows_by_offset(spark, tmp_path):
     assert arrays.read_arrays(spark, str(tmp_path)).groupBy("path").count().count() == 4
 
 
+def test_arrays_are_written_in_files_of_a_size(spark, tmp_path):
+    df = spark.range(0, 1000, 1, 4).select(F.array(F.col("id").cast("float"), (F.col("id") * 2).cast("float")).alias("features"))
+    assert arrays.write_arrays(df, f"{tmp_path}/a", part_bytes=16 * 60) == 1000
+    files = sorted((tmp_path / "a").glob("*"))
+    assert len(files) == 20 and {f.suffix for f in files} == {".npy"}
+    assert [np.load(f).shape for f in files[:5]] == [(60, 2)] * 4 + [(10, 2)]
+    assert arrays.write_arrays(df, f"{tmp_path}/a", part_bytes=16 * 60) == 1000  # a task that runs again replaces its files
+    rows = arrays.read_arrays(spark, f"{tmp_path}/a", 100).collect()
+    assert sorted(r.features for r in rows) == [[float(k), 2.0 * k] for k in range(1000)]
+    assert arrays.write_arrays(df.limit(0), f"{tmp_path}/none") == 0 and arrays.read_arrays(spark, f"{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize("odd, why", [("array(1.0D)", "differ in length"), ("array(1.0D, NULL)", "null in features"), ("CAST(NULL AS array<double>)", "null in features")])
+@pytest.mark.parametrize("parts", [1, 8])
+def test_arrays_of_odd_rows_are_not_written(spark, tmp_path, odd, why, parts):
+    df = spark.range(0, 16, 1, parts).select(F.when(F.col("id") == 11, F.expr(odd)).otherwise(F.array(F.lit(1.0), F.lit(2.0))).alias("features"))
+    with pytest.raises(Exception, match=why):
+        arrays.write_arrays(df, f"{tmp_path}/a")
+
+
+def test_runs_without_models_move_no_numbers(spark):
+    run = lambda *pos: spark.createDataFrame([(k, f"m{k}") for k in pos], "model_pos int, id string")
+    out = registry.merge_model_results([run(), run(0, 2), run(), run(1, 0)])
+    assert out.schema == run().schema and sorted(map(tuple, out.collect())) == [(0, "m0"), (2, "m2"), (3, "m0"), (4, "m1")]
+    assert registry.merge_model_results([run(), run()]).collect() == []
+
+
 def test_wrong_array_files_fail(spark, tmp_path):
     (tmp_path / "no.npy").write_bytes(b"no array at all")
     np.save(tmp_path / "objects.npy", np.array([{}, 1], object), allow_pickle=True)
