@@ -151,6 +151,34 @@ def test_no_cell_is_fuller_than_its_bound(spark):
     assert out.count() == 3000 * 40
 
 
+def joined_rows(df):
+    """Rows that the joins of the plan which ran have put out, those of earlier stages left out."""
+
+    def walk(node):
+        if "Join" in node.nodeName():
+            yield node.metrics().apply("numOutputRows").value()
+        for k in range(node.children().size()):
+            yield from walk(node.children().apply(k))
+
+    last = df._jdf.queryExecution().executedPlan().executedPlan()
+    return sum(walk(last.plan() if "Stage" in last.nodeName() else last))
+
+
+def test_rectangles_with_the_same_corners_meet_once(spark):
+    # names that are null or come twice, and types of images that differ
+    boxes = [("1", None if k < 5 else k // 2, 0.0, 4.0, k % 3 + 0.0, k % 3 + 4.0) for k in range(900)] + [(None, 1, 0.0, 4.0, 0.0, 4.0)]
+    crops = [("1", k, 2.0, 6.0, 3.0, 7.0 + k % 2) for k in range(70)]
+    b = spark.createDataFrame(boxes, BOX.format("box")).withColumn("image", F.col("image").cast("int"))
+    c = spark.createDataFrame(crops, BOX.format("crop")).withColumn("image", F.col("image").cast("long"))
+    for most in (16, 256):
+        out = joins.box_overlap(b, c, most=most, digits=3)
+        got = out.collect()
+        want = sorted((b[1] or 0, c[1], 2.0 * (b[5] - 3)) for b in boxes[:900] for c in crops)
+        assert sorted((r.box or 0, r.crop, r.area) for r in got) == want
+        assert out.schema["image"].dataType.simpleString() == "int" and {r.image for r in got} == {1} and {r.ratio for r in got} == {0.125, 0.25, 0.375}
+        assert 0 < joined_rows(out) <= len(got) / most
+
+
 # statistics
 def test_statistics_leave_out_what_is_no_number(spark):
     nan, inf = float("nan"), float("inf")
