@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(*values: Column, f: Callable[..., Column]) -> Column:
+    """``f`` of ``values``, each worked out once a row: Spark works out what a lambda over elements
+    holds for each element again, also where the optimizer puts an expression in a column's place."""
+    bound = F.array(F.struct(*(v.alias(f"_{k}") for k, v in enumerate(values))))
+    return F.get(F.transform(bound, lambda s: f(*(s[f"_{k}"] for k in range(len(values))))), F.lit(0))
+
+
 def roundup(x: Column, align: int) -> Column:
     return (F.ceil(x / align) * align).cast("bigint")
 
 
 def to_uint8(values: Column) -> Column:
     """Least to greatest as 0..255, half to even; constant arrays give zeros."""
-    low, span = F.array_min(values), F.array_max(values) - F.array_min(values)
-    return F.transform(values, lambda v: F.when(span == 0, 0).otherwise(F.bround((v - low) * 255 / F.when(span == 0, 1).otherwise(span))).cast("int"))
+    scaled = lambda x, low, span: F.transform(x, lambda v: F.when(span == 0, 0).otherwise(F.bround((v - low) * 255 / F.when(span == 0, 1).otherwise(span))).cast("int"))
+    return once(values, f=lambda x: once(F.array_min(x), F.array_max(x) - F.array_min(x), f=lambda low, span: scaled(x, low, span)))
 
 
 def interleave(values: Column, channels: int, height: int, width: int) -> Column:
     """``[channel, row, column]`` order to ``[row, column, channel]``."""
-    return F.transform(F.sequence(F.lit(0), F.lit(channels * height * width - 1)), lambda i: F.get(values, ((i % channels) * height * width + F.floor(i / channels)).cast("int")))
+    return once(values, f=lambda x: F.transform(F.sequence(F.lit(0), F.lit(channels * height * width - 1)), lambda i: F.get(x, ((i % channels) * height * width + F.floor(i / channels)).cast("int"))))
 
 
 def gray_encode(x: Column) -> Column:

@@ -272,7 +272,8 @@ STATS = "t AS (SELECT k, count(*) AS n, sum(v) AS total, avg(v) AS m, min(v) AS
 
 
 def _elements(df: DataFrame, *more: str) -> DataFrame:
-    return df.select("sample_id", *more, F.posexplode("features").alias("k", "v")).withColumn("v", F.round("v", 6))
+    # an outer one, as for others the optimizer works out the features a second time to see whether they are empty
+    return df.select("sample_id", *more, F.posexplode_outer("features").alias("k", "v")).where("k IS NOT NULL").withColumn("v", F.round("v", 6))
 
 
 def holed(df: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import once
 from .labels import apply_label_mapping
 
 _PART = "size int, n array<bigint>, sum array<double>, min array<double>, max array<double>"
@@ -82,21 +83,31 @@ def check_range(df: DataFrame, batch: str, features: str = "features") -> DataFr
 
 
 def _zip(x: Column, *others: Column, f: Callable) -> Column:
-    return F.transform(x, lambda v, i: f(v, *(F.get(o, i) for o in others)))
+    return once(*others, f=lambda *o: F.transform(x, lambda v, i: f(v, *(F.get(c, i) for c in o))))
 
 
 def _span(low: Column, high: Column) -> Column:
     return F.when(high == low, 1.0).otherwise(high - low)
 
 
-def _linear(x: Column, low: Column, high: Column, interval: tuple[float, float]) -> Column:
+def _linear(x: Column, interval: tuple[float, float]) -> Column:
     a, b = interval
-    return F.transform(x, lambda v: F.when(high == low, (a + b) / 2).otherwise((v - low) * (b - a) / _span(low, high) + a))
+    scaled = lambda x, low, high: F.transform(x, lambda v: F.when(high == low, (a + b) / 2).otherwise((v - low) * (b - a) / _span(low, high) + a))
+    return once(x, f=lambda x: once(F.array_min(x), F.array_max(x), f=lambda low, high: scaled(x, low, high)))
 
 
 def _unlinear(x: Column, low: Column, high: Column, interval: tuple[float, float]) -> Column:
     a, b = interval
-    return F.transform(x, lambda v: F.when(high == low, low).otherwise((v - a) * (high - low) / (b - a) + low))
+    return once(low, high, f=lambda low, high: F.transform(x, lambda v: F.when(high == low, low).otherwise((v - a) * (high - low) / (b - a) + low)))
+
+
+def _exp_sum(x: Column, top: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, w: a + F.exp(w - top))
+
+
+def _exp(x: Column) -> Column:
+    share = lambda x, top: once(_exp_sum(x, top), f=lambda total: F.transform(x, lambda v: F.exp(v - top) / total))
+    return once(x, f=lambda x: once(F.array_max(x), f=lambda top: share(x, top)))
 
 
 class Normalizer(NamedTuple):
@@ -115,16 +126,16 @@ NORMALIZERS: dict[str, Normalizer] = {
         lambda x, mean, low, high, **_: _zip(x, mean, low, high, f=lambda v, m, a, b: (v - m) / _span(a, b)),
         lambda x, mean, low, high, **_: _zip(x, mean, low, high, f=lambda v, m, a, b: v * _span(a, b) + m),
     ),
-    "linear": Normalizer(False, lambda x, interval=(-1.0, 1.0), **_: _linear(x, F.array_min(x), F.array_max(x), interval), lambda x, dmin, dmax, interval=(-1.0, 1.0), **_: _unlinear(x, dmin, dmax, interval)),
+    "linear": Normalizer(False, lambda x, interval=(-1.0, 1.0), **_: _linear(x, interval), lambda x, dmin, dmax, interval=(-1.0, 1.0), **_: _unlinear(x, dmin, dmax, interval)),
     "range_linear": Normalizer(
         True,
-        lambda x, interval=(-1.0, 1.0), **_: _linear(x, F.array_min(x), F.array_max(x), interval),
+        lambda x, interval=(-1.0, 1.0), **_: _linear(x, interval),
         lambda x, low, high, interval=(-1.0, 1.0), **_: _unlinear(x, F.array_min(low), F.array_max(high), interval),
     ),
     "exp": Normalizer(
         False,
-        lambda x, **_: F.transform(x, lambda v: F.exp(v - F.array_max(x)) / F.aggregate(x, F.lit(0.0), lambda a, w: a + F.exp(w - F.array_max(x)))),
-        lambda x, dmax, dsum, **_: F.transform(x, lambda v: F.log(v * dsum) + dmax),
+        lambda x, **_: _exp(x),
+        lambda x, dmax, dsum, **_: once(dmax, dsum, f=lambda dmax, dsum: F.transform(x, lambda v: F.log(v * dsum) + dmax)),
     ),
     "pointwise": Normalizer(
         True,
@@ -185,7 +196,7 @@ def normalize(df: DataFrame, name: str, stats: DataFrame | None = None, column:
         df = df.withColumns({"dmin": F.array_min(column), "dmax": F.array_max(column)})
     if name == "exp":
         x = F.col(column)
-        df = df.withColumns({"dmax": F.array_max(x), "dsum": F.aggregate(x, F.lit(0.0), lambda a, w: a + F.exp(w - F.array_max(x)))})
+        df = df.withColumns({"dmax": F.array_max(x), "dsum": once(x, f=lambda x: once(F.array_max(x), f=lambda top: _exp_sum(x, top)))})
     return _with(df, kind, kind.apply, column, stats, options)
 
 
